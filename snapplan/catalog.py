@@ -1,15 +1,31 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per
 operator of the inventory, all reading the driver's tables through the
-fixture views."""
+fixture views (``fixtures.Fixtures``)."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .fixtures import Fixtures
+from .functions import digest as FD
+from .functions import encodings as FE
+from .functions import masking as FM
+from .functions import paths as FP
+from .operators import aggregates as AG
+from .operators import ignore as IG
+from .operators import manifest as MF
+from .operators import overlay as OV
+from .operators import planning as P
+from .operators import runlog as RL
+from .operators import store as ST
 from .plans import snapshot as S
+from .sources import listings as LS
+from .sources import rules as RU
+from .sources import state as SS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,12 +44,21 @@ def _fx(spark: SparkSession, sf_dir: str) -> Fixtures:
 def planned(fx: Fixtures, mode: str = "safe", variant: str = "C") -> DataFrame:
     files = fx.files
     if variant == "P":
-        from .operators.ignore import apply_ignore_fixed
-        files = apply_ignore_fixed(files)
+        files = IG.apply_ignore_fixed(files)
     opts = S.PlanOptions(mode=mode, variant=variant, order=("path",))
     return S.plan(files, fx.state, fx.store if mode == "safe" else None, opts)
 
 
+def rule_patterns(fx: Fixtures) -> list[str]:
+    """The ignore rules of the fixture rule file (bounded: a rule file)."""
+    rows = RU.clean_rule_lines(fx.rule_lines).orderBy("ord").limit(100_000).collect()
+    return [r["pattern"] for r in rows]
+
+
+# ==========================================================================
+# Pipelines (O-58 .. O-61, O-16)
+# ==========================================================================
+
 @query("plan_safe")
 def q_plan_safe(spark, sf_dir):
     return planned(_fx(spark, sf_dir), "safe")
@@ -49,6 +74,11 @@ def q_plan_variant_p(spark, sf_dir):
     return planned(_fx(spark, sf_dir), "fast", "P")
 
 
+@query("plan_variant_p_safe")
+def q_plan_variant_p_safe(spark, sf_dir):
+    return planned(_fx(spark, sf_dir), "safe", "P")
+
+
 @query("plan_summary")
 def q_plan_summary(spark, sf_dir):
     return S.plan_summary(planned(_fx(spark, sf_dir), "safe"))
@@ -57,3 +87,415 @@ def q_plan_summary(spark, sf_dir):
 @query("plan_summary_fast")
 def q_plan_summary_fast(spark, sf_dir):
     return S.plan_summary(planned(_fx(spark, sf_dir), "fast"))
+
+
+@query("dry_run_report")
+def q_dry_run(spark, sf_dir):
+    return S.dry_run_report(planned(_fx(spark, sf_dir), "safe"))
+
+
+# ==========================================================================
+# Projections and scalar functions (O-17 .. O-26)
+# ==========================================================================
+
+@query("path_parts")
+def q_path_parts(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    files = fx.files.select(F.lit("file").alias("src"), F.col("doc_id").alias("id"), "path")
+    pages = fx.table("pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"),
+                                     F.regexp_replace("url", "^[a-z]+://", "/").alias("path"))
+    parts = FP.path_parts("path")
+    return files.unionByName(pages).select("src", "id", "path", *[v.alias(k) for k, v in parts.items()])
+
+
+@query("mtime_encodings")
+def q_mtime(spark, sf_dir):
+    f = _fx(spark, sf_dir).files
+    txt = FE.mtime_text("mtime")
+    return f.select("path", txt.alias("mtime_text"), FE.mtime_filetime("mtime").alias("filetime"),
+                    FE.mtime_parse(txt).alias("parsed"),
+                    FE.mtime_parse("name", "C").alias("name_parsed_c"),
+                    FE.mtime_parse("name", "P").alias("name_parsed_p"))
+
+
+@query("file_extension")
+def q_extension(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    names = fx.files.select("name")
+    words = (fx.table("documents").select(F.explode(F.split("text", r"\s+")).alias("name"))
+             .filter(F.col("name").contains(".")))
+    pages = fx.table("pages").select(FP.basename(F.regexp_replace("url", "^[a-z]+://", "/")).alias("name"))
+    all_names = names.unionByName(words).unionByName(pages).distinct()
+    return all_names.select("name", FP.extension("name", "C").alias("ext_c"),
+                            FP.extension("name", "P").alias("ext_p"))
+
+
+@query("content_digest")
+def q_content_digest(spark, sf_dir):
+    f = _fx(spark, sf_dir).files.filter(~F.col("is_symlink"))
+    return f.select("path", FD.digest("content", "md5").alias("md5"),
+                    FD.digest("content", "sha1").alias("sha1"),
+                    FD.digest("content", "sha256").alias("sha256"))
+
+
+@query("symlink_digest")
+def q_symlink_digest(spark, sf_dir):
+    f = _fx(spark, sf_dir).files
+    return f.select("path", "is_symlink", FD.symlink_digest("link_target").alias("link_digest"))
+
+
+@query("empty_digest")
+def q_empty_digest(spark, sf_dir):
+    f = _fx(spark, sf_dir).files
+    return f.select("path", "size", FD.digest("content").alias("digest_c"),
+                    FD.digest_or_zero("content", "size").alias("digest_p"))
+
+
+@query("digest_roundtrip")
+def q_digest_roundtrip(spark, sf_dir):
+    f = _fx(spark, sf_dir).files.filter(~F.col("is_symlink"))
+    b = FD.digest_bytes("hash")
+    return f.select("path", F.octet_length(b).alias("n_bytes"), FD.digest_hex(b).alias("back"))
+
+
+@query("shard_path")
+def q_shard_path(spark, sf_dir):
+    f = _fx(spark, sf_dir).files
+    return f.select("path", FP.shard_path("hash", "ext", 3).alias("dest3"),
+                    FP.shard_path("hash", "ext", 1).alias("dest1"),
+                    FP.shard_path("hash", "ext", 0).alias("dest0"))
+
+
+@query("size_mib")
+def q_size_mib(spark, sf_dir):
+    f = _fx(spark, sf_dir).files
+    return f.select("path", FE.size_mib("size").alias("size_mib"))
+
+
+@query("lenient_casts")
+def q_lenient(spark, sf_dir):
+    lay = _fx(spark, sf_dir).layers
+    return lay.select("seq", FE.as_int("value", -1).alias("v_int"), FE.as_int("skey", 0).alias("k_int"),
+                      FE.as_bool("value", "C").alias("b_c"), FE.as_bool("value", "P").alias("b_p"))
+
+
+@query("mask_literal_secrets")
+def q_mask_literal(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    docs = fx.table("documents").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"),
+                                        F.lit(0).cast("long").alias("turn"), "text")
+    conv = fx.table("conversations").select(F.lit("conv").alias("src"), F.col("conv_id").alias("id"),
+                                            "turn", "text")
+    return FM.mask_secrets(docs.unionByName(conv), fx.secrets, ["text"])
+
+
+@query("mask_sensitive_keys")
+def q_mask_keys(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    secrets = FM.ordered_secret_list(fx.secrets)
+    s = fx.settings
+    return s.select("src", "id", "pos", "skey", FM.mask_by_key("skey", "value", secrets).alias("shown"))
+
+
+@query("mask_flagged")
+def q_mask_flagged(spark, sf_dir):
+    s = _fx(spark, sf_dir).settings
+    flagged = F.col("skey").isin("token", "STORAGE_KEY")
+    return s.select("src", "id", "pos", "skey", FM.mask_flagged("value", flagged).alias("shown"))
+
+
+def _registry_inputs(fx: Fixtures):
+    d = fx.table("documents")
+    tok = F.regexp_extract("text", r'token = "([0-9a-f]{40})"', 1)
+    new = d.filter((d.doc_id % 2 == 0) & (tok != "")).select(F.upper(tok).alias("secret"))
+    gone = d.filter((d.doc_id % 3 == 0) & (tok != "")).select(tok.alias("secret"))
+    return new, gone
+
+
+@query("secret_registry")
+def q_registry(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    new, gone = _registry_inputs(fx)
+    return FM.registry_remove(FM.registry_add(fx.secrets, new), gone)
+
+
+# ==========================================================================
+# Filters (O-31 .. O-37, O-43)
+# ==========================================================================
+
+@query("ignore_exact")
+def q_ignore_exact(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return IG.ignore_exact(fx.files, rule_patterns(fx)).select("path")
+
+
+@query("ignore_glob")
+def q_ignore_glob(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return IG.ignore_glob(fx.files, rule_patterns(fx)).select("path")
+
+
+@query("ignore_full_path")
+def q_ignore_full(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return IG.ignore_full_path(fx.files, rule_patterns(fx)).select("path")
+
+
+@query("ignore_subtree")
+def q_ignore_subtree(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return IG.apply_ignore(fx.files, rule_patterns(fx), subtree=True).select("path")
+
+
+@query("ignore_fixed")
+def q_ignore_fixed(spark, sf_dir):
+    return IG.apply_ignore_fixed(_fx(spark, sf_dir).files).select("path")
+
+
+@query("ignore_rule_join")
+def q_ignore_rule_join(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    rules = RU.clean_rule_lines(fx.rule_lines)
+    return IG.apply_ignore_table(fx.files, rules, "pattern", subtree=True).select("path")
+
+
+@query("queue_eligible")
+def q_queue_eligible(spark, sf_dir):
+    p = planned(_fx(spark, sf_dir), "safe")
+    return p.filter(P.queue_eligible("C")).select("path", "hash", "size")
+
+
+@query("digest_failures")
+def q_digest_failures(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    d = P.with_digest(P.with_state(fx.files, fx.state))
+    ok, bad = P.split_undigested(d)
+    return (ok.select("path", F.lit(True).alias("digest_ok"))
+            .unionByName(bad.select("path", F.lit(False).alias("digest_ok"))))
+
+
+# ==========================================================================
+# Joins (O-38 .. O-42)
+# ==========================================================================
+
+@query("files_with_state")
+def q_files_with_state(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return P.with_state(fx.files, fx.state).select("path", "size", "mtime", *P.STATE_COLS)
+
+
+@query("stale_digests")
+def q_stale(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return P.with_digest(P.with_state(fx.files, fx.state)).select("path", "stale", "hash")
+
+
+@query("changed_fast")
+def q_changed_fast(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return P.flag_changed_fast(P.with_state(fx.files, fx.state)).select("path", "upload_required")
+
+
+@query("changed_safe")
+def q_changed_safe(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    d, _ = P.split_undigested(P.with_digest(P.with_state(fx.files, fx.state)))
+    return P.flag_changed_safe(d, fx.store).select("path", "hash", "size", "store_size", "upload_required")
+
+
+@query("status_repair")
+def q_status_repair(spark, sf_dir):
+    p = planned(_fx(spark, sf_dir), "safe")
+    return p.filter("repair").select("path", F.col("mtime").alias("backup_mtime"))
+
+
+# ==========================================================================
+# Aggregations, windows, sets (O-44 .. O-57)
+# ==========================================================================
+
+@query("dedup_first")
+def q_dedup_first(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    d, _ = P.split_undigested(P.with_digest(P.with_state(fx.files, fx.state)))
+    flagged = P.flag_changed_safe(d, fx.store)
+    return P.first_per_key(flagged.filter(P.queue_eligible("C")), "hash", ["path"])
+
+
+@query("overlap_roots")
+def q_overlap_roots(spark, sf_dir):
+    f = _fx(spark, sf_dir).files
+    first_src = f.agg(F.min("root").alias("root_b"))
+    a = f.select(F.lit(0).alias("root_ord"), F.lit("/data").alias("root"), "path")
+    b = (f.join(first_src, f.root == first_src.root_b, "inner")
+         .select(F.lit(1).alias("root_ord"), F.col("root_b").alias("root"), "path"))
+    inv = a.unionByName(b)                                            # O-57 union of roots
+    uniq = P.unique_paths(inv).select("root_ord", "path", F.lit(1).alias("_u"))   # O-46
+    return (inv.join(uniq, ["root_ord", "path"], "left")
+            .agg(F.count(F.lit(1)).alias("n_indexed"), F.count("_u").alias("n_manifest")))
+
+
+@query("inventory_counts")
+def q_inventory_counts(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return AG.inventory_counts(fx.files, fx.store, RU.clean_rule_lines(fx.rule_lines),
+                               planned(fx, "safe"))
+
+
+@query("queue_totals")
+def q_queue_totals(spark, sf_dir):
+    return AG.queue_totals(S.queue(planned(_fx(spark, sf_dir), "safe")))
+
+
+@query("manifest_rows")
+def q_manifest_rows(spark, sf_dir):
+    return MF.manifest_rows(planned(_fx(spark, sf_dir), "safe"))
+
+
+@query("manifest_rows_p")
+def q_manifest_rows_p(spark, sf_dir):
+    return MF.manifest_rows(planned(_fx(spark, sf_dir), "fast", "P"), variant="P")
+
+
+@query("manifest_lines")
+def q_manifest_lines(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    run_s = fx.files.agg(F.max("mtime")).first()[0]
+    run_ts = dt.datetime.fromtimestamp(run_s, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    preamble = [f"Backup run at: {run_ts}", "mode=safe"]
+    return MF.manifest_lines(MF.manifest_rows(planned(fx, "safe")), preamble)
+
+
+@query("manifest_archive_path")
+def q_archive(spark, sf_dir):
+    a = _fx(spark, sf_dir).attempts
+    return a.groupBy("job").agg(F.max("ts").alias("run_ts")).select(
+        "job", MF.archive_path("job", "run_ts").alias("archive"))
+
+
+@query("state_pivot")
+def q_state_pivot(spark, sf_dir):
+    return SS.state_wide(_fx(spark, sf_dir).state_kv, job="job")
+
+
+@query("state_merge")
+def q_state_merge(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return SS.merge_state(fx.state, SS.state_updates(planned(fx, "safe")))
+
+
+@query("store_listing_by_name")
+def q_listing_name(spark, sf_dir):
+    return LS.store_from_listing(_fx(spark, sf_dir).listing)
+
+
+@query("store_listing_checksum")
+def q_listing_checksum(spark, sf_dir):
+    return LS.store_from_objects(_fx(spark, sf_dir).objects)
+
+
+@query("store_listing_attr")
+def q_listing_attr(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return LS.store_from_kv(fx.state_kv, fx.files.select("path", "size"), attr="user.md5_hash_value")
+
+
+@query("ignore_rules_from_lines")
+def q_rules_from_lines(spark, sf_dir):
+    d = _fx(spark, sf_dir).table("documents").select("doc_id", "text")
+    return RU.clean_rule_lines(RU.text_lines(d)).select("doc_id", "line_no", "pattern")
+
+
+@query("split_list_explode")
+def q_split_list(spark, sf_dir):
+    d = _fx(spark, sf_dir).table("documents").select("doc_id", "text")
+    return RU.explode_list(d, "text").select("doc_id", "pos", "item")
+
+
+@query("ignore_rules_union")
+def q_rules_union(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    a = RU.clean_rule_lines(fx.rule_lines).select(F.col("ord").cast("long").alias("ord"), "pattern")
+    d = fx.table("documents").select("doc_id", "text")
+    b = RU.clean_rule_lines(RU.text_lines(d)).select(
+        (F.col("doc_id") * 100000 + F.col("line_no")).cast("long").alias("ord"), "pattern")
+    return RU.union_rules(a, b)
+
+
+@query("overlay_resolve")
+def q_overlay_resolve(spark, sf_dir):
+    return OV.resolve_layers(_fx(spark, sf_dir).layers)
+
+
+@query("overlay_report")
+def q_overlay_report(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return OV.layer_report(OV.resolve_layers(fx.layers), FM.ordered_secret_list(fx.secrets))
+
+
+REQUIRED_KEYS = [("DEFAULT", "1-URGENT"), ("DEFAULT", "2-HIGH"), ("DEFAULT", "3-MEDIUM"),
+                 ("DEFAULT", "4-NOT SPECIFIED"), ("DEFAULT", "5-LOW"), ("DEFAULT", "BACKUP_TYPE")]
+
+
+@query("overlay_missing")
+def q_overlay_missing(spark, sf_dir):
+    lay = _fx(spark, sf_dir).layers
+    return OV.missing_keys(OV.resolve_layers(lay), lay, REQUIRED_KEYS)
+
+
+@query("retry_outcome")
+def q_retry(spark, sf_dir):
+    out = RL.retry_outcome(_fx(spark, sf_dir).attempts, max_retries=1)
+    return out.select("job", "item", "status", "tries", "saved_event_id", "saved_bytes")
+
+
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    return RL.run_summary(_fx(spark, sf_dir).attempts, max_retries=1)
+
+
+@query("progress_reports")
+def q_progress(spark, sf_dir):
+    return RL.progress_reports(_fx(spark, sf_dir).attempts, max_retries=1, every=10)
+
+
+@query("digest_progress")
+def q_digest_progress(spark, sf_dir):
+    return RL.digest_progress(planned(_fx(spark, sf_dir), "safe").filter("stale"), every=100)
+
+
+# ==========================================================================
+# Sinks decided as data (O-10 .. O-12)
+# ==========================================================================
+
+@query("transfer_class")
+def q_transfer(spark, sf_dir):
+    return ST.transfer_plan(S.queue(planned(_fx(spark, sf_dir), "safe")))
+
+
+@query("blob_append_set")
+def q_blob_append(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    q = S.queue(planned(fx, "fast"))
+    return ST.blob_append_set(q, fx.store).select("hash", "size", "ext", "shard")
+
+
+@query("put_outcome")
+def q_put_outcome(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return ST.put_outcome(S.queue(planned(fx, "fast")), fx.listing, "skip")
+
+
+# ==========================================================================
+# Table snapshots (O-63)
+# ==========================================================================
+
+@query("table_snapshot_orders")
+def q_snap_orders(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return S.table_snapshot(fx.orders_digest, fx.orders_prev)
+
+
+@query("table_snapshot_lineitem")
+def q_snap_lineitem(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return S.table_snapshot(fx.lineitem_digest.drop("_m"), fx.lineitem_prev)

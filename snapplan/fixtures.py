@@ -142,6 +142,59 @@ class Fixtures:
         )
 
 
+    # ---- table snapshots (O-63) -------------------------------------------
+    @cached_property
+    def orders_digest(self) -> DataFrame:
+        o = self.table("orders")
+        payload = F.concat_ws("|", o.o_custkey.cast("string"), o.o_orderstatus,
+                              F.round(o.o_totalprice * 100).cast("long").cast("string"),
+                              o.o_orderdate.cast("date").cast("string"), o.o_orderpriority)
+        return o.select(o.o_orderkey.alias("k"), F.md5(payload).alias("digest"))
+
+    @cached_property
+    def orders_prev(self) -> DataFrame:
+        c = self.orders_digest
+        return c.filter(c.k % 10 != 0).select(
+            "k", F.when(c.k % 7 == 0, F.md5("digest")).otherwise(c.digest).alias("digest"))
+
+    @cached_property
+    def lineitem_digest(self) -> DataFrame:
+        li = self.table("lineitem")
+        key = F.concat_ws("|", *[li[c].cast("string") for c in
+                                 ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
+        money = [F.round(li[c] * 100).cast("long").cast("string") for c in
+                 ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+        payload = F.concat_ws("|", *money, li.l_returnflag, li.l_linestatus,
+                              li.l_shipdate.cast("date").cast("string"))
+        return li.select(key.alias("k"), (li.l_orderkey + li.l_linenumber).alias("_m"),
+                         F.md5(payload).alias("digest"))
+
+    @cached_property
+    def lineitem_prev(self) -> DataFrame:
+        c = self.lineitem_digest
+        return c.filter(c._m % 10 != 0).select(
+            "k", F.when(c._m % 7 == 0, F.md5("digest")).otherwise(c.digest).alias("digest"))
+
+    # ---- settings found in texts (key = "value") -------------------------
+    @cached_property
+    def doc_settings(self) -> DataFrame:
+        d = self.table("documents")
+        pat = r'([A-Za-z_]+)\s*=\s*"([^"]*)"'
+        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pat), 1).alias("k"),
+                             F.regexp_extract_all("text", F.lit(pat), 2).alias("v"))
+        return (d.select("doc_id", F.posexplode(pairs).alias("pos", "kv"))
+                .select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "pos",
+                        F.col("kv.k").alias("skey"), F.col("kv.v").alias("value")))
+
+    @cached_property
+    def settings(self) -> DataFrame:
+        """Key/value settings from two real sources: the layered orders
+        table and ``key = "value"`` pairs inside documents."""
+        lay = self.layers.select(F.lit("layers").alias("src"), F.col("seq").alias("id"),
+                                 F.lit(0).alias("pos"), "skey", "value")
+        return lay.unionByName(self.doc_settings)
+
+
 # --------------------------------------------------------------------------
 # The same views as SQL text (valid in DuckDB and Spark SQL), in dependency
 # order.  ``with_fx`` prefixes the CTEs a query body needs.
@@ -205,13 +258,33 @@ FX_SQL: dict[str, str] = {
   from orders)""",
     "fx_orders_prev": """fx_orders_prev as (
   select k, case when k % 7 = 0 then md5(digest) else digest end as digest from fx_orders where k % 10 <> 0)""",
+    "fx_lineitem": """fx_lineitem as (
+  select concat_ws('|', cast(l_orderkey as string), cast(l_partkey as string), cast(l_suppkey as string),
+                   cast(l_linenumber as string)) as k,
+         l_orderkey + l_linenumber as m,
+         md5(concat_ws('|', cast(cast(round(l_quantity * 100) as bigint) as string),
+             cast(cast(round(l_extendedprice * 100) as bigint) as string),
+             cast(cast(round(l_discount * 100) as bigint) as string),
+             cast(cast(round(l_tax * 100) as bigint) as string),
+             l_returnflag, l_linestatus, cast(cast(l_shipdate as date) as string))) as digest
+  from lineitem)""",
+    "fx_lineitem_prev": """fx_lineitem_prev as (
+  select k, case when m % 7 = 0 then md5(digest) else digest end as digest from fx_lineitem where m % 10 <> 0)""",
+    "fx_doc_settings": """fx_doc_settings as (
+  select 'doc' as src, doc_id as id, unnest(range(len(ks))) as pos, unnest(ks) as skey, unnest(vs) as value
+  from (select doc_id, regexp_extract_all(text, '([A-Za-z_]+)\\s*=\\s*"([^"]*)"', 1) as ks,
+               regexp_extract_all(text, '([A-Za-z_]+)\\s*=\\s*"([^"]*)"', 2) as vs from documents))""",
+    "fx_settings": """fx_settings as (
+  select 'layers' as src, seq as id, 0 as pos, skey, value from fx_layers
+  union all select src, id, pos, skey, value from fx_doc_settings)""",
 }
 
 _DEPS = {
     "fx_raw": [], "fx_files": ["fx_raw"], "fx_state": ["fx_files"], "fx_state_kv": ["fx_state"],
     "fx_store": ["fx_files"], "fx_listing": ["fx_files"], "fx_objects": ["fx_listing", "fx_files"],
     "fx_rule_lines": [], "fx_secrets": [], "fx_attempts": [], "fx_layers": [], "fx_orders": [],
-    "fx_orders_prev": ["fx_orders"],
+    "fx_orders_prev": ["fx_orders"], "fx_lineitem": [], "fx_lineitem_prev": ["fx_lineitem"],
+    "fx_doc_settings": [], "fx_settings": ["fx_layers", "fx_doc_settings"],
 }
 
 
@@ -229,4 +302,6 @@ def with_fx(names: list[str], body: str, extra: list[str] | None = None) -> str:
     for n in names:
         visit(n)
     ctes = [FX_SQL[n] for n in FX_SQL if n in need] + list(extra or [])
+    if not ctes:
+        return body
     return "with " + ",\n".join(ctes) + "\n" + body
