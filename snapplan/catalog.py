@@ -499,3 +499,71 @@ def q_snap_orders(spark, sf_dir):
 def q_snap_lineitem(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     return S.table_snapshot(fx.lineitem_digest.drop("_m"), fx.lineitem_prev)
+
+
+# ==========================================================================
+# Real files (O-01, O-02, O-09, O-62): the fixture files are written below a
+# fresh folder of the shared checkpoint area by a Spark job, then scanned.
+# ==========================================================================
+
+def _real_files(spark, sf_dir):
+    from .plans.run import materialize_files
+    from .session import shared_path
+    fx = _fx(spark, sf_dir)
+    base = shared_path(spark, "files")
+    materialize_files(fx.files, base)
+    return fx, base
+
+
+@query("inventory_scan")
+def q_inventory_scan(spark, sf_dir):
+    from .sources import inventory as INV
+    _, base = _real_files(spark, sf_dir)
+    scan = INV.inventory(spark, [f"{base}/data"], [])
+    n = len(base) + 1
+    return INV.files_only(scan).select(
+        "root_ord", F.substring("path", n, 1 << 20).alias("path"), "name", "ext", "size",
+        F.floor(F.col("mtime") / 1_000_000).cast("long").alias("mtime_s"), "is_symlink")
+
+
+@query("scan_issues")
+def q_scan_issues(spark, sf_dir):
+    from .sources import inventory as INV
+    _, base = _real_files(spark, sf_dir)
+    roots = [f"{base}/data/src0", f"{base}/data/no-such-root", f"{base}/data/src1", f"{base}/data/src0"]
+    scan = INV.inventory(spark, roots, ["SRC1"])
+    n = len(base) + 1
+    issues = INV.scan_issues(scan).select("root_ord", F.substring("path", n, 1 << 20).alias("path"), "issue")
+    counts = (INV.files_only(scan).groupBy("root_ord").agg(F.count(F.lit(1)).alias("n"))
+              .select("root_ord", F.lit("").alias("path"), F.concat(F.lit("files: "), F.col("n").cast("string")).alias("issue")))
+    return issues.unionByName(counts)
+
+
+@query("store_put_if_absent")
+def q_store_put(spark, sf_dir):
+    from .operators.store import DirectoryStore, write_results
+    from .session import shared_path
+    from .sources import inventory as INV
+    _, base = _real_files(spark, sf_dir)
+    files = INV.files_only(INV.inventory(spark, [f"{base}/data"], []))
+    empty_state = spark.createDataFrame([], "path string, st_hash string, st_hash_mtime long, backup_mtime long")
+    p = S.plan(files, empty_state, None, S.PlanOptions(mode="fast"))
+    store = DirectoryStore(spark, shared_path(spark, "store"))
+    first = write_results(store.put(S.queue(p)), shared_path(spark, "results"))
+    again = write_results(store.put(S.queue(p)), shared_path(spark, "results"))   # idempotent re-run
+    n = len(base) + 1
+    return (first.withColumn("attempt", F.lit(1)).unionByName(again.withColumn("attempt", F.lit(2)))
+            .select("attempt", F.substring("path", n, 1 << 20).alias("path"), "dest", "hash", "status", "bytes"))
+
+
+@query("run_snapshot")
+def q_run_snapshot(spark, sf_dir):
+    from .plans.run import run_snapshot
+    from .session import shared_path
+    _, base = _real_files(spark, sf_dir)
+    store, state, work = (shared_path(spark, x) for x in ("store", "state", "work"))
+    kw = dict(roots=[f"{base}/data"], store_root=store, state_dir=state, work_dir=work,
+              ignore=["*.tmp"], mode="safe")
+    r1 = run_snapshot(spark, run_id="20240101T000000", **kw).withColumn("run", F.lit(1))
+    r2 = run_snapshot(spark, run_id="20240101T000100", **kw).withColumn("run", F.lit(2))
+    return r1.unionByName(r2)

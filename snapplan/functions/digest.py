@@ -77,8 +77,8 @@ def _digest_one(path: str, algo: str) -> str | None:
     try:
         if os.path.islink(path):
             try:
-                target = os.path.realpath(path, strict=True)
-            except (OSError, RuntimeError):
+                target = os.path.normpath(os.path.join(os.path.dirname(path), os.readlink(path)))
+            except OSError:
                 target = UNRESOLVED_LINK_TARGET
             import base64
             return SYMLINK_PREFIX + base64.b64encode(target.encode("utf-8")).decode("ascii")
@@ -103,7 +103,8 @@ def digest_files(files: DataFrame, path_col: str = "path", out_col: str = "fresh
     share a task with thousands of others.  A failure yields a null digest
     (the caller splits those rows off as issues, O-37).
     """
-    schema = files.schema.add(out_col, "string")
+    from pyspark.sql.types import StringType, StructField, StructType
+    schema = StructType(list(files.schema.fields) + [StructField(out_col, StringType(), True)])
     df = files
     if balance_bins:
         df = df.repartitionByRange(balance_bins, F.col("size").desc())

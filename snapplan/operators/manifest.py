@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.encodings import mtime_filetime
+from ..functions.encodings import mtime_filetime, mtime_filetime_from_micros
 
 # The manifest's structural lines.
 MANIFEST_HEADER = "Filename,Hash,Extension,Size,Modified Time,InQueue"
@@ -34,19 +34,24 @@ def csv_field(c) -> Column:
 
 def _python_float_text(seconds) -> Column:
     """Text of a whole-second unix time as Python prints a float (``N.0``)."""
-    return F.concat(F.col(seconds).cast("long").cast("string"), F.lit(".0"))
+    s = F.col(seconds) if isinstance(seconds, str) else seconds
+    return F.concat(s.cast("long").cast("string"), F.lit(".0"))
 
 
-def manifest_rows(planned: DataFrame, variant: str = "C") -> DataFrame:
-    """O-44: ``dir, kind, path, line`` (kind 0 = directory marker)."""
+def manifest_rows(planned: DataFrame, variant: str = "C", mtime_unit: str = "s") -> DataFrame:
+    """O-44: ``dir, kind, path, line`` (kind 0 = directory marker).
+
+    ``mtime_unit``: ``s`` for unix seconds, ``us`` for microseconds (the
+    inventory scan)."""
     files = planned.dropDuplicates(["path"])          # O-46: unique on path
     size_txt = F.col("size").cast("string")
     if variant.upper() == "C":
-        fields = [F.col("name"), F.col("hash"), F.col("ext"), size_txt,
-                  mtime_filetime("mtime").cast("string"), F.col("in_queue")]
+        ft = mtime_filetime("mtime") if mtime_unit == "s" else mtime_filetime_from_micros("mtime")
+        fields = [F.col("name"), F.col("hash"), F.col("ext"), size_txt, ft.cast("string"), F.col("in_queue")]
     else:
+        secs = F.col("mtime") if mtime_unit == "s" else F.col("mtime") / F.lit(1_000_000)
         fields = [csv_field("name"), csv_field("hash"), csv_field("ext"), size_txt,
-                  _python_float_text("mtime"), F.col("in_queue")]
+                  _python_float_text(secs), F.col("in_queue")]
     line = F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields])
     body = files.select("dir", F.lit(1).alias("kind"), "path", line.alias("line"))
     markers = (files.select("dir").distinct()
