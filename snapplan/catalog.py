@@ -567,3 +567,70 @@ def q_run_snapshot(spark, sf_dir):
     r1 = run_snapshot(spark, run_id="20240101T000000", **kw).withColumn("run", F.lit(1))
     r2 = run_snapshot(spark, run_id="20240101T000100", **kw).withColumn("run", F.lit(2))
     return r1.unionByName(r2)
+
+
+# ==========================================================================
+# Streaming (O-64 .. O-67): inputs are the fixture tables written as ordered
+# parquet batches, consumed with an availableNow trigger.
+# ==========================================================================
+
+def _stream_files(spark, sf_dir, n_batches=4):
+    from .session import shared_path
+    from .streaming import stream as ST_
+    fx = _fx(spark, sf_dir)
+    src = shared_path(spark, "stream-in")
+    files = fx.files.drop("hash")
+    ST_.write_batches(files, src, "doc_id", n_batches)
+    return fx, ST_.read_stream(spark, src, files.schema)
+
+
+def _stream_attempts(spark, sf_dir, n_batches=4):
+    from .session import shared_path
+    from .streaming import stream as ST_
+    fx = _fx(spark, sf_dir)
+    src = shared_path(spark, "stream-attempts")
+    ST_.write_batches(fx.attempts, src, FE.epoch_micros("ts"), n_batches)
+    return fx, ST_.read_stream(spark, src, fx.attempts.schema)
+
+
+@query("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    from .session import shared_path
+    from .streaming import stream as ST_
+    fx, sdf = _stream_files(spark, sf_dir)
+    hashed = sdf.select("path", F.when(F.col("is_symlink"), FD.symlink_digest("link_target"))
+                        .otherwise(F.md5("content")).alias("hash"))
+    out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ck")
+    ST_.use_rocksdb(spark)
+    ST_.run_to_parquet(ST_.stream_dedup(hashed, "hash"), out, ck)
+    return spark.read.parquet(out).select("hash")
+
+
+@query("stream_plan")
+def q_stream_plan(spark, sf_dir):
+    from .session import shared_path
+    from .streaming import stream as ST_
+    fx, sdf = _stream_files(spark, sf_dir)
+    blobs, results, ck = (shared_path(spark, x) for x in ("stream-blobs", "stream-results", "stream-ck"))
+    ST_.stream_plan(sdf, fx.state, blobs, results, ck, mode="safe")
+    return spark.read.parquet(results).select("path", "hash", "size", "queued", "upload_required")
+
+
+@query("stream_retry")
+def q_stream_retry(spark, sf_dir):
+    from .session import shared_path
+    from .streaming import stream as ST_
+    _, sdf = _stream_attempts(spark, sf_dir)
+    out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ck")
+    ST_.run_to_parquet(ST_.stream_retry(sdf, max_retries=1), out, ck)
+    return spark.read.parquet(out)
+
+
+@query("stream_totals")
+def q_stream_totals(spark, sf_dir):
+    from .session import shared_path
+    from .streaming import stream as ST_
+    _, sdf = _stream_attempts(spark, sf_dir)
+    out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ck")
+    ST_.run_complete_to_parquet(ST_.stream_totals(sdf), out, ck)
+    return ST_.latest_epoch(spark, out)

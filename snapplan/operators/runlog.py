@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encodings import MIB, epoch_micros
+from ..session import cut_lineage
 from .windows import bucketed_running
 
 
@@ -52,8 +53,8 @@ def progress_reports(attempts: DataFrame, max_retries: int = 3, every: int = 10)
     The running count and byte sum per job in success order come from
     ``bucketed_running``, so a job holding a third of all items is still
     spread over many tasks."""
-    out = (retry_outcome(attempts, max_retries).filter(F.col("status") == "saved")
-           .withColumn("_k", epoch_micros("saved_ts")))
+    out = cut_lineage(retry_outcome(attempts, max_retries).filter(F.col("status") == "saved")
+                      .select("job", "saved_event_id", "saved_bytes", epoch_micros("saved_ts").alias("_k")))
     start = attempts.groupBy("job").agg(F.min(epoch_micros("ts")).alias("start_us"))
     tot = _item_totals(attempts)
     run = (bucketed_running(out, ["job"], "_k", ["saved_event_id"], ["saved_bytes"])

@@ -18,8 +18,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bounds(df: DataFrame, key: str, n_buckets: int, total: int) -> list:
-    if total <= 0 or n_buckets <= 1:
+def _numeric(df: DataFrame, key: str) -> bool:
+    t = df.schema[key].dataType.typeName()
+    return t in ("long", "integer", "short", "byte", "double", "float")
+
+
+def _bounds(df: DataFrame, key: str, n_buckets: int, total: int | None) -> list:
+    if n_buckets <= 1:
+        return []
+    if _numeric(df, key):
+        # one pass, Greenwald-Khanna sketch; only n_buckets-1 numbers return
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        qs = df.approxQuantile(key, probs, 1.0 / (4 * n_buckets))
+        return sorted(set(qs))
+    if total is None:
+        total = df.count()
+    if total <= 0:
         return []
     frac = min(1.0, 20.0 * n_buckets / total)
     sample = df.select(key).sample(withReplacement=False, fraction=frac, seed=17)
@@ -32,13 +46,11 @@ def _bounds(df: DataFrame, key: str, n_buckets: int, total: int) -> list:
 
 
 def bucketed_running(df: DataFrame, group: Sequence[str], key: str, tiebreak: Sequence[str] = (),
-                     sums: Sequence[str] = (), n_buckets: int = 256,
+                     sums: Sequence[str] = (), n_buckets: int = 64,
                      total: int | None = None) -> DataFrame:
     """Adds ``run_n`` (1-based position within the group in ``key,
     tiebreak`` order) and ``run_<c>`` (running sum) for each ``c`` in
     ``sums``.  ``key`` must be orderable; buckets split on it."""
-    if total is None:
-        total = df.count()
     bounds = _bounds(df, key, n_buckets, total)
     if bounds:
         arr = F.array(*[F.lit(b) for b in bounds])

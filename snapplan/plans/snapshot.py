@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.digest import digest_files
 from ..functions.paths import extension, shard_path
 from ..operators import planning as P
+from ..session import cut_lineage
 
 PLAN_COLS = ["path", "dir", "name", "ext", "hash", "size", "mtime", "stale",
              "upload_required", "in_queue", "queued", "dest", "repair"]
@@ -36,6 +37,7 @@ class PlanOptions:
     order: tuple[str, ...] = ("root_ord", "path")   # "first" in listing order
     hot_hashes: tuple[str, ...] = ()                # optional known hot hashes
     keep_extra: tuple[str, ...] = ()                # extra input columns to keep
+    cut_lineage: bool = True      # checkpoint after the digests (they run once)
 
 
 def _digest_real_files(df: DataFrame, variant: str) -> DataFrame:
@@ -60,11 +62,20 @@ def plan(files: DataFrame, state: DataFrame, store: DataFrame | None = None,
     df = files
     if variant == "P":
         df = df.withColumn("ext", extension("name", "P"))
-    df = P.with_state(df, state)                                       # O-38
     if "content" in df.columns:
-        df = P.with_digest(df, variant)                                # O-39
+        # Table payloads: digest map-side, before the state join, so the
+        # shuffle on ``path`` carries 32 hex characters instead of the
+        # payload; the stored digest is still preferred when fresh.
+        df = df.withColumn("_fresh", P.fresh_digest(variant))
+        if "content" not in opts.keep_extra:
+            df = df.drop("content")
+        df = P.with_state(df, state)                                   # O-38
+        df = (df.withColumn("stale", P.stale_flag(variant))           # O-39
+                .withColumn("hash", F.when(F.col("stale"), F.col("_fresh")).otherwise(F.col("st_hash")))
+                .drop("_fresh"))
     else:
-        df = _digest_real_files(df, variant)
+        df = P.with_state(df, state)                                   # O-38
+        df = _digest_real_files(df, variant)                           # O-39, stale rows only
     if variant == "C":
         df, _issues = P.split_undigested(df)                           # O-37
 
@@ -79,6 +90,13 @@ def plan(files: DataFrame, state: DataFrame, store: DataFrame | None = None,
 
     df = df.withColumn("in_queue", F.when(F.col("upload_required") & (F.col("size") > 0),
                                           F.lit("x")).otherwise(F.lit("")))
+    keep = ["path", "dir", "name", "ext", "hash", "size", "mtime", "stale", "upload_required",
+            "in_queue", "repair"]
+    df = df.select(*keep, *[c for c in [*order, *opts.keep_extra] if c in df.columns and c not in keep])
+    if opts.cut_lineage:
+        # the first-per-hash step reads this twice (winners + join back):
+        # a reliable checkpoint keeps the digests from running twice
+        df = cut_lineage(df)
     df = P.mark_first(df, P.queue_eligible(variant), "hash", order)     # O-36, O-45
     df = df.withColumn("dest", F.when(F.col("queued"), shard_path("hash", "ext", opts.depth)))  # O-24
     extra = [c for c in opts.keep_extra if c in df.columns and c not in PLAN_COLS]
@@ -136,14 +154,20 @@ def stable_text(col, kind: str) -> F.Column:
 
 
 def table_snapshot(current: DataFrame, previous: DataFrame, key: str = "k",
-                   digest: str = "digest") -> DataFrame:
+                   digest: str = "digest", cut: bool = True) -> DataFrame:
     """O-63 decision: new / changed / unchanged per key, and which changed
-    rows are queued (first key per distinct digest)."""
+    rows are queued (first key per distinct digest).
+
+    The narrow ``(key, digest, status)`` result of the join is checkpointed
+    (``cut``) because the first-per-digest step reads it twice; otherwise
+    both branches would scan, digest and join both tables again."""
     prev = previous.select(F.col(key), F.col(digest).alias("_prev"))
-    j = current.join(prev, key, "left")
+    j = current.select(key, digest).join(prev, key, "left")
     status = (F.when(F.col("_prev").isNull(), "new")
               .when(F.col("_prev") != F.col(digest), "changed").otherwise("unchanged"))
     j = j.withColumn("status", status).drop("_prev")
+    if cut:
+        j = cut_lineage(j)
     eligible = F.col("status") != "unchanged"
     reps = (j.filter(eligible).groupBy(digest).agg(F.min(key).alias(key))
             .withColumn("_first", F.lit(True)))
