@@ -11,9 +11,10 @@ Scale notes
     at most once per root).
   * ``flag_changed_safe`` joins on ``hash``, where one hash can hold a third
     of all rows (empty files, a common licence text).  The store side is
-    unique per hash, so the join is a many-to-one lookup; AQE's skew-join
-    split handles a hot partition at run time, and ``hot_keys`` lets a
-    caller route known hot hashes through a size-checked broadcast instead.
+    unique per hash, so the join is a many-to-one lookup.  ``hot_keys``
+    finds hashes above ``1 / (4 * partitions)`` of the rows in a bounded
+    sample; those rows join a broadcast of at most that many store rows,
+    the rest take the shuffled join (where AQE's skew split still applies).
   * ``first_per_key`` never groups whole rows: it aggregates the least
     ordering struct per hash (map-side partial aggregation collapses a hot
     hash before the shuffle) and joins the winners back on the full
@@ -99,6 +100,27 @@ def flag_changed_safe(df: DataFrame, store: DataFrame,
     return joined.withColumn("upload_required", req)
 
 
+def hot_keys(df: DataFrame, key: str, partitions: int | None = None, max_keys: int = 1000,
+             min_rows_in_sample: int = 100) -> list:
+    """Keys holding more than ``1 / (4 * partitions)`` of all rows, found
+    in a bounded sample (detection only - every row is still processed).
+
+    At most ``4 * partitions`` keys can pass that share, and the result is
+    capped at ``max_keys``, so what the caller broadcasts is bounded."""
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = 1.0 / (4 * parts)
+    n = df.count()                           # Parquet footers when df is a written table
+    if n == 0 or n * share < 2:
+        return []
+    frac = min(1.0, min_rows_in_sample / (share * n))
+    sample = df.select(key).sample(withReplacement=False, fraction=frac, seed=7)
+    need = max(2, int(0.5 * share * n * frac))
+    rows = (sample.groupBy(key).count().filter(F.col("count") >= need)
+            .orderBy(F.col("count").desc()).limit(min(max_keys, 4 * parts)).collect())
+    return [r[key] for r in rows if r[key] is not None]
+
+
 def status_repairs(df: DataFrame, variant: str = "C") -> Column:
     """O-42: safe mode, nothing to upload, but the backup mark is stale."""
     if variant.upper() == "C":

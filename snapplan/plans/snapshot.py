@@ -37,7 +37,8 @@ class PlanOptions:
     order: tuple[str, ...] = ("root_ord", "path")   # "first" in listing order
     hot_hashes: tuple[str, ...] = ()                # optional known hot hashes
     keep_extra: tuple[str, ...] = ()                # extra input columns to keep
-    cut_lineage: bool = True      # checkpoint after the digests (they run once)
+    cut_lineage: bool = True      # write the digested table once (digests run once)
+    detect_skew: bool = True      # safe mode: route hot hashes through a bounded broadcast
 
 
 def _digest_real_files(df: DataFrame, variant: str) -> DataFrame:
@@ -79,10 +80,22 @@ def plan(files: DataFrame, state: DataFrame, store: DataFrame | None = None,
     if variant == "C":
         df, _issues = P.split_undigested(df)                           # O-37
 
+    base_cols = ["path", "dir", "name", "ext", "hash", "size", "mtime", "stale", "backup_mtime",
+                 "st_hash_mtime"]
+    df = df.select(*base_cols, *[c for c in [*order, *opts.keep_extra]
+                                 if c in df.columns and c not in base_cols])
+    if opts.cut_lineage:
+        # digests are computed once; both the store join and the
+        # first-per-hash step below read this narrow written table
+        df = cut_lineage(df)
+
     if opts.mode == "safe":
         if store is None:
             raise ValueError("safe mode needs the store index")
-        df = P.flag_changed_safe(df, store, opts.hot_hashes or None)   # O-41
+        hot = list(opts.hot_hashes)
+        if opts.detect_skew and opts.cut_lineage and not hot:
+            hot = P.hot_keys(df, "hash")
+        df = P.flag_changed_safe(df, store, hot or None)               # O-41
         df = df.withColumn("repair", P.status_repairs(df, variant))   # O-42
     else:
         df = P.flag_changed_fast(df, variant)                          # O-40
@@ -90,13 +103,6 @@ def plan(files: DataFrame, state: DataFrame, store: DataFrame | None = None,
 
     df = df.withColumn("in_queue", F.when(F.col("upload_required") & (F.col("size") > 0),
                                           F.lit("x")).otherwise(F.lit("")))
-    keep = ["path", "dir", "name", "ext", "hash", "size", "mtime", "stale", "upload_required",
-            "in_queue", "repair"]
-    df = df.select(*keep, *[c for c in [*order, *opts.keep_extra] if c in df.columns and c not in keep])
-    if opts.cut_lineage:
-        # the first-per-hash step reads this twice (winners + join back):
-        # a reliable checkpoint keeps the digests from running twice
-        df = cut_lineage(df)
     df = P.mark_first(df, P.queue_eligible(variant), "hash", order)     # O-36, O-45
     df = df.withColumn("dest", F.when(F.col("queued"), shard_path("hash", "ext", opts.depth)))  # O-24
     extra = [c for c in opts.keep_extra if c in df.columns and c not in PLAN_COLS]

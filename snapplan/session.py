@@ -86,7 +86,17 @@ def local_fs_path(path: str) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (never a local checkpoint)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, how: str = "table") -> DataFrame:
+    """Cut lineage in the shared folder (never a local checkpoint).
+
+    ``table`` (default): write Parquet below ``spark.checkpoint.dir`` and
+    read it back - columnar, so later passes read only the columns they
+    need, and the scan carries exact statistics for AQE.  ``checkpoint``:
+    Spark's reliable RDD checkpoint into the same folder."""
+    spark = df.sparkSession
+    if how == "checkpoint":
+        checkpoint_root(spark)
+        return df.checkpoint(eager=True)
+    path = shared_path(spark, "cut")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
