@@ -49,10 +49,17 @@ def planned(fx: Fixtures, mode: str = "safe", variant: str = "C") -> DataFrame:
     return S.plan(files, fx.state, fx.store if mode == "safe" else None, opts)
 
 
+MAX_INLINE_RULES = 10_000
+
+
 def rule_patterns(fx: Fixtures) -> list[str]:
-    """The ignore rules of the fixture rule file (bounded: a rule file)."""
-    rows = RU.clean_rule_lines(fx.rule_lines).orderBy("ord").limit(100_000).collect()
-    return [r["pattern"] for r in rows]
+    """The ignore rules of the fixture rule file, inlined into expressions.
+    Larger rule sets belong in ``apply_ignore_table`` (O-43); they are not
+    truncated here."""
+    rules = RU.clean_rule_lines(fx.rule_lines)
+    if rules.count() > MAX_INLINE_RULES:
+        raise ValueError("rule set too large to inline; use ignore.apply_ignore_table")
+    return [r["pattern"] for r in rules.orderBy("ord").collect()]
 
 
 # ==========================================================================
@@ -192,9 +199,8 @@ def q_mask_literal(spark, sf_dir):
 @query("mask_sensitive_keys")
 def q_mask_keys(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    secrets = FM.ordered_secret_list(fx.secrets)
     s = fx.settings
-    return s.select("src", "id", "pos", "skey", FM.mask_by_key("skey", "value", secrets).alias("shown"))
+    return s.select("src", "id", "pos", "skey", FM.mask_by_key("skey", "value", fx.secrets).alias("shown"))
 
 
 @query("mask_flagged")
@@ -429,7 +435,7 @@ def q_overlay_resolve(spark, sf_dir):
 @query("overlay_report")
 def q_overlay_report(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return OV.layer_report(OV.resolve_layers(fx.layers), FM.ordered_secret_list(fx.secrets))
+    return OV.layer_report(OV.resolve_layers(fx.layers), fx.secrets)
 
 
 REQUIRED_KEYS = [("DEFAULT", "1-URGENT"), ("DEFAULT", "2-HIGH"), ("DEFAULT", "3-MEDIUM"),

@@ -2,10 +2,11 @@
 
 The registry is a DataFrame ``secrets(secret string)``.  Masking replaces
 every registered literal, longest first then by value, with a placeholder.
-Secrets reach the executors as literal arrays inside the projection, so the
-number collected to the driver is checked first; above one chunk the
-replacement is applied chunk after chunk, in the same global order, which
-gives the same result as a single pass.
+The registry reaches the executors in chunks of at most ``CHUNK_SIZE``
+secrets, taken in the global masking order (range bounds from a bounded
+sample); chunks are applied one after another, which equals one sequential
+pass over the whole registry.  Neither the driver nor a task ever holds
+more than one chunk.
 """
 
 from __future__ import annotations
@@ -70,6 +71,43 @@ def ordered_secret_list(secrets: DataFrame, max_secrets: int = MAX_SECRETS) -> l
     return [r["secret"] for r in rows]
 
 
+def _order_key(len_col, sec_col):
+    return F.struct((-len_col).alias("l"), sec_col.alias("s"))
+
+
+def secret_chunks(secrets: DataFrame, chunk_size: int = CHUNK_SIZE):
+    """Yield the cleaned registry as lists in masking order (longest first,
+    then by value), each of at most about ``chunk_size`` secrets."""
+    reg = clean_registry(secrets).select("secret", F.length("secret").alias("_len"))
+    n = reg.count()
+    if n == 0:
+        return
+    if n <= chunk_size:
+        rows = reg.orderBy(F.col("_len").desc(), "secret").collect()
+        yield [r["secret"] for r in rows]
+        return
+    n_chunks = 2 * (-(-n // chunk_size))
+    per = 20
+    frac = min(1.0, per * n_chunks / n)
+    samp = reg.sample(withReplacement=False, fraction=frac, seed=11).collect()
+    keys = sorted((-r["_len"], r["secret"]) for r in samp)
+    bounds = keys[per::per]
+    edges = [None, *bounds, None]
+    key = _order_key(F.col("_len"), F.col("secret"))
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (key >= F.struct(F.lit(lo[0]).alias("l"), F.lit(lo[1]).alias("s")))
+        if hi is not None:
+            cond = cond & (key < F.struct(F.lit(hi[0]).alias("l"), F.lit(hi[1]).alias("s")))
+        part = reg.filter(cond)
+        if part.limit(4 * chunk_size + 1).count() > 4 * chunk_size:
+            raise ValueError("secret chunk far above its bound; sample too small")
+        rows = part.orderBy(F.col("_len").desc(), "secret").collect()
+        if rows:
+            yield [r["secret"] for r in rows]
+
+
 def mask_literals(text, secrets: Sequence[str], placeholder: str = SECRET_PLACEHOLDER,
                   chunk_size: int = CHUNK_SIZE) -> Column:
     """Sequential literal replacement, chunked so no projection carries more
@@ -149,14 +187,13 @@ def mask_secrets(df: DataFrame, secrets: DataFrame, cols: Iterable[str] | None =
     (Aho-Corasick pandas UDF, one scan per text) or ``auto`` (``ac`` when
     the registry holds more than a handful of secrets and the library is
     available)."""
-    lits = ordered_secret_list(secrets)
     names = list(cols) if cols is not None else [
         f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    if not lits:
-        return df
-    use_ac = engine == "ac" or (engine == "auto" and len(lits) > 8 and _has_ahocorasick())
-    fn = mask_literals_ac if use_ac else mask_literals
-    return df.withColumns({c: fn(c, lits, placeholder) for c in names})
+    for lits in secret_chunks(secrets):
+        use_ac = engine == "ac" or (engine == "auto" and len(lits) > 8 and _has_ahocorasick())
+        fn = mask_literals_ac if use_ac else mask_literals
+        df = df.withColumns({c: fn(c, lits, placeholder) for c in names})
+    return df
 
 
 def is_sensitive_key(key) -> Column:
@@ -167,10 +204,16 @@ def is_sensitive_key(key) -> Column:
     return cond
 
 
-def mask_by_key(key, value, secrets: Sequence[str]) -> Column:
-    """Hide the whole value of a sensitive key, else mask literals in it."""
-    return F.when(is_sensitive_key(key), F.lit(SECRET_PLACEHOLDER)).otherwise(
-        mask_literals(value, secrets))
+def mask_by_key(key, value, secrets: "Sequence[str] | DataFrame") -> Column:
+    """Hide the whole value of a sensitive key, else mask literals in it.
+    ``secrets``: a list, or the registry DataFrame (applied chunk by chunk)."""
+    masked = col(value)
+    if isinstance(secrets, DataFrame):
+        for chunk in secret_chunks(secrets):
+            masked = mask_literals(masked, chunk)
+    else:
+        masked = mask_literals(masked, list(secrets))
+    return F.when(is_sensitive_key(key), F.lit(SECRET_PLACEHOLDER)).otherwise(masked)
 
 
 def mask_flagged(value, flag, placeholder: str = FLAGGED_PLACEHOLDER) -> Column:

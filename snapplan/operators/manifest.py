@@ -3,9 +3,9 @@
 The manifest is ordered by directory, then path, with a ``dir >> <dir>``
 marker before each directory.  Instead of numbering rows inside a window
 per directory (one task per directory - a directory may hold a third of
-all files), every line carries its sort key ``(dir, kind, path)``: the
-marker is ``kind 0`` from a distinct-directory aggregation, file lines are
-``kind 1``.  The text sink range-partitions on that key, so even a hot
+all files), every line carries its sort key ``(dir, kind, path)``: each
+row emits its directory marker (``kind 0``) and its file line (``kind 1``)
+and one distinct removes the repeats (markers are collapsed map-side).  The text sink range-partitions on that key, so even a hot
 directory is split across tasks and the part files concatenate in order.
 """
 
@@ -43,7 +43,6 @@ def manifest_rows(planned: DataFrame, variant: str = "C", mtime_unit: str = "s")
 
     ``mtime_unit``: ``s`` for unix seconds, ``us`` for microseconds (the
     inventory scan)."""
-    files = planned.dropDuplicates(["path"])          # O-46: unique on path
     size_txt = F.col("size").cast("string")
     if variant.upper() == "C":
         ft = mtime_filetime("mtime") if mtime_unit == "s" else mtime_filetime_from_micros("mtime")
@@ -53,11 +52,13 @@ def manifest_rows(planned: DataFrame, variant: str = "C", mtime_unit: str = "s")
         fields = [csv_field("name"), csv_field("hash"), csv_field("ext"), size_txt,
                   _python_float_text(secs), F.col("in_queue")]
     line = F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields])
-    body = files.select("dir", F.lit(1).alias("kind"), "path", line.alias("line"))
-    markers = (files.select("dir").distinct()
-               .select("dir", F.lit(0).alias("kind"), F.lit("").alias("path"),
-                       F.concat(F.lit(DIR_MARKER), F.col("dir")).alias("line")))
-    return markers.unionByName(body)
+    marker = F.struct(F.col("dir").alias("dir"), F.lit(0).alias("kind"), F.lit("").alias("path"),
+                      F.concat(F.lit(DIR_MARKER), F.col("dir")).alias("line"))
+    body = F.struct(F.col("dir").alias("dir"), F.lit(1).alias("kind"), F.col("path").alias("path"),
+                    line.alias("line"))
+    # every row yields its marker and its line; one distinct (partial
+    # aggregation first) removes repeated markers and repeated paths
+    return planned.select(F.explode(F.array(marker, body)).alias("_r")).select("_r.*").distinct()
 
 
 def manifest_lines(rows: DataFrame, preamble: Sequence[str]) -> DataFrame:

@@ -35,7 +35,7 @@ def resolve_layers(layers: DataFrame, ranks: dict[str, int] = LAYER_RANK) -> Dat
                       F.col("_w.layer").alias("layer"))
 
 
-def layer_report(resolved: DataFrame, secrets: Sequence[str]) -> DataFrame:
+def layer_report(resolved: DataFrame, secrets: "Sequence[str] | DataFrame") -> DataFrame:
     """O-51: per (job, section) a ``[section]`` header then
     ``key=value (layer)`` lines, values masked by key name or registry.
     Sort key ``job, section, kind, skey`` (no window)."""

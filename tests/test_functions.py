@@ -134,3 +134,15 @@ def test_registry_add_remove(spark):
     gone = spark.createDataFrame([("BETA",)], "secret string")
     out = FM.registry_remove(FM.registry_add(reg, new), gone)
     assert sorted(r.secret for r in out.collect()) == ["Alpha", "gamma"]
+
+
+def test_secret_chunks_keep_global_order(spark):
+    vals = [f"{'x' * (i % 7 + 1)}{i:04d}" for i in range(600)]
+    secrets = spark.createDataFrame([(v,) for v in vals], "secret string")
+    chunks = list(FM.secret_chunks(secrets, chunk_size=50))
+    flat = [s for c in chunks for s in c]
+    assert len(chunks) > 3 and flat == FM.ordered_secret_list(secrets)
+    df = spark.createDataFrame([(" ".join(vals[::-7]),)], "t string")
+    a = FM.mask_secrets(df, secrets, ["t"], engine="jvm").first().t
+    b = df.select(FM.mask_literals("t", flat).alias("t")).first().t
+    assert a == b
