@@ -271,7 +271,7 @@ FX_SQL: dict[str, str] = {
     "fx_lineitem_prev": """fx_lineitem_prev as (
   select k, case when m % 7 = 0 then md5(digest) else digest end as digest from fx_lineitem where m % 10 <> 0)""",
     "fx_doc_settings": """fx_doc_settings as (
-  select 'doc' as src, doc_id as id, unnest(range(len(ks))) as pos, unnest(ks) as skey, unnest(vs) as value
+  select 'doc' as src, doc_id as id, cast(unnest(range(len(ks))) as integer) as pos, unnest(ks) as skey, unnest(vs) as value
   from (select doc_id, regexp_extract_all(text, '([A-Za-z_]+)\\s*=\\s*"([^"]*)"', 1) as ks,
                regexp_extract_all(text, '([A-Za-z_]+)\\s*=\\s*"([^"]*)"', 2) as vs from documents))""",
     "fx_settings": """fx_settings as (

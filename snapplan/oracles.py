@@ -72,11 +72,11 @@ def plan_sql(mode: str, variant: str, body: str = "select * from plan") -> str:
     return with_fx(need, body, _plan_ctes(mode, variant))
 
 
-PLAN_SUMMARY_BODY = """select count(*) as n_files, count_if(stale) as n_stale, count_if(upload_required) as n_flagged,
-  count_if(in_queue = 'x') as n_marked, count_if(queued) as n_queued,
+PLAN_SUMMARY_BODY = """select count(*) as n_files, cast(count_if(stale) as bigint) as n_stale, cast(count_if(upload_required) as bigint) as n_flagged,
+  cast(count_if(in_queue = 'x') as bigint) as n_marked, cast(count_if(queued) as bigint) as n_queued,
   cast(coalesce(sum(case when queued then size end), 0) as bigint) as queued_bytes,
-  count_if(repair) as n_repaired, count_if(starts_with(hash, 'SYM-')) as n_links,
-  count_if(size = 0) as n_empty
+  cast(count_if(repair) as bigint) as n_repaired, cast(count_if(starts_with(hash, 'SYM-')) as bigint) as n_links,
+  cast(count_if(size = 0) as bigint) as n_empty
 from plan"""
 
 
@@ -153,7 +153,7 @@ union all select 'store_hashes', '', count(*) from fx_store
 union all select 'patterns', '', count(*) from fx_rule_lines
   where regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '' and not starts_with(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '#')
 union all select 'files_indexed', '', count(*) from plan
-union all select 'files_to_upload', '', count_if(queued) from plan""", _plan_ctes("safe", "C")))
+union all select 'files_to_upload', '', cast(count_if(queued) as bigint) from plan""", _plan_ctes("safe", "C")))
 
 # --------------------------------------------------------------------------
 # Joins
@@ -214,7 +214,7 @@ oracle("symlink_digest", with_fx(["fx_files"], """select path, is_symlink,
   concat('SYM-', to_base64(encode(coalesce(link_target, 'Ziel nicht verfügbar')))) as link_digest from fx_files"""))
 oracle("empty_digest", with_fx(["fx_files"], """select path, size, md5(content) as digest_c,
   case when size = 0 then '0' else md5(content) end as digest_p from fx_files"""))
-oracle("digest_roundtrip", with_fx(["fx_files"], """select path, octet_length(unhex(hash)) as n_bytes,
+oracle("digest_roundtrip", with_fx(["fx_files"], """select path, cast(octet_length(unhex(hash)) as integer) as n_bytes,
   lower(hex(unhex(hash))) as back from fx_files where not is_symlink"""))
 oracle("shard_path", with_fx(["fx_files"], """select path,
   concat(substr(hash, 1, 1), '/', substr(hash, 2, 1), '/', substr(hash, 3, 1), '/', hash, ext) as dest3,
@@ -322,7 +322,7 @@ from fx_state o full outer join (
   where new_hash is not null or new_hash_mtime is not null or new_backup_mtime is not null) u on o.path = u.path"""))
 
 _LINES = r"""ln as (
-  select doc_id, unnest(range(1, len(ls) + 1)) as line_no, unnest(ls) as line
+  select doc_id, cast(unnest(range(1, len(ls) + 1)) as integer) as line_no, unnest(ls) as line
   from (select doc_id, string_split(text, chr(10)) as ls from documents)),
 cl as (select doc_id, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') as pattern from ln)"""
 oracle("ignore_rules_from_lines", with_fx([], """select doc_id, line_no, pattern from cl
@@ -333,7 +333,7 @@ oracle("ignore_rules_union", with_fx(["fx_rule_lines"], r"""select 0 as source,
 union all
 select 1, cast(doc_id * 100000 + line_no as bigint), pattern from cl
   where pattern <> '' and not starts_with(pattern, '#')""", [_LINES]))
-oracle("split_list_explode", with_fx([], r"""select doc_id, unnest(range(len(arr))) as pos, unnest(arr) as item from (
+oracle("split_list_explode", with_fx([], r"""select doc_id, cast(unnest(range(len(arr))) as integer) as pos, unnest(arr) as item from (
   select doc_id, list_filter(list_transform(string_split_regex(text, '[,;]'),
          lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as arr from documents)"""))
 
@@ -379,7 +379,7 @@ oracle("retry_outcome", with_fx(["fx_attempts"],
 oracle("run_summary", with_fx(["fx_attempts"], """select s.job, s.saved_files, t.total_files, s.saved_bytes, t.total_bytes,
   round(s.saved_bytes / 1048576.0::double, 2) as saved_mb, d.duration_s,
   case when s.saved_bytes > 0 and d.duration_s > 0 then (s.saved_bytes / 1048576.0::double) / d.duration_s else 0.0 end as mb_per_s
-from (select job, count_if(status = 'saved') as saved_files,
+from (select job, cast(count_if(status = 'saved') as bigint) as saved_files,
              cast(coalesce(sum(case when status = 'saved' then saved_bytes end), 0) as bigint) as saved_bytes
       from outcome group by job) s
 join tot t on s.job = t.job
