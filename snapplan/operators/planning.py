@@ -101,17 +101,19 @@ def flag_changed_safe(df: DataFrame, store: DataFrame,
 
 
 def hot_keys(df: DataFrame, key: str, partitions: int | None = None, max_keys: int = 1000,
-             min_rows_in_sample: int = 100) -> list:
+             min_rows_in_sample: int = 100, min_hot_rows: int = 50_000) -> list:
     """Keys holding more than ``1 / (4 * partitions)`` of all rows, found
     in a bounded sample (detection only - every row is still processed).
 
     At most ``4 * partitions`` keys can pass that share, and the result is
-    capped at ``max_keys``, so what the caller broadcasts is bounded."""
+    capped at ``max_keys``, so what the caller broadcasts is bounded.  When
+    that share is below ``min_hot_rows`` rows no key can make a task
+    straggle, and the sample is skipped."""
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = 1.0 / (4 * parts)
     n = df.count()                           # Parquet footers when df is a written table
-    if n == 0 or n * share < 2:
+    if n == 0 or n * share < max(2, min_hot_rows):
         return []
     frac = min(1.0, min_rows_in_sample / (share * n))
     sample = df.select(key).sample(withReplacement=False, fraction=frac, seed=7)
