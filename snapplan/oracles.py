@@ -318,7 +318,7 @@ from fx_state o full outer join (
   select * from (select path,
     case when stale then hash end as new_hash,
     case when stale then mtime end as new_hash_mtime,
-    case when repair or queued then mtime end as new_backup_mtime from plan)
+    case when repair or queued or starts_with(hash, 'SYM-') then mtime end as new_backup_mtime from plan)
   where new_hash is not null or new_hash_mtime is not null or new_backup_mtime is not null) u on o.path = u.path"""))
 
 _LINES = r"""ln as (

@@ -34,13 +34,17 @@ def state_wide(state_kv: DataFrame, job: str = "job") -> DataFrame:
 
 
 def state_updates(planned: DataFrame, saved: DataFrame | None = None,
-                  variant: str = "C") -> DataFrame:
+                  variant: str = "C", mark_duplicates: bool = False) -> DataFrame:
     """Updates a run produces, one row per path, null = leave as is.
 
     * stale rows: fresh hash and hash-mtime,
     * repairs (safe mode): backup-mtime = mtime,
     * saved items (``saved`` = paths whose copy succeeded; all queued rows
-      when None): backup-mtime = mtime.
+      when None): backup-mtime = mtime,
+    * links (variant C, never copied): backup-mtime = mtime, in the same
+      encoding as every other mark (D-5),
+    * ``mark_duplicates``: rows whose content was saved through another
+      path are marked too (D-4 option; default off, as the reference).
     Variant P also clears backup-mtime of queued rows that were not saved
     (``clear_backup`` column)."""
     p = planned
@@ -51,6 +55,13 @@ def state_updates(planned: DataFrame, saved: DataFrame | None = None,
     else:
         saved_flag = F.col("queued")
     mark = F.col("repair") | saved_flag
+    if variant.upper() == "C":
+        mark = mark | F.col("hash").startswith("SYM-")
+    if mark_duplicates:
+        done = (p.filter(saved_flag).select("hash").distinct()
+                .withColumn("_content_saved", F.lit(True)))
+        p = p.join(done, "hash", "left")
+        mark = mark | (F.col("upload_required") & F.coalesce(F.col("_content_saved"), F.lit(False)))
     out = p.select(
         "path",
         F.when(F.col("stale"), F.col("hash")).alias("new_hash"),

@@ -84,3 +84,13 @@ def test_stream_plan_appends_each_content_once(spark):
     res = E.queries()["stream_plan"](spark, SF01)
     q = res.filter("queued")
     assert q.count() == q.select("hash").distinct().count()
+
+
+def test_mark_duplicates_option_ends_requeueing(spark):
+    fx = Fixtures(spark, SF01)
+    opts = S.PlanOptions(mode="fast", order=("path",))
+    p1 = S.plan(fx.files, fx.state, None, opts)
+    st2 = SS.merge_state(fx.state, SS.state_updates(p1, mark_duplicates=True))
+    p2 = S.plan(fx.files, st2, None, opts)
+    assert p2.filter("queued").count() == 0
+    assert p2.filter(F.col("hash").startswith("SYM-") & F.col("upload_required")).count() == 0
