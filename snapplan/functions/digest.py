@@ -94,20 +94,27 @@ def _digest_one(path: str, algo: str) -> str | None:
         return None
 
 
+def balance_by_size(df: DataFrame, target_bytes: int = 256 * 1024 * 1024,
+                    max_tasks: int = 100_000) -> DataFrame:
+    """Spread file rows over ``ceil(total bytes / target_bytes)`` tasks by a
+    hash of the path, so each digest task reads about ``target_bytes``
+    whatever the file count.  One file is read by one task (a digest is
+    sequential), so a single huge file is its own straggler at worst."""
+    total = df.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] or 0
+    n = int(min(max_tasks, max(1, -(-int(total) // target_bytes))))
+    return df.repartition(n, F.xxhash64("path"))
+
+
 def digest_files(files: DataFrame, path_col: str = "path", out_col: str = "fresh_hash",
-                 algo: str = "md5", balance_bins: int | None = None) -> DataFrame:
+                 algo: str = "md5", target_bytes: int | None = 256 * 1024 * 1024) -> DataFrame:
     """Digest the files named in ``path_col`` inside Spark tasks.
 
-    ``balance_bins`` spreads the work by size rather than by count: rows are
-    range-partitioned on a running size bucket so one huge file does not
-    share a task with thousands of others.  A failure yields a null digest
-    (the caller splits those rows off as issues, O-37).
-    """
+    Work is spread by bytes (``balance_by_size``) when ``target_bytes`` is
+    set.  A failure yields a null digest (the caller splits those rows off
+    as issues, O-37)."""
     from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType(list(files.schema.fields) + [StructField(out_col, StringType(), True)])
-    df = files
-    if balance_bins:
-        df = df.repartitionByRange(balance_bins, F.col("size").desc())
+    df = balance_by_size(files, target_bytes) if target_bytes else files
 
     def run(batches):
         for pdf in batches:

@@ -100,3 +100,17 @@ def manifest_table(planned: DataFrame) -> DataFrame:
     """Lossless manifest (Parquet form): one row per unique path."""
     return planned.dropDuplicates(["path"]).select(
         "dir", "name", "hash", "ext", "size", "mtime", "in_queue")
+
+
+def write_manifest_table(planned: DataFrame, base: str, job: str, run_ts) -> str:
+    """O-14 dataset form: the lossless manifest appended below ``base``,
+    partitioned by ``job, year, month`` with the run timestamp as a column
+    (names with commas survive here, unlike in the text form, D-9)."""
+    ts = F.lit(run_ts).cast("timestamp")
+    rows = (manifest_table(planned)
+            .withColumn("run_ts", ts)
+            .withColumn("job", F.lit(job))
+            .withColumn("year", F.date_format(ts, "yyyy"))
+            .withColumn("month", F.date_format(ts, "MM")))
+    rows.write.mode("append").partitionBy("job", "year", "month").parquet(base)
+    return base

@@ -100,6 +100,7 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
     arch = (f"{store_root.rstrip('/')}/metadata/{job}/{run_ts:%Y}/{run_ts:%m}/"
             f"backup_{run_ts:%Y-%m-%d_%H-%M-%S}.csv")
     MF.write_manifest(lines, arch)
+    MF.write_manifest_table(planned, f"{work_dir.rstrip('/')}/manifest_table", job, run_ts)
 
     # state: digests, repairs and successful copies
     saved = results.filter(F.col("status").isin("copied", "exists", "overwritten"))

@@ -45,7 +45,7 @@ def _digest_real_files(df: DataFrame, variant: str) -> DataFrame:
     """Files without a ``content`` column: digest stale rows inside tasks,
     reuse the stored digest for the rest."""
     df = df.withColumn("stale", P.stale_flag(variant))
-    fresh = digest_files(df.filter("stale"), out_col="_fresh", balance_bins=None)
+    fresh = digest_files(df.filter("stale"), out_col="_fresh")
     if variant.upper() == "P":
         fresh = fresh.withColumn("_fresh", F.when(F.col("size") == 0, F.lit("0")).otherwise(F.col("_fresh")))
     fresh = fresh.withColumn("hash", F.col("_fresh")).drop("_fresh")

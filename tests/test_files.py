@@ -122,6 +122,9 @@ def test_run_twice_queues_nothing(spark, tree, tmp_path):
     assert body[0].startswith("dir >> ")
     dirs = [ln[7:] for ln in body if ln.startswith("dir >> ")]
     assert dirs == sorted(dirs)
+    mt = spark.read.parquet(str(tmp_path / "work" / "manifest_table"))
+    assert mt.select("run_ts").distinct().count() == 2
+    assert mt.filter(F.col("name") == "a,b.tar.gz").count() == 2      # lossless, both runs
 
 
 def test_dry_run_writes_nothing(spark, tree, tmp_path):
