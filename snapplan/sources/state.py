@@ -62,16 +62,18 @@ def state_updates(planned: DataFrame, saved: DataFrame | None = None,
                 .withColumn("_content_saved", F.lit(True)))
         p = p.join(done, "hash", "left")
         mark = mark | (F.col("upload_required") & F.coalesce(F.col("_content_saved"), F.lit(False)))
-    out = p.select(
-        "path",
-        F.when(F.col("stale"), F.col("hash")).alias("new_hash"),
-        F.when(F.col("stale"), F.col("mtime")).alias("new_hash_mtime"),
-        F.when(mark, F.col("mtime")).alias("new_backup_mtime"),
-        ((F.col("queued") & ~saved_flag) if variant.upper() == "P" else F.lit(False)).alias("clear_backup"),
+    clear = (F.col("queued") & ~saved_flag) if variant.upper() == "P" else F.lit(False)
+    # a path reached through two roots has two plan rows (only one of them
+    # queued): combine per path so no mark is lost
+    out = p.groupBy("path").agg(
+        F.max(F.when(F.col("stale"), F.col("hash"))).alias("new_hash"),
+        F.max(F.when(F.col("stale"), F.col("mtime"))).alias("new_hash_mtime"),
+        F.max(F.when(mark, F.col("mtime"))).alias("new_backup_mtime"),
+        (F.bool_or(clear) & ~F.bool_or(mark)).alias("clear_backup"),
     )
     has = (F.col("new_hash").isNotNull() | F.col("new_hash_mtime").isNotNull()
            | F.col("new_backup_mtime").isNotNull() | F.col("clear_backup"))
-    return out.filter(has).dropDuplicates(["path"])
+    return out.filter(has)
 
 
 def merge_state(old: DataFrame, updates: DataFrame) -> DataFrame:

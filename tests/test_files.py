@@ -133,3 +133,15 @@ def test_dry_run_writes_nothing(spark, tree, tmp_path):
     r = run_snapshot(spark, run_id="20240101T000000", **kw).first()
     assert r.n_queued > 0 and r.dry_run_lines == r.n_queued
     assert not (tmp_path / "store").exists() and not (tmp_path / "state").exists()
+
+
+def test_overlapping_roots_state_marks(spark, tree, tmp_path):
+    kw = dict(roots=[str(tree), str(tree / "sub")], store_root=str(tmp_path / "store"),
+              state_dir=str(tmp_path / "state"), work_dir=str(tmp_path / "work"),
+              ignore=["node_modules"], mode="fast")
+    run_snapshot(spark, run_id="20240101T000000", **kw)
+    r2 = run_snapshot(spark, run_id="20240101T000100", **kw).first()
+    st = {os.path.basename(r.path): r for r in read_state(spark, str(tmp_path / "state")).collect()}
+    # same1.txt is reached from both roots; its content was copied once
+    assert st["same1.txt"].backup_mtime is not None
+    assert r2.n_queued <= 1          # at most the remaining duplicate of that content (D-4)
