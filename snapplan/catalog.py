@@ -536,8 +536,9 @@ def q_inventory_scan(spark, sf_dir):
 def q_scan_issues(spark, sf_dir):
     from .sources import inventory as INV
     _, base = _real_files(spark, sf_dir)
-    roots = [f"{base}/data/src0", f"{base}/data/no-such-root", f"{base}/data/src1", f"{base}/data/src0"]
-    scan = INV.inventory(spark, roots, ["SRC1"])
+    # the whole tree, a missing root, and an overlapping sub-root
+    roots = [f"{base}/data", f"{base}/data/no-such-root", f"{base}/data/src3"]
+    scan = INV.inventory(spark, roots, ["*.LOG"])
     n = len(base) + 1
     issues = INV.scan_issues(scan).select("root_ord", F.substring("path", n, 1 << 20).alias("path"), "issue")
     counts = (INV.files_only(scan).groupBy("root_ord").agg(F.count(F.lit(1)).alias("n"))
