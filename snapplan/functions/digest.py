@@ -72,10 +72,10 @@ def is_link_digest(hash_col) -> Column:
 _CHUNK = 4 * 1024 * 1024
 
 
-def _digest_one(path: str, algo: str) -> str | None:
+def _digest_one(path: str, algo: str, follow_links: bool = False) -> str | None:
     import os
     try:
-        if os.path.islink(path):
+        if not follow_links and os.path.islink(path):
             try:
                 target = os.path.normpath(os.path.join(os.path.dirname(path), os.readlink(path)))
             except OSError:
@@ -106,12 +106,14 @@ def balance_by_size(df: DataFrame, target_bytes: int = 256 * 1024 * 1024,
 
 
 def digest_files(files: DataFrame, path_col: str = "path", out_col: str = "fresh_hash",
-                 algo: str = "md5", target_bytes: int | None = 256 * 1024 * 1024) -> DataFrame:
+                 algo: str = "md5", target_bytes: int | None = 256 * 1024 * 1024,
+                 follow_links: bool = False) -> DataFrame:
     """Digest the files named in ``path_col`` inside Spark tasks.
 
     Work is spread by bytes (``balance_by_size``) when ``target_bytes`` is
-    set.  A failure yields a null digest (the caller splits those rows off
-    as issues, O-37)."""
+    set.  Links get the ``SYM-`` pseudo digest unless ``follow_links``
+    (variant P hashes the target's content).  A failure yields a null
+    digest (the caller splits those rows off as issues, O-37)."""
     from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType(list(files.schema.fields) + [StructField(out_col, StringType(), True)])
     df = balance_by_size(files, target_bytes) if target_bytes else files
@@ -119,7 +121,7 @@ def digest_files(files: DataFrame, path_col: str = "path", out_col: str = "fresh
     def run(batches):
         for pdf in batches:
             out = pdf.copy()
-            out[out_col] = [_digest_one(p, algo) for p in pdf[path_col].tolist()]
+            out[out_col] = [_digest_one(p, algo, follow_links) for p in pdf[path_col].tolist()]
             yield out
 
     return df.mapInPandas(run, schema)

@@ -14,7 +14,7 @@ from ..session import cut_lineage
 from .windows import bucketed_running
 
 
-def retry_outcome(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
+def retry_outcome(attempts: DataFrame, max_retries: int = 3, fail_on_exhausted: bool = False) -> DataFrame:
     """O-55: at most ``max_retries + 1`` tries per item; the first success
     ends it.  -> ``job, item, status ('saved'|'exhausted'|'pending'), tries,
     saved_ts, saved_event_id, saved_bytes``.
@@ -32,6 +32,10 @@ def retry_outcome(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
     )
     status = (F.when(F.col("_s").isNotNull(), "saved")
               .when(F.col("_tries_seen") >= limit, "exhausted").otherwise("pending"))
+    if fail_on_exhausted:
+        # variant P: an item out of retries stops the run
+        status = F.when(status == "exhausted", F.raise_error(
+            F.concat(F.lit("retries exhausted: "), F.col("item")))).otherwise(status)
     return agg.select(
         "job", "item", status.alias("status"),
         F.coalesce(F.col("_s.n"), F.col("_tries_seen")).cast("int").alias("tries"),

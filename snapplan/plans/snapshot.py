@@ -45,9 +45,12 @@ def _digest_real_files(df: DataFrame, variant: str) -> DataFrame:
     """Files without a ``content`` column: digest stale rows inside tasks,
     reuse the stored digest for the rest."""
     df = df.withColumn("stale", P.stale_flag(variant))
-    fresh = digest_files(df.filter("stale"), out_col="_fresh")
+    fresh = digest_files(df.filter("stale"), out_col="_fresh", follow_links=variant.upper() == "P")
     if variant.upper() == "P":
-        fresh = fresh.withColumn("_fresh", F.when(F.col("size") == 0, F.lit("0")).otherwise(F.col("_fresh")))
+        # variant P: empty files are "0"; a failed digest aborts the run
+        fresh = fresh.withColumn("_fresh", F.when(F.col("size") == 0, F.lit("0")).when(
+            F.col("_fresh").isNull(), F.raise_error(F.concat(F.lit("digest failed: "), F.col("path"))))
+            .otherwise(F.col("_fresh")))
     fresh = fresh.withColumn("hash", F.col("_fresh")).drop("_fresh")
     kept = df.filter(~F.col("stale")).withColumn("hash", F.col("st_hash"))
     return fresh.unionByName(kept)
@@ -63,6 +66,10 @@ def plan(files: DataFrame, state: DataFrame, store: DataFrame | None = None,
     df = files
     if variant == "P":
         df = df.withColumn("ext", extension("name", "P"))
+        if "link_to_dir" in df.columns:
+            # variant P walks directories and lists files only; a link to a
+            # directory is neither descended nor listed
+            df = df.filter(~F.coalesce(F.col("link_to_dir"), F.lit(False)))
     if "content" in df.columns:
         # Table payloads: digest map-side, before the state join, so the
         # shuffle on ``path`` carries 32 hex characters instead of the

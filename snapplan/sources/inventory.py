@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = ("root_ord int, root string, dir string, path string, name string, ext string, "
-          "size long, mtime long, is_symlink boolean, link_target string, issue string")
+          "size long, mtime long, is_symlink boolean, link_target string, link_to_dir boolean, issue string")
 
 
 def _split(v: str | None) -> list[str]:
@@ -88,7 +88,9 @@ def _file_row(u: _Unit, d: str, entry: os.DirEntry) -> tuple:
     path = os.path.join(d, name)
     is_link = entry.is_symlink()
     target = None
+    to_dir = False
     if is_link:
+        to_dir = os.path.isdir(path)
         try:
             t = os.readlink(path)
             target = os.path.normpath(os.path.join(d, t))
@@ -101,11 +103,11 @@ def _file_row(u: _Unit, d: str, entry: os.DirEntry) -> tuple:
     else:
         st = entry.stat(follow_symlinks=False)
     return (u.root_ord, u.root, d, path, name, _ext_c(name), int(st.st_size),
-            int(st.st_mtime_ns // 1000), is_link, target, None)
+            int(st.st_mtime_ns // 1000), is_link, target, to_dir, None)
 
 
 def _issue_row(u: _Unit, d: str, reason: str) -> tuple:
-    return (u.root_ord, u.root, d, d, os.path.basename(d), "", None, None, None, None, reason)
+    return (u.root_ord, u.root, d, d, os.path.basename(d), "", None, None, None, None, None, reason)
 
 
 def _walk(u: _Unit, m: _Matcher) -> Iterator[tuple]:

@@ -145,3 +145,18 @@ def test_overlapping_roots_state_marks(spark, tree, tmp_path):
     # same1.txt is reached from both roots; its content was copied once
     assert st["same1.txt"].backup_mtime is not None
     assert r2.n_queued <= 1          # at most the remaining duplicate of that content (D-4)
+
+
+def test_variant_p_follows_links(spark, tree):
+    files = INV.files_only(INV.inventory(spark, [str(tree)], ["node_modules", "broken"]))
+    p = S.plan(files, empty_state(spark), None, S.PlanOptions(mode="fast", variant="P")).collect()
+    by = {os.path.basename(r.path): r for r in p}
+    assert "link_dir" not in by
+    assert by["link_file"].hash == by["same1.txt"].hash          # content of the target
+    assert by["empty.txt"].hash == "0"
+
+
+def test_variant_p_digest_failure_aborts(spark, tree):
+    files = INV.files_only(INV.inventory(spark, [str(tree)], ["node_modules"]))
+    with pytest.raises(Exception, match="digest failed"):
+        S.plan(files, empty_state(spark), None, S.PlanOptions(mode="fast", variant="P")).collect()

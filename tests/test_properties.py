@@ -94,3 +94,10 @@ def test_mark_duplicates_option_ends_requeueing(spark):
     p2 = S.plan(fx.files, st2, None, opts)
     assert p2.filter("queued").count() == 0
     assert p2.filter(F.col("hash").startswith("SYM-") & F.col("upload_required")).count() == 0
+
+
+def test_retry_outcome_variant_p_raises(spark):
+    import pytest
+    a = Fixtures(spark, SF01).attempts
+    with pytest.raises(Exception, match="retries exhausted"):
+        RL.retry_outcome(a, max_retries=1, fail_on_exhausted=True).collect()
