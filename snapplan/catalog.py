@@ -641,3 +641,26 @@ def q_stream_totals(spark, sf_dir):
     out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ck")
     ST_.run_complete_to_parquet(ST_.stream_totals(sdf), out, ck)
     return ST_.latest_epoch(spark, out)
+
+
+# ==========================================================================
+# Variant P forms of the decision operators (O-39, O-40, O-42)
+# ==========================================================================
+
+@query("stale_digests_p")
+def q_stale_p(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    files = IG.apply_ignore_fixed(fx.files)
+    return P.with_digest(P.with_state(files, fx.state), "P").select("path", "stale", "hash")
+
+
+@query("changed_fast_p")
+def q_changed_fast_p(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return P.flag_changed_fast(P.with_state(fx.files, fx.state), "P").select("path", "upload_required")
+
+
+@query("status_repair_p")
+def q_status_repair_p(spark, sf_dir):
+    p = planned(_fx(spark, sf_dir), "safe", "P")
+    return p.filter("repair").select("path", F.col("mtime").alias("backup_mtime"))

@@ -36,6 +36,19 @@ def mtime_text(unix_seconds) -> Column:
     return col(unix_seconds).cast("long").cast("string")
 
 
+def mtime_unix(unix_micros) -> Column:
+    """Unix seconds as text from microseconds: ``1704067260`` for whole
+    seconds, otherwise the exact decimal with trailing zeros dropped
+    (``1704067260.5``).  Exact, unlike a double's text."""
+    dec = (col(unix_micros).cast("decimal(38,0)") / F.lit(1_000_000)).cast("decimal(38,6)").cast("string")
+    return F.regexp_replace(F.regexp_replace(dec, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def mtime_micros_from_text(text) -> Column:
+    """Inverse of ``mtime_unix``: seconds text -> microseconds (null when bad)."""
+    return (col(text).try_cast("decimal(38,6)") * F.lit(1_000_000)).cast("long")
+
+
 def mtime_parse(text, on_bad: str = "C") -> Column:
     """Lenient parse of stored mtime text.
 

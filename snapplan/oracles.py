@@ -426,3 +426,19 @@ left join (select digest as r_digest, min(k) as r_k from (
 oracle("table_snapshot_orders", with_fx(["fx_orders_prev"], _snapshot_sql("fx_orders", "fx_orders_prev")))
 oracle("table_snapshot_lineitem", with_fx(["fx_lineitem_prev"],
                                           _snapshot_sql("(select k, digest from fx_lineitem)", "fx_lineitem_prev")))
+
+
+# --------------------------------------------------------------------------
+# Variant P decision operators
+# --------------------------------------------------------------------------
+
+oracle("stale_digests_p", with_fx(["fx_files", "fx_state"], """select path, stale, hash from (
+  select f.path, (coalesce(s.st_hash_mtime, 0) <> f.mtime or s.st_hash is null) as stale,
+         case when coalesce(s.st_hash_mtime, 0) <> f.mtime or s.st_hash is null
+              then (case when f.size = 0 then '0' else md5(f.content) end) else s.st_hash end as hash
+  from fx_files f left join fx_state s on f.path = s.path
+  where f.name not in ('.DS_Store', 'Thumbs.db', 'desktop.ini'))"""))
+oracle("changed_fast_p", with_fx(["fx_files", "fx_state"], """select f.path,
+  coalesce(s.backup_mtime, 0) <> f.mtime as upload_required
+  from fx_files f left join fx_state s on f.path = s.path"""))
+oracle("status_repair_p", plan_sql("safe", "P", "select path, mtime as backup_mtime from plan where repair"))

@@ -146,3 +146,12 @@ def test_secret_chunks_keep_global_order(spark):
     a = FM.mask_secrets(df, secrets, ["t"], engine="jvm").first().t
     b = df.select(FM.mask_literals("t", flat).alias("t")).first().t
     assert a == b
+
+
+def test_mtime_unix_text_roundtrip(spark):
+    vals = [1704067260000000, 1704067260500000, 1704067260123456, 0, -1500000]
+    df = spark.createDataFrame([(v,) for v in vals], "v long")
+    got = [r.t for r in df.select(FE.mtime_unix("v").alias("t")).collect()]
+    assert got == ["1704067260", "1704067260.5", "1704067260.123456", "0", "-1.5"]
+    back = [r.b for r in df.select(FE.mtime_micros_from_text(FE.mtime_unix("v")).alias("b")).collect()]
+    assert back == vals
