@@ -39,6 +39,7 @@ class PlanOptions:
     keep_extra: tuple[str, ...] = ()                # extra input columns to keep
     cut_lineage: bool = True      # write the digested table once (digests run once)
     detect_skew: bool = True      # safe mode: route hot hashes through a bounded broadcast
+    hot_min_rows: int = 50_000    # a hot hash must be able to hold at least this many rows
 
 
 def _digest_real_files(df: DataFrame, variant: str) -> DataFrame:
@@ -101,7 +102,7 @@ def plan(files: DataFrame, state: DataFrame, store: DataFrame | None = None,
             raise ValueError("safe mode needs the store index")
         hot = list(opts.hot_hashes)
         if opts.detect_skew and opts.cut_lineage and not hot:
-            hot = P.hot_keys(df, "hash")
+            hot = P.hot_keys(df, "hash", min_hot_rows=opts.hot_min_rows)
         df = P.flag_changed_safe(df, store, hot or None)               # O-41
         df = df.withColumn("repair", P.status_repairs(df, variant))   # O-42
     else:

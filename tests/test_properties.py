@@ -101,3 +101,22 @@ def test_retry_outcome_variant_p_raises(spark):
     a = Fixtures(spark, SF01).attempts
     with pytest.raises(Exception, match="retries exhausted"):
         RL.retry_outcome(a, max_retries=1, fail_on_exhausted=True).collect()
+
+
+def test_plan_with_hot_hash_equals_plain(spark):
+    # one content shared by a third of the files, like an empty file or a licence text
+    rows = [(f"/r/d{i % 7}/f{i}.txt", f"/r/d{i % 7}", f"f{i}.txt", ".txt",
+             "same" if i % 3 == 0 else f"c{i}", 1704067200 + i, False, None) for i in range(3000)]
+    files = spark.createDataFrame(rows, "path string, dir string, name string, ext string, content string, "
+                                        "mtime long, is_symlink boolean, link_target string") \
+        .withColumn("size", F.octet_length("content").cast("long"))
+    state = spark.createDataFrame([], "path string, st_hash string, st_hash_mtime long, backup_mtime long")
+    store = (files.filter(F.col("path").endswith("1.txt") & (F.col("content") != "same"))
+             .select(F.md5("content").alias("hash"), "size").distinct())
+    hot = S.plan(files, state, store, S.PlanOptions(mode="safe", order=("path",), hot_min_rows=0))
+    plain = S.plan(files, state, store, S.PlanOptions(mode="safe", order=("path",), detect_skew=False))
+    cols = ["path", "hash", "upload_required", "queued", "dest", "repair"]
+    a = {tuple(r) for r in hot.select(*cols).collect()}
+    b = {tuple(r) for r in plain.select(*cols).collect()}
+    assert a == b and len(a) == 3000
+    assert hot.filter("queued").filter(F.col("hash") == F.md5(F.lit("same"))).count() == 1
