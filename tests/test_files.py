@@ -160,3 +160,16 @@ def test_variant_p_digest_failure_aborts(spark, tree):
     files = INV.files_only(INV.inventory(spark, [str(tree)], ["node_modules"]))
     with pytest.raises(Exception, match="digest failed"):
         S.plan(files, empty_state(spark), None, S.PlanOptions(mode="fast", variant="P")).collect()
+
+
+def test_job_entry_point(spark, tree, tmp_path, capsys):
+    from snapplan.__main__ import main
+    rules = tmp_path / "rules.txt"
+    rules.write_text("# rules\nnode_modules\n\n")
+    rc = main(["run", "--roots", f"{tree};{tree / 'sub'}", "--store", str(tmp_path / "s"),
+               "--state", str(tmp_path / "st"), "--work", str(tmp_path / "w"),
+               "--ignore", "*.tmp, broken", "--ignore-file", str(rules), "--mode", "safe"])
+    assert rc == 0
+    import json
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["n_failed"] == 0 and out["n_copied"] == out["n_queued"] > 0
