@@ -274,7 +274,7 @@ def q_queue_eligible(spark, sf_dir):
 @query("digest_failures")
 def q_digest_failures(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    d = P.with_digest(P.with_state(fx.files, fx.state))
+    d = P.with_state_digest(fx.files, fx.state)
     ok, bad = P.split_undigested(d)
     return (ok.select("path", F.lit(True).alias("digest_ok"))
             .unionByName(bad.select("path", F.lit(False).alias("digest_ok"))))
@@ -293,7 +293,7 @@ def q_files_with_state(spark, sf_dir):
 @query("stale_digests")
 def q_stale(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return P.with_digest(P.with_state(fx.files, fx.state)).select("path", "stale", "hash")
+    return P.with_state_digest(fx.files, fx.state).select("path", "stale", "hash")
 
 
 @query("changed_fast")
@@ -305,7 +305,7 @@ def q_changed_fast(spark, sf_dir):
 @query("changed_safe")
 def q_changed_safe(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    d, _ = P.split_undigested(P.with_digest(P.with_state(fx.files, fx.state)))
+    d, _ = P.split_undigested(P.with_state_digest(fx.files, fx.state))
     return P.flag_changed_safe(d, fx.store).select("path", "hash", "size", "store_size", "upload_required")
 
 
@@ -322,7 +322,7 @@ def q_status_repair(spark, sf_dir):
 @query("dedup_first")
 def q_dedup_first(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    d, _ = P.split_undigested(P.with_digest(P.with_state(fx.files, fx.state)))
+    d, _ = P.split_undigested(P.with_state_digest(fx.files, fx.state))
     flagged = P.flag_changed_safe(d, fx.store)
     return P.first_per_key(flagged.filter(P.queue_eligible("C")), "hash", ["path"])
 
@@ -651,7 +651,7 @@ def q_stream_totals(spark, sf_dir):
 def q_stale_p(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     files = IG.apply_ignore_fixed(fx.files)
-    return P.with_digest(P.with_state(files, fx.state), "P").select("path", "stale", "hash")
+    return P.with_state_digest(files, fx.state, "P").select("path", "stale", "hash")
 
 
 @query("changed_fast_p")

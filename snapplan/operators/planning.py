@@ -58,14 +58,30 @@ def fresh_digest(variant: str = "C", content: str = "content") -> Column:
 
 
 def with_digest(df: DataFrame, variant: str = "C", content: str = "content") -> DataFrame:
-    """O-39: ``stale`` flag and the effective ``hash`` (fresh digest only on
-    stale rows - the branch is lazy, so fresh rows never hash content)."""
+    """O-39 on an already joined frame: ``stale`` flag and the effective
+    ``hash`` (the digest branch is lazy, so fresh rows never hash content).
+    Prefer ``with_state_digest`` when the payload would cross a shuffle."""
     stale = stale_flag(variant)
     return (df.withColumn("stale", stale)
               .withColumn("hash", F.when(F.col("stale"), fresh_digest(variant, content))
                           .otherwise(F.col("st_hash"))))
 
 
+def with_state_digest(files: DataFrame, state: DataFrame, variant: str = "C",
+                      content: str = "content", keep_content: bool = False) -> DataFrame:
+    """O-38 + O-39 for table payloads, shuffle-friendly: the payload is
+    digested map-side and dropped before the join on ``path``, so the
+    exchange carries a 32-character digest instead of the payload; the
+    stored digest is still used for rows that are not stale."""
+    df = files.withColumn("_fresh", fresh_digest(variant, content))
+    if not keep_content:
+        df = df.drop(content)
+    df = with_state(df, state)
+    return (df.withColumn("stale", stale_flag(variant))
+              .withColumn("hash", F.when(F.col("stale"), F.col("_fresh")).otherwise(F.col("st_hash")))
+              .drop("_fresh"))
+
+
 def split_undigested(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """O-37: rows without a usable digest are reported, not planned."""
     ok = F.col("hash").isNotNull() & (F.col("hash") != "")

@@ -72,16 +72,8 @@ def plan(files: DataFrame, state: DataFrame, store: DataFrame | None = None,
             # directory is neither descended nor listed
             df = df.filter(~F.coalesce(F.col("link_to_dir"), F.lit(False)))
     if "content" in df.columns:
-        # Table payloads: digest map-side, before the state join, so the
-        # shuffle on ``path`` carries 32 hex characters instead of the
-        # payload; the stored digest is still preferred when fresh.
-        df = df.withColumn("_fresh", P.fresh_digest(variant))
-        if "content" not in opts.keep_extra:
-            df = df.drop("content")
-        df = P.with_state(df, state)                                   # O-38
-        df = (df.withColumn("stale", P.stale_flag(variant))           # O-39
-                .withColumn("hash", F.when(F.col("stale"), F.col("_fresh")).otherwise(F.col("st_hash")))
-                .drop("_fresh"))
+        # table payloads: digest map-side, then join (O-38, O-39)
+        df = P.with_state_digest(df, state, variant, keep_content="content" in opts.keep_extra)
     else:
         df = P.with_state(df, state)                                   # O-38
         df = _digest_real_files(df, variant)                           # O-39, stale rows only
