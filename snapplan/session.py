@@ -59,11 +59,16 @@ def apply_runtime_conf(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder from ``spark.checkpoint.dir``; set one only if unset."""
+    """The shared folder from ``spark.checkpoint.dir``.  Only a local-mode
+    session without one (tests, a laptop) gets a temporary folder; on a
+    cluster the setting is required - a machine-local folder would not be
+    visible to the other executors."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, NFS) for this job")
         root = tempfile.mkdtemp(prefix="snapplan-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
