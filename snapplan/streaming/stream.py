@@ -78,8 +78,12 @@ def stream_plan(sdf: DataFrame, state: DataFrame, blob_table: str, results_dir:
     spark = sdf.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        # the store as committed by earlier batches only: a replay of this
+        # batch must not see its own partial output (it would then append
+        # less and overwrite its folder with fewer blobs)
         try:
-            store = spark.read.parquet(blob_table).select("hash", "size").distinct()
+            store = (spark.read.parquet(blob_table).filter(F.col("batch_id") < batch_id)
+                     .select("hash", "size").distinct())
         except Exception:  # noqa: BLE001 - first batch: empty store
             store = spark.createDataFrame([], "hash string, size long")
         opts = S.PlanOptions(mode=mode, order=tuple(order), keep_extra=("content",))
