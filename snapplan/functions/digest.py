@@ -94,26 +94,35 @@ def _digest_one(path: str, algo: str, follow_links: bool = False) -> str | None:
         return None
 
 
+def tasks_for_bytes(total_bytes: int, target_bytes: int = 256 * 1024 * 1024,
+                    max_tasks: int = 100_000) -> int:
+    return int(min(max_tasks, max(1, -(-int(total_bytes or 0) // target_bytes))))
+
+
 def balance_by_size(df: DataFrame, target_bytes: int = 256 * 1024 * 1024,
-                    max_tasks: int = 100_000) -> DataFrame:
+                    max_tasks: int = 100_000, total_bytes: int | None = None) -> DataFrame:
     """Spread file rows over ``ceil(total bytes / target_bytes)`` tasks by a
     hash of the path, so each digest task reads about ``target_bytes``
     whatever the file count.  One file is read by one task (a digest is
-    sequential), so a single huge file is its own straggler at worst."""
-    total = df.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] or 0
-    n = int(min(max_tasks, max(1, -(-int(total) // target_bytes))))
-    return df.repartition(n, F.xxhash64("path"))
+    sequential), so a single huge file is its own straggler at worst.
+    (An explicit partition count is kept by AQE: no coalescing.)"""
+    if total_bytes is None:
+        total_bytes = df.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] or 0
+    return df.repartition(tasks_for_bytes(total_bytes, target_bytes, max_tasks), F.xxhash64("path"))
 
 
 def digest_files(files: DataFrame, path_col: str = "path", out_col: str = "fresh_hash",
                  algo: str = "md5", target_bytes: int | None = 256 * 1024 * 1024,
-                 follow_links: bool = False) -> DataFrame:
+                 follow_links: bool = False, when_col: str | None = None) -> DataFrame:
     """Digest the files named in ``path_col`` inside Spark tasks.
 
     Work is spread by bytes (``balance_by_size``) when ``target_bytes`` is
     set.  Links get the ``SYM-`` pseudo digest unless ``follow_links``
-    (variant P hashes the target's content).  A failure yields a null
-    digest (the caller splits those rows off as issues, O-37)."""
+    (variant P hashes the target's content).  With ``when_col`` only rows
+    where that boolean column is true are read (the others pass through
+    with a null digest), so one pass serves stale and fresh rows.  A
+    failure yields a null digest (the caller splits those rows off as
+    issues, O-37)."""
     from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType(list(files.schema.fields) + [StructField(out_col, StringType(), True)])
     df = balance_by_size(files, target_bytes) if target_bytes else files
@@ -121,7 +130,9 @@ def digest_files(files: DataFrame, path_col: str = "path", out_col: str = "fresh
     def run(batches):
         for pdf in batches:
             out = pdf.copy()
-            out[out_col] = [_digest_one(p, algo, follow_links) for p in pdf[path_col].tolist()]
+            need = pdf[when_col].tolist() if when_col else [True] * len(pdf)
+            out[out_col] = [_digest_one(p, algo, follow_links) if w else None
+                            for p, w in zip(pdf[path_col].tolist(), need)]
             yield out
 
     return df.mapInPandas(run, schema)

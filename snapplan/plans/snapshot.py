@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digest import digest_files
+from ..functions.digest import digest_files, tasks_for_bytes
 from ..functions.paths import extension, shard_path
 from ..operators import planning as P
 from ..session import cut_lineage
@@ -42,19 +42,22 @@ class PlanOptions:
     hot_min_rows: int = 50_000    # a hot hash must be able to hold at least this many rows
 
 
-def _digest_real_files(df: DataFrame, variant: str) -> DataFrame:
-    """Files without a ``content`` column: digest stale rows inside tasks,
-    reuse the stored digest for the rest."""
-    df = df.withColumn("stale", P.stale_flag(variant))
-    fresh = digest_files(df.filter("stale"), out_col="_fresh", follow_links=variant.upper() == "P")
+def _digest_real_files(files: DataFrame, state: DataFrame, variant: str) -> DataFrame:
+    """Files without a ``content`` column, in one pass: join the state,
+    spread rows by bytes, read only the stale files inside the tasks and
+    keep the stored digest for the others."""
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]   # one column of the inventory
+    df = P.with_state(files, state).withColumn("stale", P.stale_flag(variant))
+    df = df.repartition(tasks_for_bytes(total), F.xxhash64("path"))
+    df = digest_files(df, out_col="_fresh", target_bytes=None, when_col="stale",
+                      follow_links=variant.upper() == "P")
+    fresh = F.col("_fresh")
     if variant.upper() == "P":
         # variant P: empty files are "0"; a failed digest aborts the run
-        fresh = fresh.withColumn("_fresh", F.when(F.col("size") == 0, F.lit("0")).when(
-            F.col("_fresh").isNull(), F.raise_error(F.concat(F.lit("digest failed: "), F.col("path"))))
-            .otherwise(F.col("_fresh")))
-    fresh = fresh.withColumn("hash", F.col("_fresh")).drop("_fresh")
-    kept = df.filter(~F.col("stale")).withColumn("hash", F.col("st_hash"))
-    return fresh.unionByName(kept)
+        fresh = F.when(F.col("size") == 0, F.lit("0")).when(
+            F.col("_fresh").isNull(), F.raise_error(F.concat(F.lit("digest failed: "), F.col("path")))
+        ).otherwise(F.col("_fresh"))
+    return df.withColumn("hash", F.when(F.col("stale"), fresh).otherwise(F.col("st_hash"))).drop("_fresh")
 
 
 def plan(files: DataFrame, state: DataFrame, store: DataFrame | None = None,
@@ -75,8 +78,7 @@ def plan(files: DataFrame, state: DataFrame, store: DataFrame | None = None,
         # table payloads: digest map-side, then join (O-38, O-39)
         df = P.with_state_digest(df, state, variant, keep_content="content" in opts.keep_extra)
     else:
-        df = P.with_state(df, state)                                   # O-38
-        df = _digest_real_files(df, variant)                           # O-39, stale rows only
+        df = _digest_real_files(df, state, variant)                    # O-38, O-39 (stale rows read)
     if variant == "C":
         df, _issues = P.split_undigested(df)                           # O-37
 
