@@ -45,18 +45,37 @@ def _bounds(df: DataFrame, key: str, n_buckets: int, total: int | None) -> list:
     return out[: n_buckets - 1]
 
 
+def bucket_of(key_col, bounds: list):
+    """Number of ``bounds`` (sorted) that are <= the key, by a two-level
+    search: about ``2 * sqrt(len(bounds))`` comparisons per row."""
+    if not bounds:
+        return F.lit(0)
+    per = max(1, int(len(bounds) ** 0.5))
+    chunks = [bounds[i:i + per] for i in range(0, len(bounds), per)]
+    if len(chunks) == 1:
+        return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key_col))
+    coarse = F.array(*[F.lit(c[0]) for c in chunks[1:]])
+    fine = F.array(*[F.array(*[F.lit(b) for b in c]) for c in chunks])
+    c = F.size(F.filter(coarse, lambda b: b <= key_col))
+    within = F.size(F.filter(F.element_at(fine, c + 1), lambda b: b <= key_col))
+    return c * F.lit(per) + within
+
+
 def bucketed_running(df: DataFrame, group: Sequence[str], key: str, tiebreak: Sequence[str] = (),
-                     sums: Sequence[str] = (), n_buckets: int = 64,
-                     total: int | None = None) -> DataFrame:
+                     sums: Sequence[str] = (), n_buckets: int | None = None,
+                     total: int | None = None, rows_per_bucket: int = 2_000_000,
+                     max_buckets: int = 10_000) -> DataFrame:
     """Adds ``run_n`` (1-based position within the group in ``key,
     tiebreak`` order) and ``run_<c>`` (running sum) for each ``c`` in
-    ``sums``.  ``key`` must be orderable; buckets split on it."""
+    ``sums``.  ``key`` must be orderable; buckets split on it.  The bucket
+    count grows with the data (``rows_per_bucket``), so a cell stays small
+    even for a group holding a third of all rows."""
+    if n_buckets is None:
+        if total is None:
+            total = df.count()
+        n_buckets = int(min(max_buckets, max(64, -(-total // rows_per_bucket))))
     bounds = _bounds(df, key, n_buckets, total)
-    if bounds:
-        arr = F.array(*[F.lit(b) for b in bounds])
-        bucket = F.size(F.filter(arr, lambda b: b <= F.col(key)))
-    else:
-        bucket = F.lit(0)
+    bucket = bucket_of(F.col(key), bounds)
     g = list(group)
     b = df.withColumn("_bucket", bucket)
     cell = Window.partitionBy(*g, "_bucket").orderBy(key, *tiebreak).rowsBetween(

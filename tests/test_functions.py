@@ -155,3 +155,25 @@ def test_mtime_unix_text_roundtrip(spark):
     assert got == ["1704067260", "1704067260.5", "1704067260.123456", "0", "-1.5"]
     back = [r.b for r in df.select(FE.mtime_micros_from_text(FE.mtime_unix("v")).alias("b")).collect()]
     assert back == vals
+
+
+def test_bucket_of_two_level_search(spark):
+    from snapplan.operators.windows import bucket_of
+    bounds = list(range(0, 1000, 7))            # 143 sorted bounds -> chunks of 11
+    keys = [-5, 0, 3, 7, 500, 994, 995, 2000]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = [r.b for r in df.select(bucket_of(F.col("k"), bounds).alias("b")).collect()]
+    assert got == [sum(1 for b in bounds if b <= k) for k in keys]
+
+
+def test_bucketed_running_matches_window(spark):
+    from pyspark.sql import Window
+    from snapplan.operators.windows import bucketed_running
+    rows = [(i % 3 if i % 5 else 0, (i * 7919) % 1000, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g long, k long, v long")
+    got = {(r.g, r.k, r.v): (r.run_n, r.run_v) for r in
+           bucketed_running(df, ["g"], "k", ["v"], ["v"], n_buckets=16).collect()}
+    w = Window.partitionBy("g").orderBy("k", "v").rowsBetween(Window.unboundedPreceding, 0)
+    want = {(r.g, r.k, r.v): (r.n, r.s) for r in
+            df.select("*", F.count(F.lit(1)).over(w).alias("n"), F.sum("v").over(w).alias("s")).collect()}
+    assert got == want
