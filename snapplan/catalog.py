@@ -581,6 +581,12 @@ def q_run_snapshot(spark, sf_dir):
 # parquet batches, consumed with an availableNow trigger.
 # ==========================================================================
 
+def _state_parts(spark) -> int:
+    """State partitions for these demo streams: one per core (the input
+    is a few batches of a fixture table)."""
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
 def _stream_files(spark, sf_dir, n_batches=4):
     from .session import shared_path
     from .streaming import stream as ST_
@@ -609,7 +615,7 @@ def q_stream_dedup(spark, sf_dir):
                         .otherwise(F.md5("content")).alias("hash"))
     out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ck")
     ST_.use_rocksdb(spark)
-    ST_.run_to_parquet(ST_.stream_dedup(hashed, "hash"), out, ck)
+    ST_.run_to_parquet(ST_.stream_dedup(hashed, "hash"), out, ck, partitions=_state_parts(spark))
     return spark.read.parquet(out).select("hash")
 
 
@@ -629,7 +635,7 @@ def q_stream_retry(spark, sf_dir):
     from .streaming import stream as ST_
     _, sdf = _stream_attempts(spark, sf_dir)
     out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ck")
-    ST_.run_to_parquet(ST_.stream_retry(sdf, max_retries=1), out, ck)
+    ST_.run_to_parquet(ST_.stream_retry(sdf, max_retries=1), out, ck, partitions=_state_parts(spark))
     return spark.read.parquet(out)
 
 
@@ -639,7 +645,7 @@ def q_stream_totals(spark, sf_dir):
     from .streaming import stream as ST_
     _, sdf = _stream_attempts(spark, sf_dir)
     out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ck")
-    ST_.run_complete_to_parquet(ST_.stream_totals(sdf), out, ck)
+    ST_.run_complete_to_parquet(ST_.stream_totals(sdf), out, ck, partitions=_state_parts(spark))
     return ST_.latest_epoch(spark, out)
 
 

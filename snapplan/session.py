@@ -56,6 +56,35 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def apply_runtime_conf(spark: SparkSession) -> None:
     for k, v in RUNTIME_CONF.items():
         spark.conf.set(k, v)
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``snapplan`` importable in the Python workers (UDFs, the
+    inventory data source) the way ``--py-files`` does: zip the package
+    once per SparkContext and ``addPyFile`` it; Spark copies it to every
+    executor."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    stage = tempfile.mkdtemp(prefix="snapplan-pyfiles-")   # staged for addPyFile, served by Spark
+    target = os.path.join(stage, "snapplan.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, names in os.walk(pkg):
+            if "__pycache__" in root:
+                continue
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(root, n)
+                    z.write(full, os.path.join("snapplan", os.path.relpath(full, pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
 
 
 def checkpoint_root(spark: SparkSession) -> str:

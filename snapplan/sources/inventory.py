@@ -200,6 +200,8 @@ class InventorySource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    from ..session import ship_package
+    ship_package(spark)
     spark.dataSource.register(InventorySource)
 
 

@@ -60,10 +60,32 @@ def stream_dedup(sdf: DataFrame, key: str = "hash") -> DataFrame:
     return sdf.dropDuplicates([key])
 
 
-def run_to_parquet(sdf: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    q = (sdf.writeStream.format("parquet").outputMode(mode).option("path", out)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+class state_partitions:
+    """Number of state-store partitions for queries started inside the
+    block (fixed for a checkpoint's lifetime; AQE does not coalesce
+    stateful operators).  None keeps the session setting."""
+
+    def __init__(self, spark: SparkSession, n: int | None):
+        self.spark, self.n, self.old = spark, n, None
+
+    def __enter__(self):
+        if self.n:
+            self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
+            self.spark.conf.set("spark.sql.shuffle.partitions", str(self.n))
+        return self
+
+    def __exit__(self, *exc):
+        if self.n and self.old is not None:
+            self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
+        return False
+
+
+def run_to_parquet(sdf: DataFrame, out: str, checkpoint: str, mode: str = "append",
+                   partitions: int | None = None) -> None:
+    with state_partitions(sdf.sparkSession, partitions):
+        q = (sdf.writeStream.format("parquet").outputMode(mode).option("path", out)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 # --------------------------------------------------------------------------
@@ -157,15 +179,17 @@ def stream_totals(attempts_sdf: DataFrame) -> DataFrame:
     )
 
 
-def run_complete_to_parquet(sdf: DataFrame, out: str, checkpoint: str) -> None:
+def run_complete_to_parquet(sdf: DataFrame, out: str, checkpoint: str,
+                            partitions: int | None = None) -> None:
     """Complete-mode aggregate -> each epoch's full result in its own folder
     (file sinks take append only)."""
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/epoch={batch_id:08d}")
 
-    q = (sdf.writeStream.outputMode("complete").foreachBatch(each)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_partitions(sdf.sparkSession, partitions):
+        q = (sdf.writeStream.outputMode("complete").foreachBatch(each)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 def latest_epoch(spark: SparkSession, out: str) -> DataFrame:
