@@ -28,6 +28,8 @@ RUNTIME_CONF = {
     # shuffle output has been measured.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    # whole texts go through the masking UDF: keep Arrow batches small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
