@@ -75,12 +75,22 @@ def _ext_c(name: str) -> str:
 
 
 class _Unit(InputPartition):
-    """One work unit: a directory walked recursively, or its files only."""
+    """One work unit: a directory walked recursively, or its files only
+    (optionally one hash shard of them: entries whose name hashes to
+    ``shard`` of ``shards``)."""
 
-    def __init__(self, root_ord, root, directory, recursive, issue=None):
+    def __init__(self, root_ord, root, directory, recursive, issue=None, shard=0, shards=1):
         super().__init__(None)
         self.root_ord, self.root, self.directory = root_ord, root, directory
         self.recursive, self.issue = recursive, issue
+        self.shard, self.shards = shard, shards
+
+
+def _in_shard(name: str, u: "_Unit") -> bool:
+    if u.shards <= 1:
+        return True
+    import zlib
+    return zlib.crc32(name.encode("utf-8", "surrogateescape")) % u.shards == u.shard
 
 
 def _file_row(u: _Unit, d: str, entry: os.DirEntry) -> tuple:
@@ -127,7 +137,10 @@ def _walk(u: _Unit, m: _Matcher) -> Iterator[tuple]:
             yield _issue_row(u, d, f"error: {e.strerror}")
             continue
         subdirs = []
+        top = d == u.directory
         for e in entries:
+            if top and not _in_shard(e.name, u):
+                continue
             full = os.path.join(d, e.name)
             try:
                 is_dir = e.is_dir(follow_symlinks=False)
@@ -150,6 +163,7 @@ class InventoryReader(DataSourceReader):
         self.patterns = [p for p in (json.loads(options["ignore_json"]) if options.get("ignore_json")
                                      else _split(options.get("ignore"))) if p and p.strip()]
         self.max_units = int(options.get("max_units", "256"))
+        self.split_entries = int(options.get("split_entries", "50000"))
 
     def partitions(self):
         m = _Matcher(self.patterns)
@@ -165,19 +179,28 @@ class InventoryReader(DataSourceReader):
         return units or [_Unit(0, "", "", False, "no roots")]
 
     def _expand(self, i: int, root: str, r: str, m: _Matcher) -> list[_Unit]:
-        """Breadth-first split of a root into work units (bounded)."""
+        """Breadth-first split of a root into work units (bounded by
+        ``max_units``): expanded directories contribute their files (split
+        into hash shards when very large), the rest are walked recursively.
+        The driver lists only these top directories and keeps only counts
+        and subdirectory names."""
         frontier, done = [r], []
         while frontier and len(done) + len(frontier) < self.max_units:
             d = frontier.pop(0)
+            subs, n = [], 0
             try:
                 with os.scandir(d) as it:
-                    subs = sorted(os.path.join(d, e.name) for e in it
-                                  if e.is_dir(follow_symlinks=False) and not m.ignored(e.name, os.path.join(d, e.name)))
+                    for e in it:
+                        n += 1
+                        full = os.path.join(d, e.name)
+                        if e.is_dir(follow_symlinks=False) and not m.ignored(e.name, full):
+                            subs.append(full)
             except OSError:
-                done.append(_Unit(i, root, d, True))
+                done.append(_Unit(i, root, d, True))        # the task reports the issue
                 continue
-            done.append(_Unit(i, root, d, False))
-            frontier.extend(subs)
+            k = max(1, -(-n // self.split_entries))
+            done.extend(_Unit(i, root, d, False, shard=j, shards=k) for j in range(k))
+            frontier.extend(sorted(subs))
         done.extend(_Unit(i, root, d, True) for d in frontier)
         return done
 
@@ -206,13 +229,13 @@ def register(spark: SparkSession) -> None:
 
 
 def inventory(spark: SparkSession, roots: list[str] | str, ignore: list[str] | None = None,
-              max_units: int = 256) -> DataFrame:
+              max_units: int = 256, split_entries: int = 50_000) -> DataFrame:
     """O-01 + O-02: every row of the scan, issues included."""
     register(spark)
     root_list = _split(roots) if isinstance(roots, str) else list(roots)
     return (spark.read.format("snapplan_inventory").option("roots_json", json.dumps(root_list))
             .option("ignore_json", json.dumps(list(ignore or [])))
-            .option("max_units", str(max_units)).load())
+            .option("max_units", str(max_units)).option("split_entries", str(split_entries)).load())
 
 
 def files_only(scan: DataFrame) -> DataFrame:

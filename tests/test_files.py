@@ -173,3 +173,16 @@ def test_job_entry_point(spark, tree, tmp_path, capsys):
     import json
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["n_failed"] == 0 and out["n_copied"] == out["n_queued"] > 0
+
+
+def test_large_directory_split_into_shards(spark, tmp_path):
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(120):
+        (flat / f"f{i:03d}.bin").write_text(str(i))
+    r = INV.InventoryReader({"roots_json": f'["{flat}"]', "split_entries": "25"})
+    units = r.partitions()
+    assert len(units) == 5 and {u.shards for u in units} == {5}
+    whole = {x.path for x in INV.files_only(INV.inventory(spark, [str(flat)])).collect()}
+    split = {x.path for x in INV.files_only(INV.inventory(spark, [str(flat)], split_entries=25)).collect()}
+    assert whole == split and len(split) == 120
