@@ -136,20 +136,30 @@ def _retry_fn(max_retries: int):
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tries, done = (state.get if state.exists else (0, False))
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+        need = 0 if done else limit - tries
+        # only the first ``need`` attempts (by ts, event_id) can change the
+        # outcome: keep a running selection of that size over the chunks,
+        # never the whole group
+        best = None
+        for pdf in pdfs:
+            if need <= 0 or pdf.empty:
+                continue
+            part = pdf.sort_values(["ts", "event_id"]).head(need)
+            best = part if best is None else pd.concat([best, part]).sort_values(["ts", "event_id"]).head(need)
         out = []
-        for rec in rows.itertuples(index=False):
-            if done:
-                break
-            tries += 1
-            if rec.ok:
-                out.append((key[0], key[1], "saved", tries, rec.event_id, rec.bytes))
-                done = True
-            elif tries >= limit:
-                out.append((key[0], key[1], "exhausted", tries, rec.event_id, None))
-                done = True
-            else:
-                out.append((key[0], key[1], "retry", tries, rec.event_id, None))
+        if best is not None:
+            for rec in best.itertuples(index=False):
+                if done:
+                    break
+                tries += 1
+                if rec.ok:
+                    out.append((key[0], key[1], "saved", tries, rec.event_id, rec.bytes))
+                    done = True
+                elif tries >= limit:
+                    out.append((key[0], key[1], "exhausted", tries, rec.event_id, None))
+                    done = True
+                else:
+                    out.append((key[0], key[1], "retry", tries, rec.event_id, None))
         state.update((tries, done))
         yield pd.DataFrame(out, columns=["job", "item", "status", "tries", "event_id", "bytes"])
 
