@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.digest import balance_by_size
 from ..session import local_fs_path
 from ..sources.listings import listing_from_directory, store_from_listing
 
@@ -62,12 +63,17 @@ def _put_one(src: str | None, payload: bytes | None, dest: str, on_exists: str)
 
 
 def copy_to_store(queue: DataFrame, store_root: str, on_exists: str = "skip",
-                  content_col: str | None = None) -> DataFrame:
+                  content_col: str | None = None,
+                  target_bytes: int | None = 256 * 1024 * 1024) -> DataFrame:
     """O-09 / O-11: put every queue row into ``store_root/dest``.
 
-    ``queue`` has ``path, dest, hash[, try_count]`` and, for table payloads,
-    ``content_col``.  Status: copied | exists | overwritten | failed."""
+    ``queue`` has ``path, dest, hash[, size][, try_count]`` and, for table
+    payloads, ``content_col``.  With sizes known, copy tasks are balanced by
+    bytes (``target_bytes`` per task).  Status: copied | exists |
+    overwritten | failed."""
     root = local_fs_path(store_root).rstrip("/")
+    if target_bytes and "size" in queue.columns:
+        queue = balance_by_size(queue, target_bytes)
     cols = ["path", "dest", "hash"] + (["try_count"] if "try_count" in queue.columns else [])
     if content_col:
         cols.append(content_col)
