@@ -140,15 +140,22 @@ def dry_run_report(planned: DataFrame) -> DataFrame:
                     F.concat(F.lit("[DRY RUN] would copy "), "path", F.lit(" to "), "dest").alias("line"))
 
 
-def table_files(df: DataFrame, key: Sequence[str], cols: Sequence[str],
-                mtime_col: str | None = None) -> DataFrame:
-    """O-63: present any keyed table as an inventory.
-
-    ``path`` = the key columns joined by ``|``; the payload digest is the
-    MD5 of the selected columns joined by ``|`` after stable casts (doubles
-    as integer cents are the caller's job, see ``stable_text``)."""
+def table_files(df: DataFrame, key: Sequence[str], cols: Sequence, table: str = "table") -> DataFrame:
+    """O-63: present a keyed table as an inventory ``plan()`` accepts.
+
+    ``path`` = ``/<table>/<key columns joined by |>``; ``content`` = the
+    selected columns joined by ``|`` (pass ``stable_text`` columns for
+    doubles and dates); the row's version plays the part of the mtime: a
+    64-bit hash of the payload, so a changed row is stale (re-digested) and
+    an unchanged one reuses its stored digest."""
     k = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
-    return df.select(k.alias("path"), F.md5(F.concat_ws("|", *[F.col(c) for c in cols])).alias("digest"))
+    payload = F.concat_ws("|", *[F.col(c) if isinstance(c, str) else c for c in cols])
+    return df.select(
+        F.concat(F.lit(f"/{table}/"), k).alias("path"), F.lit(f"/{table}").alias("dir"),
+        k.alias("name"), F.lit("").alias("ext"), payload.alias("content"),
+        F.octet_length(payload).cast("long").alias("size"),
+        F.xxhash64(payload).alias("mtime"),
+        F.lit(False).alias("is_symlink"), F.lit(None).cast("string").alias("link_target"))
 
 
 def stable_text(col, kind: str) -> F.Column:

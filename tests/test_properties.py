@@ -135,3 +135,25 @@ def test_stream_plan_replay_is_idempotent(spark, tmp_path):
     STR.stream_plan(STR.read_stream(spark, src, files.schema), fx.state, blobs, res, str(tmp_path / "ck2"))
     again = {tuple(r) for r in spark.read.parquet(blobs).select("hash", "batch_id").collect()}
     assert first == again and len({h for h, _ in first}) == len(first)
+
+
+def test_table_files_plan_flags_changed_rows(spark):
+    from snapplan.sources import state as SS
+    o = Fixtures(spark, "/root/testdata/sf0.001").table("orders")
+    cols = [F.col("o_custkey").cast("string"), "o_orderstatus", S.stable_text("o_totalprice", "money"),
+            S.stable_text("o_orderdate", "date"), "o_orderpriority"]
+    cur = S.table_files(o, ["o_orderkey"], cols, "orders")
+    # previous version: every 7th order had another priority, every 10th did not exist
+    prev_src = o.filter(o.o_orderkey % 10 != 0).withColumn(
+        "o_orderpriority", F.when(o.o_orderkey % 7 == 0, F.lit("9-OLD")).otherwise(o.o_orderpriority))
+    prev = S.table_files(prev_src, ["o_orderkey"], cols, "orders")
+    empty = spark.createDataFrame([], "path string, st_hash string, st_hash_mtime long, backup_mtime long")
+    opts = S.PlanOptions(mode="fast", order=("path",))
+    p0 = S.plan(prev, empty, None, opts)
+    state = SS.merge_state(empty, SS.state_updates(p0, mark_duplicates=True))
+    p1 = S.plan(cur, state, None, opts).collect()
+    flagged = {r.name for r in p1 if r.upload_required}
+    ks = [r.o_orderkey for r in o.select("o_orderkey").collect()]
+    assert flagged == {str(k) for k in ks if k % 10 == 0 or k % 7 == 0}
+    stale = {r.name for r in p1 if r.stale}
+    assert stale == flagged                       # unchanged rows reuse their stored digest
