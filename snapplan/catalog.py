@@ -670,3 +670,21 @@ def q_changed_fast_p(spark, sf_dir):
 def q_status_repair_p(spark, sf_dir):
     p = planned(_fx(spark, sf_dir), "safe", "P")
     return p.filter("repair").select("path", F.col("mtime").alias("backup_mtime"))
+
+
+@query("table_plan_orders")
+def q_table_plan_orders(spark, sf_dir):
+    """O-63 through ``plan()``: orders as an inventory (key -> path, row
+    payload -> content, payload hash -> version) against the state a full
+    backup of the previous version left behind."""
+    o = _fx(spark, sf_dir).table("orders")
+    cols = [F.col("o_custkey").cast("string"), "o_orderstatus", S.stable_text("o_totalprice", "money"),
+            S.stable_text("o_orderdate", "date"), "o_orderpriority"]
+    cur = S.table_files(o, ["o_orderkey"], cols, "orders")
+    prev_src = o.filter(o.o_orderkey % 10 != 0).withColumn(
+        "o_orderpriority", F.when(o.o_orderkey % 7 == 0, F.lit("9-OLD")).otherwise(o.o_orderpriority))
+    prev = S.table_files(prev_src, ["o_orderkey"], cols, "orders")
+    state = prev.select("path", F.md5("content").alias("st_hash"), F.col("mtime").alias("st_hash_mtime"),
+                        F.col("mtime").alias("backup_mtime"))
+    p = S.plan(cur, state, None, S.PlanOptions(mode="fast", order=("path",)))
+    return p.select("path", "name", "hash", "size", "stale", "upload_required", "in_queue", "queued", "dest")

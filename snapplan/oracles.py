@@ -442,3 +442,23 @@ oracle("changed_fast_p", with_fx(["fx_files", "fx_state"], """select f.path,
   coalesce(s.backup_mtime, 0) <> f.mtime as upload_required
   from fx_files f left join fx_state s on f.path = s.path"""))
 oracle("status_repair_p", plan_sql("safe", "P", "select path, mtime as backup_mtime from plan where repair"))
+
+
+_ORDER_PAYLOAD = """concat_ws('|', cast(o_custkey as varchar), o_orderstatus,
+    cast(cast(round(o_totalprice * 100) as bigint) as varchar), cast(cast(o_orderdate as date) as varchar), {prio})"""
+oracle("table_plan_orders", f"""with
+cur as (select concat('/orders/', cast(o_orderkey as varchar)) as path, cast(o_orderkey as varchar) as name,
+               {_ORDER_PAYLOAD.format(prio="o_orderpriority")} as content from orders),
+prev as (select concat('/orders/', cast(o_orderkey as varchar)) as path,
+                {_ORDER_PAYLOAD.format(prio="case when o_orderkey % 7 = 0 then '9-OLD' else o_orderpriority end")} as content
+         from orders where o_orderkey % 10 <> 0),
+j as (select c.path, c.name, md5(c.content) as hash, cast(strlen(c.content) as bigint) as size,
+             (p.content is null or p.content <> c.content) as changed
+      from cur c left join prev p on c.path = p.path),
+e as (select *, changed as stale, changed as upload_required,
+             case when changed and size > 0 then 'x' else '' end as in_queue, (changed and size > 0) as eligible from j),
+r as (select hash as r_hash, min(path) as r_path from e where eligible group by hash)
+select path, name, hash, size, stale, upload_required, in_queue, (eligible and r_path is not null) as queued,
+       case when eligible and r_path is not null
+            then concat(substr(hash, 1, 1), '/', substr(hash, 2, 1), '/', substr(hash, 3, 1), '/', hash) end as dest
+from e left join r on hash = r_hash and path = r_path""")
