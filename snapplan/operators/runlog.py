@@ -43,11 +43,15 @@ def retry_outcome(attempts: DataFrame, max_retries: int = 3, fail_on_exhausted:
         F.col("_s.bytes").alias("saved_bytes"))
 
 
-def _item_totals(attempts: DataFrame) -> DataFrame:
-    """Queue size per job: items and their sizes (largest attempt size)."""
-    per_item = attempts.groupBy("job", "item").agg(F.max("bytes").alias("size"))
-    return per_item.groupBy("job").agg(F.count(F.lit(1)).alias("total_files"),
-                                       F.sum("size").cast("long").alias("total_bytes"))
+def _job_totals(attempts: DataFrame) -> DataFrame:
+    """One pass over the log: per job the queue size (items, and bytes as
+    each item's largest attempt) and the first and last attempt time."""
+    per_item = attempts.groupBy("job", "item").agg(
+        F.max("bytes").alias("size"), F.min(epoch_micros("ts")).alias("_first"),
+        F.max(epoch_micros("ts")).alias("_last"))
+    return per_item.groupBy("job").agg(
+        F.count(F.lit(1)).alias("total_files"), F.sum("size").cast("long").alias("total_bytes"),
+        F.min("_first").alias("start_us"), F.max("_last").alias("end_us"))
 
 
 def progress_reports(attempts: DataFrame, max_retries: int = 3, every: int = 10) -> DataFrame:
@@ -59,11 +63,10 @@ def progress_reports(attempts: DataFrame, max_retries: int = 3, every: int = 10)
     spread over many tasks."""
     out = cut_lineage(retry_outcome(attempts, max_retries).filter(F.col("status") == "saved")
                       .select("job", "saved_event_id", "saved_bytes", epoch_micros("saved_ts").alias("_k")))
-    start = attempts.groupBy("job").agg(F.min(epoch_micros("ts")).alias("start_us"))
-    tot = _item_totals(attempts)
+    tot = _job_totals(attempts).drop("end_us")
     run = (bucketed_running(out, ["job"], "_k", ["saved_event_id"], ["saved_bytes"])
            .withColumnRenamed("run_n", "n").withColumnRenamed("run_saved_bytes", "saved_bytes_cum")
-           .join(start, "job").join(tot, "job")
+           .join(tot, "job")
            .filter((F.col("n") % every == 0) | (F.col("n") == F.col("total_files"))))
     el = (F.col("_k") - F.col("start_us")) / F.lit(1e6)
     frac = F.col("saved_bytes_cum") / F.col("total_bytes")
@@ -100,10 +103,9 @@ def run_summary(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
         F.count_if(F.col("status") == "saved").alias("saved_files"),
         F.coalesce(F.sum(F.when(F.col("status") == "saved", F.col("saved_bytes"))), F.lit(0))
         .cast("long").alias("saved_bytes"))
-    span = attempts.groupBy("job").agg(
-        ((F.max(epoch_micros("ts")) - F.min(epoch_micros("ts"))) / F.lit(1e6)).alias("duration_s"))
-    tot = _item_totals(attempts)
-    j = saved.join(tot, "job").join(span, "job")
+    tot = _job_totals(attempts).withColumn(
+        "duration_s", (F.col("end_us") - F.col("start_us")) / F.lit(1e6)).drop("start_us", "end_us")
+    j = saved.join(tot, "job")
     mb = F.col("saved_bytes") / F.lit(float(MIB))
     return j.select(
         "job", "saved_files", "total_files", "saved_bytes", "total_bytes",
