@@ -624,8 +624,9 @@ def q_stream_plan(spark, sf_dir):
     from .session import shared_path
     from .streaming import stream as ST_
     fx, sdf = _stream_files(spark, sf_dir)
-    blobs, results, ck = (shared_path(spark, x) for x in ("stream-blobs", "stream-results", "stream-ck"))
-    ST_.stream_plan(sdf, fx.state, blobs, results, ck, mode="safe")
+    blobs, results, ck, ups = (shared_path(spark, x) for x in
+                               ("stream-blobs", "stream-results", "stream-ck", "stream-state"))
+    ST_.stream_plan(sdf, fx.state, blobs, results, ck, mode="safe", state_updates_dir=ups)
     return spark.read.parquet(results).select("path", "hash", "size", "queued", "upload_required")
 
 

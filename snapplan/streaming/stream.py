@@ -22,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.store import blob_append_set
 from ..plans import snapshot as S
+from ..sources import state as SS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -93,10 +94,13 @@ def run_to_parquet(sdf: DataFrame, out: str, checkpoint: str, mode: str = "appen
 # --------------------------------------------------------------------------
 
 def stream_plan(sdf: DataFrame, state: DataFrame, blob_table: str, results_dir: str,
-                checkpoint: str, mode: str = "safe", order=("path",)) -> None:
+                checkpoint: str, mode: str = "safe", order=("path",),
+                state_updates_dir: str | None = None) -> None:
     """Each micro-batch: plan against the stored state, compare with the
-    blob table as it is now (earlier batches included), append the missing
-    blobs and record per-file results under ``batch_id=<id>``."""
+    blob table as committed by earlier batches, append the missing blobs,
+    record per-file results and (``state_updates_dir``) the state updates
+    (O-15), each under ``batch_id=<id>`` so a replay overwrites its own
+    output."""
     spark = sdf.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -117,12 +121,31 @@ def stream_plan(sdf: DataFrame, state: DataFrame, blob_table: str, results_dir:
         res = planned.select("path", "hash", "size", "queued", "upload_required",
                              F.lit(batch_id).alias("batch_id"))
         res.write.mode("overwrite").parquet(f"{results_dir.rstrip('/')}/batch_id={batch_id}")
+        if state_updates_dir:
+            (SS.state_updates(planned).write.mode("overwrite")
+             .parquet(f"{state_updates_dir.rstrip('/')}/batch_id={batch_id}"))
 
     q = (sdf.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def state_after_stream(spark: SparkSession, base_state: DataFrame, state_updates_dir: str) -> DataFrame:
+    """Base state with every batch's updates applied in batch order (the
+    latest non-null value per path and attribute wins)."""
+    try:
+        ups = spark.read.parquet(state_updates_dir)
+    except Exception:  # noqa: BLE001 - no batch yet
+        return base_state
+    last = ups.groupBy("path").agg(
+        F.max_by("new_hash", F.when(F.col("new_hash").isNotNull(), F.col("batch_id"))).alias("new_hash"),
+        F.max_by("new_hash_mtime", F.when(F.col("new_hash_mtime").isNotNull(), F.col("batch_id"))).alias("new_hash_mtime"),
+        F.max_by("new_backup_mtime", F.when(F.col("new_backup_mtime").isNotNull(), F.col("batch_id")))
+        .alias("new_backup_mtime"),
+        F.max_by("clear_backup", F.col("batch_id")).alias("clear_backup"))
+    return SS.merge_state(base_state, last)
+
+
 # --------------------------------------------------------------------------
 # O-66: retries as a stateful operator
 # --------------------------------------------------------------------------
