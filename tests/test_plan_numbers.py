@@ -10,6 +10,8 @@ EXPECTED = {
     ("0.001", "safe"): (200, 84, 114, 110, 104, 275512, 69),
     ("0.01", "fast"): (1000, 417, 750, 736, 673, 1712777, 0),
     ("0.01", "safe"): (1000, 417, 563, 544, 501, 1266860, 367),
+    ("0.1", "fast"): (10000, 4167, 7500, 7358, 6794, 17111126, 0),
+    ("0.1", "safe"): (10000, 4167, 5718, 5529, 5004, 12737960, 3528),
 }
 
 
