@@ -9,7 +9,10 @@ row per inventory row:
 
 Exchanges: one on ``path`` (state join), one on ``hash`` (store join, safe
 mode only) and one on ``(hash, order)`` for the first-per-hash winners.  The
-whole plan is one lazy DataFrame; nothing is collected.
+digested rows are written once below ``spark.checkpoint.dir`` (digests never
+run twice); in safe mode a bounded sample of that table finds hot hashes.
+Those two jobs run when the plan is built; the rest is one lazy DataFrame
+and nothing else reaches the driver.
 """
 
 from __future__ import annotations
