@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digest import balance_by_size
 from ..session import local_fs_path
-from ..sources.listings import listing_from_directory, store_from_listing
+from ..sources.listings import store_from_listing
 
 RESULT_SCHEMA = ("path string, dest string, hash string, status string, tries int, "
                  "bytes long, error string")
@@ -171,9 +171,19 @@ class DirectoryStore(Store):
         self.spark, self.root, self.on_exists = spark, root, on_exists
 
     def list(self) -> DataFrame:
-        if not os.path.exists(local_fs_path(self.root)):
+        """Distributed listing through the inventory source (the driver only
+        expands the top shard directories; tasks walk the rest), so a store
+        with billions of objects never lands in a driver-side file index.
+        Manifests (``metadata/``) and leftovers of interrupted puts are not
+        content."""
+        from ..sources import inventory as INV
+        root = local_fs_path(self.root).rstrip("/")
+        if not os.path.exists(root):
             return self.spark.createDataFrame([], "hash string, size long")
-        return store_from_listing(listing_from_directory(self.spark, self.root), exclude_prefix="metadata/")
+        scan = INV.files_only(INV.inventory(self.spark, [root]))
+        rel = (scan.filter(~F.col("name").contains(".tmp-"))
+               .select(F.substring("path", len(root) + 2, 1 << 20).alias("path"), "size"))
+        return store_from_listing(rel, exclude_prefix="metadata/")
 
     def put(self, queue: DataFrame, content_col: str | None = None) -> DataFrame:
         return copy_to_store(queue, self.root, self.on_exists, content_col)

@@ -51,9 +51,10 @@ def store_from_kv(state_kv: DataFrame, sizes: DataFrame, attr: str = "user.backu
 
 
 def listing_from_directory(spark: SparkSession, root: str) -> DataFrame:
-    """Listing of a directory store via ``binaryFile`` without reading
+    """Listing of a small directory store via ``binaryFile`` without reading
     content (the reader prunes the content column), paths relative to the
-    root."""
+    root.  Its file index lives on the driver: for large stores use the
+    inventory source (``DirectoryStore.list``)."""
     import re
     rel = root[len("file:"):] if root.startswith("file:") else root
     rel = rel.rstrip("/")
