@@ -229,9 +229,12 @@ def register(spark: SparkSession) -> None:
 
 
 def inventory(spark: SparkSession, roots: list[str] | str, ignore: list[str] | None = None,
-              max_units: int = 256, split_entries: int = 50_000) -> DataFrame:
-    """O-01 + O-02: every row of the scan, issues included."""
+              max_units: int | None = None, split_entries: int = 50_000) -> DataFrame:
+    """O-01 + O-02: every row of the scan, issues included.  ``max_units``
+    defaults to four work units per core of the cluster."""
     register(spark)
+    if max_units is None:
+        max_units = max(8, 4 * spark.sparkContext.defaultParallelism)
     root_list = _split(roots) if isinstance(roots, str) else list(roots)
     return (spark.read.format("snapplan_inventory").option("roots_json", json.dumps(root_list))
             .option("ignore_json", json.dumps(list(ignore or [])))
