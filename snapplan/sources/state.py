@@ -105,3 +105,14 @@ def write_state(state: DataFrame, base: str, snapshot_id: str) -> str:
     path = f"{base.rstrip('/')}/snapshot={snapshot_id}"
     state.repartition("path").write.mode("errorifexists").parquet(path)
     return path
+
+
+def write_state_bucketed(state: DataFrame, table: str, buckets: int) -> str:
+    """State as a catalog table bucketed and sorted by ``path``: a later
+    join on ``path`` with ``buckets`` shuffle partitions reads it without an
+    exchange (only the inventory side is shuffled).  Needs a persistent
+    catalog on a cluster; write each run to a new table name (a table that
+    is read cannot be overwritten in the same job)."""
+    (state.repartition(buckets, "path").write.mode("errorifexists")
+     .bucketBy(buckets, "path").sortBy("path").saveAsTable(table))
+    return table

@@ -60,3 +60,16 @@ def test_first_per_key_is_aggregate(spark):
     assert got == {("a", "p1"), ("b", "p3")}
     txt = plan_text(P.first_per_key(df, "hash", ["path"]))
     assert "Window" not in txt
+
+
+def test_bucketed_state_join_shuffles_one_side(spark):
+    import uuid
+    from snapplan.fixtures import Fixtures
+    from snapplan.sources.state import write_state_bucketed
+    fx = Fixtures(spark, SF001)
+    name = f"state_{uuid.uuid4().hex[:8]}"
+    write_state_bucketed(fx.state, name, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    j = P.with_state(fx.files.select("path", "size", "mtime"), spark.table(name))
+    txt = j._jdf.queryExecution().executedPlan().toString()
+    assert txt.count("Exchange hashpartitioning") == 1
+    assert j.count() == fx.files.count()
