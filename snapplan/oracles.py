@@ -462,3 +462,22 @@ select path, name, hash, size, stale, upload_required, in_queue, (eligible and r
        case when eligible and r_path is not null
             then concat(substr(hash, 1, 1), '/', substr(hash, 2, 1), '/', substr(hash, 3, 1), '/', hash) end as dest
 from e left join r on hash = r_hash and path = r_path""")
+
+
+# --------------------------------------------------------------------------
+# Streaming results that do not depend on how rows fall into micro-batches
+# --------------------------------------------------------------------------
+
+oracle("stream_dedup", with_fx(["fx_files"], "select distinct hash from fx_files"))
+oracle("stream_totals", with_fx(["fx_attempts"], """select job, count(*) as n_attempts,
+  cast(count_if(ok) as bigint) as n_saved,
+  cast(coalesce(sum(case when ok then bytes end), 0) as bigint) as saved_bytes
+from fx_attempts group by job"""))
+oracle("stream_retry", with_fx(["fx_attempts"], """select a.job, a.item,
+  case when a.ok then 'saved' when a.n = 2 then 'exhausted' else 'retry' end as status,
+  cast(a.n as integer) as tries, a.event_id, case when a.ok then a.bytes end as bytes
+from (select *, row_number() over (partition by job, item order by ts, event_id) as n from fx_attempts) a
+join (select job, item, min(case when ok then n end) as first_ok
+      from (select *, row_number() over (partition by job, item order by ts, event_id) as n from fx_attempts)
+      group by job, item) f on a.job = f.job and a.item = f.item
+where a.n <= 2 and (f.first_ok is null or a.n <= f.first_ok)"""))
