@@ -481,3 +481,29 @@ join (select job, item, min(case when ok then n end) as first_ok
       from (select *, row_number() over (partition by job, item order by ts, event_id) as n from fx_attempts)
       group by job, item) f on a.job = f.job and a.item = f.item
 where a.n <= 2 and (f.first_ok is null or a.n <= f.first_ok)"""))
+
+
+# stream_plan: four micro-batches by doc_id value ranges; each batch is planned
+# (safe mode, fixture state) against the blobs appended by earlier batches.  A
+# hash is stored before batch b exactly when an earlier batch held a non-link,
+# non-empty row with that hash (its first such batch appended it).
+oracle("stream_plan", with_fx(["fx_files", "fx_state"], """select path, h as hash, size,
+  (eligible and r_path is not null) as queued, upload_required
+from (
+  select e.*, (fb.first_batch is null or fb.first_batch >= e.batch) as upload_required,
+         ((fb.first_batch is null or fb.first_batch >= e.batch) and e.elig_type) as eligible
+  from e left join (select h as fh, min(batch) as first_batch from e where elig_type group by h) fb on e.h = fb.fh) g
+left join (
+  select h as r_h, batch as r_b, min(path) as r_path from (
+    select e.*, ((fb.first_batch is null or fb.first_batch >= e.batch) and e.elig_type) as eligible
+    from e left join (select h as fh, min(batch) as first_batch from e where elig_type group by h) fb on e.h = fb.fh)
+  where eligible group by h, batch) r
+  on g.h = r.r_h and g.batch = r.r_b and g.path = r.r_path""", [
+    """bt as (select f.*, cast(floor((f.doc_id - m.lo) / ((cast(m.hi - m.lo as double) + 1.0) / 4.0)) as integer) as batch
+  from fx_files f, (select min(doc_id) as lo, max(doc_id) as hi from fx_files) m)""",
+    """j as (select bt.path, bt.batch, bt.size,
+         case when s.st_hash_mtime is null or s.st_hash_mtime <> bt.mtime or s.st_hash is null or s.st_hash = ''
+              then bt.hash else s.st_hash end as h
+  from bt left join fx_state s on bt.path = s.path)""",
+    """e as (select *, (size > 0 and not starts_with(h, 'SYM-')) as elig_type from j where h is not null and h <> '')""",
+]))

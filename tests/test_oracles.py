@@ -25,7 +25,7 @@ def test_query_matches_oracle(spark, duck, name):
 def test_every_query_has_oracle_or_reason():
     no_oracle = set(E.queries()) - set(E.oracle_sql())
     # real files, side-effecting sinks and streams: rows-only + own tests
-    assert no_oracle == {"inventory_scan", "scan_issues", "store_put_if_absent", "run_snapshot", "stream_plan"}
+    assert no_oracle == {"inventory_scan", "scan_issues", "store_put_if_absent", "run_snapshot"}
 
 
 def test_entry_smoke(spark):
