@@ -528,8 +528,10 @@ def q_inventory_scan(spark, sf_dir):
     scan = INV.inventory(spark, [f"{base}/data"], [])
     n = len(base) + 1
     return INV.files_only(scan).select(
-        "root_ord", F.substring("path", n, 1 << 20).alias("path"), "name", "ext", "size",
-        F.floor(F.col("mtime") / 1_000_000).cast("long").alias("mtime_s"), "is_symlink")
+        "root_ord", F.substring("path", n, 1 << 20).alias("path"), "name", "ext",
+        F.when(~F.col("is_symlink"), F.col("size")).alias("size"),
+        F.when(~F.col("is_symlink"), F.floor(F.col("mtime") / 1_000_000).cast("long")).alias("mtime_s"),
+        "is_symlink")
 
 
 @query("scan_issues")

@@ -507,3 +507,31 @@ left join (
   from bt left join fx_state s on bt.path = s.path)""",
     """e as (select *, (size > 0 and not starts_with(h, 'SYM-')) as elig_type from j where h is not null and h <> '')""",
 ]))
+
+
+# --------------------------------------------------------------------------
+# Real files written from fx_files (paths shown relative to the written tree)
+# --------------------------------------------------------------------------
+
+oracle("inventory_scan", with_fx(["fx_files"], """select 0 as root_ord, path, name, ext,
+  case when not is_symlink then size end as size, case when not is_symlink then mtime end as mtime_s, is_symlink
+from fx_files"""))
+_NOT_LOG = "not regexp_full_match(name, '^.*\\.log$', 'i')"
+oracle("scan_issues", with_fx(["fx_files"], f"""select 1 as root_ord, '/data/no-such-root' as path, 'missing root' as issue
+union all select 0, '', concat('files: ', cast(count(*) as varchar)) from fx_files where {_NOT_LOG} group by 1 having count(*) > 0
+union all select 2, '', concat('files: ', cast(count(*) as varchar)) from fx_files
+  where root = '/data/src3' and {_NOT_LOG} group by 1 having count(*) > 0"""))
+oracle("store_put_if_absent", with_fx(["fx_files"], """select 1 as attempt, path, dest, hash, 'copied' as status, size as bytes from q
+union all select 2, path, dest, hash, 'exists', cast(0 as bigint) from q""", [
+    """q as (select f.path, concat(substr(f.hash, 1, 1), '/', substr(f.hash, 2, 1), '/', substr(f.hash, 3, 1), '/', f.hash, f.ext) as dest,
+         f.hash, f.size
+  from fx_files f join (select hash as rh, min(path) as rpath from fx_files where not is_symlink and size > 0 group by hash) r
+    on f.path = r.rpath)"""]))
+oracle("run_snapshot", with_fx(["fx_files"], """select n as n_files, d as n_queued, d as n_copied, cast(0 as bigint) as n_exists,
+  cast(0 as bigint) as n_failed, cast(0 as bigint) as n_repaired, 1 as run from c
+union all
+select n, cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), e - d, 2 from c""", [
+    """kept as (select * from fx_files where not regexp_full_match(name, '^.*\\.tmp$', 'i'))""",
+    """c as (select (select count(*) from kept) as n,
+                (select count(distinct hash) from kept where not is_symlink and size > 0) as d,
+                (select count(*) from kept where not is_symlink and size > 0) as e)"""]))
