@@ -208,11 +208,12 @@ def mask_by_key(key, value, secrets: "Sequence[str] | DataFrame") -> Column:
     """Hide the whole value of a sensitive key, else mask literals in it.
     ``secrets``: a list, or the registry DataFrame (applied chunk by chunk)."""
     masked = col(value)
-    if isinstance(secrets, DataFrame):
-        for chunk in secret_chunks(secrets):
-            masked = mask_literals(masked, chunk)
-    else:
-        masked = mask_literals(masked, list(secrets))
+    chunks = secret_chunks(secrets) if isinstance(secrets, DataFrame) else [list(secrets)]
+    for chunk in chunks:
+        if not chunk:
+            continue
+        fn = mask_literals_ac if len(chunk) > 8 and _has_ahocorasick() else mask_literals
+        masked = fn(masked, chunk)
     return F.when(is_sensitive_key(key), F.lit(SECRET_PLACEHOLDER)).otherwise(masked)
 
 
