@@ -177,3 +177,12 @@ def test_bucketed_running_matches_window(spark):
     want = {(r.g, r.k, r.v): (r.n, r.s) for r in
             df.select("*", F.count(F.lit(1)).over(w).alias("n"), F.sum("v").over(w).alias("s")).collect()}
     assert got == want
+
+
+def test_as_int_follows_integer_parse_rules(spark):
+    # whitespace and a sign are fine; decimals, exponents, hex, junk, overflow are not
+    vals = {" 12 ": 12, "+7": 7, "-3": -3, "1.0": -1, "1e3": -1, "0x10": -1, "12a": -1, "": -1,
+            "2147483648": -1}
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = {r.v: r.i for r in df.select("v", FE.as_int("v", -1).alias("i")).collect()}
+    assert got == vals
