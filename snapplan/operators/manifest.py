@@ -73,6 +73,16 @@ def manifest_lines(rows: DataFrame, preamble: Sequence[str]) -> DataFrame:
     return pre_df.unionByName(body)
 
 
+def manifest_preamble(variant: str, run_ts, config_lines=()) -> list[str]:
+    """Preamble lines before ``EOF``: variant C starts with the run time,
+    variant P with a fixed heading; then the documented settings."""
+    if variant.upper() == "C":
+        first = f"Backup run at: {run_ts:%Y-%m-%d %H:%M:%S}"
+    else:
+        first = "Backup configuration:"
+    return [first, *config_lines]
+
+
 def run_line(run_ts: Column, label: str = "Backup run at: ") -> Column:
     return F.concat(F.lit(label), F.date_format(run_ts, "yyyy-MM-dd HH:mm:ss"))
 

@@ -96,7 +96,7 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
     # manifest (text sink, archive layout)
     run_ts = dt.datetime.strptime(run_id[:15], "%Y%m%dT%H%M%S") if run_id[:8].isdigit() else dt.datetime.now()
     lines = MF.manifest_lines(MF.manifest_rows(planned, mtime_unit="us"),
-                              [f"Backup run at: {run_ts:%Y-%m-%d %H:%M:%S}", *preamble])
+                              MF.manifest_preamble("C", run_ts, preamble))
     arch = (f"{store_root.rstrip('/')}/metadata/{job}/{run_ts:%Y}/{run_ts:%m}/"
             f"backup_{run_ts:%Y-%m-%d_%H-%M-%S}.csv")
     MF.write_manifest(lines, arch)

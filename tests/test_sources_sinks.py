@@ -65,3 +65,10 @@ def test_write_manifest_orders_globally(spark, tmp_path):
     text = "".join(open(p).read() for p in sorted((tmp_path / "m").glob("part-*")))
     assert text.splitlines() == ["run", "EOF", "", MF.MANIFEST_HEADER, "dir >> /a", "l2", "dir >> /b", "l4"]
     assert out.endswith("m")
+
+
+def test_manifest_preamble_variants():
+    import datetime as dt
+    ts = dt.datetime(2024, 1, 2, 3, 4, 5)
+    assert MF.manifest_preamble("C", ts, ["a=1"]) == ["Backup run at: 2024-01-02 03:04:05", "a=1"]
+    assert MF.manifest_preamble("P", ts) == ["Backup configuration:"]
