@@ -365,10 +365,10 @@ def q_manifest_rows_p(spark, sf_dir):
 @query("manifest_lines")
 def q_manifest_lines(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    run_s = fx.files.agg(F.max("mtime")).first()[0]
-    run_ts = dt.datetime.fromtimestamp(run_s, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-    preamble = [f"Backup run at: {run_ts}", "mode=safe"]
-    return MF.manifest_lines(MF.manifest_rows(planned(fx, "safe")), preamble)
+    run_s = fx.files.agg(F.max("mtime")).first()[0]          # one value
+    run_ts = dt.datetime.fromtimestamp(run_s, dt.timezone.utc)
+    return MF.manifest_lines(MF.manifest_rows(planned(fx, "safe")),
+                             MF.manifest_preamble("C", run_ts, ["mode=safe"]))
 
 
 @query("manifest_archive_path")
