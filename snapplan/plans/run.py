@@ -58,6 +58,12 @@ def read_state(spark: SparkSession, state_dir: str) -> DataFrame:
     return spark.read.parquet(snap).select("path", "st_hash", "st_hash_mtime", "backup_mtime")
 
 
+def latest_state_table(spark: SparkSession, prefix: str) -> str | None:
+    """Newest ``<prefix>_<run id>`` table in the current catalog database."""
+    names = [t.name for t in spark.catalog.listTables() if t.name.startswith(prefix.lower() + "_")]
+    return max(names) if names else None
+
+
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Write once to the shared folder and read back (cuts lineage)."""
     df.write.mode("errorifexists").parquet(path)
@@ -67,17 +73,27 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
 def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, state_dir: str,
                  work_dir: str, ignore: Sequence[str] = (), mode: str = "safe",
                  dry_run: bool = False, job: str = "job", run_id: str | None = None,
-                 depth: int = 3, preamble: Sequence[str] = ()) -> DataFrame:
+                 depth: int = 3, preamble: Sequence[str] = (), state_table: str | None = None,
+                 state_buckets: int | None = None) -> DataFrame:
     """Plan and execute one snapshot run; returns a one-row summary.
 
-    Dry run: plans and returns the summary with the would-be copies, but
-    writes nothing to the store, the manifest area or the state."""
+    State lives in ``state_dir`` snapshot folders, or - with
+    ``state_table`` and a persistent catalog - in tables
+    ``<state_table>_<run id>`` bucketed by path, so the state join shuffles
+    only the inventory side.  Dry run: plans and returns the summary with
+    the would-be copies, but writes nothing to the store, the manifest area
+    or the state."""
     run_id = run_id or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     work = f"{work_dir.rstrip('/')}/run={run_id}"
 
     scan = materialize(INV.inventory(spark, list(roots), list(ignore)), f"{work}/inventory")
     files = INV.files_only(scan)
-    state = read_state(spark, state_dir)
+    if state_table:
+        latest = latest_state_table(spark, state_table)
+        state = (spark.table(latest).select("path", "st_hash", "st_hash_mtime", "backup_mtime") if latest
+                 else spark.createDataFrame([], STATE_SCHEMA))
+    else:
+        state = read_state(spark, state_dir)
     store = DirectoryStore(spark, store_root).list() if mode == "safe" else None
     opts = S.PlanOptions(mode=mode, variant="C", depth=depth, order=("root_ord", "path"))
     planned = materialize(S.plan(files, state, store, opts), f"{work}/plan")
@@ -106,7 +122,11 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
     saved = results.filter(F.col("status").isin("copied", "exists", "overwritten"))
     saved_paths = saved.select("path")
     new_state = SS.merge_state(state, SS.state_updates(planned, saved_paths))
-    SS.write_state(new_state, state_dir, run_id)
+    if state_table:
+        buckets = state_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        SS.write_state_bucketed(new_state, f"{state_table.lower()}_{run_id.lower()}", buckets)
+    else:
+        SS.write_state(new_state, state_dir, run_id)
 
     return results.agg(
         F.count_if(F.col("status") == "copied").alias("n_copied"),

@@ -186,3 +186,15 @@ def test_large_directory_split_into_shards(spark, tmp_path):
     whole = {x.path for x in INV.files_only(INV.inventory(spark, [str(flat)])).collect()}
     split = {x.path for x in INV.files_only(INV.inventory(spark, [str(flat)], split_entries=25)).collect()}
     assert whole == split and len(split) == 120
+
+
+def test_run_with_bucketed_state_tables(spark, tree, tmp_path):
+    import uuid
+    prefix = f"st{uuid.uuid4().hex[:6]}"
+    kw = dict(roots=[str(tree)], store_root=str(tmp_path / "store"), state_dir=str(tmp_path / "unused"),
+              work_dir=str(tmp_path / "work"), ignore=["node_modules"], mode="safe", state_table=prefix)
+    r1 = run_snapshot(spark, run_id="20240101T000000", **kw).first()
+    r2 = run_snapshot(spark, run_id="20240101T000100", **kw).first()
+    assert r1.n_queued > 0 and r2.n_queued == 0
+    names = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(prefix))
+    assert len(names) == 2 and not (tmp_path / "unused").exists()
