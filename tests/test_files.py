@@ -198,3 +198,21 @@ def test_run_with_bucketed_state_tables(spark, tree, tmp_path):
     assert r1.n_queued > 0 and r2.n_queued == 0
     names = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(prefix))
     assert len(names) == 2 and not (tmp_path / "unused").exists()
+
+
+def test_unreadable_directory_becomes_issue_row(tree, monkeypatch):
+    real = os.scandir
+    blocked = str(tree / "sub")
+
+    def fake(p="."):
+        if str(p) == blocked:
+            raise PermissionError(13, "Permission denied")
+        return real(p)
+
+    monkeypatch.setattr(INV.os, "scandir", fake)
+    unit = INV._Unit(0, str(tree), str(tree), True)
+    rows = list(INV._walk(unit, INV._Matcher(["node_modules"])))
+    issues = [r for r in rows if r[-1] is not None]
+    files = {os.path.basename(r[3]) for r in rows if r[-1] is None}
+    assert [(r[3], r[-1]) for r in issues] == [(blocked, "unreadable: Permission denied")]
+    assert "same1.txt" not in files and "empty.txt" in files        # the rest of the tree goes on
