@@ -75,36 +75,51 @@ def _order_key(len_col, sec_col):
     return F.struct((-len_col).alias("l"), sec_col.alias("s"))
 
 
+MAX_BOUND_SAMPLE = 200_000
+
+
 def secret_chunks(secrets: DataFrame, chunk_size: int = CHUNK_SIZE):
     """Yield the cleaned registry as lists in masking order (longest first,
-    then by value), each of at most about ``chunk_size`` secrets."""
+    then by value), each of at most about ``chunk_size`` secrets.
+
+    Range bounds come from a sample of at most ``MAX_BOUND_SAMPLE`` rows; a
+    range that still holds too many secrets is split again from a sample of
+    its own, so the driver never holds more than the sample or one chunk."""
     reg = clean_registry(secrets).select("secret", F.length("secret").alias("_len"))
-    n = reg.count()
+    key = _order_key(F.col("_len"), F.col("secret"))
+    yield from _chunks_of(reg, key, chunk_size, reg.count())
+
+
+def _bound(k):
+    return F.struct(F.lit(k[0]).alias("l"), F.lit(k[1]).alias("s"))
+
+
+def _chunks_of(reg: DataFrame, key, chunk_size: int, n: int):
     if n == 0:
         return
-    if n <= chunk_size:
+    if n <= 2 * chunk_size:
         rows = reg.orderBy(F.col("_len").desc(), "secret").collect()
         yield [r["secret"] for r in rows]
         return
-    n_chunks = 2 * (-(-n // chunk_size))
-    per = 20
-    frac = min(1.0, per * n_chunks / n)
-    samp = reg.sample(withReplacement=False, fraction=frac, seed=11).collect()
-    keys = sorted((-r["_len"], r["secret"]) for r in samp)
-    bounds = keys[per::per]
+    n_chunks = -(-n // chunk_size)
+    want = min(MAX_BOUND_SAMPLE, 20 * n_chunks)
+    samp = reg.sample(withReplacement=False, fraction=min(1.0, want / n), seed=11).collect()
+    keys = sorted({(-r["_len"], r["secret"]) for r in samp})
+    step = max(1, len(keys) // n_chunks)
+    bounds = keys[step::step]
     edges = [None, *bounds, None]
-    key = _order_key(F.col("_len"), F.col("secret"))
     for lo, hi in zip(edges[:-1], edges[1:]):
         cond = F.lit(True)
         if lo is not None:
-            cond = cond & (key >= F.struct(F.lit(lo[0]).alias("l"), F.lit(lo[1]).alias("s")))
+            cond = cond & (key >= _bound(lo))
         if hi is not None:
-            cond = cond & (key < F.struct(F.lit(hi[0]).alias("l"), F.lit(hi[1]).alias("s")))
+            cond = cond & (key < _bound(hi))
         part = reg.filter(cond)
-        if part.limit(4 * chunk_size + 1).count() > 4 * chunk_size:
-            raise ValueError("secret chunk far above its bound; sample too small")
-        rows = part.orderBy(F.col("_len").desc(), "secret").collect()
-        if rows:
+        m = part.count()
+        if m > 2 * chunk_size and len(bounds) > 0:
+            yield from _chunks_of(part, key, chunk_size, m)     # sample too coarse here: split again
+        elif m:
+            rows = part.orderBy(F.col("_len").desc(), "secret").collect()
             yield [r["secret"] for r in rows]
 
 

@@ -186,3 +186,12 @@ def test_as_int_follows_integer_parse_rules(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v string")
     got = {r.v: r.i for r in df.select("v", FE.as_int("v", -1).alias("i")).collect()}
     assert got == vals
+
+
+def test_secret_chunks_resplit_when_sample_is_coarse(spark, monkeypatch):
+    monkeypatch.setattr(FM, "MAX_BOUND_SAMPLE", 10)
+    vals = [f"{'y' * (i % 5 + 1)}{i:04d}" for i in range(800)]
+    secrets = spark.createDataFrame([(v,) for v in vals], "secret string")
+    chunks = list(FM.secret_chunks(secrets, chunk_size=40))
+    assert max(len(c) for c in chunks) <= 80
+    assert [s for c in chunks for s in c] == FM.ordered_secret_list(secrets)
