@@ -72,3 +72,25 @@ def test_subtree_ignore_equals_walk(spark, paths, patterns):
     df = spark.createDataFrame(rows, "root string, path string, name string")
     got = {r.path for r in IG.apply_ignore(df, patterns, subtree=True).collect()}
     assert got == want
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["/a", "/a/b", "/b", "/a b", "/ä"]),
+                          st.text(alphabet="xyz.", min_size=1, max_size=4)), min_size=1, max_size=30, unique=True))
+def test_manifest_text_order(spark, entries):
+    import tempfile
+    from snapplan.operators import manifest as MF
+    rows = [{"dir": d, "path": f"{d}/{n}", "name": n, "hash": "h" + n, "ext": "", "size": len(n),
+             "mtime": 1704067200, "in_queue": "x"} for d, n in entries]
+    df = spark.createDataFrame(rows, "dir string, path string, name string, hash string, ext string, "
+                                     "size long, mtime long, in_queue string")
+    out = tempfile.mkdtemp(prefix="snapplan-manifest-") + "/m"
+    MF.write_manifest(MF.manifest_lines(MF.manifest_rows(df), ["run"]), out, partitions=3)
+    import glob
+    text = "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(out + "/part-*")))
+    want = ["run", "EOF", "", MF.MANIFEST_HEADER]
+    for d in sorted({r["dir"] for r in rows}, key=lambda s: s.encode()):
+        want.append("dir >> " + d)
+        for r in sorted((r for r in rows if r["dir"] == d), key=lambda r: r["path"].encode()):
+            want.append(f"{r['name']},{r['hash']},,{r['size']},133485408000000000,x")
+    assert text.splitlines() == want
