@@ -94,3 +94,22 @@ def test_manifest_text_order(spark, entries):
         for r in sorted((r for r in rows if r["dir"] == d), key=lambda r: r["path"].encode()):
             want.append(f"{r['name']},{r['hash']},,{r['size']},133485408000000000,x")
     assert text.splitlines() == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from(["K1", "K2"]),
+                          st.one_of(st.none(), st.text(alphabet="ab", min_size=1, max_size=2)),
+                          st.sampled_from(["default", "file", "env", "cmdline"])), min_size=1, max_size=40))
+def test_overlay_resolution_equals_bruteforce(spark, rows):
+    from snapplan.operators import overlay as OV
+    data = [(job, "S", k, v, layer, i) for i, (job, k, v, layer) in enumerate(rows)]
+    df = spark.createDataFrame(data, "job long, section string, skey string, value string, layer string, seq long")
+    got = {(r.job, r.skey): (r.value, r.layer) for r in OV.resolve_layers(df).collect()}
+    want = {}
+    for job, sec, k, v, layer, seq in data:
+        if v is None:
+            continue
+        cand = (OV.LAYER_RANK[layer], seq, v, layer)
+        if (job, k) not in want or cand[:2] > want[(job, k)][:2]:
+            want[(job, k)] = cand
+    assert got == {key: (c[2], c[3]) for key, c in want.items()}
