@@ -113,3 +113,25 @@ def test_overlay_resolution_equals_bruteforce(spark, rows):
         if (job, k) not in want or cand[:2] > want[(job, k)][:2]:
             want[(job, k)] = cand
     assert got == {key: (c[2], c[3]) for key, c in want.items()}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["i1", "i2", "i3"]), st.integers(0, 5), st.booleans(),
+                          st.integers(1, 99)), min_size=1, max_size=30), st.integers(0, 3))
+def test_retry_outcome_equals_bruteforce(spark, rows, max_retries):
+    import datetime as dt
+    from snapplan.operators import runlog as RL
+    data = [(1, item, dt.datetime(2024, 1, 1, 0, 0, sec), i, ok, b) for i, (item, sec, ok, b) in enumerate(rows)]
+    df = spark.createDataFrame(data, "job int, item string, ts timestamp_ntz, event_id long, ok boolean, bytes long")
+    got = {r.item: (r.status, r.tries, r.saved_event_id) for r in RL.retry_outcome(df, max_retries).collect()}
+    want = {}
+    for item in {d[1] for d in data}:
+        att = sorted((d for d in data if d[1] == item), key=lambda d: (d[2], d[3]))[: max_retries + 1]
+        first_ok = next((n for n, d in enumerate(att, 1) if d[4]), None)
+        if first_ok:
+            want[item] = ("saved", first_ok, att[first_ok - 1][3])
+        elif len(att) == max_retries + 1:
+            want[item] = ("exhausted", len(att), None)
+        else:
+            want[item] = ("pending", len(att), None)
+    assert got == want
