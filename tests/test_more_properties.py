@@ -135,3 +135,37 @@ def test_retry_outcome_equals_bruteforce(spark, rows, max_retries):
         else:
             want[item] = ("pending", len(att), None)
     assert got == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a/", "b/c/", ""]), st.sampled_from(["h1", "h2", "", ".x"]),
+                          st.sampled_from(["", ".bin", ".tar.gz", "."]), st.integers(0, 3)),
+                min_size=1, max_size=20))
+def test_store_from_listing_equals_bruteforce(spark, rows):
+    from snapplan.sources.listings import store_from_listing
+    listing = sorted({(d + h + e, s) for d, h, e, s in rows})
+    df = spark.createDataFrame(listing, "path string, size long")
+    got = {r.hash: r.size for r in store_from_listing(df).collect()}
+    want = {}
+    for path, size in sorted(listing):                  # greatest path listed last wins
+        name = path.rsplit("/", 1)[-1]
+        stem = name[: name.rfind(".")] if "." in name else name
+        if stem and size > 0:
+            want[stem] = size
+    assert got == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.dictionaries(st.integers(0, 30), st.sampled_from(["d1", "d2", "d3", "d4"]), min_size=1, max_size=20),
+       st.dictionaries(st.integers(0, 30), st.sampled_from(["d1", "d2", "d9"]), max_size=20))
+def test_table_snapshot_equals_bruteforce(spark, cur, prev):
+    from snapplan.plans import snapshot as S
+    c = spark.createDataFrame(sorted(cur.items()), "k long, digest string")
+    p = spark.createDataFrame(sorted(prev.items()), "k long, digest string")
+    got = {r.k: (r.status, r.queued) for r in S.table_snapshot(c, p).collect()}
+    status = {k: "new" if k not in prev else ("changed" if prev[k] != d else "unchanged") for k, d in cur.items()}
+    first = {}
+    for k in sorted(cur):
+        if status[k] != "unchanged":
+            first.setdefault(cur[k], k)
+    assert got == {k: (status[k], first.get(cur[k]) == k) for k in cur}
