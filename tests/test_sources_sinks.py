@@ -72,3 +72,17 @@ def test_manifest_preamble_variants():
     ts = dt.datetime(2024, 1, 2, 3, 4, 5)
     assert MF.manifest_preamble("C", ts, ["a=1"]) == ["Backup run at: 2024-01-02 03:04:05", "a=1"]
     assert MF.manifest_preamble("P", ts) == ["Backup configuration:"]
+
+
+def test_variant_p_clears_backup_mark_of_unsaved_items(spark):
+    from snapplan.sources import state as SS
+    planned = spark.createDataFrame(
+        [("/a", "h1", 10, False, True, False), ("/b", "h2", 20, False, True, False), ("/c", "h3", 30, False, False, False)],
+        "path string, hash string, mtime long, stale boolean, queued boolean, repair boolean") \
+        .withColumn("upload_required", F.col("queued"))
+    old = spark.createDataFrame([("/a", "h1", 10, 5), ("/b", "h2", 20, 5), ("/c", "h3", 30, 30)],
+                                "path string, st_hash string, st_hash_mtime long, backup_mtime long")
+    saved = spark.createDataFrame([("/a",)], "path string")
+    new = {r.path: r.backup_mtime for r in
+           SS.merge_state(old, SS.state_updates(planned, saved, variant="P")).collect()}
+    assert new == {"/a": 10, "/b": None, "/c": 30}     # saved -> marked, queued but unsaved -> cleared
