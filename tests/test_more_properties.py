@@ -169,3 +169,39 @@ def test_table_snapshot_equals_bruteforce(spark, cur, prev):
         if status[k] != "unchanged":
             first.setdefault(cur[k], k)
     assert got == {k: (status[k], first.get(cur[k]) == k) for k in cur}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet="ab./", min_size=1, max_size=10), min_size=5, max_size=20, unique=True))
+def test_path_parts_equal_python(spark, paths):
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    parts = FP.path_parts("p")
+    got = {r.p: (r.dir, r.name, r.stem) for r in df.select("p", *[v.alias(k) for k, v in parts.items()]).collect()}
+    def ref(p):
+        d, _, n = p.rpartition("/")
+        stem = n[: n.rfind(".")] if "." in n else n
+        return (d, n, stem)
+    assert got == {p: ref(p) for p in paths}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["/x", "/y", "/z"]),
+                          st.sampled_from(["user.md5_hash_value", "user.md5_hash_mtime", "user.job_backup_mtime",
+                                           "user.other"]),
+                          st.sampled_from(["7", "12", "abc"])), min_size=1, max_size=15))
+def test_state_wide_equals_bruteforce(spark, rows):
+    from snapplan.sources import state as SS
+    kv = {}
+    for p, a, v in rows:                       # one value per (path, attribute): keep the greatest
+        kv[(p, a)] = max(kv.get((p, a), v), v)
+    df = spark.createDataFrame([(p, a, v) for (p, a), v in kv.items()], "path string, attr string, value string")
+    got = {tuple(r) for r in SS.state_wide(df).collect()}
+    want = set()
+    for p in {p for p, _ in kv}:
+        h = kv.get((p, "user.md5_hash_value"))
+        hm, bm = kv.get((p, "user.md5_hash_mtime")), kv.get((p, "user.job_backup_mtime"))
+        as_long = lambda v: int(v) if v is not None and v.isdigit() else None
+        row = (p, h, as_long(hm), as_long(bm))
+        if any(x is not None for x in row[1:]):
+            want.add(row)
+    assert got == want
