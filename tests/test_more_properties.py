@@ -205,3 +205,24 @@ def test_state_wide_equals_bruteforce(spark, rows):
         if any(x is not None for x in row[1:]):
             want.add(row)
     assert got == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="0123456789abcdef", min_size=1, max_size=6),
+                          st.sampled_from(["", ".txt", ".tar.gz"])), min_size=1, max_size=15),
+       st.integers(0, 8))
+def test_shard_path_equals_python(spark, rows, depth):
+    df = spark.createDataFrame(rows, "h string, e string")
+    got = [r.d for r in df.select(FP.shard_path("h", "e", depth).alias("d")).collect()]
+    want = ["/".join(h[i] for i in range(min(depth, len(h)))) + "/" + h + e for h, e in rows]
+    assert got == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet="ab ,;\t", max_size=12), min_size=1, max_size=15))
+def test_split_list_equals_python(spark, values):
+    from snapplan.functions import encodings as FE
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = {r.i: r.l for r in df.select("i", FE.split_list("v").alias("l")).collect()}
+    want = {i: [x.strip() for x in v.replace(";", ",").split(",") if x.strip()] for i, v in enumerate(values)}
+    assert got == want
