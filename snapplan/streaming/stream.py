@@ -233,3 +233,51 @@ def latest_epoch(spark: SparkSession, out: str) -> DataFrame:
 
 __all__ = ["stream_dedup", "stream_plan", "stream_retry", "stream_totals", "use_rocksdb",
            "write_batches", "read_stream", "run_to_parquet", "run_complete_to_parquet", "latest_epoch"]
+
+
+# --------------------------------------------------------------------------
+# O-66: delayed retries as a second stream source
+# --------------------------------------------------------------------------
+
+RETRY_SCHEMA = "path string, dest string, hash string, size long, try_count int"
+
+
+def _put_batch(source: str, store_root: str, retry_dir: str, results_dir: str, max_retries: int):
+    from ..operators.store import copy_to_store
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        items = batch.select("path", "dest", "hash", "size",
+                             F.coalesce(F.col("try_count"), F.lit(0)).cast("int").alias("try_count"))
+        out = f"{results_dir.rstrip('/')}/source={source}/batch_id={batch_id}"
+        copy_to_store(items, store_root).write.mode("overwrite").parquet(out)   # side effects once
+        res = spark.read.parquet(out)
+        again = (res.filter((F.col("status") == "failed") & (F.col("tries") <= max_retries))
+                 .join(items.drop("try_count"), ["path", "dest", "hash"])
+                 .select("path", "dest", "hash", "size", F.col("tries").cast("int").alias("try_count")))
+        again.write.mode("overwrite").parquet(f"{retry_dir.rstrip('/')}/from={source}-{batch_id:08d}")
+
+    return each
+
+
+def stream_put_with_retries(queue_sdf: DataFrame, store_root: str, retry_dir: str, results_dir: str,
+                            checkpoint_dir: str, max_retries: int = 3, delay_s: int | None = None,
+                            rounds: int | None = None) -> None:
+    """Put queue items as they stream in; a failed put goes to ``retry_dir``
+    with its try count, which a second stream reads and puts again, until
+    ``max_retries`` retries are used.  In production the retry stream runs
+    on a ``processingTime`` trigger of ``delay_s`` seconds (the delay before
+    a retry); with ``rounds`` it is run that many times with an
+    availableNow trigger (tests, batch catch-up)."""
+    spark = queue_sdf.sparkSession
+    q = (queue_sdf.writeStream.foreachBatch(_put_batch("queue", store_root, retry_dir, results_dir, max_retries))
+         .option("checkpointLocation", f"{checkpoint_dir.rstrip('/')}/queue").trigger(availableNow=True).start())
+    q.awaitTermination()
+    retry_src = (spark.readStream.schema(RETRY_SCHEMA).option("recursiveFileLookup", "true").parquet(retry_dir))
+    writer = (retry_src.writeStream.foreachBatch(_put_batch("retry", store_root, retry_dir, results_dir, max_retries))
+              .option("checkpointLocation", f"{checkpoint_dir.rstrip('/')}/retry"))
+    if rounds is None:
+        writer.trigger(processingTime=f"{delay_s or 5} seconds").start()       # runs until stopped
+        return
+    for _ in range(rounds):
+        writer.trigger(availableNow=True).start().awaitTermination()

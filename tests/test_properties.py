@@ -177,3 +177,27 @@ def test_stream_state_updates_equal_batch_merge(spark, tmp_path):
     # digests; queued representatives may differ by batch, hence compare the digest columns
     batch = {tuple(r) for r in SS.merge_state(fx.state, SS.state_updates(planned(fx, "fast"))).collect()}
     assert {r[:3] for r in streamed} == {r[:3] for r in batch}
+
+
+def test_stream_put_with_retries(spark, tmp_path):
+    from snapplan.streaming import stream as STR
+    src_files = tmp_path / "src"
+    src_files.mkdir()
+    (src_files / "good.txt").write_text("good")
+    (src_files / "bad.txt").write_text("bad")
+    store = tmp_path / "store"
+    store.mkdir()
+    (store / "x").write_text("a file where a directory is needed")      # blocks the bad destination
+    queue = spark.createDataFrame(
+        [(str(src_files / "good.txt"), "a/b/c/abc.txt", "abc", 4, 0), (str(src_files / "bad.txt"), "x/y/z/xyz.txt", "xyz", 3, 0)],
+        STR.RETRY_SCHEMA)
+    qdir = str(tmp_path / "queue")
+    queue.write.parquet(qdir)
+    sdf = spark.readStream.schema(STR.RETRY_SCHEMA).parquet(qdir)
+    STR.stream_put_with_retries(sdf, str(store), str(tmp_path / "retry"), str(tmp_path / "res"),
+                                str(tmp_path / "ck"), max_retries=2, rounds=4)
+    res = spark.read.parquet(str(tmp_path / "res"))
+    bad = sorted(r.tries for r in res.filter(F.col("hash") == "xyz").collect())
+    good = [(r.status, r.tries) for r in res.filter(F.col("hash") == "abc").collect()]
+    assert bad == [1, 2, 3] and good == [("copied", 1)]           # 1 try + 2 retries, then it stops
+    assert (store / "a" / "b" / "c" / "abc.txt").read_text() == "good"
