@@ -226,3 +226,18 @@ def test_split_list_equals_python(spark, values):
     got = {r.i: r.l for r in df.select("i", FE.split_list("v").alias("l")).collect()}
     want = {i: [x.strip() for x in v.replace(";", ",").split(",") if x.strip()] for i, v in enumerate(values)}
     assert got == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(max_size=40), min_size=1, max_size=20))
+def test_digests_equal_hashlib(spark, texts):
+    import hashlib
+    from snapplan.functions import digest as FD
+    texts = [t.encode("utf-8", "surrogatepass").decode("utf-8", "ignore") for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.m, r.s1, r.s2) for r in df.select("i", FD.digest("t", "md5").alias("m"),
+                                                    FD.digest("t", "sha1").alias("s1"),
+                                                    FD.digest("t", "sha256").alias("s2")).collect()}
+    want = {i: tuple(hashlib.new(a, t.encode("utf-8")).hexdigest() for a in ("md5", "sha1", "sha256"))
+            for i, t in enumerate(texts)}
+    assert got == want
