@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .line_dedup import ORACLE as LINE_SQL
+from .line_dedup import line_dedup
 from .packing import best_fit_packing
 from .token_count import token_counts
 from .toxicity import toxicity
@@ -14,6 +17,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -23,5 +31,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op8_token_counts, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op8_token_counts, op10_toxicity)}
+ORACLES: dict[str, str] = {"op2_line_dedup": LINE_SQL}
