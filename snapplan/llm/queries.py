@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .line_dedup import ORACLE as LINE_SQL
 from .line_dedup import line_dedup
+from .mixing import mix_sources
 from .packing import best_fit_packing
 from .token_count import token_counts
 from .toxicity import toxicity
@@ -22,6 +23,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents", "doc_id", "source"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -31,5 +36,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op8_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_source_mixing, op8_token_counts, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_line_dedup": LINE_SQL}
