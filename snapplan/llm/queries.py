@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprints import document_fingerprints
 from .line_dedup import ORACLE as LINE_SQL
 from .line_dedup import line_dedup
 from .mixing import mix_sources
@@ -27,6 +28,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents", "doc_id", "source"))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -36,5 +41,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_source_mixing, op8_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_source_mixing, op4_document_fingerprints, op8_token_counts, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_line_dedup": LINE_SQL}
