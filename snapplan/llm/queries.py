@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fingerprints import document_fingerprints
+from .html_text import page_texts
 from .line_dedup import ORACLE as LINE_SQL
 from .line_dedup import line_dedup
 from .mixing import mix_sources
@@ -32,6 +33,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -41,5 +46,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_source_mixing, op4_document_fingerprints, op8_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_source_mixing, op4_document_fingerprints, op7_html_main_text, op8_token_counts, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_line_dedup": LINE_SQL}
