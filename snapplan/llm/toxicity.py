@@ -30,6 +30,8 @@ from .words import ALNUM, U, Words, batches_of, mix, words
 
 #: size of the model: at most so many words with a score, the surest ones
 FEATURES = 1 << 18
+#: labelled documents the classifier is fitted on, at most (taken in order of a hash of their ids)
+LABELLED = 1 << 18
 PREFIXES = (4, 5, 6)     # first bytes of a word that count as features of their own
 HELD = 2_000_000         # features a task adds up before it hands them on
 PRIOR_SHARE = 0.02       # strength of the prior against the labelled words
@@ -272,9 +274,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+             labelled: int = LABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (also evidence and n_words).
 
+    The classifier is fitted on at most ``labelled`` documents with a label, a
+    bound that lets their ids go to every task in place of a shuffle of the
+    texts; words are counted over all documents.
     Labels are learnt where ``held_out`` is false, ``toxic`` is 0 or 1 and the
     id is not null; of several labels for one id the largest counts.  Null or
     empty text has no evidence and gets the base score.  Null doc_id: scored,
@@ -283,6 +289,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         F.max("toxic").alias("label")).filter(~held_out(F.col("doc_id")))
+    known = F.broadcast(settle(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)))
     rows = docs.select("doc_id", "text").join(known, "doc_id", "left")
     model = learn(rows, F.col("label"))
     found = _scan(rows, model, spans=False)
