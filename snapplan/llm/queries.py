@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embedding_links import embedding_links
 from .fingerprints import document_fingerprints
 from .html_text import page_texts
 from .line_dedup import ORACLE as LINE_SQL
@@ -41,10 +42,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents", "doc_id", "text"),
                     table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_source_mixing, op4_document_fingerprints, op7_html_main_text, op8_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_line_dedup, op3_source_mixing, op4_document_fingerprints, op7_html_main_text,
+    op8_token_counts, op9_embedding_links, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_line_dedup": LINE_SQL}
