@@ -8,11 +8,15 @@ other orders go round the ring of hashes from different points; a candidate
 must also share prefix tokens under each of them before it is verified on the
 whole sets.
 
-A group of classes with a common prefix token gives no list of all its pairs:
-one member, the pivot, is compared with all others, linked classes become one
-component, and only members of different components are looked at again, with
-another pivot.  When few pairs across components are left they are compared
-one by one.  So every pair of linked classes ends in one component.
+Before sets are fetched, a pair must also pass by size and by the parity maps
+of both sets: bits that differ bound how many tokens differ from below.
+
+A large group of classes with a common prefix token gives no list of all its
+pairs.  First a few members, the pivots, are compared with all others; linked
+classes become one component.  Then only members of different components of a
+group meet, block by block inside tasks, and only pairs that pass those two
+bounds come out to be verified.  So every pair of linked classes ends in one
+component, whatever the size of its groups.
 
 Frequencies need each token beside its holders once: a token shared by a large
 share of the documents is found first and broadcast (at most 1 / HOT per
@@ -42,7 +46,10 @@ HALF = 1 << 63           # tokens below come first in the index order; the other
 ORDERS = (1, 2, 3)       # further orders begin at these quarters of the ring
 TOKENS = 1_000_000       # tokens of a part of the exchange, about
 PIVOTS = 256             # pairs of one pivot in one task, about
-RESIDUE = 4              # pairs across components, per posting, that may be compared one by one
+SMALL = 16               # classes of a token whose pairs are joined outright
+KINDS = 8                # pivots that a family of classes meets, about
+BLOCK = 1024             # classes of a block in a large group
+BITS = 512               # bits of a class's parity map
 
 
 def shingle_sets(texts: list[str | None], n: int = WORDS) -> Iterator[np.ndarray]:
@@ -65,6 +72,12 @@ def signature(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens).sum(dtype=U) ^ U(len(tokens))]))[0])
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """A map of ``BITS`` bits in whole numbers: whether an odd number of tokens falls on each."""
+    odd = np.bincount((tokens & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_size(n: int | np.ndarray, percent: int = PERCENT):
     return n - -(-n * percent // 100) + 1
 
@@ -109,8 +122,9 @@ def _spread(docs: DataFrame, n: int, percent: int, hot: np.ndarray, parts: int)
         done: set[int] = set()
 
         def emit(sets: list[np.ndarray], names: list[int]) -> Iterator[pa.RecordBatch]:
-            sizes, firsts, hots, tokens = [], [], [], []
+            sizes, firsts, hots, tokens, bits = [], [], [], [], []
             for s in sets:
+                bits.append(parity(s).tolist())
                 p = prefix_size(len(s), percent)
                 at = np.minimum(np.searchsorted(hot_tokens, s), max(len(hot_tokens) - 1, 0))
                 is_hot = hot_tokens[at] == s if len(hot_tokens) else np.zeros(len(s), dtype=bool)
@@ -130,8 +144,9 @@ def _spread(docs: DataFrame, n: int, percent: int, hot: np.ndarray, parts: int)
                  pa.concat_arrays([fat.column(1), pa.nulls(m, pa.binary())]),
                  pa.concat_arrays([pa.nulls(k, pa.int64()), _signed(all_names)]),
                  pa.array([None] * k + sizes, pa.int64()), pa.array([None] * k + firsts, pa.int64()),
-                 pa.array([None] * k + hots, pa.list_(pa.int64()))],
-                names=["part", "pairs", "cls", "n", "firsts", "hots"])
+                 pa.array([None] * k + hots, pa.list_(pa.int64())),
+                 pa.array([None] * k + bits, pa.list_(pa.int64()))],
+                names=["part", "pairs", "cls", "n", "firsts", "hots", "bits"])
 
         for batch in batches:
             sets, names, held = [], [], 0
@@ -149,10 +164,10 @@ def _spread(docs: DataFrame, n: int, percent: int, hot: np.ndarray, parts: int)
             if sets:
                 yield from emit(sets, names)
 
-    return docs.select("text").mapInArrow(run, f"{FAT}, cls long, n long, firsts long, hots array<long>")
+    return docs.select("text").mapInArrow(run, f"{FAT}, cls long, n long, firsts long, hots array<long>, bits array<long>")
 
 
-SHARED = "cls long, token long, df long, n long, firsts long, hots array<long>"
+SHARED = "cls long, token long, df long, n long, firsts long, hots array<long>, bits array<long>"
 
 
 def _shared(block: pa.Table) -> pa.Table:
@@ -170,11 +185,13 @@ def _shared(block: pa.Table) -> pa.Table:
                                                                                pa.nulls(m, pa.int64())]),
         "df": pa.concat_arrays([pa.array(df[some]), pa.nulls(m, pa.int64())]),
         "n": below(none, "n"), "firsts": below(none, "firsts"),
-        "hots": below(pa.nulls(k, pa.list_(pa.int64())), "hots")})
+        "hots": below(pa.nulls(k, pa.list_(pa.int64())), "hots"),
+        "bits": below(pa.nulls(k, pa.list_(pa.int64())), "bits")})
 
 
-def postings(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """token, cls, n: the prefix of each class under the index order, without tokens that one class alone holds."""
+def postings(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """token, cls: the prefix of each class under the index order, without tokens that one class alone holds;
+    and cls, n, bits of the classes."""
     rows = sets.filter("token is null")
     count, tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = (sets.filter("token is not null").groupBy("token").agg(F.sum("held").alias("held"))
@@ -184,7 +201,8 @@ def postings(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFram
                     .groupBy("part").applyInArrow(_shared, SHARED))
     # a class may come from several tasks; the rows are equal
     own = shared.filter("token is null").groupBy("cls").agg(
-        F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("hots").alias("hots"))
+        F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("hots").alias("hots"), F.first("bits").alias("bits"))
+    own = settle(own)
     held = shared.filter("token is not null").select("cls", "token", "df")
     by_class = Window.partitionBy("cls")
     late = F.col("token") < 0                          # from the upper half of the ring, as a signed number
@@ -194,8 +212,8 @@ def postings(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFram
     prefix = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
     inside = (ranked.join(own.select("cls", "n", "firsts"), "cls")
               .filter(F.col("late") | (F.col("rank") <= prefix - (F.col("firsts") - F.col("early")))))
-    hots = own.select("cls", "n", F.explode("hots").alias("token"))
-    return settle(inside.select("token", "cls", "n").unionByName(hots.select("token", "cls", "n")))
+    hots = own.select(F.explode("hots").alias("token"), "cls")
+    return settle(inside.select("token", "cls").unionByName(hots)), own.select("cls", "n", "bits")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -254,56 +272,119 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent
     return settle(both.mapInArrow(judge, "a long, b long"))
 
 
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _passed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that sizes and parity maps do not rule out."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"),
+                                          F.col("bits").alias(f"bits{c}")), c)
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+                         lambda x, y: x + y)
+    both = F.col("na") + F.col("nb")
+    return pairs.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+                        & (differ * (100 + percent) <= both * (100 - percent))).select("a", "b")
+
+
+def _cross_pairs(group: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes of two blocks (side 0 and 1) in different components that the two bounds let pass."""
+    cls, n, bits, comp, side = group
+    out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for lo in range(0, len(left), 128):
+        x = left[lo:lo + 128]
+        nx, ny = n[x][:, None], n[right][None]
+        ok = (comp[x][:, None] != comp[right][None]) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent)
+        i, j = np.nonzero(ok)
+        differ = np.bitwise_count(bits[x[i]] ^ bits[right[j]]).sum(axis=1, dtype=np.int64)
+        near = differ * (100 + percent) <= (n[x[i]] + n[right[j]]) * (100 - percent)
+        out[0].append(cls[x[i[near]]])
+        out[1].append(cls[right[j[near]]])
+    return np.concatenate(out[0]), np.concatenate(out[1])
+
+
+def _block_pairs(active: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components of large groups (token, cls, comp, n, bits, m), met block by block.
+
+    The largest component of a group is one side; all other members, few after
+    the pivots, meet it and each other.  A block of either side has about
+    ``BLOCK`` members, and two blocks meet in one place.
+    """
+    sizes = settle(active.groupBy("token", "comp").agg(F.count("*").alias("c")))
+    per = settle(sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"),
+                                            F.max("c").alias("c"), F.sum("c").alias("m")))
+    per = per.select("token", "main", F.ceil(F.col("c") / BLOCK).alias("gb"), F.col("m").alias("_m"),
+                     F.ceil((F.col("m") - F.col("c")) / BLOCK).alias("pb"))
+    rows = lookup(active.drop("m"), per, ["token"], F.col("_m"), active.count())
+    rows = rows.withColumn("main", F.col("comp") == F.col("main"))
+    mine = F.when(F.col("main"), F.pmod(F.xxhash64("cls"), F.col("gb"))).otherwise(
+        F.col("gb") + F.pmod(F.xxhash64("cls"), F.col("pb")))
+    rows = rows.withColumn("mine", mine)
+    # blocks 0 .. gb-1 are the main component's; gb .. gb+pb-1 the others'; one of a pair is always of the others
+    others = F.sequence(F.col("gb"), F.col("gb") + F.col("pb") - 1)
+    meet = F.when(F.col("main"), others).otherwise(F.sequence(F.lit(0).cast("long"), F.col("gb") + F.col("pb") - 1))
+    rows = rows.withColumn("other", F.explode(meet))
+    place = F.struct(F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    # in its own block a member is on both sides
+    sides = F.when(F.col("mine") == F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(
+        F.array(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)))
+    rows = rows.select("token", place.alias("place"), F.explode(sides).alias("side"), "cls", "n", "bits", "comp")
+    rows = rows.select("token", F.col("place.x").alias("x"), F.col("place.y").alias("y"), "side", "cls", "n",
+                       "bits", "comp")
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            t, x, y, side, cls, n, comp = (batch.column(c).to_numpy() for c in
+                                           ("token", "x", "y", "side", "cls", "n", "comp"))
+            bits = batch.column("bits").flatten().to_numpy().reshape(len(batch), -1)
+            rows_ = [t, x, y, cls, n, bits, comp, side]
+            if held is not None:
+                rows_ = [np.concatenate([a, b]) for a, b in zip(held, rows_, strict=True)]
+            t, x, y = rows_[:3]
+            ends = np.append(np.flatnonzero((t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, len(t))
+            at, a, b = 0, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for end in ends[:-1].tolist():
+                found = _cross_pairs([c[at:end] for c in rows_[3:]], percent)
+                a.append(found[0])
+                b.append(found[1])
+                at = end
+            held = [c[at:] for c in rows_]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))],
+                                             names=["a", "b"])
+        if held is not None:
+            a, b = _cross_pairs(held[3:], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    return dealt.mapInArrow(meeting, "a long, b long")
 
 
 def class_links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """id and root of every class that is linked with another: the components of the similarity join."""
-    def alike(x: str, y: str):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-    first = postings(docs, sets, n, percent)
-    active = first.withColumn("comp", F.col("cls"))
-    tried = links = roots = None
-    bound = RESIDUE * max(1, first.count())
-    for turn in range(1 << 30):
-        per = active.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
-            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k"))
-        groups = settle(per.filter("k > 1"))
-        rest = groups.agg(F.coalesce(F.sum(F.expr("(m * m - q) div 2")), F.lit(0))).first()[0]
-        if not rest:
-            break
-        active = settle(lookup(active, groups.select("token", "m"), ["token"], F.col("m"), active.count()).drop("m"))
-        last = rest <= bound
-        if last:
-            other = active.select("token", F.col("cls").alias("cls2"), F.col("n").alias("n2"),
-                                  F.col("comp").alias("comp2"))
-            pairs = active.join(other, "token").filter("cls < cls2 and comp != comp2").filter(alike("n", "n2"))
-            pairs = pairs.select(*_pair("cls", "cls2"))
-        else:
-            pivots = active.groupBy("token").agg(
-                F.count("*").alias("m"), F.min_by(F.struct("cls", "n", "comp"), F.struct(
-                    F.xxhash64(F.lit(turn), "cls"), "cls")).alias("p"))
-            met = lookup(active, pivots, ["token"], F.col("m"), active.count())
-            pairs = met.filter("comp != p.comp").filter(alike("n", "p.n")).select(*_pair("cls", "p.cls"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        if not pairs.isEmpty():
-            new = verified(pairs, docs, sets, n, percent)
-            links = new if links is None else links.unionByName(new)
-            roots = components(links)
-            over = roots.select(F.col("id").alias("cls"), "root")
-            active = active.drop("comp").join(over, "cls", "left").select(
-                "token", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if last:
-            break
-    if roots is None:
-        return docs.sparkSession.createDataFrame([], "id long, root long")
-    return roots
+    index, classes = postings(docs, sets, n, percent)
+    total = index.count()
+    sizes = settle(index.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"))
+    members = settle(lookup(index, sizes, ["token"], F.col("m"), total))
+    small, large = members.filter(F.col("m") <= SMALL), members.filter(F.col("m") > SMALL)
+    other = small.select("token", F.col("cls").alias("b"))
+    outright = small.select("token", F.col("cls").alias("a")).join(
+        other, ["token"]).filter("a < b").select("a", "b")
+    kind = F.pmod(F.col("token"), F.lit(KINDS))
+    pivots = large.groupBy("token").agg(F.max("m").alias("_m"), F.min_by(
+        "cls", F.struct(F.xxhash64(kind, "cls"), "cls")).alias("pivot"))
+    met = lookup(large.select("token", "cls"), pivots, ["token"], F.col("_m"), total)
+    met = met.filter("cls != pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+    tried = settle(_passed(outright.unionByName(met), classes, percent))
+    links = verified(tried, docs, sets, n, percent)
+    roots = components(links)
+    over = roots.select(F.col("id").alias("cls"), "root")
+    active = large.join(over, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    open_ = settle(active.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                               F.max("m").alias("_m")).filter("lo != hi").select("token", "_m"))
+    active = settle(lookup(active, open_, ["token"], F.col("_m"), total).drop("_m").join(classes, "cls"))
+    more = _passed(_block_pairs(active, percent), classes, percent).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(settle(more), docs, sets, n, percent))
+    return components(links)
 
 
 def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
