@@ -295,7 +295,7 @@ def _cross_pairs(group: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.
         nx, ny = n[x][:, None], n[right][None]
         ok = (comp[x][:, None] != comp[right][None]) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent)
         i, j = np.nonzero(ok)
-        differ = np.bitwise_count(bits[x[i]] ^ bits[right[j]]).sum(axis=1, dtype=np.int64)
+        differ = np.bitwise_count((bits[x[i]] ^ bits[right[j]]).view(U)).sum(axis=1, dtype=np.int64)
         near = differ * (100 + percent) <= (n[x[i]] + n[right[j]]) * (100 - percent)
         out[0].append(cls[x[i[near]]])
         out[1].append(cls[right[j[near]]])
