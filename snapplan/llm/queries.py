@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .ngram_join import ORACLE as NGRAM_SQL
 from .ngram_join import ngram_components
 from .packing import best_fit_packing
+from .substring_dedup import substring_dedup
 from .token_count import token_counts
 from .toxicity import toxicity
 
@@ -41,6 +42,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
@@ -59,6 +65,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_line_dedup, op3_source_mixing, op4_document_fingerprints, op5_ngram_join, op7_html_main_text,
+    op1_best_fit_packing, op2_line_dedup, op3_source_mixing, op4_document_fingerprints, op5_ngram_join, op6_substring_dedup, op7_html_main_text,
     op8_token_counts, op9_embedding_links, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_line_dedup": LINE_SQL, "op5_ngram_join": NGRAM_SQL}
