@@ -60,8 +60,9 @@ def op9_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents", "doc_id", "text"),
-                    table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    out = toxicity(table(spark, sf_dir, "documents", "doc_id", "text"),
+                   table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return out.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -163,7 +163,7 @@ def segments(places: np.ndarray, scores: np.ndarray, drift: float = DRIFT) -> li
 def _scan(docs: DataFrame, model: Model, spans: bool) -> DataFrame:
     """Per document its segment scores and word count; or with ``spans`` one row per segment."""
     keys, scores = model.keys, model.scores
-    schema = "doc_id long, n_words long, " + (
+    schema = "doc_id long, text_hash long, n_words long, " + (
         "first_word long, last_word long, score double, passage string" if spans else "scores array<double>")
     kinds = [pa.int64(), *([pa.int64(), pa.int64(), pa.float64(), pa.string()] if spans
                            else [pa.list_(pa.float64())])]
@@ -197,11 +197,11 @@ def _scan(docs: DataFrame, model: Model, spans: bool) -> DataFrame:
             names = ["n_words", *(["first_word", "last_word", "score", "passage"] if spans else ["scores"])]
             at, *columns = list(zip(*rows, strict=True)) or [()] * (len(names) + 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(at, pa.int64())),
-                 *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names])
+                [*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "text_hash")),
+                 *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "text_hash", *names])
 
     python_ready(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def _span(w, first: int, found: tuple[int, int, float]) -> tuple[int, int, float, str]:
@@ -244,7 +244,7 @@ def _scale(found: DataFrame, rate: float) -> float:
 
 
 def passages(docs: DataFrame, model: Model, scale: float) -> DataFrame:
-    """One row per significant passage: doc_id, n_words, first_word, last_word, score, passage."""
+    """One row per significant passage: doc_id, text_hash, n_words, first_word, last_word, score, passage."""
     found = _scan(docs, model, spans=True)
     return found.filter(F.log(F.lit(scale) * F.col("n_words")) - model.rate * F.col("score") < float(np.log(CHANCE)))
 
@@ -276,7 +276,8 @@ def held_out(doc_id: Column) -> Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
              labelled: int = LABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of ``docs`` (also evidence and n_words).
+    """doc_id, held_out, score, predicted of every row of ``docs``; also evidence, n_words and
+    text_hash (xxhash64 of the text).
 
     The classifier is fitted on at most ``labelled`` documents with a label, a
     bound that lets their ids go to every task in place of a shuffle of the
@@ -303,4 +304,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     z = F.lit(a) + F.lit(b) * F.col("evidence")
     score = 1 / (1 + F.exp(-z))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"),
-                        (score >= threshold).cast("int").alias("predicted"), "evidence", "n_words")
+                        (score >= threshold).cast("int").alias("predicted"), "evidence", "n_words", "text_hash")
