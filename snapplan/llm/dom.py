@@ -39,7 +39,18 @@ class Node:
             rest.extend(reversed(n.elements()))
 
     def own_text(self) -> str:
-        return " ".join(" ".join(k for k in self.kids if isinstance(k, str)).split())
+        """Text of the element and of inline elements in it, but of no block below."""
+        out, rest = [], list(reversed(self.kids))
+        while rest:
+            k = rest.pop()
+            if isinstance(k, str):
+                out.append(k)
+            elif k.tag not in BLOCK and k.tag not in HIDDEN:
+                rest.extend(reversed(k.kids))
+        return " ".join("".join(out).split())
+
+    def is_block(self) -> bool:
+        return self.tag in BLOCK or self.parent is None
 
 
 class _Builder(HTMLParser):

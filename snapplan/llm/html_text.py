@@ -2,8 +2,8 @@
 
 Pages of one host meet in blocks of bounded size (a large host has several
 blocks).  The page of median size is the block's wrapper: all others are
-aligned with it by simple tree matching.  A node of the wrapper whose text is
-the same on nearly all pages that do not copy the wrapper is template; nodes
+aligned with it by simple tree matching.  A block of the wrapper whose text is
+the same on nearly all pages that do not copy the wrapper is template; blocks
 whose text varies are slots, and the part of the tree that holds most of the
 varying text outside menus and the like is where the article is.  From each
 page that part is read, without template text and without elements that HTML
@@ -56,7 +56,7 @@ def _visible(root: Node) -> Iterator[Node]:
 
 
 def _mass(root: Node) -> int:
-    return sum(len(n.own_text()) for n in _visible(root))
+    return sum(len(n.own_text()) for n in _visible(root) if n.is_block())
 
 
 def _marked(root: Node) -> Node | None:
@@ -108,7 +108,8 @@ def blocks(root: Node, template: set[int]) -> list[str]:
         elif n is root or not beside(n) or n.tag == "header" and NAMES.isdisjoint(n.words):
             if n.tag in ("br", "td", "th"):
                 text.append(" ")
-            kids = [k for k in n.kids if isinstance(k, Node)] if id(n) in template else list(n.kids)
+            kids = [k for k in n.kids if isinstance(k, Node) and any(x.is_block() for x in k.walk())] \
+                if id(n) in template else list(n.kids)
             if n.tag in BLOCK:
                 end()
                 rest.append(None)
@@ -122,12 +123,13 @@ def main_texts(pages: list[str]) -> list[str]:
     trees = [parse(p) for p in pages]
     sizes = [sum(1 for _ in t.walk()) for t in trees]
     wrapper = trees[sorted(range(len(trees)), key=lambda i: (sizes[i], pages[i]))[len(trees) // 2]]
-    texts = {id(n): n.own_text() for n in wrapper.walk()}
+    texts = {id(n): n.own_text() for n in wrapper.walk() if n.is_block()}
     seen: dict[int, int] = {}
     same: dict[int, int] = {}
     aligned = []
     for t in trees:
-        pairs = [(id(a), b, b.own_text()) for a, b in tree_match(wrapper, t)] if t is not wrapper else []
+        pairs = [(id(a), b, b.own_text()) for a, b in tree_match(wrapper, t) if a.is_block()] \
+            if t is not wrapper else []
         aligned.append(pairs)
         total = sum(len(x) for _, _, x in pairs)
         if sum(len(x) for a, _, x in pairs if x == texts[a]) < COPY * total:
@@ -140,7 +142,8 @@ def main_texts(pages: list[str]) -> list[str]:
         template = {id(b) for a, b, x in pairs if a in fixed and x == texts[a]}
         if t is wrapper:
             template = fixed
-        varying = {id(n): len(n.own_text()) for n in _visible(t) if id(n) not in template}
+        varying = {id(n): len(n.own_text()) for n in _visible(t)
+                   if n.is_block() and id(n) not in template}
         root = _marked(t) or _heaviest(t, varying)
         out.append("\n\n".join(blocks(root, template)))
     return out
