@@ -21,9 +21,6 @@ from .plans.run import run_snapshot
 from .session import build_session
 from .sources import rules as RU
 
-MAX_RULES = 10_000
-
-
 def _rules(spark, inline: str | None, rule_file: str | None) -> list[str]:
     sources = []
     if inline:
@@ -34,8 +31,6 @@ def _rules(spark, inline: str | None, rule_file: str | None) -> list[str]:
     if not sources:
         return []
     rules = RU.union_rules(*sources)
-    if rules.count() > MAX_RULES:
-        raise SystemExit(f"more than {MAX_RULES} ignore rules; use ignore.apply_ignore_table on a rule table")
     return [r.pattern for r in rules.orderBy("source", "ord").collect()]
 
 

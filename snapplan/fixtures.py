@@ -116,8 +116,8 @@ class Fixtures:
     @cached_property
     def secrets(self) -> DataFrame:
         d = self.table("documents")
-        tok = F.regexp_extract("text", r'token = "([0-9a-f]{40})"', 1)
-        return d.select(tok.alias("secret")).filter(F.col("secret") != "").distinct()
+        tok = F.explode(F.regexp_extract_all("text", F.lit(r'token = "([0-9a-f]{40})"'), 1))
+        return d.select(tok.alias("secret")).distinct()
 
     @cached_property
     def attempts(self) -> DataFrame:
@@ -240,8 +240,7 @@ FX_SQL: dict[str, str] = {
   select * from (values (1, '# comment'), (2, ''), (3, '  *.tmp  '), (4, '*.md'), (5, 'SRC7'), (6, '/data/src3/en'),
                         (7, 'bin/Debug'), (8, '??4')) as t(ord, line))""",
     "fx_secrets": """fx_secrets as (
-  select distinct regexp_extract(text, 'token = "([0-9a-f]{40})"', 1) as secret
-  from documents where regexp_extract(text, 'token = "([0-9a-f]{40})"', 1) <> '')""",
+  select distinct unnest(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) as secret from documents)""",
     "fx_attempts": """fx_attempts as (
   select cast(user_id % 10 as int) as job, concat(cast(user_id as string), '/', cast(cast(ts as date) as string)) as item,
          ts, event_id, event_type <> 'error' as ok, cast(round(value * 10000) as bigint) as bytes

@@ -94,13 +94,12 @@ def _digest_one(path: str, algo: str, follow_links: bool = False) -> str | None:
         return None
 
 
-def tasks_for_bytes(total_bytes: int, target_bytes: int = 256 * 1024 * 1024,
-                    max_tasks: int = 100_000) -> int:
-    return int(min(max_tasks, max(1, -(-int(total_bytes or 0) // target_bytes))))
+def tasks_for_bytes(total_bytes: int, target_bytes: int = 256 * 1024 * 1024) -> int:
+    return max(1, -(-int(total_bytes or 0) // target_bytes))
 
 
 def balance_by_size(df: DataFrame, target_bytes: int = 256 * 1024 * 1024,
-                    max_tasks: int = 100_000, total_bytes: int | None = None) -> DataFrame:
+                    total_bytes: int | None = None) -> DataFrame:
     """Spread file rows over ``ceil(total bytes / target_bytes)`` tasks by a
     hash of the path, so each digest task reads about ``target_bytes``
     whatever the file count.  One file is read by one task (a digest is
@@ -108,7 +107,7 @@ def balance_by_size(df: DataFrame, target_bytes: int = 256 * 1024 * 1024,
     (An explicit partition count is kept by AQE: no coalescing.)"""
     if total_bytes is None:
         total_bytes = df.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] or 0
-    return df.repartition(tasks_for_bytes(total_bytes, target_bytes, max_tasks), F.xxhash64("path"))
+    return df.repartition(tasks_for_bytes(total_bytes, target_bytes), F.xxhash64("path"))
 
 
 def digest_files(files: DataFrame, path_col: str = "path", out_col: str = "fresh_hash",

@@ -25,9 +25,8 @@ SECRET_PLACEHOLDER = "***SECRET***"
 FLAGGED_PLACEHOLDER = "hidden"
 SENSITIVE_KEY_WORDS = ("key", "secret", "password", "token", "credential", "apikey")
 
-# Size bound for secrets carried as literals: per chunk and in total.
+# Secrets carried as literals in one chunk.
 CHUNK_SIZE = 5_000
-MAX_SECRETS = 200_000
 
 
 def clean_registry(secrets: DataFrame, secret_col: str = "secret") -> DataFrame:
@@ -58,16 +57,10 @@ def registry_remove(secrets: DataFrame, gone: DataFrame) -> DataFrame:
             .join(g, "_k", "left_anti").drop("_k"))
 
 
-def ordered_secret_list(secrets: DataFrame, max_secrets: int = MAX_SECRETS) -> list[str]:
-    """Collect the (bounded) registry in masking order: longest first, then
-    by value.  Raises when the registry exceeds the literal bound."""
-    reg = clean_registry(secrets)
-    n = reg.limit(max_secrets + 1).count()
-    if n > max_secrets:
-        raise ValueError(
-            f"secret registry holds more than {max_secrets} entries; raise "
-            "max_secrets deliberately or mask in several jobs")
-    rows = reg.orderBy(F.length("secret").desc(), F.col("secret")).collect()
+def ordered_secret_list(secrets: DataFrame) -> list[str]:
+    """The registry in masking order, longest first, then by value, on the
+    driver: for small registries and tests."""
+    rows = clean_registry(secrets).orderBy(F.length("secret").desc(), F.col("secret")).collect()
     return [r["secret"] for r in rows]
 
 
@@ -139,7 +132,7 @@ _AUTOMATA: dict = {}
 
 def _automaton(secrets: tuple[str, ...]):
     """Aho-Corasick automaton over the secrets, cached per Python worker."""
-    key = hash(secrets)
+    key = secrets
     a = _AUTOMATA.get(key)
     if a is None:
         import ahocorasick

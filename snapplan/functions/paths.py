@@ -13,18 +13,22 @@ from ._util import col
 
 
 def dirname(path) -> Column:
-    """Everything before the last ``/`` (``''`` for a bare name)."""
-    return F.regexp_extract(col(path), r"^(.*)/[^/]*$", 1)
+    """Everything before the last ``/``: ``''`` for a bare name, ``/`` for
+    an entry of the root."""
+    p = col(path)
+    before = F.substr(p, F.lit(1), F.length(p) - F.length(basename(p)) - 1)
+    return (F.when(F.instr(p, "/") == 0, F.lit("")).when(F.length(p) == F.length(basename(p)) + 1, F.lit("/"))
+            .otherwise(before))
 
 
 def basename(path) -> Column:
     """Everything after the last ``/``."""
-    return F.regexp_extract(col(path), r"([^/]*)$", 1)
+    return F.substring_index(col(path), "/", -1)
 
 
 def stem(name) -> Column:
     """Name without its last extension: ``a.tar.gz`` -> ``a.tar``, ``.x`` -> ``''``."""
-    return F.regexp_replace(col(name), r"\.[^.]*$", "")
+    return F.regexp_replace(col(name), r"\.[^.]*\z", "")
 
 
 def extension(name, variant: str = "C") -> Column:
@@ -36,9 +40,9 @@ def extension(name, variant: str = "C") -> Column:
     an extension of its own (``.DS_Store`` -> ``''``, ``name.`` -> ``.``).
     """
     if variant.upper() == "C":
-        return F.regexp_extract(col(name), r"(\.[^.]+)$", 1)
+        return F.regexp_extract(col(name), r"(\.[^.]+)\z", 1)
     if variant.upper() == "P":
-        return F.regexp_extract(col(name), r"^\.*[^.].*(\.[^.]*)$", 1)
+        return F.regexp_extract(col(name), r"(?s)^\.*[^.].*(\.[^.]*)\z", 1)
     raise ValueError(f"unknown variant {variant!r}")
 
 

@@ -11,7 +11,8 @@ scan root and the file matches (O-34).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +61,28 @@ class Rules:
         return cls(tuple(exact), tuple(glob_to_like(g) for g in globs))
 
 
+#: says whether any of some names is ignored
+NameTest = Callable[..., bool]
+
+
+def _like_regex(like: str) -> str:
+    """One LIKE pattern of ``Rules`` as a regular expression."""
+    wild = {"%": "(?s:.*)", "_": "(?s:.)"}
+    return "".join(wild.get(t) or re.escape(t[-1]) for t in re.findall(r"\\.|[^\\]", like, re.DOTALL))
+
+
+def name_test(rules: Rules) -> NameTest:
+    """``Rules`` as a plain function, for code that walks a file system in a
+    task: the same exact names and LIKE patterns as the Column form."""
+    literal = frozenset(e.upper() for e in rules.exact)
+    any_glob = re.compile("|".join(f"(?:{_like_regex(g)})" for g in rules.globs) or "(?!)", re.IGNORECASE)
+
+    def test(*names: str) -> bool:
+        return any(n.strip() and (n.upper() in literal or any_glob.fullmatch(n) is not None) for n in names)
+
+    return test
+
+
 def match_one(x, rules: Rules) -> Column:
     """One string (a bare name or a full path) against the rules."""
     c = col(x)

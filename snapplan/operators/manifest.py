@@ -89,11 +89,10 @@ def run_line(run_ts: Column, label: str = "Backup run at: ") -> Column:
 
 def write_manifest(lines: DataFrame, path: str, partitions: int | None = None) -> str:
     """O-13 sink: globally ordered text; part files concatenate in order."""
-    ordered = lines.repartitionByRange(partitions or lines.sparkSession.sparkContext.defaultParallelism,
-                                       "section", "seq", "dir", "kind", "path") \
-        if partitions else lines
-    (ordered.orderBy("section", "seq", "dir", "kind", "path").select("line")
-     .write.mode("errorifexists").text(path))
+    by = ("section", "seq", "dir", "kind", "path")
+    ordered = (lines.repartitionByRange(partitions, *by).sortWithinPartitions(*by) if partitions
+               else lines.orderBy(*by))
+    (ordered.select("line").write.mode("errorifexists").text(path))
     return path
 
 

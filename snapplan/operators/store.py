@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digest import balance_by_size
-from ..session import local_fs_path
+from ..session import has_entries, local_fs_path
 from ..sources.listings import store_from_listing
 
 RESULT_SCHEMA = ("path string, dest string, hash string, status string, tries int, "
@@ -122,8 +122,11 @@ def transfer_plan(queue: DataFrame, is_metadata: bool = False, variant: str = "C
     and the large-file flag.  Thresholds are module constants."""
     big = F.col("size") > F.lit(LARGE_TRANSFER_BYTES)
     if variant.upper() == "P":
-        if tier is not None and tier not in VALID_TIERS:
-            raise ValueError(f"invalid storage tier {tier!r}")
+        if tier is not None:
+            known = {t.casefold(): t for t in VALID_TIERS}
+            if tier.strip().casefold() not in known:
+                raise ValueError(f"invalid storage tier {tier!r}")
+            tier = known[tier.strip().casefold()]
         tier_col = F.lit(tier)
         large = F.col("size") > F.lit(LARGE_FILE_BYTES_P)
     else:
@@ -182,7 +185,7 @@ class DirectoryStore(Store):
             return self.spark.createDataFrame([], "hash string, size long")
         scan = INV.files_only(INV.inventory(self.spark, [root]))
         rel = (scan.filter(~F.col("name").contains(".tmp-"))
-               .select(F.substring("path", len(root) + 2, 1 << 20).alias("path"), "size"))
+               .select(F.expr(f"substring(path, {len(root) + 2})").alias("path"), "size"))
         return store_from_listing(rel, exclude_prefix="metadata/")
 
     def put(self, queue: DataFrame, content_col: str | None = None) -> DataFrame:
@@ -196,10 +199,9 @@ class BlobTableStore(Store):
         self.spark, self.path = spark, path
 
     def list(self) -> DataFrame:
-        try:
-            return self.spark.read.parquet(self.path).groupBy("hash").agg(F.max("size").alias("size"))
-        except Exception:  # noqa: BLE001 - absent table = empty store
+        if not has_entries(self.spark, self.path):
             return self.spark.createDataFrame([], "hash string, size long")
+        return self.spark.read.parquet(self.path).groupBy("hash").agg(F.max("size").alias("size"))
 
     def put(self, queue_with_content: DataFrame) -> DataFrame:
         return append_blobs(queue_with_content, self.list(), self.path)

@@ -40,9 +40,7 @@ def _bounds(df: DataFrame, key: str, n_buckets: int, total: int | None) -> list:
     vals = [r[0] for r in sample.orderBy(key).collect() if r[0] is not None]
     if not vals:
         return []
-    step = max(1, len(vals) // n_buckets)
-    out = sorted(set(vals[step::step]))
-    return out[: n_buckets - 1]
+    return sorted({vals[i * len(vals) // n_buckets] for i in range(1, n_buckets)})
 
 
 def bucket_of(key_col, bounds: list):
@@ -63,8 +61,7 @@ def bucket_of(key_col, bounds: list):
 
 def bucketed_running(df: DataFrame, group: Sequence[str], key: str, tiebreak: Sequence[str] = (),
                      sums: Sequence[str] = (), n_buckets: int | None = None,
-                     total: int | None = None, rows_per_bucket: int = 2_000_000,
-                     max_buckets: int = 10_000) -> DataFrame:
+                     total: int | None = None, rows_per_bucket: int = 2_000_000) -> DataFrame:
     """Adds ``run_n`` (1-based position within the group in ``key,
     tiebreak`` order) and ``run_<c>`` (running sum) for each ``c`` in
     ``sums``.  ``key`` must be orderable; buckets split on it.  The bucket
@@ -73,7 +70,7 @@ def bucketed_running(df: DataFrame, group: Sequence[str], key: str, tiebreak: Se
     if n_buckets is None:
         if total is None:
             total = df.count()
-        n_buckets = int(min(max_buckets, max(64, -(-total // rows_per_bucket))))
+        n_buckets = max(64, -(-total // rows_per_bucket))
     bounds = _bounds(df, key, n_buckets, total)
     bucket = bucket_of(F.col(key), bounds)
     g = list(group)

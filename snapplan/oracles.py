@@ -191,11 +191,13 @@ oracle("overlap_roots", with_fx(["fx_files"], """select count(*) as n_indexed, c
 # --------------------------------------------------------------------------
 
 oracle("path_parts", with_fx(["fx_files"], r"""select src, id, path,
-  regexp_extract(path, '^(.*)/[^/]*$', 1) as dir,
-  regexp_extract(path, '([^/]*)$', 1) as name,
-  regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', '') as stem
-from (select 'file' as src, doc_id as id, path from fx_files
-      union all select 'page', page_id, regexp_replace(url, '^[a-z]+://', '/') from pages)"""))
+  case when len(parts) = 2 and parts[1] = '' then '/' else array_to_string(parts[1:len(parts) - 1], '/') end as dir,
+  parts[len(parts)] as name,
+  case when strpos(parts[len(parts)], '.') = 0 then parts[len(parts)]
+       else array_to_string(string_split(parts[len(parts)], '.')[1:len(string_split(parts[len(parts)], '.')) - 1], '.')
+  end as stem
+from (select *, string_split(path, '/') as parts from (select 'file' as src, doc_id as id, path from fx_files
+      union all select 'page', page_id, regexp_replace(url, '^[a-z]+://', '/') from pages))"""))
 oracle("mtime_encodings", with_fx(["fx_files"], """select path, cast(mtime as varchar) as mtime_text,
   mtime * 10000000 + 116444736000000000 as filetime,
   coalesce(try_cast(cast(mtime as varchar) as double), '-inf'::double) as parsed,
@@ -249,11 +251,11 @@ oracle("secret_registry", with_fx(["fx_secrets"], """select secret from (
   select secret, row_number() over (partition by upper(secret) order by r, secret) as rn from (
     select secret, 0 as r from fx_secrets where trim(secret) <> ''
     union all
-    select upper(regexp_extract(text, 'token = "([0-9a-f]{40})"', 1)), 1 from documents
-      where doc_id % 2 = 0 and regexp_extract(text, 'token = "([0-9a-f]{40})"', 1) <> ''))
+    select upper(t), 1 from (select doc_id, unnest(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) as t
+      from documents) where doc_id % 2 = 0))
   where rn = 1 and upper(secret) not in (
-    select upper(regexp_extract(text, 'token = "([0-9a-f]{40})"', 1)) from documents
-    where doc_id % 3 = 0 and regexp_extract(text, 'token = "([0-9a-f]{40})"', 1) <> '')"""))
+    select upper(t) from (select doc_id, unnest(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) as t
+      from documents) where doc_id % 3 = 0)"""))
 
 # --------------------------------------------------------------------------
 # Ignore rules (regex form of the globs, independent of the LIKE translation)

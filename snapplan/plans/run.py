@@ -15,19 +15,24 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import re
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import manifest as MF
-from ..operators.store import DirectoryStore, write_results
+from ..operators.store import DirectoryStore, Store, write_results
 from ..session import local_fs_path
 from ..sources import inventory as INV
 from ..sources import state as SS
 from . import snapshot as S
 
 STATE_SCHEMA = "path string, st_hash string, st_hash_mtime long, backup_mtime long"
+#: as stored: digests are shared, backup marks are per job
+STORED_SCHEMA = "path string, st_hash string, st_hash_mtime long, marks map<string,bigint>"
+COMMITTED = "snapplan.committed"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -51,17 +56,87 @@ def latest_snapshot(spark: SparkSession, state_dir: str) -> str | None:
     return best[1] if best else None
 
 
-def read_state(spark: SparkSession, state_dir: str) -> DataFrame:
+def stored_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    """The newest committed snapshot: digests, and each job's backup mark."""
     snap = latest_snapshot(spark, state_dir)
-    if snap is None:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.parquet(snap).select("path", "st_hash", "st_hash_mtime", "backup_mtime")
+    return spark.read.parquet(snap) if snap else spark.createDataFrame([], STORED_SCHEMA)
+
+
+def job_state(stored: DataFrame, job: str = "job") -> DataFrame:
+    """One job's view of the stored state."""
+    return stored.select("path", "st_hash", "st_hash_mtime",
+                         F.element_at("marks", F.lit(job)).alias("backup_mtime"))
+
+
+def read_state(spark: SparkSession, state_dir: str, job: str = "job") -> DataFrame:
+    return job_state(stored_state(spark, state_dir), job)
 
 
 def latest_state_table(spark: SparkSession, prefix: str) -> str | None:
-    """Newest ``<prefix>_<run id>`` table in the current catalog database."""
-    names = [t.name for t in spark.catalog.listTables() if t.name.startswith(prefix.lower() + "_")]
-    return max(names) if names else None
+    """Newest committed ``<prefix>_<run id>`` table in the current catalog
+    database (run ids hold no underscore)."""
+    names = [t.name for t in spark.catalog.listTables()
+             if re.fullmatch(re.escape(prefix.lower()) + "_[^_]+", t.name)]
+    for name in sorted(names, reverse=True):
+        if any(r.key == COMMITTED for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()):
+            return name
+    return None
+
+
+def prune_state(stored: DataFrame, scan: DataFrame, roots: Sequence[str]) -> DataFrame:
+    """Drop the state of files that a complete scan no longer found, so that
+    a path created anew starts without marks.
+
+    Rows stay when their path was seen, when no scanned root holds them, or
+    when they lie below a root or directory that raised an issue.
+    """
+    def below(path: str, top: str):
+        """Whether ``path`` is ``top`` or lies below it (both columns)."""
+        return F.expr(f"{path} = {top} or startswith({path}, if({top} = '/', '/', concat({top}, '/')))")
+
+    tops = stored.sparkSession.createDataFrame([(os.path.abspath(r),) for r in roots], "top string")
+    troubled = scan.filter("issue is not null").select(F.col("dir").alias("top")).distinct()
+    seen = scan.filter("issue is null").select("path").distinct().withColumn("_seen", F.lit(True))
+    rows = stored.join(seen, "path", "left")
+    gone = rows.filter("_seen is null").drop("_seen")
+    inside = gone.join(F.broadcast(tops), below("path", "top"), "left_semi")
+    # every ancestor of a missing path, to be found among the troubled directories by an equi-join
+    parts = F.split("path", "/")
+    up = inside.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(
+        i == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, i), "/")))).alias("top"))
+    kept = up.join(troubled, "top", "left_semi").select("path").distinct()
+    lost = inside.select("path").join(kept, "path", "left_anti").distinct()
+    return stored.join(lost, "path", "left_anti")
+
+
+def merge_stored(stored: DataFrame, updates: DataFrame, job: str) -> DataFrame:
+    """O-15 on the stored form: digests as in ``merge_state``; the job's mark
+    replaced or cleared, other jobs' marks untouched."""
+    merged = SS.merge_state(job_state(stored, job), updates)
+    others = stored.select("path", F.map_filter("marks", lambda k, _: k != job).alias("_others"))
+    mine = F.when(F.col("backup_mtime").isNotNull(), F.create_map(F.lit(job), F.col("backup_mtime")))
+    none = F.create_map().cast("map<string,bigint>")
+    return merged.join(others, "path", "left").select(
+        "path", "st_hash", "st_hash_mtime",
+        F.map_concat(F.coalesce("_others", none), F.coalesce(mine, none)).alias("marks"))
+
+
+def put_until_done(store, queue: DataFrame, work: str, retries: int, delay: float) -> DataFrame:
+    """Put a queue; failed items are put again, up to ``retries`` times and
+    ``delay`` seconds apart.  Every attempt is written; the result has the
+    last one of each item."""
+    pending, attempts = queue, None
+    for k in range(retries + 1):
+        if k:
+            time.sleep(delay)
+        done = write_results(store.put(pending), f"{work}/results/attempt={k}").withColumn("attempt", F.lit(k))
+        attempts = done if attempts is None else attempts.unionByName(done)
+        failed = done.filter(F.col("status") == "failed").select("path", "dest")
+        if failed.isEmpty():
+            break
+        pending = queue.join(failed, ["path", "dest"], "left_semi")
+    last = attempts.groupBy("path", "dest").agg(F.max_by(F.struct(*attempts.columns), "attempt").alias("r"))
+    return last.select("r.*").withColumn("tries", F.col("attempt") + 1).drop("attempt")
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -74,7 +149,8 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
                  work_dir: str, ignore: Sequence[str] = (), mode: str = "safe",
                  dry_run: bool = False, job: str = "job", run_id: str | None = None,
                  depth: int = 3, preamble: Sequence[str] = (), state_table: str | None = None,
-                 state_buckets: int | None = None) -> DataFrame:
+                 state_buckets: int | None = None, store: Store | None = None, retries: int = 3,
+                 delay: float = 5.0) -> DataFrame:
     """Plan and execute one snapshot run; returns a one-row summary.
 
     State lives in ``state_dir`` snapshot folders, or - with
@@ -90,13 +166,15 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
     files = INV.files_only(scan)
     if state_table:
         latest = latest_state_table(spark, state_table)
-        state = (spark.table(latest).select("path", "st_hash", "st_hash_mtime", "backup_mtime") if latest
-                 else spark.createDataFrame([], STATE_SCHEMA))
+        stored = spark.table(latest) if latest else spark.createDataFrame([], STORED_SCHEMA)
     else:
-        state = read_state(spark, state_dir)
-    store = DirectoryStore(spark, store_root).list() if mode == "safe" else None
+        stored = stored_state(spark, state_dir)
+    stored = prune_state(stored, scan, roots)
+    state = job_state(stored, job)
+    backend = store or DirectoryStore(spark, store_root)
+    listed = backend.list() if mode == "safe" else None
     opts = S.PlanOptions(mode=mode, variant="C", depth=depth, order=("root_ord", "path"))
-    planned = materialize(S.plan(files, state, store, opts), f"{work}/plan")
+    planned = materialize(S.plan(files, state, listed, opts), f"{work}/plan")
 
     if dry_run:
         q = S.dry_run_report(planned)
@@ -107,7 +185,7 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
         ).withColumn("dry_run_lines", F.lit(q.count()))
 
     queue = S.queue(planned)
-    results = write_results(DirectoryStore(spark, store_root).put(queue), f"{work}/results")
+    results = put_until_done(backend, queue, work, retries, delay)
 
     # manifest (text sink, archive layout)
     run_ts = dt.datetime.strptime(run_id[:15], "%Y%m%dT%H%M%S") if run_id[:8].isdigit() else dt.datetime.now()
@@ -121,22 +199,26 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
     # state: digests, repairs and successful copies
     saved = results.filter(F.col("status").isin("copied", "exists", "overwritten"))
     saved_paths = saved.select("path")
-    new_state = SS.merge_state(state, SS.state_updates(planned, saved_paths))
+    new_state = merge_stored(stored, SS.state_updates(planned, saved_paths), job)
     if state_table:
         buckets = state_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        SS.write_state_bucketed(new_state, f"{state_table.lower()}_{run_id.lower()}", buckets)
+        table = SS.write_state_bucketed(new_state, f"{state_table.lower()}_{run_id.lower()}", buckets)
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{COMMITTED}' = 'true')")
     else:
         SS.write_state(new_state, state_dir, run_id)
 
+    counts = planned.agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if("queued").alias("n_queued"),
+        F.count_if("repair").alias("n_repaired")).first()
     return results.agg(
         F.count_if(F.col("status") == "copied").alias("n_copied"),
         F.count_if(F.col("status") == "exists").alias("n_exists"),
         F.count_if(F.col("status") == "failed").alias("n_failed"),
     ).select(
-        F.lit(planned.count()).cast("long").alias("n_files"),
-        F.lit(queue.count()).cast("long").alias("n_queued"),
+        F.lit(counts.n_files).cast("long").alias("n_files"),
+        F.lit(counts.n_queued).cast("long").alias("n_queued"),
         "n_copied", "n_exists", "n_failed",
-        F.lit(planned.filter("repair").count()).cast("long").alias("n_repaired"),
+        F.lit(counts.n_repaired).cast("long").alias("n_repaired"),
     )
 
 

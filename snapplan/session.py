@@ -15,42 +15,28 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime SQL settings every query relies on.  They are session-scoped and
-# safe to set on a shared session.
+# Runtime SQL settings that results depend on; everything else is left as the
+# submitter set it.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.chunkBase64String.enabled": "false",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Broadcast only what is measured small: no static (estimate-based)
-    # broadcast; AQE converts a join to broadcast after the small side's
-    # shuffle output has been measured.
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
-    # whole texts go through the masking UDF: keep Arrow batches small
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "snapplan") -> SparkSession:
-    """Session for tests, bench and local runs (cluster jobs bring their own)."""
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-    builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("SNAPPLAN_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
-    )
-    for k, v in RUNTIME_CONF.items():
-        builder = builder.config(k, v)
+    """The session of a job.  Without arguments the submitter's master,
+    partition count and memory hold; tests and the bench pass their own."""
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = (builder.master(master).config("spark.ui.enabled", "false")
+                   .config("spark.ui.showConsoleProgress", "false")
+                   .config("spark.driver.memory", os.environ.get("SNAPPLAN_DRIVER_MEMORY", "16g")))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    if master:
+        spark.sparkContext.setLogLevel("ERROR")
     apply_runtime_conf(spark)
     return spark
 
@@ -113,6 +99,14 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     return f"{base}/{uuid.uuid4().hex}" if unique else base
 
 
+def has_entries(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there and holds something, asked of its own file
+    system; any other failure raises."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.exists(p)) and len(fs.listStatus(p)) > 0
+
+
 def local_fs_path(path: str) -> str:
     """Strip a ``file:`` scheme for Python-side file access inside tasks."""
     if path.startswith("file://"):

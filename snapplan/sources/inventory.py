@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.ignore import NameTest, Rules, name_test
+
 SCHEMA = ("root_ord int, root string, dir string, path string, name string, ext string, "
           "size long, mtime long, is_symlink boolean, link_target string, link_to_dir boolean, issue string")
 
@@ -46,27 +48,6 @@ def _split(v: str | None) -> list[str]:
     return out
 
 
-class _Matcher:
-    """Exact names (ignoring case) and globs (``*``, ``?``, ignoring case)."""
-
-    def __init__(self, patterns: list[str]):
-        import re
-        self.exact = {p.upper() for p in patterns if "*" not in p and "?" not in p}
-        self.rx = [re.compile("^" + re.escape(p).replace(r"\*", ".*").replace(r"\?", ".") + "$",
-                              re.IGNORECASE | re.DOTALL)
-                   for p in patterns if "*" in p or "?" in p]
-
-    def hit(self, s: str) -> bool:
-        if not s or not s.strip():
-            return False
-        if s.upper() in self.exact:
-            return True
-        return any(r.match(s) for r in self.rx)
-
-    def ignored(self, name: str, full: str) -> bool:
-        return self.hit(name) or self.hit(full)
-
-
 def _ext_c(name: str) -> str:
     i = name.rfind(".")
     if i < 0 or i == len(name) - 1:
@@ -120,40 +101,44 @@ def _issue_row(u: _Unit, d: str, reason: str) -> tuple:
     return (u.root_ord, u.root, d, d, os.path.basename(d), "", None, None, None, None, None, reason)
 
 
-def _walk(u: _Unit, m: _Matcher) -> Iterator[tuple]:
+def _readable(text: str) -> str:
+    """A name as valid text: bytes that are not UTF-8 as escapes."""
+    return os.fsencode(text).decode("utf-8", "backslashreplace")
+
+
+def _walk(u: _Unit, m: NameTest) -> Iterator[tuple]:
+    """Rows of a unit, one entry at a time.  What cannot be listed, has gone
+    meanwhile or has a name that is no text becomes an issue row."""
     if u.issue:
         yield _issue_row(u, u.directory, u.issue)
         return
     stack = [u.directory]
     while stack:
         d = stack.pop()
+        top = d == u.directory
         try:
-            with os.scandir(d) as it:
-                entries = sorted(it, key=lambda e: e.name)
+            with os.scandir(d) as entries:
+                for e in entries:
+                    if top and not _in_shard(e.name, u):
+                        continue
+                    full = os.path.join(d, e.name)
+                    if _readable(full) != full:
+                        yield _issue_row(u, _readable(full), "name is not UTF-8")
+                        continue
+                    try:
+                        if e.is_dir(follow_symlinks=False):
+                            if u.recursive and not m(e.name, full):
+                                stack.append(full)
+                            continue
+                        row = None if m(e.name, full) else _file_row(u, d, e)
+                    except OSError as gone:
+                        row = _issue_row(u, full, f"error: {gone.strerror}")
+                    if row:
+                        yield row
         except PermissionError as e:
             yield _issue_row(u, d, f"unreadable: {e.strerror}")
-            continue
         except OSError as e:
             yield _issue_row(u, d, f"error: {e.strerror}")
-            continue
-        subdirs = []
-        top = d == u.directory
-        for e in entries:
-            if top and not _in_shard(e.name, u):
-                continue
-            full = os.path.join(d, e.name)
-            try:
-                is_dir = e.is_dir(follow_symlinks=False)
-            except OSError:
-                is_dir = False
-            if is_dir:
-                if u.recursive and not m.ignored(e.name, full):
-                    subdirs.append(full)
-                continue
-            if m.ignored(e.name, full):
-                continue
-            yield _file_row(u, d, e)
-        stack.extend(reversed(subdirs))
 
 
 class InventoryReader(DataSourceReader):
@@ -166,39 +151,45 @@ class InventoryReader(DataSourceReader):
         self.split_entries = int(options.get("split_entries", "50000"))
 
     def partitions(self):
-        m = _Matcher(self.patterns)
+        m = name_test(Rules.of(self.patterns))
         units: list[_Unit] = []
         for i, root in enumerate(self.roots):
             r = os.path.abspath(root)
             if not os.path.isdir(r):
                 units.append(_Unit(i, root, r, False, "missing root"))
                 continue
-            if m.ignored(os.path.basename(r), r):
+            if m(os.path.basename(r), r):
                 continue
             units.extend(self._expand(i, root, r, m))
         return units or [_Unit(0, "", "", False, "no roots")]
 
-    def _expand(self, i: int, root: str, r: str, m: _Matcher) -> list[_Unit]:
-        """Breadth-first split of a root into work units (bounded by
-        ``max_units``): expanded directories contribute their files (split
-        into hash shards when very large), the rest are walked recursively.
-        The driver lists only these top directories and keeps only counts
-        and subdirectory names."""
+    def _expand(self, i: int, root: str, r: str, m: NameTest) -> list[_Unit]:
+        """Breadth-first split of a root into at most ``max_units`` work
+        units.  An expanded directory contributes its files (in hash shards
+        when there are many) and its sub-directories; one that would pass
+        the bound, or has more entries than the driver lists, is walked by
+        the units that are left, each taking a hash shard of its entries."""
         frontier, done = [r], []
         while frontier and len(done) + len(frontier) < self.max_units:
             d = frontier.pop(0)
+            left = self.max_units - len(done) - len(frontier)
             subs, n = [], 0
             try:
                 with os.scandir(d) as it:
                     for e in it:
                         n += 1
                         full = os.path.join(d, e.name)
-                        if e.is_dir(follow_symlinks=False) and not m.ignored(e.name, full):
+                        if e.is_dir(follow_symlinks=False) and not m(e.name, full):
                             subs.append(full)
+                        if len(subs) > left or n > left * self.split_entries:
+                            break
             except OSError:
                 done.append(_Unit(i, root, d, True))        # the task reports the issue
                 continue
             k = max(1, -(-n // self.split_entries))
+            if k + len(subs) > left:
+                done.extend(_Unit(i, root, d, True, shard=j, shards=left) for j in range(left))
+                continue
             done.extend(_Unit(i, root, d, False, shard=j, shards=k) for j in range(k))
             frontier.extend(sorted(subs))
         done.extend(_Unit(i, root, d, True) for d in frontier)
@@ -207,7 +198,7 @@ class InventoryReader(DataSourceReader):
     def read(self, partition: _Unit):
         if partition.issue == "no roots":
             return iter(())
-        return _walk(partition, _Matcher(self.patterns))
+        return _walk(partition, name_test(Rules.of(self.patterns)))
 
 
 class InventorySource(DataSource):

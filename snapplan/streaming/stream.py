@@ -22,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.store import blob_append_set
 from ..plans import snapshot as S
+from ..session import has_entries
 from ..sources import state as SS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -107,10 +108,10 @@ def stream_plan(sdf: DataFrame, state: DataFrame, blob_table: str, results_dir:
         # the store as committed by earlier batches only: a replay of this
         # batch must not see its own partial output (it would then append
         # less and overwrite its folder with fewer blobs)
-        try:
+        if has_entries(spark, blob_table):
             store = (spark.read.parquet(blob_table).filter(F.col("batch_id") < batch_id)
                      .select("hash", "size").distinct())
-        except Exception:  # noqa: BLE001 - first batch: empty store
+        else:
             store = spark.createDataFrame([], "hash string, size long")
         opts = S.PlanOptions(mode=mode, order=tuple(order), keep_extra=("content",))
         planned = S.plan(batch, state, store if mode == "safe" else None, opts)
@@ -133,10 +134,9 @@ def stream_plan(sdf: DataFrame, state: DataFrame, blob_table: str, results_dir:
 def state_after_stream(spark: SparkSession, base_state: DataFrame, state_updates_dir: str) -> DataFrame:
     """Base state with every batch's updates applied in batch order (the
     latest non-null value per path and attribute wins)."""
-    try:
-        ups = spark.read.parquet(state_updates_dir)
-    except Exception:  # noqa: BLE001 - no batch yet
+    if not has_entries(spark, state_updates_dir):
         return base_state
+    ups = spark.read.parquet(state_updates_dir)
     last = ups.groupBy("path").agg(
         F.max_by("new_hash", F.when(F.col("new_hash").isNotNull(), F.col("batch_id"))).alias("new_hash"),
         F.max_by("new_hash_mtime", F.when(F.col("new_hash_mtime").isNotNull(), F.col("batch_id"))).alias("new_hash_mtime"),

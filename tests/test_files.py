@@ -211,7 +211,7 @@ def test_unreadable_directory_becomes_issue_row(tree, monkeypatch):
 
     monkeypatch.setattr(INV.os, "scandir", fake)
     unit = INV._Unit(0, str(tree), str(tree), True)
-    rows = list(INV._walk(unit, INV._Matcher(["node_modules"])))
+    rows = list(INV._walk(unit, INV.name_test(INV.Rules.of(["node_modules"]))))
     issues = [r for r in rows if r[-1] is not None]
     files = {os.path.basename(r[3]) for r in rows if r[-1] is None}
     assert [(r[3], r[-1]) for r in issues] == [(blocked, "unreadable: Permission denied")]

@@ -25,7 +25,8 @@ def test_query_matches_oracle(spark, duck, name):
 def test_every_query_has_an_oracle():
     # real files, sinks and streams included: their results do not depend on
     # where the scratch data was written or how rows fell into batches
-    assert set(E.queries()) == set(E.oracle_sql())
+    from snapplan.catalog import QUERIES
+    assert set(QUERIES) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
