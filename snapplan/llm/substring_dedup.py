@@ -216,7 +216,7 @@ def _candidates(rows: DataFrame, block: int, window: int, parts: int, to: int) -
 
 
 def _removed(block: pa.Table) -> pa.Table:
-    """cls, starts: the windows of a part that a smaller document holds as well."""
+    """cls, start: the windows of a part that a smaller document holds as well."""
     cols = [], [], [], [], []
     for r in block["windows"].to_pylist():
         n, k = np.frombuffer(r, dtype="<u4", count=2).tolist()
@@ -234,12 +234,7 @@ def _removed(block: pa.Table) -> pa.Table:
     new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
     at = np.flatnonzero(new)
     lost = ids > np.repeat(ids[at], np.diff(at, append=len(ids)))
-    names, start = names[lost], start[lost]
-    order = np.argsort(names, kind="stable")
-    names, start = names[order], start[order]
-    cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.empty(0, np.int64)
-    lists = [x.tolist() for x in np.split(start, cuts[1:])] if len(cuts) else []
-    return pa.table({"cls": pa.array(names[cuts], pa.int64()), "starts": pa.array(lists, pa.list_(pa.int64()))})
+    return pa.table({"cls": pa.array(names[lost], pa.int64()), "start": pa.array(start[lost].astype(np.int32))})
 
 
 def _spans(starts: np.ndarray, window: int) -> np.ndarray:
@@ -311,8 +306,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return texts.join(there.hint("shuffle_hash"), "id").filter(F.col("text_hash") == F.col("_hash"))
 
     windows_ = _candidates(at_texts(hits), block, window, parts, parts_for(total // 4, STARTS))
-    removed = settle(windows_.groupBy("part").applyInArrow(_removed, "cls long, starts array<long>"))
-    removed = removed.groupBy("cls").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    removed = settle(windows_.groupBy("part").applyInArrow(_removed, "cls long, start int"))
+    removed = removed.groupBy("cls").agg(F.collect_list("start").alias("starts"))
     cut = settle(_cut(at_texts(removed), window)).dropDuplicates(["cls"])
     low = heads.select("cls", F.col("id").alias("_low"), "rows")
     rows = lookup(found.filter(F.col("n_words") >= window), low, ["cls"], F.col("rows"), found.count()).drop("rows")
