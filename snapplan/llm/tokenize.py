@@ -63,8 +63,8 @@ def isolated_ids(pieces: list[str], vocabulary: str) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in t.encode_batch(pieces, add_special_tokens=False)]
     mark, string = special
     odd = {i for i, p in enumerate(pieces) if string in p}
-    ids = np.asarray(t.encode(string.join("" if i in odd else p for i, p in enumerate(pieces)),
-                              add_special_tokens=False).ids, dtype="<u4")
+    whole = string.join(["" if i in odd else p for i, p in enumerate(pieces)] if odd else pieces)
+    ids = np.asarray(t.encode_batch_fast([whole], add_special_tokens=False)[0].ids, dtype="<u4")
     ends = np.append(np.flatnonzero(ids == mark), len(ids)) * 4
     raw, out, at = ids.tobytes(), [], 0
     for end in ends.tolist():
@@ -81,13 +81,13 @@ def byte_level_ids(text: str, vocabulary: str) -> bytes:
     out = []
     for part in slices(text):
         pieces = SAFE.split(part)
-        new = [p for p in dict.fromkeys(pieces) if p not in memo]
+        new = set(pieces).difference(memo)
         if new:
             if len(memo) + len(new) > MEMO:
                 memo, old = _IDS[vocabulary] = {}, memo
-                new = list(dict.fromkeys(pieces))
-            fresh = [p for p in new if p not in old]
-            memo.update((p, old[p]) for p in new if p in old)
+                new = set(pieces)
+            fresh = list(new.difference(old))
+            memo.update((p, old[p]) for p in new.intersection(old))
             if fresh:
                 memo.update(zip(fresh, isolated_ids(fresh, vocabulary), strict=True))
         out.append(b"".join(map(memo.__getitem__, pieces)))
