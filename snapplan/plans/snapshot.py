@@ -186,9 +186,9 @@ def table_snapshot(current: DataFrame, previous: DataFrame, key: str = "k",
     j = j.withColumn("status", status).drop("_prev")
     if cut:
         j = cut_lineage(j)
-    eligible = F.col("status") != "unchanged"
-    reps = (j.filter(eligible).groupBy(digest).agg(F.min(key).alias(key))
-            .withColumn("_first", F.lit(True)))
-    return (j.join(reps, [digest, key], "left")
-             .withColumn("queued", eligible & F.coalesce(F.col("_first"), F.lit(False)))
-             .select(key, digest, "status", "queued"))
+    # unchanged rows cannot win: only the others are ranked and joined again
+    moved, still = j.filter("status != 'unchanged'"), j.filter("status = 'unchanged'")
+    reps = moved.groupBy(digest).agg(F.min(key).alias(key)).withColumn("_first", F.lit(True))
+    ranked = moved.join(reps, [digest, key], "left").withColumn("queued", F.coalesce("_first", F.lit(False)))
+    return (ranked.select(key, digest, "status", "queued")
+            .unionByName(still.select(key, digest, "status", F.lit(False).alias("queued"))))

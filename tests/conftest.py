@@ -14,6 +14,8 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from snapplan.session import build_session
     s = build_session(master="local[*]", shuffle_partitions=8)
+    # plan shapes are those of tables too large to broadcast
+    s.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield s
     s.stop()
 
