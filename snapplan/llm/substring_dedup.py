@@ -146,7 +146,7 @@ def _probes(docs: DataFrame, block: int, window: int, parts: int) -> DataFrame:
 
 def _hits(parts: int):
     def run(block: pa.Table) -> pa.Table:
-        """cls, tokens: what each class of a part has in common with an anchor or probe of another class."""
+        """cls, token: what each class of a part has in common with an anchor or probe of another class."""
         is_probe = pc.is_valid(block["probes"])
         names, keys = [np.empty(0, np.int64)], [np.empty(0, dtype=U)]
         for r in block.filter(is_probe)["probes"].to_pylist():
@@ -166,14 +166,11 @@ def _hits(parts: int):
         hit = (own[at] != own[at + size - 1]) & (np.add.reduceat(anchor.astype(np.int64), at) > 0) if len(at) else at
         hit = np.repeat(hit, size).astype(bool)
         own, token = own[hit], _token(block["part"][0].as_py(), key[hit], parts)
-        order = np.argsort(own, kind="stable")
-        own, token = own[order], token[order]
-        cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
-        lists = [x.tolist() for x in np.split(token, cuts[1:])] if len(cuts) else []
         rest = block.filter(pc.invert(is_probe))
-        return pa.table({"cls": pa.concat_arrays([pa.array(own[cuts], pa.int64()), rest["cls"].combine_chunks()]),
-                         "tokens": pa.concat_arrays([pa.array(lists, pa.list_(pa.int64())),
-                                                     rest["tokens"].combine_chunks()])})
+        lists = rest["tokens"].combine_chunks()
+        known = np.repeat(rest["cls"].to_numpy(), pc.list_value_length(lists).to_numpy())
+        return pa.table({"cls": np.concatenate([own, known.astype(np.int64)]),
+                         "token": np.concatenate([token, lists.flatten().to_numpy()])})
     return run
 
 
@@ -295,8 +292,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     total = found.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     parts = parts_for(total, TOKENS)
     hits = settle(_probes(docs, block, window, parts).groupBy("part").applyInArrow(
-        _hits(parts), "cls long, tokens array<long>"))
-    hits = hits.groupBy("cls").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+        _hits(parts), "cls long, token long"))
+    hits = hits.groupBy("cls").agg(F.collect_list("token").alias("tokens"))
     heads = found.filter(F.col("n_words") >= window).groupBy("cls").agg(
         F.min(F.struct("id", "text_hash")).alias("r"), F.count("*").alias("rows"))
     heads = settle(heads.select("cls", "r.id", "r.text_hash", "rows"))
