@@ -378,6 +378,21 @@ def q_state_pivot(spark, sf_dir):
     return SS.state_wide(_fx(spark, sf_dir).state_kv, job="job")
 
 
+@query("state_prune")
+def q_state_prune(spark, sf_dir):
+    """O-15: state of files that a scan of some roots no longer found goes; below a directory that raised an
+    issue it stays."""
+    from .plans.run import prune_state
+    fx = _fx(spark, sf_dir)
+    stored = fx.state.select("path", "st_hash", "st_hash_mtime",
+                             F.create_map(F.lit("job"), "backup_mtime").alias("marks"))
+    seen = fx.files.filter("doc_id % 4 <> 0").select("dir", "path", F.lit(None).cast("string").alias("issue"))
+    troubled = (fx.files.filter("startswith(path, '/data/src3/en/')").select(F.lit("/data/src3/en").alias("dir"))
+                .distinct().select("dir", F.col("dir").alias("path"), F.lit("unreadable").alias("issue")))
+    roots = ["/data/src3", "/data/src5", "/data/src1"]
+    return prune_state(stored, seen.unionByName(troubled), roots).select("path", "st_hash")
+
+
 @query("state_merge")
 def q_state_merge(spark, sf_dir):
     fx = _fx(spark, sf_dir)

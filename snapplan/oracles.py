@@ -312,6 +312,10 @@ oracle("state_pivot", with_fx(["fx_state_kv"], """select path,
   try_cast(max(case when attr = 'user.md5_hash_mtime' then value end) as bigint) as st_hash_mtime,
   try_cast(max(case when attr = 'user.job_backup_mtime' then value end) as bigint) as backup_mtime
 from fx_state_kv group by path"""))
+oracle("state_prune", with_fx(["fx_files", "fx_state"], """select path, st_hash from fx_state
+  where path in (select path from fx_files where doc_id % 4 <> 0)
+     or not (starts_with(path, '/data/src3/') or starts_with(path, '/data/src5/') or starts_with(path, '/data/src1/'))
+     or starts_with(path, '/data/src3/en/')"""))
 oracle("state_merge", plan_sql("safe", "C", """select coalesce(o.path, u.path) as path,
   coalesce(u.new_hash, o.st_hash) as st_hash,
   coalesce(u.new_hash_mtime, o.st_hash_mtime) as st_hash_mtime,
