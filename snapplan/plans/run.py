@@ -157,12 +157,17 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
     ``state_table`` and a persistent catalog - in tables
     ``<state_table>_<run id>`` bucketed by path, so the state join shuffles
     only the inventory side.  Dry run: plans and returns the summary with
-    the would-be copies, but writes nothing to the store, the manifest area
-    or the state."""
+    the would-be copies, but writes nothing to the store, the manifest area,
+    the work folder or the state (a plan's lineage cut still goes below
+    ``spark.checkpoint.dir``)."""
     run_id = run_id or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     work = f"{work_dir.rstrip('/')}/run={run_id}"
 
-    scan = materialize(INV.inventory(spark, list(roots), list(ignore)), f"{work}/inventory")
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        """A stage's rows, written once; a dry run leaves nothing in the work folder."""
+        return df if dry_run else materialize(df, f"{work}/{name}")
+
+    scan = keep(INV.inventory(spark, list(roots), list(ignore)), "inventory")
     files = INV.files_only(scan)
     if state_table:
         latest = latest_state_table(spark, state_table)
@@ -174,15 +179,14 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
     backend = store or DirectoryStore(spark, store_root)
     listed = backend.list() if mode == "safe" else None
     opts = S.PlanOptions(mode=mode, variant="C", depth=depth, order=("root_ord", "path"))
-    planned = materialize(S.plan(files, state, listed, opts), f"{work}/plan")
+    planned = keep(S.plan(files, state, listed, opts), "plan")
 
     if dry_run:
-        q = S.dry_run_report(planned)
         return planned.agg(
             F.count(F.lit(1)).alias("n_files"), F.count_if("queued").alias("n_queued"),
             F.lit(0).cast("long").alias("n_copied"), F.lit(0).cast("long").alias("n_exists"),
             F.lit(0).cast("long").alias("n_failed"), F.count_if("repair").alias("n_repaired"),
-        ).withColumn("dry_run_lines", F.lit(q.count()))
+            F.count_if("queued").alias("dry_run_lines"))
 
     queue = S.queue(planned)
     results = put_until_done(backend, queue, work, retries, delay)

@@ -138,3 +138,10 @@ def test_session_of_a_job_keeps_the_submitters_settings():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
     assert "GOT local[2] 777 5" in out.stdout, out.stderr[-1500:]
+
+
+def test_dry_run_leaves_no_files(spark, tmp_path):
+    _write(tmp_path / "data" / "a.txt", "one")
+    r = run_snapshot(spark, run_id="20240101T000000", dry_run=True, **_args(tmp_path)).first()
+    assert (r.n_files, r.n_queued, r.n_copied, r.dry_run_lines) == (1, 1, 0, 1)
+    assert sorted(os.listdir(tmp_path)) == ["data"]
