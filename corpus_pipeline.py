@@ -13,7 +13,7 @@ from snapplan.llm.common import settle, table
 from snapplan.llm.line_dedup import line_dedup
 from snapplan.llm.mixing import mix_sources
 from snapplan.llm.ngram_join import ngram_components
-from snapplan.llm.packing import best_fit_packing
+from snapplan.llm.packing import GROUP, best_fit_packing, in_read_order
 from snapplan.llm.toxicity import toxicity
 
 
@@ -53,8 +53,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing(docs)
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str, group: int = GROUP) -> DataFrame:
+    """Sequences of documents that are read from the files of ``mix``: each run of sequence ids is a run of the mix."""
+    return best_fit_packing(in_read_order(docs), group=group)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("ngram_join", drop_near_copies),

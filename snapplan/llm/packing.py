@@ -1,8 +1,9 @@
 """Operator 1: best-fit packing of documents into sequences by the sum of squares.
 
 Every whole text becomes token ids with an end id; documents longer than a
-sequence are cut.  Pieces go to groups of bounded size by a hash; within a
-group the sum-of-squares rule places each piece so that the sum, over all
+sequence are cut.  Pieces go to groups of bounded size, by a hash or, where
+the order of documents counts, as runs of that order; within a group the
+sum-of-squares rule places each piece so that the sum, over all
 residual gaps, of the squared number of open sequences with that gap becomes
 smallest.  Only (document, piece, length) rows are shuffled.
 """
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import parts_for, python_ready, settle
 from .tokenize import byte_level_ids
@@ -23,7 +25,11 @@ from .tokenize import byte_level_ids
 CAPACITY = 2048
 #: pieces that one task packs together
 GROUP = 8192
+#: documents of a file that are numbered together
+CHUNK = 512
 
+#: columns of ``in_read_order``
+ORDER = ["_part", "_file", "_row"]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -34,8 +40,19 @@ def cut(n_ids: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n_ids, capacity)]
 
 
+def in_read_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text of documents read from Parquet files, and the place of each: part, file and row in it."""
+    name = F.col("_metadata.file_name")
+    return docs.select("doc_id", "text", F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long").alias("_part"),
+                       name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; null text counts as empty."""
+    """doc_id, piece, start, length, ids_crc32 of every piece, and the columns ORDER if ``docs`` has them.
+
+    Null text counts as empty.
+    """
+    place = [c for c in ORDER if c in docs.columns]
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,11 +66,28 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
             piece, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()),
-                 pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                 pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
+                 *(batch.column(c).take(pa.array(at, pa.int64())) for c in place)],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", *place])
 
     python_ready(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    schema = ", ".join([PIECES, *(f"{c} {dict(docs.dtypes)[c]}" for c in place)])
+    return docs.select("doc_id", "text", *place).mapInArrow(run, schema)
+
+
+def numbered(pieces: DataFrame) -> DataFrame:
+    """Rows of ``pieces_of`` with their number ``_at`` in read order, from 0 without gaps."""
+    chunk = ["_part", "_file", "_chunk"]
+    rows = pieces.withColumn("_chunk", F.expr(f"_row div {CHUNK}"))
+    before = Window.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*chunk).count().select(
+        *(F.col(c).alias(f"{c}_") for c in chunk), F.coalesce(F.sum("count").over(before), F.lit(0))
+        .alias("_before"))
+    number = F.row_number().over(Window.partitionBy(*chunk).orderBy("_row", "piece")) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in chunk]
+    return (rows.withColumn("_number", number).join(counts, same)
+            .withColumn("_at", F.col("_before") + F.col("_number")).drop("_number", "_before", *chunk, "_row",
+                                                                      *(f"{c}_" for c in chunk)))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,18 +129,32 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     """Add sequence_id and offset to rows of ``pieces_of``.
 
     Long pieces come first within a group, which leaves the short ones to fill
-    what remains.  Repeated rows are separate pieces.
+    what remains.  Repeated rows are separate pieces.  Pieces with the columns
+    ORDER go to groups as runs of that order, and sequence ids rise with it:
+    from group to group, and within one by the first piece of each sequence.
     """
+    ordered = set(ORDER) <= set(pieces.columns)
+
     def place(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by([("length", "descending"), *([("_at", "ascending")] if ordered else []),
+                             ("doc_id", "ascending"), ("piece", "ascending")])
         where, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
+        if ordered:
+            opens = rows["_at"].to_numpy()[np.unique(where, return_index=True)[1]]
+            rank = np.empty(len(opens), np.int64)
+            rank[opens.argsort()] = np.arange(len(opens))
+            where, rows = rank[where], rows.drop_columns("_at")
         first = rows["_group"][0].as_py() << 32
         return rows.drop_columns("_group").append_column("sequence_id", pa.array(first + where)).append_column(
             "offset", pa.array(offset))
 
     pieces = settle(pieces)
-    groups = parts_for(pieces.count(), group)
-    key = F.pmod(F.xxhash64("doc_id", "piece", "start", "length"), F.lit(groups))
+    total = pieces.count()
+    groups = parts_for(total, group)
+    if ordered:
+        pieces, key = numbered(pieces), F.expr(f"_at * {groups}L div {total or 1}L")
+    else:
+        key = F.pmod(F.xxhash64("doc_id", "piece", "start", "length"), F.lit(groups))
     return (pieces.withColumn("_group", key).groupBy("_group")
             .applyInArrow(place, PACKED))
 
@@ -116,7 +164,8 @@ def best_fit_packing(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", cap
     """Pack every document into sequences of at most ``capacity`` tokens.
 
     Null or empty text: one piece that holds the end id alone.  Null doc_id:
-    kept, packed like any other.  Repeated rows: packed once each.  Columns
-    other than doc_id and text are ignored.  Empty table: no rows.
+    kept, packed like any other.  Repeated rows: packed once each.  Documents
+    of ``in_read_order`` are packed in runs of that order.  Other columns than
+    these are ignored.  Empty table: no rows.
     """
     return pack(pieces_of(docs, vocabulary, capacity), capacity, group)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pytest
 
 import corpus_pipeline
 from snapplan.llm.common import settle
+from snapplan.llm.mixing import BLOCK, mix_sources
 from snapplan.llm.queries import ORACLES, QUERIES
 from snapplan.llm.tokenize import byte_level_ids
 
@@ -39,6 +42,29 @@ def test_stages(spark, tmp_path):
     assert sum(r.length for r in packed) == tokens
 
 
+def test_sequences_follow_the_mix(spark):
+    rows = [(i, "word " * (5 + i % 300 if i % 4 else 400), "en", "ab"[i % 4 == 0], None) for i in range(4000)]
+    docs = settle(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+                  .repartition(7))
+    mixed = settle(corpus_pipeline.mix(spark, docs, ""))
+    packed = corpus_pipeline.pack(spark, mixed, "", group=256).collect()
+    place = {r.doc_id: r.position for r in mix_sources(docs).collect()}
+    assert sorted(r.doc_id for r in packed) == list(range(4000))
+    runs = defaultdict(list)
+    for r in packed:
+        runs[r.sequence_id >> 32].append(r)
+    at = 0
+    share = 1000 ** 0.5 / (1000 ** 0.5 + 3000 ** 0.5)
+    for g in sorted(runs):
+        assert sorted(place[r.doc_id] for r in runs[g]) == list(range(at, at + len(runs[g])))
+        at += len(runs[g])
+        if at < 2000:                                 # before a source ends
+            assert abs(sum(r.doc_id % 4 == 0 for r in runs[g]) - share * len(runs[g])) < 2 * BLOCK
+        opens = [place[r.doc_id] for r in sorted(runs[g], key=lambda r: r.sequence_id) if r.offset == 0]
+        assert opens == sorted(opens)
+    assert len(runs) == 16
+
+
 @pytest.mark.parametrize("name", ["op2_line_dedup", "op5_ngram_join"])
 def test_against_sql(spark, name):
     import duckdb
