@@ -109,13 +109,10 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     memo: dict[tuple[int, int], tuple[int, list]] = {}
 
     def weigh(x: Node, y: Node) -> tuple[int, list]:
-        key = (id(x), id(y))
-        if key in memo:
-            return memo[key]
+        """Weight and pairs of children of a pair whose children have been weighed."""
         p, q = x.elements(), y.elements()
         if not p or not q:
-            memo[key] = (1, [])
-            return memo[key]
+            return 1, []
         rows = [[0] * (len(q) + 1)]
         same = [[None] * len(q) for _ in p]
         for i, u in enumerate(p):
@@ -123,7 +120,7 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
             for j, v in enumerate(q):
                 best = above[j + 1] if above[j + 1] >= row[j] else row[j]
                 if u.tag == v.tag and u.words == v.words:
-                    w = above[j] + weigh(u, v)[0]
+                    w = above[j] + memo[id(u), id(v)][0]
                     same[i][j] = w
                     if w > best:
                         best = w
@@ -142,10 +139,17 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
             else:
                 i, j = i - 1, j - 1
                 pairs.append((p[i], q[j]))
-        memo[key] = (1 + rows[-1][-1], pairs[::-1])
-        return memo[key]
-
-    weigh(a, b)
+        return 1 + rows[-1][-1], pairs[::-1]
+
+    todo: list[tuple[Node, Node, bool]] = [(a, b, False)]
+    while todo:                                        # children first (no recursion)
+        x, y, ready = todo.pop()
+        if ready:
+            memo[id(x), id(y)] = weigh(x, y)
+            continue
+        todo.append((x, y, True))
+        q = y.elements()
+        todo += [(u, v, False) for u in x.elements() for v in q if u.tag == v.tag and u.words == v.words]
     out, rest = [], [(a, b)]
     while rest:
         x, y = rest.pop()

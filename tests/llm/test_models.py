@@ -171,3 +171,10 @@ def test_tree_match_is_the_largest():
     a = parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>")
     b = parse("<div><ul><li>y</li><li>z</li></ul><p>3</p><span>s</span></div>")
     assert Counter(x.tag for x, _ in tree_match(a, b)) == Counter(["#page", "div", "ul", "li", "p"])
+
+
+def test_deep_pages_are_matched():
+    page = "<body>" + "<div>" * 3000 + "<p>text {i}</p>" + "</div>" * 3000
+    a, b = parse(page.format(i=1)), parse(page.format(i=2))
+    assert len(tree_match(a, b)) == 3003
+    assert main_texts([page.format(i=i) for i in range(2)]) == ["text 0", "text 1"]
