@@ -3,7 +3,8 @@
 Pages of one host meet in blocks of bounded size (a large host has several
 blocks).  The page of median size is the block's wrapper: all others are
 aligned with it by simple tree matching.  A block of the wrapper whose text is
-the same on nearly all pages that do not copy the wrapper is template; blocks
+the same on nearly all pages is template (pages of equal text count once, and
+at least ``LEAST`` others must have been compared); blocks
 whose text varies are slots, and the part of the tree that holds most of the
 varying text outside menus and the like is where the article is.  From each
 page that part is read, without template text and without elements that HTML
@@ -23,8 +24,9 @@ from .dom import BLOCK, HIDDEN, Node, parse, tree_match
 
 PAGES = 256              # pages of a block, about
 ALIKE = 0.8              # share of pages with the same text that makes a node template
-VOTES = 8                # pages that must have been compared for that
-COPY = 0.5               # a page with this share of the wrapper's text is a copy and has no vote
+VOTES = 8                # pages that must have been compared for that, or all other pages of a smaller host,
+LEAST = 3                # but at least so many
+COPY = 0.5               # an article with this share of constant text stands on near copies and is no template
 MOST = 0.6               # go down to a child that has this share of the varying text
 
 # Elements and names that mark parts beside the article.
@@ -121,25 +123,33 @@ def blocks(root: Node, template: set[int]) -> list[str]:
 def main_texts(pages: list[str]) -> list[str]:
     """Main texts of pages of one host: blocks joined by an empty line, empty if there are none."""
     trees = [parse(p) for p in pages]
+    texts = [{id(n): n.own_text() for n in t.walk() if n.is_block()} for t in trees]
     sizes = [sum(1 for _ in t.walk()) for t in trees]
-    wrapper = trees[sorted(range(len(trees)), key=lambda i: (sizes[i], pages[i]))[len(trees) // 2]]
-    texts = {id(n): n.own_text() for n in wrapper.walk() if n.is_block()}
+    middle = sorted(range(len(trees)), key=lambda i: (sizes[i], pages[i]))[len(trees) // 2]
+    wrapper, own = trees[middle], texts[middle]
     seen: dict[int, int] = {}
     same: dict[int, int] = {}
     aligned = []
-    for t in trees:
-        pairs = [(id(a), b, b.own_text()) for a, b in tree_match(wrapper, t) if a.is_block()] \
+    distinct = {tuple(filter(None, own.values()))}     # copies have one vote together, the wrapper's have none
+    for t, has in zip(trees, texts, strict=True):
+        pairs = [(id(a), b, has[id(b)]) for a, b in tree_match(wrapper, t) if a.is_block()] \
             if t is not wrapper else []
         aligned.append(pairs)
-        total = sum(len(x) for _, _, x in pairs)
-        if sum(len(x) for a, _, x in pairs if x == texts[a]) < COPY * total:
+        whole = tuple(filter(None, has.values()))
+        if whole not in distinct:
+            distinct.add(whole)
             for a, _, x in pairs:
                 seen[a] = seen.get(a, 0) + 1
-                same[a] = same.get(a, 0) + (x == texts[a] != "")
-    fixed = {a for a, n in seen.items() if n >= VOTES and same[a] >= ALIKE * n}
+                same[a] = same.get(a, 0) + (x == own[a] != "")
+    votes = max(LEAST, min(VOTES, len(distinct) - 1))
+    fixed = {a for a, n in seen.items() if n >= votes and same[a] >= ALIKE * n}
+    for article in (n for n in wrapper.walk() if n.tag == "article"):
+        inside = {id(n): len(own[id(n)]) for n in article.walk() if n.is_block()}
+        if sum(inside[a] for a in fixed & inside.keys()) > COPY * sum(inside.values()):
+            fixed -= inside.keys()
     out = []
     for t, pairs in zip(trees, aligned, strict=True):
-        template = {id(b) for a, b, x in pairs if a in fixed and x == texts[a]}
+        template = {id(b) for a, b, x in pairs if a in fixed and x == own[a]}
         if t is wrapper:
             template = fixed
         varying = {id(n): len(n.own_text()) for n in _visible(t)

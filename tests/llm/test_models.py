@@ -178,3 +178,19 @@ def test_deep_pages_are_matched():
     a, b = parse(page.format(i=1)), parse(page.format(i=2))
     assert len(tree_match(a, b)) == 3003
     assert main_texts([page.format(i=i) for i in range(2)]) == ["text 0", "text 1"]
+
+
+@pytest.mark.parametrize("n", [4, 30])
+def test_long_notices_are_template(n):
+    notice = "<div><p>" + "these words stand on every page of the host " * 20 + "</p></div>"
+    pages = [f"<body>{notice}<div><p>short text {i}</p><p>more {i}</p></div></body>" for i in range(n)]
+    want = [f"short text {i}\n\nmore {i}" for i in range(n)]
+    assert main_texts(pages) == want
+    copies = main_texts(pages + [pages[0]] * 40)       # copies do not outvote the rest
+    assert copies == want + [want[0]] * 40
+
+
+def test_near_copies_keep_their_article():
+    pages = [f"<body><nav>{i}</nav><article><p>the same long text on all of them</p><p>at {i}</p></article></body>"
+             for i in range(20)]
+    assert main_texts(pages) == [f"the same long text on all of them\n\nat {i}" for i in range(20)]
