@@ -19,13 +19,14 @@ HIDDEN = frozenset("script style noscript template head title iframe object svg
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "words")
+    __slots__ = ("tag", "attrs", "kids", "parent", "words", "names")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.kids: list[Node | str] = []
-        self.words = frozenset(re.split(r"[\s_-]+", " ".join(
-            (attrs.get(k) or "").lower() for k in ("class", "id", "role"))))
+        names = " ".join((attrs.get(k) or "").lower() for k in ("class", "id", "role"))
+        self.names = frozenset(names.split())
+        self.words = frozenset(re.split(r"[\s_-]+", names))
 
     def elements(self) -> list[Node]:
         return [k for k in self.kids if isinstance(k, Node)]

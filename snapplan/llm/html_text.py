@@ -8,7 +8,9 @@ at least ``LEAST`` others must have been compared); blocks
 whose text varies are slots, and the part of the tree that holds most of the
 varying text outside menus and the like is where the article is.  From each
 page that part is read, without template text and without elements that HTML
-or their names mark as something else.
+or their names mark as something else; a name (a whole class, id or role)
+counts if it recurs on the host's pages and holds the smaller part of their
+varying text, and nothing that holds the article is left out.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ ALIKE = 0.8              # share of pages with the same text that makes a node t
 VOTES = 8                # pages that must have been compared for that, or all other pages of a smaller host,
 LEAST = 3                # but at least so many
 COPY = 0.5               # an article with this share of constant text stands on near copies and is no template
+OFTEN = 0.1              # share of a host's pages that a name must stand on to mark parts beside the article
 MOST = 0.6               # go down to a child that has this share of the varying text
 
 # Elements and names that mark parts beside the article.
@@ -39,47 +42,100 @@ NAMES = frozenset(
 CONTENT = frozenset("article articlebody content entry main post story".split())
 
 
-def beside(n: Node) -> bool:
-    """Whether an element is something beside the article."""
-    if n.tag in ("html", "body", "#page"):
-        return False
-    if n.tag in BESIDE or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" \
-            or "display:none" in n.attrs.get("style", "").replace(" ", "").lower():
-        return True
-    return not NAMES.isdisjoint(n.words)
+def hidden(n: Node) -> bool:
+    return n.tag in HIDDEN or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" \
+        or "display:none" in n.attrs.get("style", "").replace(" ", "").lower()
 
 
-def _visible(root: Node) -> Iterator[Node]:
+def masses(root: Node, mass: dict[int, int]) -> dict[int, int]:
+    """Visible text of each element and all below it; ``mass`` has the own text of blocks."""
+    order, rest = [], [root]
+    while rest:
+        n = rest.pop()
+        if not hidden(n):
+            order.append(n)
+            rest.extend(n.elements())
+    total = {id(n): mass.get(id(n), 0) for n in order}
+    for n in reversed(order):
+        if n is not root:
+            total[id(n.parent)] += total[id(n)]
+    return total
+
+
+def side_names(trees: list[Node], totals: list[dict[int, int]]) -> frozenset[str]:
+    """The NAMES that a host's pages confirm: on several of them, and with less than half of their varying text."""
+    shares: dict[str, list[float]] = {}
+    for t, total in zip(trees, totals, strict=True):
+        found: dict[str, int] = {}
+        for n in t.walk():
+            for x in n.names & NAMES if id(n) in total else ():
+                found[x] = max(found.get(x, 0), total[id(n)])
+        for x, m in found.items():
+            shares.setdefault(x, []).append(m / max(1, total[id(t)]))
+    return frozenset(x for x, s in shares.items() if len(s) >= max(2, OFTEN * len(trees)) and sum(s) < 0.5 * len(s))
+
+
+def beside(t: Node, total: dict[int, int], names: frozenset[str], sure: bool) -> set[int]:
+    """The elements of a page that are something beside the article, by id.
+
+    ``names`` mark such elements, besides HTML's own; ``sure`` if the host
+    confirmed them.  What holds the page's largest article stays; without one,
+    a form (and a named element, if not sure) that holds most of the text.
+    """
+    kept = {id(t)}
+    marked = [n for n in t.walk() if total.get(id(n)) and (
+        n.tag in ("article", "main") or n.attrs.get("itemprop", "").lower() == "articlebody")]
+    whole = [n for n in marked if names.isdisjoint(n.names)] or marked
+    at = max(whole, key=lambda n: total[id(n)], default=None)
+    while at is not None:
+        kept.add(id(at))
+        at = at.parent
+    out = set()
+    for n in t.walk():
+        if n.tag in ("html", "body", "#page"):
+            continue
+        named = not names.isdisjoint(n.names)
+        if hidden(n):
+            out.add(id(n))
+        elif (named or n.tag in BESIDE) and id(n) not in kept:
+            most = not marked and (n.tag == "form" or named and not sure) and n.tag not in BESIDE - {"form"} \
+                and 2 * total.get(id(n), 0) > total[id(t)]
+            if not most:
+                out.add(id(n))
+    return out
+
+
+def _visible(root: Node, side: set[int]) -> Iterator[Node]:
     rest = [root]
     while rest:
         n = rest.pop()
         yield n
-        rest.extend(k for k in reversed(n.elements()) if not beside(k))
+        rest.extend(k for k in reversed(n.elements()) if id(k) not in side)
 
 
-def _mass(root: Node) -> int:
-    return sum(len(n.own_text()) for n in _visible(root) if n.is_block())
+def _mass(root: Node, side: set[int]) -> int:
+    return sum(len(n.own_text()) for n in _visible(root, side) if n.is_block())
 
 
-def _marked(root: Node) -> Node | None:
+def _marked(root: Node, side: set[int]) -> Node | None:
     """The element that says that it is the article: the largest article, else main, else one so named."""
     kinds: tuple = (lambda n: n.tag == "article", lambda n: n.tag == "main" or "main" in n.attrs.get("role", ""),
                     lambda n: n.attrs.get("itemprop", "").lower() == "articlebody",
                     lambda n: n.tag in ("div", "section", "td") and not CONTENT.isdisjoint(n.words))
-    seen = list(_visible(root))
+    seen = list(_visible(root, side))
     for kind in kinds:
         found = [n for n in seen if kind(n)]
         if found:
-            best = max(found, key=_mass)
-            if _mass(best):
+            best = max(found, key=lambda n: _mass(n, side))
+            if _mass(best, side):
                 return best
     return None
 
 
-def _heaviest(root: Node, mass: dict[int, int]) -> Node:
+def _heaviest(root: Node, mass: dict[int, int], side: set[int]) -> Node:
     """Go down while one child holds most of the varying text; ``mass`` has it by element."""
     total: dict[int, int] = {}
-    for n in reversed(list(_visible(root))):
+    for n in reversed(list(_visible(root, side))):
         total[id(n)] = mass.get(id(n), 0) + sum(total.get(id(k), 0) for k in n.elements())
     n = root
     while True:
@@ -89,7 +145,7 @@ def _heaviest(root: Node, mass: dict[int, int]) -> Node:
         n = below[0]
 
 
-def blocks(root: Node, template: set[int]) -> list[str]:
+def blocks(root: Node, template: set[int], side: set[int]) -> list[str]:
     """Texts of the blocks below an element in page order, white space as one space."""
     out: list[str] = []
     text: list[str] = []
@@ -107,7 +163,7 @@ def blocks(root: Node, template: set[int]) -> list[str]:
             end()
         elif isinstance(n, str):
             text.append(n)
-        elif n is root or not beside(n) or n.tag == "header" and NAMES.isdisjoint(n.words):
+        elif n is root or id(n) not in side or n.tag == "header" and NAMES.isdisjoint(n.names):
             if n.tag in ("br", "td", "th"):
                 text.append(" ")
             kids = [k for k in n.kids if isinstance(k, Node) and any(x.is_block() for x in k.walk())] \
@@ -147,15 +203,18 @@ def main_texts(pages: list[str]) -> list[str]:
         inside = {id(n): len(own[id(n)]) for n in article.walk() if n.is_block()}
         if sum(inside[a] for a in fixed & inside.keys()) > COPY * sum(inside.values()):
             fixed -= inside.keys()
+    templates, totals, varying = [], [], []
+    for t, has, pairs in zip(trees, texts, aligned, strict=True):
+        templates.append(fixed if t is wrapper else {id(b) for a, b, x in pairs if a in fixed and x == own[a]})
+        varying.append({n: len(x) for n, x in has.items() if n not in templates[-1]})
+        totals.append(masses(t, varying[-1]))
+    sure = len(distinct) > LEAST
+    names = side_names(trees, totals) if sure else NAMES
     out = []
-    for t, pairs in zip(trees, aligned, strict=True):
-        template = {id(b) for a, b, x in pairs if a in fixed and x == own[a]}
-        if t is wrapper:
-            template = fixed
-        varying = {id(n): len(n.own_text()) for n in _visible(t)
-                   if n.is_block() and id(n) not in template}
-        root = _marked(t) or _heaviest(t, varying)
-        out.append("\n\n".join(blocks(root, template)))
+    for t, template, total, mass in zip(trees, templates, totals, varying, strict=True):
+        side = beside(t, total, names, sure)
+        root = _marked(t, side) or _heaviest(t, mass, side)
+        out.append("\n\n".join(blocks(root, template, side)))
     return out
 
 

@@ -194,3 +194,21 @@ def test_near_copies_keep_their_article():
     pages = [f"<body><nav>{i}</nav><article><p>the same long text on all of them</p><p>at {i}</p></article></body>"
              for i in range(20)]
     assert main_texts(pages) == [f"the same long text on all of them\n\nat {i}" for i in range(20)]
+
+
+@pytest.mark.parametrize("n", [1, 20])
+def test_names_of_wrappers_and_paragraphs(n):
+    page = ('<body><div class="{w}"><article class="post category-social"><p>one {i}</p><p class="search-term">two {i}'
+            '</p><p class="related-work">three {i}</p></article><div class="related">see {i}</div></div></body>')
+    for w in ("layout has-sidebar", "sidebar", "widget"):
+        pages = [page.format(w=w, i=i) for i in range(n)]
+        assert main_texts(pages) == [f"one {i}\n\ntwo {i}\n\nthree {i}" for i in range(n)]
+    pages = [f'<body><div class="social"><p>long text {i} of the page</p></div><div class="share">b {i}</div></body>'
+             for i in range(n)]
+    assert main_texts(pages) == [f"long text {i} of the page" for i in range(n)]
+
+
+def test_a_name_on_one_page_drops_nothing():
+    pages = [f"<article><p>text {i} of the page</p><p>and more</p></article>" for i in range(20)]
+    pages.append('<article><p>text 20 of the page</p><p class="related">its own words</p></article>')
+    assert main_texts(pages)[-1].endswith("its own words")
