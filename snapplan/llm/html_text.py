@@ -6,8 +6,9 @@ aligned with it by simple tree matching.  A block of the wrapper whose text is
 the same on nearly all pages is template (pages of equal text count once, and
 at least ``LEAST`` others must have been compared); blocks
 whose text varies are slots, and the part of the tree that holds most of the
-varying text outside menus and the like is where the article is.  From each
-page that part is read, without template text and without elements that HTML
+varying text outside menus and the like is where the article is.  Markup
+(article, main and the like) settles the edges of that part, and decides alone
+on hosts with too few different pages to compare.  From each page that part is read, without template text and without elements that HTML
 or their names mark as something else; a name (a whole class, id or role)
 counts if it recurs on the host's pages and holds the smaller part of their
 varying text, and nothing that holds the article is left out.
@@ -113,38 +114,88 @@ def _visible(root: Node, side: set[int]) -> Iterator[Node]:
         rest.extend(k for k in reversed(n.elements()) if id(k) not in side)
 
 
-def _mass(root: Node, side: set[int]) -> int:
-    return sum(len(n.own_text()) for n in _visible(root, side) if n.is_block())
+#: what says that it is the article, strongest first
+KINDS = (lambda n: n.tag == "article", lambda n: n.attrs.get("itemprop", "").lower() == "articlebody",
+         lambda n: n.tag == "main" or "main" in n.attrs.get("role", ""),
+         lambda n: n.tag in ("div", "section", "td") and not CONTENT.isdisjoint(n.words))
 
 
-def _marked(root: Node, side: set[int]) -> Node | None:
-    """The element that says that it is the article: the largest article, else main, else one so named."""
-    kinds: tuple = (lambda n: n.tag == "article", lambda n: n.tag == "main" or "main" in n.attrs.get("role", ""),
-                    lambda n: n.attrs.get("itemprop", "").lower() == "articlebody",
-                    lambda n: n.tag in ("div", "section", "td") and not CONTENT.isdisjoint(n.words))
-    seen = list(_visible(root, side))
-    for kind in kinds:
-        found = [n for n in seen if kind(n)]
-        if found:
-            best = max(found, key=lambda n: _mass(n, side))
-            if _mass(best, side):
-                return best
-    return None
-
-
-def _heaviest(root: Node, mass: dict[int, int], side: set[int]) -> Node:
-    """Go down while one child holds most of the varying text; ``mass`` has it by element."""
+def _shown(root: Node, mass: dict[int, int], side: set[int]) -> dict[int, int]:
+    """Text of each element with all below it, without the elements beside; ``mass`` has the own text of blocks."""
     total: dict[int, int] = {}
     for n in reversed(list(_visible(root, side))):
         total[id(n)] = mass.get(id(n), 0) + sum(total.get(id(k), 0) for k in n.elements())
+    return total
+
+
+def _outermost(root: Node, kind, total: dict[int, int]) -> list[Node]:
+    """The elements of a kind that have text and stand in no other of it, in page order."""
+    out, rest = [], [root]
+    while rest:
+        n = rest.pop()
+        if kind(n) and n is not root:
+            out.append(n)
+        else:
+            rest.extend(k for k in reversed(n.elements()) if total.get(id(k)))
+    return out
+
+
+def _heaviest(root: Node, total: dict[int, int]) -> Node:
+    """Go down while one child with blocks of its own holds most of the varying text."""
     n = root
     while True:
-        below = [k for k in n.elements() if total.get(id(k), 0) >= MOST * total[id(n)] and total[id(n)]]
-        if not below or below[0].tag == "p":
+        below = [k for k in n.elements() if total[id(n)] and total.get(id(k), 0) >= MOST * total[id(n)]]
+        if not below or below[0].tag == "p" or n is not root and not any(k.is_block() for k in below[0].elements()):
             return n
         n = below[0]
 
 
+def _marked(root: Node, total: dict[int, int]) -> list[Node]:
+    """What a page says is its article: all of the strongest kind, but of elements only so named the largest."""
+    for kind in KINDS:
+        found = _outermost(root, kind, total)
+        if found:
+            return found if kind is not KINDS[-1] else [max(found, key=lambda n: total[id(n)])]
+    return []
+
+
+def by_slots(t: Node, total: dict[int, int], mass: dict[int, int], side: set[int]) -> list[Node]:
+    """The parts of a page that hold its article, found by varying text.
+
+    Markup settles the edges: the part grows to the nearest element around it
+    that is marked as article (with sibling articles), or shrinks to marked
+    elements in it that have most of its text.  A varying headline before it
+    belongs to it.
+    """
+    part = _heaviest(t, total)
+    around, n = [], part
+    while n is not None:
+        around.append(n)
+        n = n.parent
+    parts = [part]
+    up = next((n for kind in KINDS for n in around if kind(n)), None)
+    if up is not None:
+        parts = [up]
+        if KINDS[0](up):
+            parts = [n for n in up.parent.elements() if n is up or KINDS[0](n) and total.get(id(n))]
+    else:
+        for kind in KINDS:
+            found = _outermost(part, kind, total)
+            if 2 * sum(total[id(n)] for n in found) > total[id(part)]:
+                parts = found
+                break
+    heads, rest = [], [t]
+    while rest:
+        n = rest.pop()
+        if n is parts[0]:
+            break
+        if n.tag == "h1" and mass.get(id(n)):
+            heads.append(n)
+        rest.extend(k for k in reversed(n.elements()) if id(k) not in side or k.tag == "header" and not hidden(k)
+                    and NAMES.isdisjoint(k.names))
+    return heads + parts
+
+
 def blocks(root: Node, template: set[int], side: set[int]) -> list[str]:
     """Texts of the blocks below an element in page order, white space as one space."""
     out: list[str] = []
@@ -211,10 +262,14 @@ def main_texts(pages: list[str]) -> list[str]:
     sure = len(distinct) > LEAST
     names = side_names(trees, totals) if sure else NAMES
     out = []
-    for t, template, total, mass in zip(trees, templates, totals, varying, strict=True):
+    for t, has, template, total, mass in zip(trees, texts, templates, totals, varying, strict=True):
         side = beside(t, total, names, sure)
-        root = _marked(t, side) or _heaviest(t, mass, side)
-        out.append("\n\n".join(blocks(root, template, side)))
+        if sure and (shown := _shown(t, mass, side))[id(t)]:
+            parts = by_slots(t, shown, mass, side)
+        else:
+            shown = _shown(t, {n: len(x) for n, x in has.items()}, side)
+            parts = _marked(t, shown) or [_heaviest(t, _shown(t, mass, side))]
+        out.append("\n\n".join(x for n in parts for x in blocks(n, template, side)))
     return out
 
 

@@ -212,3 +212,24 @@ def test_a_name_on_one_page_drops_nothing():
     pages = [f"<article><p>text {i} of the page</p><p>and more</p></article>" for i in range(20)]
     pages.append('<article><p>text 20 of the page</p><p class="related">its own words</p></article>')
     assert main_texts(pages)[-1].endswith("its own words")
+
+
+def test_slots_come_before_markup():
+    words = "many words of the text proper "
+    page = (f"<body><header><h1>Site</h1></header><main><article><p>teaser {{i}}</p></article></main><div><div>"
+            f"<p>{words * 9}{{i}}</p><p>{words * 8}{{i}}</p></div></div></body>")
+    for i, t in enumerate(main_texts([page.format(i=i) for i in range(20)])):
+        assert t == f"{words * 9}{i}\n\n{words * 8}{i}"
+
+
+@pytest.mark.parametrize("n", [1, 20])
+def test_sibling_articles_stay(n):
+    pages = [f"<body><article><p>the first {i}</p></article><article><p>and a longer second {i}</p></article></body>"
+             for i in range(n)]
+    assert main_texts(pages) == [f"the first {i}\n\nand a longer second {i}" for i in range(n)]
+
+
+def test_headline_outside_the_article_stays():
+    pages = [f"<body><header><h1>Site</h1></header><h1>On {i}</h1><article><p>some text of page {i}</p></article></body>"
+             for i in range(20)]
+    assert main_texts(pages) == [f"On {i}\n\nsome text of page {i}" for i in range(20)]
