@@ -12,7 +12,7 @@ import pytest
 
 from snapplan.llm.fingerprints import document_fingerprints, likeness, sketches
 from snapplan.llm.line_dedup import line_dedup
-from snapplan.llm.mixing import BLOCK, frame_of, mix_sources, whole_weights
+from snapplan.llm.mixing import BLOCK, SLOTS, frame_of, mix_sources, schedule, whole_weights
 from snapplan.llm.ngram_join import ngram_components
 from snapplan.llm.packing import best_fit_packing, sum_of_squares
 from snapplan.llm.substring_dedup import substring_dedup
@@ -267,6 +267,21 @@ def test_mixing(spark):
     assert max(Counter((r.source, r.block) for r in got).values()) == BLOCK
 
 
+@pytest.mark.parametrize("weights", [{f"s{k:02}": 1.0 for k in range(20)},
+                                     {f"s{k:03}": 1 / 3 if k == 7 else 2 / 3 / 255 for k in range(256)},
+                                     {"a": 1e-4, "b": 0.3333, "c": 0.6666}])
+def test_shares_hold_over_long_runs(weights):
+    slots = 60_000
+    total = sum(weights.values())
+    plan = schedule({s: int(w / total * slots) * 16 for s, w in weights.items()}, weights, 16, SLOTS)
+    at = {s: p[3][p[0] == 0] for s, p in plan.items()}
+    length = sum(len(x) for x in at.values())
+    assert length > 0.9 * slots
+    for s, x in at.items():
+        done = np.cumsum(np.bincount(x, minlength=length))
+        assert np.abs(done - np.arange(1, length + 1) * (weights[s] / total)).max() < 1 + 1e-6
+
+
 @pytest.mark.parametrize("operator", [best_fit_packing, token_counts, line_dedup, ngram_components, substring_dedup,
                                       document_fingerprints])
 def test_empty_table(empty, operator):
