@@ -86,8 +86,9 @@ def byte_level_ids(text: str, vocabulary: str) -> bytes:
             if len(memo) + len(new) > MEMO:
                 memo, old = _IDS[vocabulary] = {}, memo
                 new = set(pieces)
-            fresh = list(new.difference(old))
-            memo.update((p, old[p]) for p in new.intersection(old))
+            # membership tests only: an intersection with a dict walks the whole dict
+            fresh = [p for p in new if p not in old]
+            memo.update((p, old[p]) for p in new if p in old)
             if fresh:
                 memo.update(zip(fresh, isolated_ids(fresh, vocabulary), strict=True))
         out.append(b"".join(map(memo.__getitem__, pieces)))
