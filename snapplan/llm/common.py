@@ -48,3 +48,21 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], counts: Column, t
     with_hot = first.filter(F.col("_hot")).drop("_hot")
     rest = first.filter(F.col("_hot").isNull()).drop("_hot", *value)
     return with_hot.unionByName(rest.join(cold, keys, how).drop("_hot"))
+
+
+def spread_over(rows: int) -> int:
+    """Parts for narrow rows: some thousands of rows each, up to 2000 parts; beyond, up to 4 million rows each."""
+    return max(parts_for(rows, 4_000_000), min(parts_for(rows, 8_192), 2_000))
+
+
+def in_order(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """``rows`` written in the order of ``keys`` (nulls first), with the place of each: ``_part``, ``_file``, ``_row``.
+
+    Parts ascend by the keys, and so do the rows of a part.  Rows with equal
+    keys may go to several parts, so no key is too frequent for one.
+    """
+    out = (rows.withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange(parts, *keys, "_salt")
+           .sortWithinPartitions(*keys, "_salt").drop("_salt"))
+    name = F.col("_metadata.file_name")
+    return settle(out).select("*", F.regexp_extract(name, r"^part-(\d+)", 1).cast("long").alias("_part"),
+                              name.alias("_file"), F.col("_metadata.row_index").alias("_row"))

@@ -13,16 +13,26 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from struct import pack
 
 #: a word of a byte-level vocabulary always starts here
 SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[^\W_])(?=[.,])")
+#: a piece up to the next such place; first the common forms, which need no test at each of their characters
+PIECE = re.compile(r"[ \n]?[^\W_]+(?=[.,]|[ \n]\S|\Z)|[.,](?=[ \n]\S)|(?s:.+?)(?:" + SAFE.pattern + r"|\Z)")
+#: words of a vocabulary that drops white space end here
+WHITE = re.compile(r"[ \t-\r]")
 #: code points of a text held in pieces at one time
 SLICE = 1 << 20
 #: pieces kept with their ids in a worker: so many new ones, and as many from before
 MEMO = 800_000
 
 _LOADED: dict[str, object] = {}
-_IDS: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+_IDS: dict[tuple[str, bool], tuple[dict, dict]] = {}
+#: letters with ASCII marks after them, but for the apostrophe, which can begin a piece with letters in it
+TAIL = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~]{1,3})")
+_TAILS: dict[tuple[str, str], bytes] = {}
+#: how byte-level vocabularies write a space (a fixed value of theirs)
+BYTE_SPACE = "\u0120"
 
 
 def tokenizer(vocabulary: str):
@@ -38,15 +48,15 @@ def tokenizer(vocabulary: str):
     return _LOADED[vocabulary]
 
 
-def slices(text: str, size: int = SLICE) -> Iterator[str]:
+def slices(text: str, size: int = SLICE, cut: re.Pattern = SAFE) -> Iterator[str]:
     """Cut a text at safe places, each slice at least ``size`` long but the last."""
     at = 0
     while len(text) - at > size:
-        cut = SAFE.search(text, at + size)
-        if cut is None:
+        place = cut.search(text, at + size)
+        if place is None:
             break
-        yield text[at:cut.start()]
-        at = cut.start()
+        yield text[at:place.start()]
+        at = place.start()
     yield text[at:]
 
 
@@ -75,21 +85,66 @@ def isolated_ids(pieces: list[str], vocabulary: str) -> list[bytes]:
     return out
 
 
+def simple_ids(piece: str, vocabulary: str, words: bool) -> bytes | None:
+    """The ids of a piece of plain ASCII letters, from the model alone; None for any other piece.
+
+    Letters pass normalisation and splitting as one piece: in lower case for
+    a vocabulary of words, where up to three marks may follow, which are a piece
+    of their own; with one space before them, written as the byte-level
+    sign for it, for a byte-level one.
+    """
+    tail = b""
+    if words:
+        piece = piece.lower() if piece.isascii() else piece
+        found = TAIL.fullmatch(piece)
+        if found:
+            piece, marks = found.groups()
+            if (vocabulary, marks) not in _TAILS:
+                _TAILS[vocabulary, marks] = isolated_ids([marks], vocabulary)[0]
+            tail = _TAILS[vocabulary, marks]
+        letters = piece
+    else:
+        letters = piece[1:] if piece[:1] == " " else piece
+        piece = piece.replace(" ", BYTE_SPACE)
+    if not (letters.isascii() and letters.isalpha()):
+        return None
+    ids = [t.id for t in tokenizer(vocabulary).model.tokenize(piece)]
+    return pack(f"<{len(ids)}I", *ids) + tail
+
+
+def _known(pieces: list, vocabulary: str, words: bool) -> Iterator[bytes]:
+    """The ids of each piece, from the memo where it was seen before.  Words come as bytes."""
+    memo, old = _IDS.setdefault((vocabulary, words), ({}, {}))
+    # membership tests only, here and below: other set operations may walk the whole memo
+    new = {p for p in set(pieces) if p not in memo}
+    if new:
+        if len(memo) + len(new) > MEMO:
+            memo, old = _IDS[vocabulary, words] = {}, memo
+            new = set(pieces)
+        others = []
+        for p in new:
+            ids = old[p] if p in old else simple_ids(p.decode(), vocabulary, words) if words else None
+            if ids is None:
+                others.append(p)
+            else:
+                memo[p] = ids
+        if others:
+            strings = list(map(bytes.decode, others)) if words else others
+            memo.update(zip(others, isolated_ids(strings, vocabulary), strict=True))
+    return map(memo.__getitem__, pieces)
+
+
 def byte_level_ids(text: str, vocabulary: str) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit numbers, no special tokens added."""
-    memo, old = _IDS.setdefault(vocabulary, ({}, {}))
-    out = []
-    for part in slices(text):
-        pieces = SAFE.split(part)
-        new = set(pieces).difference(memo)
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo, old = _IDS[vocabulary] = {}, memo
-                new = set(pieces)
-            # membership tests only: an intersection with a dict walks the whole dict
-            fresh = [p for p in new if p not in old]
-            memo.update((p, old[p]) for p in new if p in old)
-            if fresh:
-                memo.update(zip(fresh, isolated_ids(fresh, vocabulary), strict=True))
-        out.append(b"".join(map(memo.__getitem__, pieces)))
-    return b"".join(out)
+    return b"".join(b"".join(_known(SAFE.split(part), vocabulary, False)) for part in slices(text))
+
+
+def word_ids(text: str, vocabulary: str) -> Iterator[bytes]:
+    """The ids of each word between ASCII white space, for a vocabulary of words, as ``byte_level_ids`` gives them.
+
+    Such a vocabulary drops white space: its pattern matches none, its
+    normalisation (NFC, runs of white space, lower case of single characters)
+    joins nothing across it, and no special string holds any.
+    """
+    for part in slices(text, cut=WHITE):
+        yield from _known(part.encode().split(), vocabulary, True)
