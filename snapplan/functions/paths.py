@@ -13,11 +13,11 @@ from ._util import col
 
 
 def dirname(path) -> Column:
-    """Everything before the last ``/``: ``''`` for a bare name, ``/`` for
-    an entry of the root."""
+    """Everything before the last ``/``: ``''`` for a bare name and for the
+    root itself, ``/`` for an entry of the root."""
     p = col(path)
     before = F.substr(p, F.lit(1), F.length(p) - F.length(basename(p)) - 1)
-    return (F.when(F.instr(p, "/") == 0, F.lit("")).when(F.length(p) == F.length(basename(p)) + 1, F.lit("/"))
+    return (F.when((F.instr(p, "/") == 0) | (p == "/"), F.lit("")).when(F.length(p) == F.length(basename(p)) + 1, F.lit("/"))
             .otherwise(before))
 
 

@@ -3,7 +3,7 @@
 import os
 import re
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -172,15 +172,16 @@ def test_table_snapshot_equals_bruteforce(spark, cur, prev):
 
 
 @settings(max_examples=8, deadline=None)
+@example(["/", "/a", "//a", "a", "/a/b.c", "//", "a/"])
 @given(st.lists(st.text(alphabet="ab./", min_size=1, max_size=10), min_size=5, max_size=20, unique=True))
 def test_path_parts_equal_python(spark, paths):
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     parts = FP.path_parts("p")
     got = {r.p: (r.dir, r.name, r.stem) for r in df.select("p", *[v.alias(k) for k, v in parts.items()]).collect()}
     def ref(p):
-        d, _, n = p.rpartition("/")
+        d, sep, n = p.rpartition("/")
         stem = n[: n.rfind(".")] if "." in n else n
-        return (d, n, stem)
+        return ("/" if sep and n and not d else d, n, stem)
     assert got == {p: ref(p) for p in paths}
 
 
