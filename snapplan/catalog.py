@@ -575,6 +575,44 @@ def q_store_put(spark, sf_dir):
             .select("attempt", F.expr(f"substring(path, {n})").alias("path"), "dest", "hash", "status", "bytes"))
 
 
+@query("blob_sink")
+def q_blob_sink(spark, sf_dir):
+    """Real files put into a blob table twice, in blocks of 4 KiB; what is stored, read back."""
+    from .operators.blobs import blob_contents, put_blobs, read_blocks
+    from .operators.store import write_results
+    from .session import shared_path
+    from .sources import inventory as INV
+    _, base = _real_files(spark, sf_dir)
+    files = INV.files_only(INV.inventory(spark, [f"{base}/data"], []))
+    empty_state = spark.createDataFrame([], "path string, st_hash string, st_hash_mtime long, backup_mtime long")
+    q = write_results(S.queue(S.plan(files, empty_state, None, S.PlanOptions(mode="fast"))), shared_path(spark, "queue"))
+    table = shared_path(spark, "blobs")
+    first = put_blobs(q, table, block_bytes=4096)
+    again = put_blobs(q, table, block_bytes=4096)
+    stored = blob_contents(spark, table).select("hash", F.md5("content").alias("stored_md5"))
+    blocks = read_blocks(spark, table).groupBy("hash").agg(F.count(F.lit(1)).alias("n_blocks"))
+    n = len(base) + 1
+    return (first.withColumn("attempt", F.lit(1)).unionByName(again.withColumn("attempt", F.lit(2)))
+            .join(stored, "hash").join(blocks, "hash")
+            .select("attempt", F.expr(f"substring(path, {n})").alias("path"), "hash", "status", "bytes", "stored_md5",
+                    "n_blocks"))
+
+
+@query("run_snapshot_blobs")
+def q_run_snapshot_blobs(spark, sf_dir):
+    """Two whole runs into a blob table; the second one finds everything there."""
+    from .operators.store import BlobTableStore
+    from .plans.run import run_snapshot
+    from .session import shared_path
+    _, base = _real_files(spark, sf_dir)
+    root, state, work = (shared_path(spark, x) for x in ("store", "state", "work"))
+    kw = dict(roots=[f"{base}/data"], store_root=root, state_dir=state, work_dir=work, ignore=["*.tmp"], mode="safe",
+              store=BlobTableStore(spark, f"{root}/blobs"))
+    r1 = run_snapshot(spark, run_id="20240101T000000", **kw).withColumn("run", F.lit(1))
+    r2 = run_snapshot(spark, run_id="20240101T000100", **kw).withColumn("run", F.lit(2))
+    return r1.unionByName(r2)
+
+
 @query("run_snapshot")
 def q_run_snapshot(spark, sf_dir):
     from .plans.run import run_snapshot

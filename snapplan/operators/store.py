@@ -19,9 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digest import balance_by_size
-from ..session import has_entries, local_fs_path
+from ..functions.digest import balance_by_size, tasks_for_bytes
+from ..session import local_fs_path, shared_path
 from ..sources.listings import store_from_listing
+from ..sources.storage import read_range
+from .blobs import put_blobs, stored_blobs
 
 RESULT_SCHEMA = ("path string, dest string, hash string, status string, tries int, "
                  "bytes long, error string")
@@ -64,14 +66,22 @@ def _put_one(src: str | None, payload: bytes | None, dest: str, on_exists: str)
 
 def copy_to_store(queue: DataFrame, store_root: str, on_exists: str = "skip",
                   content_col: str | None = None,
-                  target_bytes: int | None = 256 * 1024 * 1024) -> DataFrame:
+                  target_bytes: int | None = 256 * 1024 * 1024,
+                  large_bytes: int = LARGE_TRANSFER_BYTES) -> DataFrame:
     """O-09 / O-11: put every queue row into ``store_root/dest``.
 
     ``queue`` has ``path, dest, hash[, size][, try_count]`` and, for table
     payloads, ``content_col``.  With sizes known, copy tasks are balanced by
-    bytes (``target_bytes`` per task).  Status: copied | exists |
-    overwritten | failed."""
+    bytes (``target_bytes`` per task), and files above ``large_bytes`` go
+    block by block over many tasks (``copy_in_blocks``).  Status: copied |
+    exists | overwritten | failed."""
     root = local_fs_path(store_root).rstrip("/")
+    if "size" in queue.columns and not content_col:
+        large = queue.filter(F.col("size") > large_bytes)
+        if not large.isEmpty():
+            rest = queue.filter(F.coalesce(F.col("size") <= large_bytes, F.lit(True)))
+            return copy_to_store(rest, store_root, on_exists, None, target_bytes, 1 << 62).unionByName(
+                copy_in_blocks(large, store_root, on_exists, target_bytes or BLOCK_LARGE))
     if target_bytes and "size" in queue.columns:
         queue = balance_by_size(queue, target_bytes)
     cols = ["path", "dest", "hash"] + (["try_count"] if "try_count" in queue.columns else [])
@@ -95,6 +105,77 @@ def copy_to_store(queue: DataFrame, store_root: str, on_exists: str = "skip",
     return q.mapInPandas(run, RESULT_SCHEMA)
 
 
+def copy_in_blocks(queue: DataFrame, store_root: str, on_exists: str = "skip",
+                   target_bytes: int = 256 * 1024 * 1024, block_bytes: int = BLOCK_LARGE) -> DataFrame:
+    """Put large files block by block, many tasks to a file.
+
+    The blocks of a file are written at their places in one temporary file
+    next to the destination, in any order and any number of times; what
+    became of them is written once.  Then a task per file renames it into
+    place if every block is there and its length is right, and removes it
+    otherwise: a reader never sees part of a file."""
+    root, run = local_fs_path(store_root).rstrip("/"), uuid.uuid4().hex
+    tries = F.coalesce(F.col("try_count"), F.lit(0)) if "try_count" in queue.columns else F.lit(0)
+    files = queue.select("path", "dest", "hash", "size", (tries + 1).cast("int").alias("tries"))
+    total = files.agg(F.sum("size")).first()[0] or 0
+    n = F.expr(f"cast((size + {block_bytes - 1}) div {block_bytes} as int)")
+    blocks = (files.withColumn("block", F.explode(F.sequence(F.lit(0), n - 1)))
+              .repartition(tasks_for_bytes(total, target_bytes), "path", "block"))
+
+    def write_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for rec in pdf.to_dict("records"):
+                dest, error = f"{root}/{rec['dest']}", None
+                try:
+                    if on_exists != "skip" or not os.path.exists(dest):
+                        os.makedirs(os.path.dirname(dest) or ".", exist_ok=True)
+                        start = rec["block"] * block_bytes
+                        data = read_range(rec["path"], start, min(block_bytes, rec["size"] - start))
+                        fh = os.open(f"{dest}.tmp-{run}", os.O_CREAT | os.O_WRONLY, 0o644)
+                        try:
+                            at = 0
+                            while at < len(data):
+                                at += os.pwrite(fh, data[at:], start + at)
+                        finally:
+                            os.close(fh)
+                except OSError as e:
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((rec["path"], rec["dest"], rec["hash"], rec["size"], rec["tries"], error))
+            yield pd.DataFrame(rows, columns=["path", "dest", "hash", "size", "tries", "error"])
+
+    path = shared_path(queue.sparkSession, "blocks")
+    done = write_results(blocks.mapInPandas(
+        write_blocks, "path string, dest string, hash string, size long, tries int, error string"), path)
+    whole = done.groupBy("path", "dest", "hash", "size", "tries").agg(F.max("error").alias("error"))
+
+    def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for rec in pdf.to_dict("records"):
+                dest = f"{root}/{rec['dest']}"
+                tmp, error, n_bytes = f"{dest}.tmp-{run}", rec["error"], 0
+                try:
+                    there = os.path.exists(dest)
+                    if error is None and os.path.exists(tmp):
+                        if os.path.getsize(tmp) != rec["size"]:
+                            raise OSError(f"{dest}: {os.path.getsize(tmp)} of {rec['size']} bytes written")
+                        os.replace(tmp, dest)
+                        status, n_bytes = "overwritten" if there else "copied", rec["size"]
+                    elif error is None:
+                        status = "exists" if there else "failed"
+                    else:
+                        status = "failed"
+                        if os.path.exists(tmp):
+                            os.remove(tmp)
+                except OSError as e:
+                    status, error = "failed", f"{type(e).__name__}: {e}"
+                rows.append((rec["path"], rec["dest"], rec["hash"], status, rec["tries"], n_bytes, error))
+            yield pd.DataFrame(rows, columns=["path", "dest", "hash", "status", "tries", "bytes", "error"])
+
+    return whole.mapInPandas(show, RESULT_SCHEMA)
+
+
 def write_results(results: DataFrame, path: str) -> DataFrame:
     """Persist put results once, then re-read them (side effects are not
     re-run by later actions)."""
@@ -146,23 +227,16 @@ def blob_append_set(queue_with_content: DataFrame, store: DataFrame, shard_depth
     return missing.withColumn("shard", F.substring("hash", 1, shard_depth))
 
 
-def append_blobs(queue_with_content: DataFrame, store: DataFrame, path: str,
-                 shard_depth: int = 1) -> DataFrame:
-    """O-10 sink: append missing blobs to a Parquet blob table laid out by
-    shard.  Returns the appended rows (re-read from what was written)."""
-    rows = blob_append_set(queue_with_content, store, shard_depth).dropDuplicates(["hash"])
-    rows.select("hash", "size", "ext", "content", "shard").write.mode("append") \
-        .partitionBy("shard").parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
 class Store:
-    """O-68: a content store lists its index and puts queue rows."""
+    """O-68: a content store lists its index, ``(hash, size)``, and puts queue
+    rows ``path, dest, hash, size[, try_count]``, with their payload in
+    ``content_col`` or in the file ``path``; put results have the columns of
+    ``RESULT_SCHEMA``, one row per queue row."""
 
     def list(self) -> DataFrame:  # pragma: no cover - interface
         raise NotImplementedError
 
-    def put(self, queue: DataFrame) -> DataFrame:  # pragma: no cover - interface
+    def put(self, queue: DataFrame, content_col: str | None = None) -> DataFrame:  # pragma: no cover - interface
         raise NotImplementedError
 
 
@@ -193,18 +267,20 @@ class DirectoryStore(Store):
 
 
 class BlobTableStore(Store):
-    """Blobs as rows of a Parquet table partitioned by shard."""
+    """Payloads as rows of a table that grows by commits (``blobs``), on any
+    file system Spark and Arrow both reach."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def list(self) -> DataFrame:
-        if not has_entries(self.spark, self.path):
-            return self.spark.createDataFrame([], "hash string, size long")
-        return self.spark.read.parquet(self.path).groupBy("hash").agg(F.max("size").alias("size"))
+        return stored_blobs(self.spark, self.path)
 
-    def put(self, queue_with_content: DataFrame) -> DataFrame:
-        return append_blobs(queue_with_content, self.list(), self.path)
+    def put(self, queue: DataFrame, content_col: str | None = None) -> DataFrame:
+        """Payloads come from ``content_col``, or from the files named in ``path``."""
+        if content_col and content_col != "content":
+            queue = queue.withColumnRenamed(content_col, "content")
+        return put_blobs(queue, self.path)
 
 
 def open_store(spark: SparkSession, kind: str, location: str) -> Store:

@@ -541,3 +541,10 @@ select n, cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as big
     """c as (select (select count(*) from kept) as n,
                 (select count(distinct hash) from kept where not is_symlink and size > 0) as d,
                 (select count(*) from kept where not is_symlink and size > 0) as e)"""]))
+_FIRST_FILES = """q as (select f.path, f.hash, f.size
+  from fx_files f join (select hash as rh, min(path) as rpath from fx_files where not is_symlink and size > 0 group by hash) r
+    on f.path = r.rpath)"""
+oracle("blob_sink", with_fx(["fx_files"], """select attempt, path, hash, case attempt when 1 then 'copied' else 'exists' end as status,
+  case attempt when 1 then size else 0 end as bytes, hash as stored_md5, (size + 4095) // 4096 as n_blocks
+from q, (values (1), (2)) a(attempt)""", [_FIRST_FILES]))
+oracle("run_snapshot_blobs", ORACLES["run_snapshot"])
