@@ -260,6 +260,13 @@ def q_ignore_rule_join(spark, sf_dir):
     return IG.apply_ignore_table(fx.files, rules, "pattern", subtree=True).select("path")
 
 
+@query("ignore_rule_table")
+def q_ignore_rule_table(spark, sf_dir):
+    """Files against globs of every form, one rule per customer: a rule set that grows with the data."""
+    fx = _fx(spark, sf_dir)
+    return IG.apply_ignore_table(fx.files, fx.rule_table, "pattern", subtree=True).select("path")
+
+
 @query("queue_eligible")
 def q_queue_eligible(spark, sf_dir):
     p = planned(_fx(spark, sf_dir), "safe")
@@ -690,6 +697,75 @@ def q_stream_retry(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def _scanned(spark, sf_dir):
+    """Real files and their scan, as rows of a streamed inventory (mtime in seconds)."""
+    from .sources import inventory as INV
+    fx, base = _real_files(spark, sf_dir)
+    files = INV.files_only(INV.inventory(spark, [f"{base}/data"], []))
+    return fx, base, files.select(
+        "path", F.lit(1).alias("scan"), "size", F.floor(F.col("mtime") / 1_000_000).cast("long").alias("mtime"), "is_symlink",
+        "link_target")
+
+
+@query("stream_snapshot")
+def q_stream_snapshot(spark, sf_dir):
+    """Two scans of the same files, one after the other; the second finds later mtimes of a third of them.
+
+    It is judged against what the first one left: digests, marks of what was saved, nothing else.
+    """
+    from .operators.blobs import put_blobs
+    from .session import shared_path
+    from .streaming import snapshot_stream as SN
+    from .streaming import stream as ST_
+    fx, base, scan = _scanned(spark, sf_dir)
+    later = FP.stem("name").cast("long") % 3 == 1
+    second = scan.withColumn("name", FP.basename("path")).select(
+        "path", F.lit(2).alias("scan"), "size", F.when(later, F.col("mtime") + 60)
+        .otherwise(F.col("mtime")).alias("mtime"), "is_symlink", "link_target")
+    src, work, table = (shared_path(spark, x) for x in ("stream-in", "stream-work", "blobs"))
+    scan.write.parquet(f"{src}/a")
+    second.write.parquet(f"{src}/b")
+    n = len(base) + 1
+    known = fx.state.withColumn("path", F.concat(F.lit(base), "path"))
+    for k in ("a", "b"):                       # one scan arrives when the other has been dealt with
+        seen = ST_.read_stream(spark, f"{src}/" + ("{a}" if k == "a" else "{a,b}"), scan.schema, 1000)
+        q = SN.snapshot_query(seen, lambda queue, i: put_blobs(queue, table, commit=f"batch-{i}"), work, known,
+                              max_retries=1, delay_s=1, trigger_s=0.2, partitions=_state_parts(spark))
+        SN.run_until_done(q, spark, work, 1)
+    rows = SN.planned_rows(spark, work).filter(~F.col("hash").startswith("SYM-"))     # a link's mtime is this run's
+    return rows.select(F.expr(f"substring(path, {n})").alias("path"), "scan", "mtime", "hash", "stale", "upload_required",
+                       "action")
+
+
+@query("stream_retry_delay")
+def q_stream_retry_delay(spark, sf_dir):
+    """Files put from a stream into a store that fails some of them up to five times; each comes back after its delay."""
+    from .operators.store import copy_to_store
+    from .session import shared_path
+    from .streaming import snapshot_stream as SN
+    from .streaming import stream as ST_
+    _, base, scan = _scanned(spark, sf_dir)
+    src, work, root = (shared_path(spark, x) for x in ("stream-in", "stream-work", "store"))
+    scan.write.parquet(src)
+
+    def put(queue, batch_id):
+        # stand-in of a failing store: the file is not found before its try number is above a digit of its hash
+        fails = F.col("try_count") < F.conv(F.left("hash", F.lit(1)), 16, 10).cast("int") % 6
+        tried = queue.withColumn("path", F.when(fails, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")))
+        return copy_to_store(tried, root).withColumn("path", F.regexp_replace("path", r"\.gone$", ""))
+
+    seen = ST_.read_stream(spark, src, scan.schema, 1000)
+    q = SN.snapshot_query(seen, put, work, max_retries=3, delay_s=1, trigger_s=0.2, partitions=_state_parts(spark))
+    SN.run_until_done(q, spark, work, 3)
+    r = SN.put_results(spark, work)
+    n = len(base) + 1
+    per = r.groupBy("path").agg(F.count(F.lit(1)).alias("attempts"), F.max("tries").alias("tries"),
+                                F.max_by("status", "tries").alias("last"), (F.max("at_ms") - F.min("at_ms")).alias("took"))
+    return per.select(F.expr(f"substring(path, {n})").alias("path"), "attempts", "tries",
+                      F.when(F.col("last") == "failed", "exhausted").otherwise("saved").alias("status"),
+                      (F.col("took") >= 1000 * (F.col("attempts") - 1)).alias("delayed"))
+
+
 @query("stream_totals")
 def q_stream_totals(spark, sf_dir):
     from .session import shared_path

@@ -113,6 +113,17 @@ class Fixtures:
                 (6, "/data/src3/en"), (7, "bin/Debug"), (8, "??4")]
         return self.spark.createDataFrame(rows, "ord int, line string")
 
+    @cached_property
+    def rule_table(self) -> DataFrame:
+        """Globs with an anchor at their start, at their end and inside, and exact names."""
+        k = F.col("c_custkey").cast("string")
+        n = F.col("c_custkey") % 4
+        return self.table("customer").select(
+            F.when(n == 0, F.concat(F.lit("*3"), k, F.lit(".T?p")))
+            .when(n == 1, F.concat(k, F.lit(".L*")))
+            .when(n == 2, F.concat(F.lit("/data/*/EN/*"), k, F.lit("?.*")))
+            .otherwise(F.concat(k, F.lit(".md"))).alias("pattern"))
+
     @cached_property
     def secrets(self) -> DataFrame:
         d = self.table("documents")
@@ -239,6 +250,12 @@ FX_SQL: dict[str, str] = {
     "fx_rule_lines": """fx_rule_lines as (
   select * from (values (1, '# comment'), (2, ''), (3, '  *.tmp  '), (4, '*.md'), (5, 'SRC7'), (6, '/data/src3/en'),
                         (7, 'bin/Debug'), (8, '??4')) as t(ord, line))""",
+    "fx_rule_table": """fx_rule_table as (
+  select case c_custkey % 4 when 0 then concat('*3', cast(c_custkey as string), '.T?p')
+              when 1 then concat(cast(c_custkey as string), '.L*')
+              when 2 then concat('/data/*/EN/*', cast(c_custkey as string), '?.*')
+              else concat(cast(c_custkey as string), '.md') end as pattern
+  from customer)""",
     "fx_secrets": """fx_secrets as (
   select distinct unnest(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) as secret from documents)""",
     "fx_attempts": """fx_attempts as (
@@ -281,7 +298,7 @@ FX_SQL: dict[str, str] = {
 _DEPS = {
     "fx_raw": [], "fx_files": ["fx_raw"], "fx_state": ["fx_files"], "fx_state_kv": ["fx_state"],
     "fx_store": ["fx_files"], "fx_listing": ["fx_files"], "fx_objects": ["fx_listing", "fx_files"],
-    "fx_rule_lines": [], "fx_secrets": [], "fx_attempts": [], "fx_layers": [], "fx_orders": [],
+    "fx_rule_lines": [], "fx_rule_table": [], "fx_secrets": [], "fx_attempts": [], "fx_layers": [], "fx_orders": [],
     "fx_orders_prev": ["fx_orders"], "fx_lineitem": [], "fx_lineitem_prev": ["fx_lineitem"],
     "fx_doc_settings": [], "fx_settings": ["fx_layers", "fx_doc_settings"],
 }

@@ -19,14 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._util import col
+from ..functions.paths import dirname
+from .globs import MAX_BROADCAST, glob_matches
 
 # The three junk names variant P always skips (case-sensitive).
 FIXED_IGNORED_NAMES_P = (".DS_Store", "Thumbs.db", "desktop.ini")
 
-# Size bound for glob rules broadcast into a nested-loop anti join.
-MAX_BROADCAST_GLOBS = 10_000
-
-
 def glob_to_like(pattern: str) -> str:
     """Glob -> LIKE pattern with ``\\`` as escape character."""
     out = []
@@ -149,52 +147,37 @@ def apply_ignore_fixed(df: DataFrame, names: Sequence[str] = FIXED_IGNORED_NAMES
 
 
 def apply_ignore_table(files: DataFrame, patterns: DataFrame, pattern_col: str = "pattern",
-                       subtree: bool = False,
-                       max_broadcast: int = MAX_BROADCAST_GLOBS) -> DataFrame:
+                       subtree: bool = False, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """O-43: rules held in a table, for rule sets too large to inline.
 
-    Exact rules are an equi anti-join on the upper-cased text (shuffled, no
-    size limit).  Glob rules need a nested-loop anti-join; they are
-    broadcast in chunks of at most ``max_broadcast`` rows, so the broadcast
-    stays bounded however many rules there are.
+    Exact rules are an equi-join on the upper-cased text, globs one on their
+    anchors (``globs.glob_matches``).  With ``subtree`` each directory from
+    the root down is tested once, whatever the number of files below it.
     """
     p = (patterns.select(F.col(pattern_col).alias("_p"))
          .filter(F.col("_p").isNotNull() & (F.trim("_p") != "")))
-    glob_flag = F.col("_p").contains("*") | F.col("_p").contains("?")
-    exact = p.filter(~glob_flag).select(F.upper("_p").alias("_k")).distinct()
-    globs = p.filter(glob_flag).select(_like_expr(F.col("_p")).alias("_like")).distinct()
-
-    if subtree:
-        probes = files.select("root", "path", F.explode(F.concat(
-            F.array(F.struct(F.col("name").alias("name"), F.col("path").alias("path"))),
-            ancestors("path", "root"))).alias("_a")).select(
-            "root", "path", F.col("_a.name").alias("_n"), F.col("_a.path").alias("_q"))
-        key_cols = ["root", "path"]
-    else:
-        probes = files.select("path", F.col("name").alias("_n"), F.col("path").alias("_q"))
-        key_cols = ["path"]
-
-    hit_keys = [probes.join(exact, F.upper(probes["_n"]) == exact["_k"], "left_semi").select(*key_cols),
-                probes.join(exact, F.upper(probes["_q"]) == exact["_k"], "left_semi").select(*key_cols)]
-
-    n_globs = globs.count()
-    # hash chunks: twice as many as the bound needs, so a chunk stays below it
-    n_chunks = max(1, -(-2 * n_globs // max_broadcast))
-    if n_globs:
-        chunked = globs.withColumn("_chunk", F.pmod(F.xxhash64("_like"), F.lit(n_chunks)).cast("int"))
-        for i in range(n_chunks):
-            chunk = F.broadcast(chunked.filter(F.col("_chunk") == i).select("_like"))
-            cond = (F.like(F.lower(probes["_n"]), F.lower(chunk["_like"]))
-                    | F.like(F.lower(probes["_q"]), F.lower(chunk["_like"])))
-            hit_keys.append(probes.join(chunk, cond, "left_semi").select(*key_cols))
-
-    hits = hit_keys[0]
-    for h in hit_keys[1:]:
-        hits = hits.unionByName(h)
-    return files.join(hits.distinct(), key_cols, "left_anti")
-
-
-def _like_expr(p: Column) -> Column:
-    """Glob text -> LIKE text, JVM-side (escape first, then wildcards)."""
-    esc = F.regexp_replace(p, r"([\\%_])", r"\\$1")
-    return F.translate(esc, "*?", "%_")
+    is_glob_ = F.col("_p").contains("*") | F.col("_p").contains("?")
+    exact = p.filter(~is_glob_).select(F.upper("_p").alias("_k")).distinct()
+    globs = p.filter(is_glob_)
+
+    def hits(strings: DataFrame, keys: list[str]) -> DataFrame:
+        """Keys of the rows whose ``_x`` any rule matches."""
+        literal = strings.join(exact, F.upper("_x") == F.col("_k"), "left_semi").select(*keys)
+        return literal.unionByName(glob_matches(strings, "_x", keys, globs, "_p", max_broadcast)).distinct()
+
+    def either(df: DataFrame, keys: list[str], name: str, path: str) -> DataFrame:
+        """O-33: one row for the bare name and one for the full path."""
+        return df.select(*keys, F.explode(F.array(F.col(name), F.col(path))).alias("_x"))
+
+    keys = ["root", "path"] if subtree else ["path"]
+    out = files.join(hits(either(files.select(*keys, "name"), keys, "name", "path"), keys), keys, "left_anti")
+    if not subtree:
+        return out
+    dirs = (files.groupBy("root", dirname("path").alias("_dir")).agg(F.min("path").alias("_p"))
+            .select("root", "_dir", F.explode(ancestors("_p", "root")).alias("_a"))
+            .select("root", "_dir", F.col("_a.name").alias("_n"), F.col("_a.path").alias("_q")))
+    tested = dirs.select("_n", "_q").distinct()
+    bad = dirs.join(hits(either(tested, ["_q"], "_n", "_q"), ["_q"]), "_q", "left_semi").select(
+        F.col("root").alias("_r"), "_dir").distinct()
+    return (out.withColumn("_own", dirname("path"))
+            .join(bad, F.col("root").eqNullSafe(F.col("_r")) & (F.col("_own") == F.col("_dir")), "left_anti").drop("_own"))

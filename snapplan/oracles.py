@@ -290,6 +290,12 @@ _SUBTREE = f"""select path from fx_files f where not ({_hit('f.name')} or {_hit(
   and not exists (select 1 from anc where anc.path = f.path and ({_hit('anc.a.n')} or {_hit('anc.a.p')}))"""
 oracle("ignore_subtree", with_fx(["fx_files", "fx_rule_lines"], _SUBTREE, [_RULES, _ANC]))
 oracle("ignore_rule_join", with_fx(["fx_files", "fx_rule_lines"], _SUBTREE, [_RULES, _ANC]))
+_TABLE_HIT = "exists (select 1 from like_rules r where {x}.n ilike r.p or {x}.q ilike r.p)"
+oracle("ignore_rule_table", with_fx(["fx_files", "fx_rule_table"], f"""select path from (select path, name as n, path as q from fx_files) f
+  where not {_TABLE_HIT.format(x="f")} and path not in (
+    select anc.path from anc join (select * from (select distinct a.n as n, a.p as q from anc) t
+                                   where {_TABLE_HIT.format(x="t")}) bad on anc.a.p = bad.q)""", [
+    "like_rules as (select translate(pattern, '*?', '%_') as p from fx_rule_table)", _ANC]))
 oracle("ignore_fixed", with_fx(["fx_files"],
                                "select path from fx_files where name not in ('.DS_Store', 'Thumbs.db', 'desktop.ini')"))
 
@@ -548,3 +554,19 @@ oracle("blob_sink", with_fx(["fx_files"], """select attempt, path, hash, case at
   case attempt when 1 then size else 0 end as bytes, hash as stored_md5, (size + 4095) // 4096 as n_blocks
 from q, (values (1), (2)) a(attempt)""", [_FIRST_FILES]))
 oracle("run_snapshot_blobs", ORACLES["run_snapshot"])
+oracle("stream_snapshot", with_fx(["fx_files", "fx_state"], """select path, scan, mtime, hash, stale, upload_required,
+  case when upload_required and size > 0 then 'put' else 'plan' end as action
+from (
+  select path, 1 as scan, mtime, hash, stale1 as stale, required1 as upload_required, size from one
+  union all
+  select path, 2, case when later then mtime + 60 else mtime end, hash, later, later or (required1 and size = 0), size
+  from one)""", [
+    """one as (
+  select f.path, f.mtime, f.size, md5(f.content) as hash, f.doc_id % 3 = 1 as later,
+         (s.st_hash_mtime is null or s.st_hash_mtime <> f.mtime or s.st_hash is null) as stale1,
+         (s.backup_mtime is null or s.backup_mtime <> f.mtime) as required1
+  from fx_files f left join fx_state s on f.path = s.path where not f.is_symlink)"""]))
+oracle("stream_retry_delay", with_fx(["fx_files"], """select path, cast(least(k + 1, 4) as bigint) as attempts,
+  cast(least(k + 1, 4) as integer) as tries, case when k > 3 then 'exhausted' else 'saved' end as status, true as delayed
+from (select path, (strpos('0123456789abcdef', substr(hash, 1, 1)) - 1) % 6 as k
+      from fx_files where not is_symlink and size > 0)"""))

@@ -4,11 +4,12 @@ ignoring case), on generated patterns and names."""
 
 import re
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from snapplan.operators import ignore as IG
+from snapplan.operators.globs import glob_matches
 
 ALPHABET = "aB.*?_%\\/x-"
 pattern_s = st.builds(lambda a, w, b: a + w + b, st.text(alphabet=ALPHABET, max_size=3),
@@ -30,3 +31,20 @@ def test_glob_like_matches_regex(spark, pairs):
     for i, (p, n) in enumerate(pairs):
         got = next(r[f"m{i}"] for r in row if r["n"] == n)
         assert got == reference(p, n), (p, n)
+
+
+free_s = st.text(alphabet=ALPHABET, min_size=1, max_size=9)
+
+
+@settings(max_examples=12, deadline=None)
+@example([("a*", "Abc"), ("*", ""), ("?", "x"), ("*?*", "ab"), ("*b.*", "a.B.c"), ("a?*?b", "axyB"), ("**", "q")])
+@given(st.lists(st.tuples(free_s, name_s), min_size=10, max_size=40))
+def test_anchored_join_matches_regex(spark, pairs):
+    """Any globs against any strings, with the globs broadcast and salted."""
+    globs = [p for p, _ in pairs if IG.is_glob(p)]
+    names = sorted({n for _, n in pairs})
+    rules = spark.createDataFrame([(g,) for g in globs], "p string")
+    df = spark.createDataFrame(list(enumerate(names)), "k int, n string")
+    want = {k for k, n in enumerate(names) if any(reference(g, n) for g in globs)}
+    for most in (10_000, 0):
+        assert {r.k for r in glob_matches(df, "n", ["k"], rules, "p", most).collect()} == want

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF001
+from snapplan.operators import ignore as IG
 from snapplan.operators import planning as P
 
 
@@ -24,9 +25,23 @@ def test_plans_have_no_cartesian_product(spark):
         assert "BroadcastNestedLoopJoin" not in txt, name
 
 
-def test_rule_join_broadcasts_patterns(spark):
-    txt = plan_text(E.queries()["ignore_rule_join"](spark, SF001))
-    assert "BroadcastNestedLoopJoin" in txt and "BuildRight" in txt
+def test_rule_joins_are_equi_joins(spark):
+    for name in ("ignore_rule_join", "ignore_rule_table"):
+        txt = plan_text(E.queries()[name](spark, SF001))
+        assert "NestedLoop" not in txt and "CartesianProduct" not in txt, name
+
+
+def test_many_rules_join_without_nested_loop(spark):
+    """100 000 globs: an equi-join over anchors; few pairs are left to test."""
+    rules = spark.range(100_000).select(F.concat(F.lit("*/x"), F.col("id").cast("string"), F.lit("?z*.t*")).alias("pattern"))
+    files = spark.range(2000).select(F.lit("/r").alias("root"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("name")
+                                     ).withColumn("path", F.concat(F.lit("/r/x17az/"), "name", F.lit(".txt")))
+    out = IG.apply_ignore_table(files, rules, subtree=True)
+    txt = plan_text(out)
+    assert "NestedLoop" not in txt and "CartesianProduct" not in txt and "_salt" in txt
+    assert out.count() == 0
+    other = files.withColumn("path", F.replace("path", F.lit("x17az"), F.lit("x17az0")))
+    assert IG.apply_ignore_table(other.withColumn("path", F.replace("path", F.lit("z0"), F.lit("y0"))), rules).count() == 2000
 
 
 def test_scans_prune_columns(spark):
