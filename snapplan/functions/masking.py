@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ._util import col
 
 # Fixed values (placeholders and the key-name words that mark a setting as
@@ -78,7 +78,7 @@ def secret_chunks(secrets: DataFrame, chunk_size: int = CHUNK_SIZE):
     Range bounds come from a sample of at most ``MAX_BOUND_SAMPLE`` rows; a
     range that still holds too many secrets is split again from a sample of
     its own, so the driver never holds more than the sample or one chunk."""
-    reg = clean_registry(secrets).select("secret", F.length("secret").alias("_len"))
+    reg = cut_lineage(clean_registry(secrets).select("secret", F.length("secret").alias("_len")))
     key = _order_key(F.col("_len"), F.col("secret"))
     yield from _chunks_of(reg, key, chunk_size, reg.count())
 
@@ -127,80 +127,81 @@ def mask_literals(text, secrets: Sequence[str], placeholder: str = SECRET_PLACEH
     return out
 
 
-_AUTOMATA: dict = {}
-
-
-def _automaton(secrets: tuple[str, ...]):
-    """Aho-Corasick automaton over the secrets, cached per Python worker."""
-    key = secrets
-    a = _AUTOMATA.get(key)
-    if a is None:
-        import ahocorasick
-        a = ahocorasick.Automaton()
-        for i, s in enumerate(secrets):
-            a.add_word(s, i)
-        a.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = a
-    return a
-
-
-def mask_literals_ac(text, secrets: Sequence[str], placeholder: str = SECRET_PLACEHOLDER) -> Column:
-    """Same result as ``mask_literals`` in one scan per text.
-
-    An Aho-Corasick pass finds which secrets occur.  Texts without a hit are
-    returned untouched.  Otherwise the sequential replacement runs over the
-    found secrets plus those sharing a character with the placeholder (only
-    they can match across an inserted placeholder), in the global order -
-    which is exactly what the full sequential replacement would change."""
-    order = tuple(secrets)
-    ph = set(placeholder)
-    risky = frozenset(i for i, s in enumerate(order) if set(s) & ph)
-
-    @F.pandas_udf("string")
-    def _mask(col: pd.Series) -> pd.Series:
-        auto = _automaton(order)
-        out = []
-        for t in col:
-            if t is None:
-                out.append(None)
-                continue
-            hits = {v for _, v in auto.iter(t)}
-            if not hits:
-                out.append(t)
-                continue
-            for i in sorted(hits | risky):
-                s = order[i]
-                if s in t:
-                    t = t.replace(s, placeholder)
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    return _mask(col(text))
-
-
-def _has_ahocorasick() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-        return True
-    except ImportError:
-        return False
+def _trie(words: Sequence[str]) -> dict:
+    """Nested dictionaries by character; the key ``''`` marks the end of a word."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+    return root
+
+
+def _escaped(c: str) -> str:
+    return c if c.isalnum() else f"\\x{{{ord(c):x}}}"
+
+
+def literals_regex(words: Sequence[str]) -> str:
+    """A regular expression for any of the words that takes the longest at a
+    place; common beginnings are written once, so a place is given up at the
+    first character that no word has there."""
+    def write(node: dict) -> str:
+        chain = ""
+        while len(node) == 1 and "" not in node:           # a single way on
+            (c, node), = node.items()
+            chain += _escaped(c)
+        ways = [_escaped(c) + write(n) for c, n in sorted(node.items()) if c]
+        if not ways:
+            return chain
+        return f"{chain}(?:{'|'.join(ways)}){'?' if '' in node else ''}"
+
+    return write(_trie(words))
+
+
+def _may_form(secret: str, placeholder: str) -> bool:
+    """Whether an inserted placeholder can be a part of an occurrence of the secret."""
+    return (secret in placeholder or placeholder in secret
+            or any(secret.endswith(placeholder[:k]) or secret.startswith(placeholder[-k:])
+                   for k in range(1, len(placeholder))))
+
+
+def mask_found(text, secrets: Sequence[str], placeholder: str = SECRET_PLACEHOLDER) -> Column:
+    """Same result as ``mask_literals``; its replacements run only for secrets
+    that the text holds.
+
+    One pass of a regular expression over the text gives the longest secret
+    at each place.  These, the secrets that they begin with, and those that
+    an inserted placeholder may complete, are replaced one after another in
+    the global order: no other secret can occur.  Texts without a hit stay
+    as they are.
+    """
+    order = [s for s in secrets if s]
+    if not order:
+        return col(text)
+    known = set(order)
+    risky = [s for s in order if _may_form(s, placeholder)]
+    begins = {s: [s[:k] for k in range(1, len(s)) if s[:k] in known] for s in order}
+    found = F.regexp_extract_all(col(text), F.lit(f"(?=({literals_regex(order)}))"), F.lit(1))
+    inner = {s: b for s, b in begins.items() if b}
+    strings = "array<string>"
+    extra = [F.array(*map(F.lit, risky)).cast(strings)] if risky else []
+    if inner:
+        shorter = F.create_map(*(x for s, b in inner.items() for x in (F.lit(s), F.array(*map(F.lit, b)))))
+        extra.append(F.flatten(F.transform(found, lambda s: F.coalesce(F.element_at(shorter, s), F.array().cast(strings)))))
+    here = F.array_distinct(F.concat(found, *extra) if extra else found)
+    ranked = F.array_sort(F.transform(here, lambda s: F.struct((-F.length(s)).alias("l"), s.alias("s"))))
+    masked = F.aggregate(ranked, col(text), lambda acc, r: F.replace(acc, r["s"], F.lit(placeholder)))
+    return F.when(F.size(found) > 0, masked).otherwise(col(text))
 
 
 def mask_secrets(df: DataFrame, secrets: DataFrame, cols: Iterable[str] | None = None,
-                 placeholder: str = SECRET_PLACEHOLDER, engine: str = "auto") -> DataFrame:
-    """Mask every string column (or ``cols``) of ``df``.
-
-    ``engine``: ``jvm`` (sequential built-in ``replace``), ``ac``
-    (Aho-Corasick pandas UDF, one scan per text) or ``auto`` (``ac`` when
-    the registry holds more than a handful of secrets and the library is
-    available)."""
+                 placeholder: str = SECRET_PLACEHOLDER) -> DataFrame:
+    """Mask every string column (or ``cols``) of ``df``."""
     names = list(cols) if cols is not None else [
         f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     for lits in secret_chunks(secrets):
-        use_ac = engine == "ac" or (engine == "auto" and len(lits) > 8 and _has_ahocorasick())
-        fn = mask_literals_ac if use_ac else mask_literals
-        df = df.withColumns({c: fn(c, lits, placeholder) for c in names})
+        df = df.withColumns({c: mask_found(c, lits, placeholder) for c in names})
     return df
 
 
@@ -220,8 +221,7 @@ def mask_by_key(key, value, secrets: "Sequence[str] | DataFrame") -> Column:
     for chunk in chunks:
         if not chunk:
             continue
-        fn = mask_literals_ac if len(chunk) > 8 and _has_ahocorasick() else mask_literals
-        masked = fn(masked, chunk)
+        masked = mask_found(masked, chunk)
     return F.when(is_sensitive_key(key), F.lit(SECRET_PLACEHOLDER)).otherwise(masked)
 
 

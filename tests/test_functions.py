@@ -143,7 +143,7 @@ def test_secret_chunks_keep_global_order(spark):
     flat = [s for c in chunks for s in c]
     assert len(chunks) > 3 and flat == FM.ordered_secret_list(secrets)
     df = spark.createDataFrame([(" ".join(vals[::-7]),)], "t string")
-    a = FM.mask_secrets(df, secrets, ["t"], engine="jvm").first().t
+    a = FM.mask_secrets(df, secrets, ["t"]).first().t
     b = df.select(FM.mask_literals("t", flat).alias("t")).first().t
     assert a == b
 

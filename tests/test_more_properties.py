@@ -34,14 +34,14 @@ secret_s = st.text(alphabet="abS*ET", min_size=1, max_size=4)
 @settings(max_examples=10, deadline=None)
 @given(st.lists(secret_s, min_size=1, max_size=8, unique=True),
        st.lists(st.text(alphabet="abS*ETR x", max_size=30), min_size=5, max_size=15))
-def test_ac_masking_equals_sequential(spark, secrets, texts):
+def test_one_pass_masking_equals_sequential(spark, secrets, texts):
     order = sorted(set(secrets), key=lambda s: (-len(s), s))
     def seq(t):
         for s in order:
             t = t.replace(s, FM.SECRET_PLACEHOLDER)
         return t
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: r.m for r in df.select("i", FM.mask_literals_ac("t", order).alias("m")).collect()}
+    got = {r.i: r.m for r in df.select("i", FM.mask_found("t", order).alias("m")).collect()}
     assert got == {i: seq(t) for i, t in enumerate(texts)}
 
 

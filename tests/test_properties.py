@@ -50,14 +50,14 @@ def test_second_safe_run_queues_nothing(spark):
     assert p2.filter("queued").count() == 0
 
 
-def test_ac_masking_equals_sequential_replace(spark):
+def test_one_pass_masking_equals_sequential_replace(spark):
     fx = Fixtures(spark, SF01)
     lits = FM.ordered_secret_list(fx.secrets)
     # add secrets that share characters with the placeholder and overlap
     lits = sorted(set(lits) | {"SECRET", "***", "ET**", "RET", "abc", "abcd"}, key=lambda s: (-len(s), s))
     d = fx.table("documents").select("doc_id", F.concat("text", F.lit(" abcd abc SECRET")).alias("t"))
     a = d.select("doc_id", FM.mask_literals("t", lits).alias("m"))
-    b = d.select("doc_id", FM.mask_literals_ac("t", lits).alias("m"))
+    b = d.select("doc_id", FM.mask_found("t", lits).alias("m"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
