@@ -23,6 +23,7 @@ from .operators import planning as P
 from .operators import runlog as RL
 from .operators import store as ST
 from .plans import snapshot as S
+from .session import cut_lineage
 from .sources import listings as LS
 from .sources import rules as RU
 from .sources import state as SS
@@ -582,6 +583,24 @@ def q_store_put(spark, sf_dir):
             .select("attempt", F.expr(f"substring(path, {n})").alias("path"), "dest", "hash", "status", "bytes"))
 
 
+@query("store_index")
+def q_store_index(spark, sf_dir):
+    """Files against an index of the store in runs: its listing, then what two plans queued; two runs merge."""
+    import uuid
+    from .sources.store_index import StoreIndex
+    fx = _fx(spark, sf_dir)
+    index = StoreIndex(spark, f"snapplan_index_{uuid.uuid4().hex}", fanout=2)
+    index.append(fx.store)
+    for mode in ("fast", "safe"):
+        index.append(S.queue(planned(fx, mode)).select("hash", "size"))
+    d = P.with_state_digest(fx.files, fx.state).select("path", "size", "hash")
+    flagged = P.flag_changed_safe(d, index).select("path", "hash", "store_size", "upload_required")
+    out = cut_lineage(flagged)
+    for run in index.runs():
+        spark.sql(f"DROP TABLE {run.table}")
+    return out
+
+
 @query("blob_sink")
 def q_blob_sink(spark, sf_dir):
     """Real files put into a blob table twice, in blocks of 4 KiB; what is stored, read back."""

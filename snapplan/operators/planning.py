@@ -29,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digest import digest_or_zero, is_link_digest, symlink_digest
+from ..sources.store_index import StoreIndex
 
 STATE_COLS = ("st_hash", "st_hash_mtime", "backup_mtime")
 
 
 def with_state(files: DataFrame, state: DataFrame) -> DataFrame:
-    """O-38: files LEFT JOIN last-known state USING (path)."""
-    st = state.select("path", *STATE_COLS)
+    """O-38: files LEFT JOIN last-known state USING (path).  State grows with
+    the files, so it is not broadcast on an estimate."""
+    st = state.select("path", *STATE_COLS).hint("merge")
     return files.join(st, "path", "left")
 
 
@@ -97,21 +99,26 @@ def flag_changed_fast(df: DataFrame, variant: str = "C") -> DataFrame:
     return df.withColumn("upload_required", req)
 
 
-def flag_changed_safe(df: DataFrame, store: DataFrame,
+def flag_changed_safe(df: DataFrame, store: "DataFrame | StoreIndex",
                       hot_keys: Sequence[str] | None = None) -> DataFrame:
     """O-41: upload when the hash is absent from the store or its size differs.
 
     ``hot_keys``: hashes known to be hot; their store rows (at most
     ``len(hot_keys)``) are broadcast and joined separately from the rest.
+    ``store``: the listed ``(hash, size)`` rows, or a ``StoreIndex``.
     """
-    st = store.select("hash", F.col("size").alias("store_size"))
+    indexed = isinstance(store, StoreIndex)
+    st = None if indexed else store.select("hash", F.col("size").alias("store_size"))
+
+    def lookup(rows: DataFrame) -> DataFrame:
+        return store.with_size(rows) if indexed else rows.join(st.hint("merge"), "hash", "left")
+
     if hot_keys:
         hot = F.col("hash").isin(list(hot_keys))
-        hot_part = df.filter(hot).join(F.broadcast(st.filter(hot)), "hash", "left")
-        cold_part = df.filter(~hot).join(st.filter(~hot), "hash", "left")
-        joined = hot_part.unionByName(cold_part)
+        few = store.sizes_of(list(hot_keys)) if indexed else st.filter(hot)
+        joined = df.filter(hot).join(F.broadcast(few), "hash", "left").unionByName(lookup(df.filter(~hot)))
     else:
-        joined = df.join(st, "hash", "left")
+        joined = lookup(df)
     req = F.col("store_size").isNull() | (F.col("store_size") != F.col("size"))
     return joined.withColumn("upload_required", req)
 

@@ -570,3 +570,9 @@ oracle("stream_retry_delay", with_fx(["fx_files"], """select path, cast(least(k
   cast(least(k + 1, 4) as integer) as tries, case when k > 3 then 'exhausted' else 'saved' end as status, true as delayed
 from (select path, (strpos('0123456789abcdef', substr(hash, 1, 1)) - 1) % 6 as k
       from fx_files where not is_symlink and size > 0)"""))
+_QUEUED = "select hash, size from plan where queued"
+oracle("store_index", with_fx(["fx_files", "fx_state", "fx_store"], """select h.path, h.hash, i.size as store_size,
+  (i.size is null or i.size <> h.size) as upload_required
+from h left join (select hash, size from put union all select hash, size from fx_store where hash not in (select hash from put)) i
+  on h.hash = i.hash where h.hash is not null and h.hash <> ''""", [
+    _DIG, f"put as (select hash, size from ({plan_sql('fast', 'C', _QUEUED)}) union select hash, size from ({plan_sql('safe', 'C', _QUEUED)}))"]))

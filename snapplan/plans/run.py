@@ -27,6 +27,7 @@ from ..operators.store import DirectoryStore, Store, write_results
 from ..session import local_fs_path
 from ..sources import inventory as INV
 from ..sources import state as SS
+from ..sources.store_index import StoreIndex
 from . import snapshot as S
 
 STATE_SCHEMA = "path string, st_hash string, st_hash_mtime long, backup_mtime long"
@@ -150,9 +151,12 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
                  dry_run: bool = False, job: str = "job", run_id: str | None = None,
                  depth: int = 3, preamble: Sequence[str] = (), state_table: str | None = None,
                  state_buckets: int | None = None, store: Store | None = None, retries: int = 3,
-                 delay: float = 5.0) -> DataFrame:
+                 delay: float = 5.0, store_index: StoreIndex | None = None) -> DataFrame:
     """Plan and execute one snapshot run; returns a one-row summary.
 
+    With a ``store_index`` the store is listed once, to begin the index;
+    later runs compare with the index, and add what they have put.
+
     State lives in ``state_dir`` snapshot folders, or - with
     ``state_table`` and a persistent catalog - in tables
     ``<state_table>_<run id>`` bucketed by path, so the state join shuffles
@@ -177,7 +181,14 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
     stored = prune_state(stored, scan, roots)
     state = job_state(stored, job)
     backend = store or DirectoryStore(spark, store_root)
-    listed = backend.list() if mode == "safe" else None
+    listed = None
+    if mode == "safe":
+        listed = backend.list() if store_index is None else store_index
+        if store_index is not None and not store_index.runs():
+            if dry_run:
+                listed = backend.list()
+            else:
+                store_index.append(backend.list())
     opts = S.PlanOptions(mode=mode, variant="C", depth=depth, order=("root_ord", "path"))
     planned = keep(S.plan(files, state, listed, opts), "plan")
 
@@ -203,6 +214,8 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
     # state: digests, repairs and successful copies
     saved = results.filter(F.col("status").isin("copied", "exists", "overwritten"))
     saved_paths = saved.select("path")
+    if store_index is not None:
+        store_index.append(saved.join(queue.select("path", "size"), "path").select("hash", "size"))
     new_state = merge_stored(stored, SS.state_updates(planned, saved_paths), job)
     if state_table:
         buckets = state_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -171,24 +171,21 @@ def stable_text(col, kind: str) -> F.Column:
     return c.cast("string")
 
 
-def table_snapshot(current: DataFrame, previous: DataFrame, key: str = "k",
-                   digest: str = "digest", cut: bool = True) -> DataFrame:
+def table_snapshot(current: DataFrame, previous: DataFrame, key: str = "k", digest: str = "digest") -> DataFrame:
     """O-63 decision: new / changed / unchanged per key, and which changed
     rows are queued (first key per distinct digest).
 
-    The narrow ``(key, digest, status)`` result of the join is checkpointed
-    (``cut``) because the first-per-digest step reads it twice; otherwise
-    both branches would scan, digest and join both tables again."""
+    Both tables are shuffled once, by key: the rows that moved give the least
+    key of each digest (partial aggregation first), and these winners come
+    back by key to rows that are partitioned by it already.  The two readers
+    of the joined rows share the shuffled tables, which grow with the data and
+    are never broadcast."""
     prev = previous.select(F.col(key), F.col(digest).alias("_prev"))
-    j = current.select(key, digest).join(prev, key, "left")
+    j = current.select(key, digest).join(prev.hint("merge"), key, "left")
     status = (F.when(F.col("_prev").isNull(), "new")
               .when(F.col("_prev") != F.col(digest), "changed").otherwise("unchanged"))
     j = j.withColumn("status", status).drop("_prev")
-    if cut:
-        j = cut_lineage(j)
-    # unchanged rows cannot win: only the others are ranked and joined again
-    moved, still = j.filter("status != 'unchanged'"), j.filter("status = 'unchanged'")
-    reps = moved.groupBy(digest).agg(F.min(key).alias(key)).withColumn("_first", F.lit(True))
-    ranked = moved.join(reps, [digest, key], "left").withColumn("queued", F.coalesce("_first", F.lit(False)))
-    return (ranked.select(key, digest, "status", "queued")
-            .unionByName(still.select(key, digest, "status", F.lit(False).alias("queued"))))
+    first = (j.filter("status != 'unchanged'").groupBy(digest).agg(F.min(key).alias(key))
+             .select(key, F.lit(True).alias("_first")))
+    return (j.join(first.hint("merge"), key, "left")
+            .select(key, digest, "status", F.coalesce("_first", F.lit(False)).alias("queued")))
