@@ -7,6 +7,9 @@ after a space.  No word, normalisation or special string reaches over such a
 place, so the tokens before it come from the first chunk as if it went on,
 and those after it from the second as if it had begun earlier.  If the
 overlap has no such place it is widened until one is found or the text ends.
+
+Texts within one chunk need no splice: with a vocabulary of words each of
+their words is encoded by itself, and a word seen before not again.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import python_ready
-from .tokenize import tokenizer
+from .tokenize import tokenizer, word_ids
 
 #: places where an encoding never depends on the other side, by kind of vocabulary
 STABLE = {
@@ -27,7 +30,6 @@ STABLE = {
     "byte_level": re.compile(r"(?<=\S)(?=[ \n]\S)"),
 }
 CHUNK, OVERLAP = 16_384, 256
-BATCH = 64
 
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -86,14 +88,10 @@ def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             counts = dict.fromkeys(texts)
-            short = [t for t in counts if len(t) <= chunk]
-            for i in range(0, len(short), BATCH):
-                some = short[i:i + BATCH]
-                for t, e in zip(some, tokenizer(vocabulary).encode_batch_fast(some, add_special_tokens=False),
-                                strict=True):
-                    counts[t] = len(e)
-            for t, n in counts.items():
-                if n is None:
+            for t in counts:
+                if kind == "words" and len(t) <= chunk:
+                    counts[t] = len(word_ids(t, vocabulary)) // 4
+                else:
                     counts[t] = count_tokens(t, vocabulary, chunk, overlap, kind)
             n_tokens = pa.array([counts[t] for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(

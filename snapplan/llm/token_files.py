@@ -46,7 +46,7 @@ def file_system(path: str):
 
 
 def text_ids(text: str, vocabulary: str, kind: str) -> np.ndarray:
-    raw = b"".join(word_ids(text, vocabulary)) if kind == "words" else byte_level_ids(text, vocabulary)
+    raw = word_ids(text, vocabulary) if kind == "words" else byte_level_ids(text, vocabulary)
     return np.frombuffer(raw, dtype="<u4")
 
 
@@ -59,8 +59,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     spark = docs.sparkSession
     end = np.array([end_id], dtype=np.uint32)
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # enough parts for every core, and bounded ones whatever the size
-    parts = max(parts_for(chars, 256 << 20), min(parts_for(chars, 4 << 20), 4 * spark.sparkContext.defaultParallelism))
+    # texts of 8 MiB a part, up to 64 parts; beyond, of 128 MiB
+    parts = max(parts_for(chars, 128 << 20), min(parts_for(chars, 8 << 20), 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()

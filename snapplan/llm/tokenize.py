@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from struct import pack
 
 #: a word of a byte-level vocabulary always starts here
 SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[^\W_])(?=[.,])")
@@ -27,12 +27,11 @@ SLICE = 1 << 20
 MEMO = 800_000
 
 _LOADED: dict[str, object] = {}
-_IDS: dict[tuple[str, bool], tuple[dict, dict]] = {}
-#: letters with ASCII marks after them, but for the apostrophe, which can begin a piece with letters in it
-TAIL = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~]{1,3})")
+_IDS: dict[tuple[str, bool], Memo] = {}
+#: Latin letters with ASCII marks after them, but for the apostrophe, which can begin a piece with letters in it
+LATIN = re.compile("([A-Za-z\xaa-\u024f]+)([!-&(-/:-@\\[-`{-~]{0,3})")
 _TAILS: dict[tuple[str, str], bytes] = {}
-#: how byte-level vocabularies write a space (a fixed value of theirs)
-BYTE_SPACE = "\u0120"
+_SIGNS: dict[int, str] = {}
 
 
 def tokenizer(vocabulary: str):
@@ -60,91 +59,96 @@ def slices(text: str, size: int = SLICE, cut: re.Pattern = SAFE) -> Iterator[str
     yield text[at:]
 
 
-def isolated_ids(pieces: list[str], vocabulary: str) -> list[bytes]:
-    """The ids of each piece by itself, little-endian unsigned 32-bit.
+def model_ids(string: str, vocabulary: str) -> bytes:
+    """The ids of a string that normalisation and splitting leave whole."""
+    return array("I", [x.id for x in tokenizer(vocabulary).model.tokenize(string)]).tobytes()
 
-    The library reads a special token apart from the text around it, so one
-    text of pieces with a special token between them encodes each by itself.
-    """
-    import numpy as np
+
+def piece_ids(piece: str, vocabulary: str) -> bytes:
+    """The ids of a piece by itself, by the library's own steps; with a special string in it, all of its encoding."""
     t = tokenizer(vocabulary)
-    special = next(((i, a.content) for i, a in sorted(t.get_added_tokens_decoder().items()) if a.special), None)
-    if special is None:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in t.encode_batch(pieces, add_special_tokens=False)]
-    mark, string = special
-    odd = {i for i, p in enumerate(pieces) if string in p}
-    whole = string.join(["" if i in odd else p for i, p in enumerate(pieces)] if odd else pieces)
-    ids = np.asarray(t.encode_batch_fast([whole], add_special_tokens=False)[0].ids, dtype="<u4")
-    ends = np.append(np.flatnonzero(ids == mark), len(ids)) * 4
-    raw, out, at = ids.tobytes(), [], 0
-    for end in ends.tolist():
-        out.append(raw[at:end])
-        at = end + 4
-    for i in odd:
-        out[i] = np.asarray(t.encode(pieces[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
-    return out
-
-
-def simple_ids(piece: str, vocabulary: str, words: bool) -> bytes | None:
-    """The ids of a piece of plain ASCII letters, from the model alone; None for any other piece.
-
-    Letters pass normalisation and splitting as one piece: in lower case for
-    a vocabulary of words, where up to three marks may follow, which are a piece
-    of their own; with one space before them, written as the byte-level
-    sign for it, for a byte-level one.
+    if any(a.content in piece for a in t.get_added_tokens_decoder().values()):
+        return array("I", t.encode(piece, add_special_tokens=False).ids).tobytes()
+    whole = t.normalizer.normalize_str(piece) if t.normalizer else piece
+    return b"".join(model_ids(part, vocabulary) for part, _ in t.pre_tokenizer.pre_tokenize_str(whole))
+
+
+def byte_signs() -> dict[int, str]:
+    """How byte-level steps write each Latin character, for ``str.translate``."""
+    if not _SIGNS:
+        from tokenizers.pre_tokenizers import ByteLevel
+        step = ByteLevel(add_prefix_space=False, use_regex=False)
+        _SIGNS.update((c, step.pre_tokenize_str(chr(c))[0][0]) for c in (0x20, *range(0x41, 0x250)))
+    return _SIGNS
+
+
+def word_piece_ids(word: bytes, vocabulary: str) -> bytes:
+    """``piece_ids`` for a vocabulary of words.
+
+    Latin letters go to the model alone, in lower case: there they are one
+    piece, in the normal form already.  Up to three marks after them are a
+    piece of their own.
+    """
+    if word.isalpha():                          # of bytes: ASCII letters only
+        return model_ids(word.decode().lower(), vocabulary)
+    text = word.decode()
+    found = LATIN.fullmatch(text)
+    letters = found[1].lower() if found else ""
+    if not letters.isalpha():
+        return piece_ids(text, vocabulary)
+    marks = found[2]
+    if (vocabulary, marks) not in _TAILS:
+        _TAILS[vocabulary, marks] = piece_ids(marks, vocabulary)
+    return model_ids(letters.translate(byte_signs()), vocabulary) + _TAILS[vocabulary, marks]
+
+
+def byte_piece_ids(piece: str, vocabulary: str) -> bytes:
+    """``piece_ids`` for a byte-level vocabulary: Latin letters, with a space before them or not, go to the model alone."""
+    letters = piece[1:] if piece[:1] == " " else piece
+    if letters.isalpha() and LATIN.fullmatch(letters):
+        return model_ids(piece.translate(byte_signs()), vocabulary)
+    return piece_ids(piece, vocabulary)
+
+
+class Memo(dict):
+    """The ids of pieces (words as bytes, for a vocabulary of words).
+
+    A lookup finds or makes them.  When ``MEMO`` pieces are held they become
+    the old ones, which are looked at before a piece is encoded again.
     """
-    tail = b""
-    if words:
-        piece = piece.lower() if piece.isascii() else piece
-        found = TAIL.fullmatch(piece)
-        if found:
-            piece, marks = found.groups()
-            if (vocabulary, marks) not in _TAILS:
-                _TAILS[vocabulary, marks] = isolated_ids([marks], vocabulary)[0]
-            tail = _TAILS[vocabulary, marks]
-        letters = piece
-    else:
-        letters = piece[1:] if piece[:1] == " " else piece
-        piece = piece.replace(" ", BYTE_SPACE)
-    if not (letters.isascii() and letters.isalpha()):
-        return None
-    ids = [t.id for t in tokenizer(vocabulary).model.tokenize(piece)]
-    return pack(f"<{len(ids)}I", *ids) + tail
-
-
-def _known(pieces: list, vocabulary: str, words: bool) -> Iterator[bytes]:
-    """The ids of each piece, from the memo where it was seen before.  Words come as bytes."""
-    memo, old = _IDS.setdefault((vocabulary, words), ({}, {}))
-    # membership tests only, here and below: other set operations may walk the whole memo
-    new = {p for p in set(pieces) if p not in memo}
-    if new:
-        if len(memo) + len(new) > MEMO:
-            memo, old = _IDS[vocabulary, words] = {}, memo
-            new = set(pieces)
-        others = []
-        for p in new:
-            ids = old[p] if p in old else simple_ids(p.decode(), vocabulary, words) if words else None
-            if ids is None:
-                others.append(p)
-            else:
-                memo[p] = ids
-        if others:
-            strings = list(map(bytes.decode, others)) if words else others
-            memo.update(zip(others, isolated_ids(strings, vocabulary), strict=True))
-    return map(memo.__getitem__, pieces)
+
+    def __init__(self, vocabulary: str, words: bool):
+        self.vocabulary, self.encode, self.old = vocabulary, word_piece_ids if words else byte_piece_ids, {}
+
+    def __missing__(self, piece) -> bytes:
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece, self.vocabulary)
+        self[piece] = ids
+        return ids
+
+
+def memo(vocabulary: str, words: bool) -> Memo:
+    if (vocabulary, words) not in _IDS:
+        _IDS[vocabulary, words] = Memo(vocabulary, words)
+    return _IDS[vocabulary, words]
 
 
 def byte_level_ids(text: str, vocabulary: str) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit numbers, no special tokens added."""
-    return b"".join(b"".join(_known(SAFE.split(part), vocabulary, False)) for part in slices(text))
+    ids = memo(vocabulary, False).__getitem__
+    return b"".join(b"".join(map(ids, PIECE.findall(part))) for part in slices(text))
 
 
-def word_ids(text: str, vocabulary: str) -> Iterator[bytes]:
-    """The ids of each word between ASCII white space, for a vocabulary of words, as ``byte_level_ids`` gives them.
+def word_ids(text: str, vocabulary: str) -> bytes:
+    """As ``byte_level_ids``, for a vocabulary of words: word by word between ASCII white space.
 
     Such a vocabulary drops white space: its pattern matches none, its
     normalisation (NFC, runs of white space, lower case of single characters)
     joins nothing across it, and no special string holds any.
     """
-    for part in slices(text, cut=WHITE):
-        yield from _known(part.encode().split(), vocabulary, True)
+    ids = memo(vocabulary, True).__getitem__
+    return b"".join(b"".join(map(ids, part.encode().split())) for part in slices(text, cut=WHITE))
