@@ -44,7 +44,7 @@ HOT = 200                # a token in more than 1 / HOT of the documents is hot
 LOCAL, LOCAL_LEAST = 400, 8      # reported by a batch if in 1 / LOCAL of its documents and in LOCAL_LEAST
 HALF = 1 << 63           # tokens below come first in the index order; the others are rarely needed
 ORDERS = (1, 2, 3)       # further orders begin at these quarters of the ring
-TOKENS = 1_000_000       # tokens of a part of the exchange, about
+TOKENS = 500_000       # tokens of a part of the exchange, about
 PIVOTS = 256             # pairs of one pivot in one task, about
 SMALL = 16               # classes of a token whose pairs are joined outright
 KINDS = 8                # pivots that a family of classes meets, about

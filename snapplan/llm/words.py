@@ -38,18 +38,26 @@ NOT_SPACE[list(SPACE)] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
+#: powers of each base that a worker keeps
+KEPT = 1 << 21
 _POWERS = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
 _INVERSE = U(pow(int(BASE), -1, 1 << 64))
 
 
+def _table(base: np.uint64, n: int) -> np.ndarray:
+    p = np.full(n, base, dtype=U)
+    p[0] = 1
+    return np.multiply.accumulate(p, out=p)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i for i < n, modulo 2**64."""
+    """BASE ** i and BASE ** -i for i < n, modulo 2**64; a worker keeps tables of at most ``KEPT`` of each."""
+    if n > KEPT:
+        return _table(BASE, n), _table(_INVERSE, n)
     if len(_POWERS[0]) < n:
         size = 1 << (n - 1).bit_length()
         for k, b in enumerate((BASE, _INVERSE)):
-            p = np.full(size, b, dtype=U)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
+            _POWERS[k] = _table(b, size)
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
@@ -104,7 +112,7 @@ def windows(hashes: np.ndarray, n: int, step: np.uint64 = STEP) -> np.ndarray:
     return mix(out)
 
 
-def batches_of(texts: list[str | None], most: int = 4 << 20):
+def batches_of(texts: list[str | None], most: int = 1 << 20):
     """(from, to) ranges of texts of about ``most`` code points together; a longer text is alone."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
