@@ -7,7 +7,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fixtures import Fixtures
@@ -834,3 +834,86 @@ def q_table_plan_orders(spark, sf_dir):
                         F.col("mtime").alias("backup_mtime"))
     p = S.plan(cur, state, None, S.PlanOptions(mode="fast", order=("path",)))
     return p.select("path", "name", "hash", "size", "stale", "upload_required", "in_queue", "queued", "dest")
+
+
+# ==========================================================================
+# Inputs on which both sides of a decision occur
+# ==========================================================================
+
+@query("put_outcome_mixed")
+def q_put_outcome_mixed(spark, sf_dir):
+    """Both policies, against a store that has half of the destinations."""
+    fx = _fx(spark, sf_dir)
+    q = S.queue(planned(fx, "fast"))
+    half = fx.listing.filter("doc_id % 2 = 0")
+    return (ST.put_outcome(q, half, "skip").withColumn("policy", F.lit("skip"))
+            .unionByName(ST.put_outcome(q, half, "overwrite").withColumn("policy", F.lit("overwrite"))))
+
+
+@query("transfer_class_large")
+def q_transfer_large(spark, sf_dir):
+    """All classes, both variants, with tiers: the files as if each byte were 100 000."""
+    fx = _fx(spark, sf_dir)
+    q = S.queue(planned(fx, "safe")).withColumn("size", F.col("size") * 100_000)
+    return (ST.transfer_plan(q, is_metadata=True).withColumn("variant", F.lit("C"))
+            .unionByName(ST.transfer_plan(q, variant="P", tier=" cool ").withColumn("variant", F.lit("P"))))
+
+
+@query("lenient_casts_mixed")
+def q_lenient_mixed(spark, sf_dir):
+    """Spellings of numbers and truth values, one per order, beside its key."""
+    o = _fx(spark, sf_dir).table("orders")
+    spelled = F.array(*map(F.lit, ("TRUE", "true ", "Yes", "on", "1", "0", "false", "-17", "+5", "1.5", " 42 ", "", "x1")))
+    v = F.when(F.col("o_orderkey") % 14 < 13, F.element_at(spelled, (F.col("o_orderkey") % 13 + 1).cast("int")))
+    d = o.select(F.col("o_orderkey").alias("k"), v.alias("value"))
+    return d.select("k", "value", FE.as_int("value", -1).alias("v_int"), FE.as_bool("value", "C").alias("b_c"),
+                    FE.as_bool("value", "P").alias("b_p"))
+
+
+_NAMED = ["12.LOG", "13.md", "no/such", "/data/src1/*/?1.*", "*/SRC2/de/?.*"]
+
+
+@query("ignore_exact_mixed")
+def q_ignore_exact_mixed(spark, sf_dir):
+    return IG.ignore_exact(_fx(spark, sf_dir).files, _NAMED).select("path")
+
+
+@query("ignore_full_path_mixed")
+def q_ignore_full_mixed(spark, sf_dir):
+    """Rules that match bare names, and others that match full paths only."""
+    return IG.ignore_full_path(_fx(spark, sf_dir).files, _NAMED).select("path")
+
+
+@query("ignore_fixed_mixed")
+def q_ignore_fixed_mixed(spark, sf_dir):
+    """Junk names and the same in another case, which stay."""
+    k = F.col("doc_id") % 10
+    name = (F.when(k == 1, "Thumbs.db").when(k == 2, "thumbs.db").when(k == 3, ".DS_Store").when(k == 4, "desktop.ini")
+            .when(k == 5, "Desktop.ini").otherwise(F.col("name")))
+    return IG.apply_ignore_fixed(_fx(spark, sf_dir).files.withColumn("name", name)).select("path", "name")
+
+
+@query("digest_failures_mixed")
+def q_digest_failures_mixed(spark, sf_dir):
+    """Payloads that could not be read for some rows: a failure where the digest is stale."""
+    fx = _fx(spark, sf_dir)
+    files = fx.files.withColumn("content", F.when(F.col("doc_id") % 7 != 2, F.col("content")))
+    ok, bad = P.split_undigested(P.with_state_digest(files, fx.state))
+    return (ok.select("path", F.lit(True).alias("digest_ok"))
+            .unionByName(bad.select("path", F.lit(False).alias("digest_ok"))))
+
+
+@query("manifest_order")
+def q_manifest_order(spark, sf_dir):
+    """The lines of a written manifest with their places, file after file."""
+    from .session import shared_path
+    fx = _fx(spark, sf_dir)
+    rows = MF.manifest_rows(planned(fx, "safe"))
+    path = MF.write_manifest(MF.manifest_lines(rows, MF.manifest_preamble("C", dt.datetime(2024, 1, 1), [])),
+                             shared_path(spark, "manifest"), partitions=4)
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("f"), F.col("value"))
+    lines = files.select("f", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("k", "line"))
+    sizes = lines.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)        # one row per part file
+    before = sizes.select("f", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    return lines.join(before, "f").select((F.col("before") + F.col("k")).cast("long").alias("place"), "line")

@@ -576,3 +576,42 @@ oracle("store_index", with_fx(["fx_files", "fx_state", "fx_store"], """select h.
 from h left join (select hash, size from put union all select hash, size from fx_store where hash not in (select hash from put)) i
   on h.hash = i.hash where h.hash is not null and h.hash <> ''""", [
     _DIG, f"put as (select hash, size from ({plan_sql('fast', 'C', _QUEUED)}) union select hash, size from ({plan_sql('safe', 'C', _QUEUED)}))"]))
+
+# --------------------------------------------------------------------------
+# Inputs on which both sides of a decision occur
+# --------------------------------------------------------------------------
+
+oracle("put_outcome_mixed", with_fx(["fx_files", "fx_state", "fx_listing"], """select q.path, q.dest, policy,
+  case when not exists (select 1 from fx_listing l where l.path = q.dest and l.doc_id % 2 = 0) then 'copied'
+       when policy = 'skip' then 'exists' else 'overwritten' end as outcome
+  from plan q, (values ('skip'), ('overwrite')) p(policy) where q.queued""", _plan_ctes("fast", "C")))
+oracle("transfer_class_large", plan_sql("safe", "C", """select path, size * 100000 as size,
+  case when size * 100000 > 104857600 then 8 else 4 end as concurrency,
+  case when size * 100000 > 104857600 then 8388608 else 4194304 end as block_bytes,
+  case variant when 'C' then 'Cold' else 'Cool' end as tier,
+  size * 100000 > case variant when 'C' then 1073741824 else 68157440 end as is_large, variant
+  from plan, (values ('C'), ('P')) v(variant) where queued"""))
+oracle("lenient_casts_mixed", """select k, value,
+  coalesce(case when regexp_full_match(trim(value), '[+-]?[0-9]+') then try_cast(trim(value) as integer) end, -1) as v_int,
+  coalesce(lower(value) = 'true', false) as b_c, coalesce(lower(trim(value)) in ('1', 'true', 'yes', 'on'), false) as b_p
+from (select o_orderkey as k, case when o_orderkey % 14 < 13 then
+  (['TRUE', 'true ', 'Yes', 'on', '1', '0', 'false', '-17', '+5', '1.5', ' 42 ', '', 'x1'])[o_orderkey % 13 + 1] end as value
+  from orders)""")
+_NAMED = """(upper(name) in ('12.LOG', '13.MD'))"""
+oracle("ignore_exact_mixed", with_fx(["fx_files"], f"select path from fx_files where not {_NAMED}"))
+oracle("ignore_full_path_mixed", with_fx(["fx_files"], f"""select path from fx_files where not ({_NAMED}
+  or regexp_full_match(path, '/data/src1/.*/.1\\..*', 'i') or regexp_full_match(path, '.*/src2/de/.\\..*', 'i'))"""))
+oracle("ignore_fixed_mixed", with_fx(["fx_files"], """select path, name from (select path, case doc_id % 10
+    when 1 then 'Thumbs.db' when 2 then 'thumbs.db' when 3 then '.DS_Store' when 4 then 'desktop.ini'
+    when 5 then 'Desktop.ini' else name end as name from fx_files)
+  where name not in ('Thumbs.db', '.DS_Store', 'desktop.ini')"""))
+oracle("digest_failures_mixed", with_fx(["fx_files", "fx_state"], """select path,
+  case when stale then is_symlink or doc_id % 7 <> 2 else hash is not null end as digest_ok from h""", [_DIG]))
+oracle("manifest_order", plan_sql("safe", "C", """select row_number() over (order by section, seq, dir, kind, path) - 1 as place, line
+from (
+  select 1 as section, 0 as seq, dir, 1 as kind, path,
+    concat_ws(',', name, hash, ext, cast(size as varchar), cast(mtime * 10000000 + 116444736000000000 as varchar), in_queue) as line
+  from plan
+  union all select distinct 1, 0, dir, 0, '', concat('dir >> ', dir) from plan
+  union all select 0, seq, '', 0, '', line from (values (0, 'Backup run at: 2024-01-01 00:00:00'), (1, 'EOF'), (2, ''),
+    (3, 'Filename,Hash,Extension,Size,Modified Time,InQueue')) pre(seq, line))"""))
