@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ._util import col
 
 # Fixed values (must stay as they are to read and write compatible state):
@@ -98,30 +98,43 @@ def tasks_for_bytes(total_bytes: int, target_bytes: int = 256 * 1024 * 1024) ->
     return max(1, -(-int(total_bytes or 0) // target_bytes))
 
 
-def balance_by_size(df: DataFrame, target_bytes: int = 256 * 1024 * 1024,
-                    total_bytes: int | None = None) -> DataFrame:
-    """Spread file rows over ``ceil(total bytes / target_bytes)`` tasks by a
-    hash of the path, so each digest task reads about ``target_bytes``
-    whatever the file count.  One file is read by one task (a digest is
-    sequential), so a single huge file is its own straggler at worst.
-    (An explicit partition count is kept by AQE: no coalescing.)"""
-    if total_bytes is None:
-        total_bytes = df.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] or 0
-    return df.repartition(tasks_for_bytes(total_bytes, target_bytes), F.xxhash64("path"))
+def balance_by_size(df: DataFrame, target_bytes: int = 256 * 1024 * 1024) -> DataFrame:
+    """Deal file rows over tasks of about ``target_bytes`` each, by a running
+    sum of their sizes.
+
+    The rows are written once; within each written file and then over the
+    files (a sum per file) their bytes are summed up, and the sum is cut into
+    equal ranges, so a task exceeds its range by less than one file.  Files
+    of ``target_bytes`` and more are alone in their tasks.  Null sizes count
+    as empty."""
+    rows = cut_lineage(df)
+    bytes_ = F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0))
+    placed = rows.select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_r"),
+                         F.when(bytes_ < target_bytes, bytes_).otherwise(0).alias("_small"),
+                         (bytes_ >= target_bytes).cast("int").alias("_huge"))
+    so_far = Window.partitionBy("_f").orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)      # one row per written file
+    sums = placed.groupBy("_f").agg(F.sum("_small").alias("_s"), F.sum("_huge").alias("_h"))
+    total, huge = sums.agg(F.sum("_s"), F.sum("_h")).first()
+    small = tasks_for_bytes(total, target_bytes)
+    before = sums.select(F.col("_f").alias("_f0"), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0")
+                                                     for c in ("_s", "_h")))
+    task = F.when(F.col("_huge") == 1, F.lit(small - 1) + F.col("_h0") + F.sum("_huge").over(so_far)).otherwise(
+        F.least(F.lit(small - 1), F.floor((F.col("_s0") + F.sum("_small").over(so_far) - F.col("_small"))
+                                          / F.lit(target_bytes))))
+    dealt = placed.join(before.hint("merge"), F.col("_f") == F.col("_f0")).withColumn("_task", task.cast("int"))
+    return dealt.repartitionById(small + int(huge or 0), "_task").select(*df.columns)
 
 
 def digest_files(files: DataFrame, path_col: str = "path", out_col: str = "fresh_hash",
                  algo: str = "md5", target_bytes: int | None = 256 * 1024 * 1024,
-                 follow_links: bool = False, when_col: str | None = None) -> DataFrame:
+                 follow_links: bool = False) -> DataFrame:
     """Digest the files named in ``path_col`` inside Spark tasks.
 
     Work is spread by bytes (``balance_by_size``) when ``target_bytes`` is
     set.  Links get the ``SYM-`` pseudo digest unless ``follow_links``
-    (variant P hashes the target's content).  With ``when_col`` only rows
-    where that boolean column is true are read (the others pass through
-    with a null digest), so one pass serves stale and fresh rows.  A
-    failure yields a null digest (the caller splits those rows off as
-    issues, O-37)."""
+    (variant P hashes the target's content).  A failure yields a null digest
+    (the caller splits those rows off as issues, O-37)."""
     from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType(list(files.schema.fields) + [StructField(out_col, StringType(), True)])
     df = balance_by_size(files, target_bytes) if target_bytes else files
@@ -129,14 +142,7 @@ def digest_files(files: DataFrame, path_col: str = "path", out_col: str = "fresh
     def run(batches):
         for pdf in batches:
             out = pdf.copy()
-            need = pdf[when_col].tolist() if when_col else [True] * len(pdf)
-            out[out_col] = [_digest_one(p, algo, follow_links) if w else None
-                            for p, w in zip(pdf[path_col].tolist(), need)]
+            out[out_col] = [_digest_one(p, algo, follow_links) for p in pdf[path_col].tolist()]
             yield out
 
     return df.mapInPandas(run, schema)
-
-
-def digest_pandas(values: pd.Series, algo: str = "md5") -> pd.Series:
-    """Helper used by tests: digest of in-memory strings."""
-    return values.map(lambda v: None if v is None else hashlib.new(algo, v.encode("utf-8")).hexdigest())

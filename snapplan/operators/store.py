@@ -71,8 +71,8 @@ def copy_to_store(queue: DataFrame, store_root: str, on_exists: str = "skip",
     """O-09 / O-11: put every queue row into ``store_root/dest``.
 
     ``queue`` has ``path, dest, hash[, size][, try_count]`` and, for table
-    payloads, ``content_col``.  With sizes known, copy tasks are balanced by
-    bytes (``target_bytes`` per task), and files above ``large_bytes`` go
+    payloads, ``content_col``, which are put where they are.  Files with known
+    sizes are dealt over tasks by bytes (``target_bytes`` per task), and files above ``large_bytes`` go
     block by block over many tasks (``copy_in_blocks``).  Status: copied |
     exists | overwritten | failed."""
     root = local_fs_path(store_root).rstrip("/")
@@ -82,7 +82,7 @@ def copy_to_store(queue: DataFrame, store_root: str, on_exists: str = "skip",
             rest = queue.filter(F.coalesce(F.col("size") <= large_bytes, F.lit(True)))
             return copy_to_store(rest, store_root, on_exists, None, target_bytes, 1 << 62).unionByName(
                 copy_in_blocks(large, store_root, on_exists, target_bytes or BLOCK_LARGE))
-    if target_bytes and "size" in queue.columns:
+    if target_bytes and "size" in queue.columns and not content_col:
         queue = balance_by_size(queue, target_bytes)
     cols = ["path", "dest", "hash"] + (["try_count"] if "try_count" in queue.columns else [])
     if content_col:

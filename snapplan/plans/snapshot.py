@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digest import digest_files, tasks_for_bytes
+from ..functions.digest import digest_files
 from ..functions.paths import extension, shard_path
 from ..operators import planning as P
 from ..session import cut_lineage
@@ -46,14 +46,13 @@ class PlanOptions:
 
 
 def _digest_real_files(files: DataFrame, state: DataFrame, variant: str) -> DataFrame:
-    """Files without a ``content`` column, in one pass: join the state,
-    spread rows by bytes, read only the stale files inside the tasks and
-    keep the stored digest for the others."""
-    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]   # one column of the inventory
-    df = P.with_state(files, state).withColumn("stale", P.stale_flag(variant))
-    df = df.repartition(tasks_for_bytes(total), F.xxhash64("path"))
-    df = digest_files(df, out_col="_fresh", target_bytes=None, when_col="stale",
-                      follow_links=variant.upper() == "P")
+    """Files without a ``content`` column: join the state, read only the
+    stale files, in tasks of equal bytes, and keep the stored digest of the
+    others, which no Python process sees."""
+    df = cut_lineage(P.with_state(files, state).withColumn("stale", P.stale_flag(variant)))
+    stale = df.filter("stale").select("path", "size").groupBy("path").agg(F.max("size").alias("size"))
+    fresh = digest_files(stale, out_col="_fresh", follow_links=variant.upper() == "P").select("path", "_fresh")
+    df = df.join(fresh.hint("merge"), "path", "left")
     fresh = F.col("_fresh")
     if variant.upper() == "P":
         # variant P: empty files are "0"; a failed digest aborts the run
