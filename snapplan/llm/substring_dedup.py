@@ -34,7 +34,7 @@ from .common import lookup, parts_for, python_ready, settle
 from .words import STEP2, U, batches_of, mix, powers, windows, words
 
 WINDOW = 13
-TOKENS = 2_000_000       # probes of a part of the first exchange, about
+TOKENS = 1_000_000       # probes of a part of the first exchange, about
 STARTS = 500_000         # windows of a part of the second
 KEY_BITS = 39            # bits of a hash sent besides those that name its part
 LOWEST = -(1 << 63)      # stands for a null doc_id
