@@ -552,6 +552,23 @@ def q_inventory_scan(spark, sf_dir):
         "is_symlink")
 
 
+@query("inventory_rounds")
+def q_inventory_rounds(spark, sf_dir):
+    """The scan in rounds of small tasks; half of the links lead to a directory, which is descended under the link's path."""
+    from .plans.run import materialize_files
+    from .sources import inventory as INV
+    from .sources.rounds import inventory_rounds
+    fx, base = _real_files(spark, sf_dir)
+    inside = fx.files.filter("is_symlink and doc_id % 82 = 0").select(
+        F.concat("link_target", F.lit("/in.txt")).alias("path"), F.col("name").alias("content"), "mtime",
+        F.lit(False).alias("is_symlink"), F.lit(None).cast("string").alias("link_target"))
+    materialize_files(inside, base)
+    scan = inventory_rounds(spark, [f"{base}/data"], ["*.tmp"], budget=100, split=20)
+    n = len(base) + 1
+    return INV.files_only(scan).select(F.expr(f"substring(path, {n})").alias("path"), "name",
+                                       F.when(~F.col("is_symlink"), F.col("size")).alias("size"), "is_symlink")
+
+
 @query("scan_issues")
 def q_scan_issues(spark, sf_dir):
     from .sources import inventory as INV

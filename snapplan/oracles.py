@@ -615,3 +615,9 @@ from (
   union all select distinct 1, 0, dir, 0, '', concat('dir >> ', dir) from plan
   union all select 0, seq, '', 0, '', line from (values (0, 'Backup run at: 2024-01-01 00:00:00'), (1, 'EOF'), (2, ''),
     (3, 'Filename,Hash,Extension,Size,Modified Time,InQueue')) pre(seq, line))"""))
+oracle("inventory_rounds", with_fx(["fx_files"], """select path, name, case when not is_symlink then size end as size, is_symlink
+from fx_files where ext <> '.tmp' and not (is_symlink and doc_id % 82 = 0)
+union all
+select concat(path, '/in.txt'), 'in.txt', strlen(name), false from fx_files where ext <> '.tmp' and is_symlink and doc_id % 82 = 0
+union all
+select concat(link_target, '/in.txt'), 'in.txt', strlen(name), false from fx_files where is_symlink and doc_id % 82 = 0"""))

@@ -27,6 +27,7 @@ from ..operators.store import DirectoryStore, Store, write_results
 from ..session import local_fs_path
 from ..sources import inventory as INV
 from ..sources import state as SS
+from ..sources.rounds import inventory_rounds
 from ..sources.store_index import StoreIndex
 from . import snapshot as S
 
@@ -171,7 +172,7 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
         """A stage's rows, written once; a dry run leaves nothing in the work folder."""
         return df if dry_run else materialize(df, f"{work}/{name}")
 
-    scan = keep(INV.inventory(spark, list(roots), list(ignore)), "inventory")
+    scan = inventory_rounds(spark, list(roots), list(ignore), work=None if dry_run else f"{work}/inventory")
     files = INV.files_only(scan)
     if state_table:
         latest = latest_state_table(spark, state_table)
