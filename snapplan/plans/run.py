@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import manifest as MF
+from ..operators.ignore import apply_ignore_fixed
 from ..operators.store import DirectoryStore, Store, write_results
 from ..session import local_fs_path
 from ..sources import inventory as INV
@@ -152,9 +153,14 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
                  dry_run: bool = False, job: str = "job", run_id: str | None = None,
                  depth: int = 3, preamble: Sequence[str] = (), state_table: str | None = None,
                  state_buckets: int | None = None, store: Store | None = None, retries: int = 3,
-                 delay: float = 5.0, store_index: StoreIndex | None = None) -> DataFrame:
+                 delay: float = 5.0, store_index: StoreIndex | None = None, variant: str = "C") -> DataFrame:
     """Plan and execute one snapshot run; returns a one-row summary.
 
+    Variant P lists links without descending them and digests what they lead
+    to, skips the fixed junk names as well, clears the marks of what was not
+    saved, writes its own manifest form, and ends in an error when a put has
+    no try left (its results are written by then).
+
     With a ``store_index`` the store is listed once, to begin the index;
     later runs compare with the index, and add what they have put.
 
@@ -172,8 +178,11 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
         """A stage's rows, written once; a dry run leaves nothing in the work folder."""
         return df if dry_run else materialize(df, f"{work}/{name}")
 
-    scan = inventory_rounds(spark, list(roots), list(ignore), work=None if dry_run else f"{work}/inventory")
+    scan = inventory_rounds(spark, list(roots), list(ignore), follow_links=variant == "C",
+                            work=None if dry_run else f"{work}/inventory")
     files = INV.files_only(scan)
+    if variant == "P":
+        files = apply_ignore_fixed(files)
     if state_table:
         latest = latest_state_table(spark, state_table)
         stored = spark.table(latest) if latest else spark.createDataFrame([], STORED_SCHEMA)
@@ -190,7 +199,7 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
                 listed = backend.list()
             else:
                 store_index.append(backend.list())
-    opts = S.PlanOptions(mode=mode, variant="C", depth=depth, order=("root_ord", "path"))
+    opts = S.PlanOptions(mode=mode, variant=variant, depth=depth, order=("root_ord", "path"))
     planned = keep(S.plan(files, state, listed, opts), "plan")
 
     if dry_run:
@@ -202,11 +211,15 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
 
     queue = S.queue(planned)
     results = put_until_done(backend, queue, work, retries, delay)
+    if variant == "P":
+        lost = results.filter("status = 'failed'").select("path", "error").first()
+        if lost:
+            raise RuntimeError(f"retries exhausted: {lost.path}: {lost.error}")
 
     # manifest (text sink, archive layout)
     run_ts = dt.datetime.strptime(run_id[:15], "%Y%m%dT%H%M%S") if run_id[:8].isdigit() else dt.datetime.now()
-    lines = MF.manifest_lines(MF.manifest_rows(planned, mtime_unit="us"),
-                              MF.manifest_preamble("C", run_ts, preamble))
+    lines = MF.manifest_lines(MF.manifest_rows(planned, variant, mtime_unit="us"),
+                              MF.manifest_preamble(variant, run_ts, preamble))
     arch = (f"{store_root.rstrip('/')}/metadata/{job}/{run_ts:%Y}/{run_ts:%m}/"
             f"backup_{run_ts:%Y-%m-%d_%H-%M-%S}.csv")
     MF.write_manifest(lines, arch)
@@ -217,7 +230,7 @@ def run_snapshot(spark: SparkSession, roots: Sequence[str], store_root: str, sta
     saved_paths = saved.select("path")
     if store_index is not None:
         store_index.append(saved.join(queue.select("path", "size"), "path").select("hash", "size"))
-    new_state = merge_stored(stored, SS.state_updates(planned, saved_paths), job)
+    new_state = merge_stored(stored, SS.state_updates(planned, saved_paths, variant), job)
     if state_table:
         buckets = state_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         table = SS.write_state_bucketed(new_state, f"{state_table.lower()}_{run_id.lower()}", buckets)

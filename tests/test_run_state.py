@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from snapplan.functions.paths import basename, dirname, extension
 from snapplan.operators.store import BlobTableStore, DirectoryStore, transfer_plan
-from snapplan.plans.run import job_state, merge_stored, prune_state, run_snapshot
+from snapplan.plans.run import job_state, merge_stored, prune_state, read_state, run_snapshot
 from snapplan.session import has_entries
 from snapplan.sources import inventory as INV
 
@@ -145,3 +145,28 @@ def test_dry_run_leaves_no_files(spark, tmp_path):
     r = run_snapshot(spark, run_id="20240101T000000", dry_run=True, **_args(tmp_path)).first()
     assert (r.n_files, r.n_queued, r.n_copied, r.dry_run_lines) == (1, 1, 0, 1)
     assert sorted(os.listdir(tmp_path)) == ["data"]
+
+
+def test_variant_p_run(spark, tmp_path):
+    """Junk names are skipped, empty files have the digest 0, a second run puts nothing, a lost file ends the run."""
+    top = tmp_path / "t"
+    (top / "d").mkdir(parents=True)
+    for name, text in (("a.txt", "one"), ("d/b.txt", "two"), ("Thumbs.db", "junk"), ("empty", ""), ("c.txt", "three")):
+        (top / name).write_text(text)
+    kw = dict(roots=[str(top)], store_root=str(tmp_path / "store"), state_dir=str(tmp_path / "state"),
+              work_dir=str(tmp_path / "work"), mode="fast", variant="P", retries=0, delay=0)
+    one = run_snapshot(spark, run_id="20240101T000000", **kw).first()
+    assert (one.n_files, one.n_queued, one.n_copied) == (4, 3, 3)
+    state = {r.path.removeprefix(f"{top}/"): r.st_hash for r in read_state(spark, str(tmp_path / "state")).collect()}
+    assert state["empty"] == "0" and "Thumbs.db" not in state
+    assert run_snapshot(spark, run_id="20240101T000100", **kw).first().n_queued == 0
+    (top / "new").write_text("four")
+
+    class Broken(DirectoryStore):
+        def put(self, queue, content_col=None):
+            return super().put(queue.selectExpr("concat(path, '.gone') as path", "dest", "hash", "size"))
+
+    with pytest.raises(RuntimeError, match="retries exhausted"):
+        run_snapshot(spark, run_id="20240101T000200", store=Broken(spark, str(tmp_path / "store")), **kw)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "store" / "metadata").rglob("part-*.txt")))
+    assert "Backup configuration:" in text
