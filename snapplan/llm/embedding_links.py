@@ -220,13 +220,13 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label).
 
     Two rows link when their labels are equal and not null and their cosine is
-    at least ``cosine``.  Null or zero vectors, those with null, infinite or
-    NaN components, vectors of another length than most of the sample and rows
-    without label link with nothing.  Repeated rows are vectors of their own
+    at least ``cosine``, which vectors of different lengths have none.  Null or
+    zero vectors, those with null, infinite or NaN components and rows without
+    label link with nothing.  Repeated rows are vectors of their own
     and link with each other.  component_id is the smallest vec_id reachable,
     null ids left out; kept is vec_id = component_id (a null id is not kept).
-    Centres and codebooks are fitted on at most ``sample`` classes; every row
-    is indexed.  Other columns are ignored.  Empty table: no rows.
+    Centres and codebooks are fitted on at most ``sample`` classes of each
+    length; every row is indexed.  Other columns are ignored.  Empty table: no rows.
     """
     spark = vectors.sparkSession
     python_ready(spark)
@@ -237,17 +237,15 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
         "vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"),
         F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
     classes = _classes(rows.filter(finite & some & F.col("label").isNotNull()))
-    top = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    empty = "cls long, links long, root long"
-    if top is None:
-        found = spark.createDataFrame([], empty)
-    else:
-        fits = classes.filter(F.size("embedding") == top.d)
+    found = spark.createDataFrame([], "cls long, links long, root long")
+    # an index for each length of vectors: there are no more lengths than the longest vector has components
+    for length in classes.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect():
+        fits = classes.filter(F.size("embedding") == length.d)
         taken = fits.orderBy(F.xxhash64("h1", "h2")).limit(sample).select("embedding").toArrow()
-        x = unit(_vectors(taken["embedding"].combine_chunks(), top.d))
+        x = unit(_vectors(taken["embedding"].combine_chunks(), length.d))
         labels = fits.agg(F.approx_count_distinct("label")).first()[0]
-        index = fit(x, min(LISTS, parts_for(top["count"], LIST * max(1, labels))))
-        found = settle(_found(fits, index, cosine))
+        index = fit(x, min(LISTS, parts_for(length["count"], LIST * max(1, labels))))
+        found = found.unionByName(settle(_found(fits, index, cosine)))
     edges = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("cls").agg(F.sum("links").alias("links"))
     by_class = (classes.select("cls", "label", "h1", "h2", "n", "low").join(linked, "cls", "left")
@@ -263,3 +261,19 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
                                       F.col("vec_id").alias("component_id"))
     return inside.unionByName(outside).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
+          UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) JOIN low USING (vec_id)
+"""

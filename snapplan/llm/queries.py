@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embedding_links import ORACLE as LINKS_SQL
 from .embedding_links import embedding_links
 from .filter_audit import ORACLE as AUDIT_SQL
 from .filter_audit import filter_audit
@@ -19,6 +20,7 @@ from .mixing import mix_sources
 from .ngram_join import ORACLE as NGRAM_SQL
 from .ngram_join import ngram_components
 from .packing import best_fit_packing
+from .substring_dedup import ORACLE as SUBSTRING_SQL
 from .substring_dedup import substring_dedup
 from .token_count import token_counts
 from .token_files import token_files
@@ -90,5 +92,6 @@ QUERIES = {f.__name__: f for f in (
     op8_token_counts, op9_embedding_links, op10_toxicity, op11_merkle_manifest,
     op12_filter_interaction_audit, op13_token_files)}
 ORACLES: dict[str, str] = {"op2_line_dedup": LINE_SQL, "op5_ngram_join": NGRAM_SQL,
+                            "op6_substring_dedup": SUBSTRING_SQL, "op9_embedding_links": LINKS_SQL,
                             "op11_merkle_manifest": MERKLE_SQL,
                             "op12_filter_interaction_audit": AUDIT_SQL}

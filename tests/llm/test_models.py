@@ -83,7 +83,8 @@ def vectors() -> list[tuple]:
     v = rows[0][1]
     rows += [(500, v, 0), (501, v, None), (502, None, 0), (503, [0.0] * 24, 0), (504, [float("nan")] + v[1:], 0),
              (505, [None, *v[1:]], 0), (506, [float("inf")] + v[1:], 0), (507, [2 * x for x in v], 0),
-             (508, [], 0), (509, [1.0, 2.0], 0), (None, v, 0), (500, v, 0)]
+             (508, [], 0), (509, [1.0, 2.0], 0), (510, [4.0, 8.1], 0), (511, [-1.0, 2.0], 0), (512, [2.0, 4.0], 1),
+             (None, v, 0), (500, v, 0)]
     return rows
 
 
@@ -91,14 +92,18 @@ def test_embedding_links(spark):
     rows = vectors()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, cls string")
     got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_links(docs).collect())
-    ok = [v is not None and len(v) == 24 and label is not None and all(x is not None and np.isfinite(x) for x in v)
+    ok = [v is not None and label is not None and all(x is not None and np.isfinite(x) for x in v)
           and any(v) for _, v, label in rows]
-    x = np.array([np.float32(v) if good else [1.0] * 24 for (_, v, _), good in zip(rows, ok, strict=True)], dtype=float)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    near = x @ x.T >= 0.93
+    near = np.zeros((len(rows), len(rows)), dtype=bool)
+    for n in (2, 24):                                 # vectors of one length are compared with each other
+        at = [i for i, (_, v, _) in enumerate(rows) if ok[i] and len(v) == n]
+        x = np.array([np.float32(rows[i][1]) for i in at], dtype=float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near[np.ix_(at, at)] = x @ x.T >= 0.93
     for i, (_, _, a) in enumerate(rows):
         for j, (_, _, b) in enumerate(rows):
-            near[i, j] &= i != j and ok[i] and ok[j] and a == b
+            near[i, j] &= i != j and a == b
+    assert near[[r[0] for r in rows].index(509)].sum() == 1
     root = np.arange(len(rows))
     for _ in range(len(rows)):
         root = np.array([min([root[i], *root[near[i]]]) for i in range(len(rows))])
