@@ -184,7 +184,8 @@ def table_snapshot(current: DataFrame, previous: DataFrame, key: str = "k", dige
     status = (F.when(F.col("_prev").isNull(), "new")
               .when(F.col("_prev") != F.col(digest), "changed").otherwise("unchanged"))
     j = j.withColumn("status", status).drop("_prev")
+    # a key that occurs several times may be the least of several digests
     first = (j.filter("status != 'unchanged'").groupBy(digest).agg(F.min(key).alias(key))
-             .select(key, F.lit(True).alias("_first")))
-    return (j.join(first.hint("merge"), key, "left")
-            .select(key, digest, "status", F.coalesce("_first", F.lit(False)).alias("queued")))
+             .groupBy(key).agg(F.collect_set(digest).alias("_first")))
+    queued = (F.col("status") != "unchanged") & F.coalesce(F.array_contains("_first", F.col(digest)), F.lit(False))
+    return j.join(first.hint("merge"), key, "left").select(key, digest, "status", queued.alias("queued"))

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from snapplan.functions import masking as FM
+from snapplan.plans import snapshot as S
 from snapplan.functions import paths as FP
 from snapplan.operators import ignore as IG
 
@@ -242,3 +243,20 @@ def test_digests_equal_hashlib(spark, texts):
     want = {i: tuple(hashlib.new(a, t.encode("utf-8")).hexdigest() for a in ("md5", "sha1", "sha256"))
             for i, t in enumerate(texts)}
     assert got == want
+
+
+def test_table_snapshot_with_repeated_keys(spark):
+    """A key may come twice, changed and unchanged, and be the first of two digests."""
+    cur = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "z"), ("c", "z"), ("c", "z")]
+    prev = [("a", "y"), ("b", "z"), ("b", "q")]
+    got = sorted(tuple(r) for r in S.table_snapshot(spark.createDataFrame(cur, "k string, digest string"),
+                                                    spark.createDataFrame(prev, "k string, digest string")).collect())
+    want = []
+    for k, d in cur:
+        olds = [p for j, p in prev if j == k] or [None]
+        want += [(k, d, "new" if p is None else "changed" if p != d else "unchanged") for p in olds]
+    first = {}
+    for k, d, status in want:
+        if status != "unchanged":
+            first[d] = min(first.get(d, k), k)
+    assert got == sorted((k, d, s, s != "unchanged" and first[d] == k) for k, d, s in want)
