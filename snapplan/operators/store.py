@@ -277,9 +277,13 @@ class BlobTableStore(Store):
         return stored_blobs(self.spark, self.path)
 
     def put(self, queue: DataFrame, content_col: str | None = None) -> DataFrame:
-        """Payloads come from ``content_col``, or from the files named in ``path``."""
+        """Payloads come from ``content_col``, or from the files named in
+        ``path``; rows without a path are known by hash and extension."""
         if content_col and content_col != "content":
             queue = queue.withColumnRenamed(content_col, "content")
+        if "path" not in queue.columns:
+            name = F.concat("hash", F.coalesce("ext", F.lit(""))) if "ext" in queue.columns else F.col("hash")
+            queue = queue.withColumns({"path": name, "dest": name})
         return put_blobs(queue, self.path)
 
 
