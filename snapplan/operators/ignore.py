@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions._util import col
 from ..functions.paths import dirname
-from .globs import MAX_BROADCAST, glob_matches
+from .globs import MAX_BROADCAST, anchored, glob_matches
 
 # The three junk names variant P always skips (case-sensitive).
 FIXED_IGNORED_NAMES_P = (".DS_Store", "Thumbs.db", "desktop.ini")
@@ -159,11 +159,12 @@ def apply_ignore_table(files: DataFrame, patterns: DataFrame, pattern_col: str =
     is_glob_ = F.col("_p").contains("*") | F.col("_p").contains("?")
     exact = p.filter(~is_glob_).select(F.upper("_p").alias("_k")).distinct()
     globs = p.filter(is_glob_)
+    rules = anchored(globs, "_p")
 
     def hits(strings: DataFrame, keys: list[str]) -> DataFrame:
         """Keys of the rows whose ``_x`` any rule matches."""
         literal = strings.join(exact, F.upper("_x") == F.col("_k"), "left_semi").select(*keys)
-        return literal.unionByName(glob_matches(strings, "_x", keys, globs, "_p", max_broadcast)).distinct()
+        return literal.unionByName(glob_matches(strings, "_x", keys, globs, "_p", max_broadcast, rules)).distinct()
 
     def either(df: DataFrame, keys: list[str], name: str, path: str) -> DataFrame:
         """O-33: one row for the bare name and one for the full path."""

@@ -88,3 +88,15 @@ def test_bucketed_state_join_shuffles_one_side(spark):
     txt = j._jdf.queryExecution().executedPlan().toString()
     assert txt.count("Exchange hashpartitioning") == 1
     assert j.count() == fx.files.count()
+
+
+def test_globs_with_a_common_start_meet_few_strings(spark):
+    """What all globs share is nobody's anchor, however long it is."""
+    from snapplan.operators import globs as GL
+    rules = spark.range(20_000).select(F.concat(F.lit("/data/common/*/EN/*"), F.col("id").cast("string"), F.lit("?.*")).alias("p"))
+    got = GL.anchored(rules, "p")
+    assert got.count() == 20_000
+    assert got.groupBy("_kind", "_len", "_text").count().agg(F.max("count")).first()[0] < 200
+    paths = spark.range(300).select("id", F.format_string("/data/common/s%d/en/f%d7.txt", F.col("id") % 3, F.col("id") * 100).alias("x"))
+    for most in (10_000, 0):
+        assert {r.id for r in GL.glob_matches(paths, "x", ["id"], rules, "p", most).collect()} == set(range(300))
