@@ -1,18 +1,22 @@
 """A snapshot plan over a stream, with state per path that advances (O-65)
 and puts that come back after a delay (O-66).
 
-One keyed operator (``transformWithStateInPandas``) holds what is known of
-each path: its digest, the mtime that was digested, the mtime that is safe in
-the store, and the put that is not answered yet.  It reads two kinds of rows:
+One keyed operator (``transformWithState``) holds what is known of each path:
+its digest, the mtime that was digested, the mtime that is safe in the store,
+and the put that is not answered yet.  Its key is a bucket of paths, by their
+hash: each call of a stateful function costs milliseconds, whatever it does, so
+the paths of a bucket share one call, one state row and one timer per batch.
+It reads two kinds of rows:
 
 * ``seen``: an inventory row (no payload; a file is read in the task that
   finds its digest stale, and nowhere before),
 * ``done``: the outcome of a put, written by this query's own sink.
 
 A row is judged against all rows before it, of this run too.  A put that
-succeeded marks its path, a failed one sets a timer of its own path; when the
-timer fires the put goes out again, up to ``max_retries`` times.  State per
-path is one row, whatever the number of rows or attempts of the path.
+succeeded marks its path, a failed one is due again after the delay, told by a
+timer of its bucket; then the put goes out again, up to ``max_retries`` times.
+A newer put of the path takes the place of one that is due.  State per path is
+one entry, whatever the number of rows or attempts of the path.
 
 The outcomes of a micro-batch are written once: after a restart they are
 found by the batch id, and nothing is put again; an outcome that is read twice
@@ -25,8 +29,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -41,20 +44,21 @@ SEEN = "path string, scan int, size long, mtime long, is_symlink boolean, link_t
 DONE = "path string, dest string, hash string, mtime long, status string, tries int, bytes long, error string, at_ms long"
 EVENT = ("kind string, path string, scan int, size long, mtime long, is_symlink boolean, link_target string, "
          "status string, tries int")
-KNOWN = ("st_hash string, st_hash_mtime long, backup_mtime long, put_hash string, put_mtime long, put_size long, "
-         "put_scan int, tries int")
+#: what is known of a path: ``due`` is the time in ms when its put goes out again
+KNOWN = ("paths array<struct<path:string,st_hash:string,st_hash_mtime:bigint,backup_mtime:bigint,put_hash:string,"
+         "put_mtime:bigint,put_size:bigint,put_scan:int,tries:int,due:bigint>>")
 PLANNED = ("path string, scan int, size long, mtime long, hash string, stale boolean, upload_required boolean, "
            "action string, tries int")
 COLUMNS = [c.split()[0] for c in PLANNED.split(", ")]
+#: buckets of paths, unless told; some hundred thousand paths each are still a small state row
+BUCKETS = 4096
 STATE = "path string, st_hash string, st_hash_mtime long, backup_mtime long"
 
 #: what becomes of a row: planned only, put, put given up, or no digest (O-37)
 PLAN, PUT, EXHAUSTED, UNDIGESTED = "plan", "put", "exhausted", "undigested"
 
 
-def _opt(v):
-    """None for any of pandas' missing values."""
-    return None if v is None or pd.isna(v) else v
+PlannedRow = Row(*COLUMNS)
 
 
 class PathProcessor(StatefulProcessor):
@@ -66,61 +70,75 @@ class PathProcessor(StatefulProcessor):
         self.handle = handle
         self.known = handle.getValueState("known", KNOWN)
 
-    def _load(self) -> list:
-        return list(self.known.get()) if self.known.exists() else [None] * 8
+    def _load(self) -> dict[str, list]:
+        """What is known of the bucket's paths."""
+        found = self.known.get()
+        return {r[0]: list(r)[1:] for r in found[0]} if found else {}
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        r = initialState.iloc[0]
-        mtimes = [None if _opt(r[c]) is None else int(r[c]) for c in ("st_hash_mtime", "backup_mtime")]
-        self.known.update((_opt(r["st_hash"]), *mtimes, None, None, None, None, None))
+    def _save(self, known: dict[str, list]) -> None:
+        self.known.update(([(path, *entry) for path, entry in known.items()],))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        path = key[0]
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self._save({r["path"]: [r["st_hash"], r["st_hash_mtime"], r["backup_mtime"]] + [None] * 6
+                    for r in initialState.paths})
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         answers, seen = {}, {}
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                if r.kind == "done":
-                    answers[int(r.tries)] = (r.status, int(r.mtime))
-                else:                                   # of equal scans the newest row counts
-                    old = seen.get(int(r.scan))
-                    seen[int(r.scan)] = r if old is None or r.mtime >= old.mtime else old
-        s, out = self._load(), []
-        st_hash, st_mtime, backup, put_hash, put_mtime, put_size, put_scan, tries = s
+        for r in rows:
+            if r.kind == "done":
+                answers.setdefault(r.path, {})[r.tries] = (r.status, r.mtime)
+            else:                                       # of equal scans the newest row counts
+                scans = seen.setdefault(r.path, {})
+                old = scans.get(r.scan)
+                scans[r.scan] = r if old is None or r.mtime >= old.mtime else old
+        known, out = self._load(), []
+        due = timerValues.getCurrentProcessingTimeInMs() + self.delay_ms
+        for path in answers.keys() | seen.keys():
+            entry = known.get(path) or [None] * 9
+            known[path] = self._judge(path, entry, answers.get(path, {}), seen.get(path, {}), due, out)
+        if any(known[path][8] == due for path in answers):
+            self.handle.registerTimer(due)
+        self._save(known)
+        return iter([PlannedRow(*row) for row in out])
+
+    def _judge(self, path: str, entry: list, answers: dict, seen: dict, again: int, out: list[tuple]) -> list:
+        """The path's entry after its rows; adds the planned rows to ``out``."""
+        st_hash, st_mtime, backup, put_hash, put_mtime, put_size, put_scan, tries, due = entry
         if put_mtime is not None and answers.get(tries, ("", None))[1] == put_mtime:
             if answers[tries][0] != "failed":
-                backup, put_mtime = put_mtime, None
+                backup, put_mtime, due = put_mtime, None, None
             elif tries > self.max_retries:
                 out.append((path, put_scan, put_size, put_mtime, put_hash, False, True, EXHAUSTED, tries))
-                put_mtime = None
-            else:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.delay_ms)
+                put_mtime, due = None, None
+            elif due is None:
+                due = again
         for scan in sorted(seen):
             r = seen[scan]
-            mtime, link = int(r.mtime), bool(r.is_symlink)
+            mtime, size, link = r.mtime, r.size, bool(r.is_symlink)
             stale = st_mtime != mtime or not st_hash
             digest = (self.digest(path) if stale else st_hash)
             if not digest:
-                out.append((path, scan, int(r.size), mtime, None, stale, False, UNDIGESTED, 0))
+                out.append((path, scan, size, mtime, None, stale, False, UNDIGESTED, 0))
                 continue
             required = backup != mtime
             st_hash, st_mtime = digest, mtime
             action, n = PLAN, 0
             if digest.startswith(SYMLINK_PREFIX) or link:
                 backup = mtime
-            elif required and r.size > 0 and put_mtime != mtime:
-                put_hash, put_mtime, put_size, put_scan, tries = digest, mtime, int(r.size), scan, 1
+            elif required and size > 0 and put_mtime != mtime:
+                put_hash, put_mtime, put_size, put_scan, tries, due = digest, mtime, size, scan, 1, None
                 action, n = PUT, 1
-            out.append((path, scan, int(r.size), mtime, digest, stale, required, action, n))
-        self.known.update((st_hash, st_mtime, backup, put_hash, put_mtime, put_size, put_scan, tries))
-        yield pd.DataFrame(out, columns=COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s, out = self._load(), []
-        if s[4] is not None:                            # still not saved, and not replaced by a newer put
-            s[7] += 1
-            self.known.update(tuple(s))
-            out.append((key[0], s[6], s[5], s[4], s[3], False, True, PUT, s[7]))
-        yield pd.DataFrame(out, columns=COLUMNS)
+            out.append((path, scan, size, mtime, digest, stale, required, action, n))
+        return [st_hash, st_mtime, backup, put_hash, put_mtime, put_size, put_scan, tries, due]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, known, out = expiredTimerInfo.getExpiryTimeInMs(), self._load(), []
+        for path, s in known.items():
+            if s[8] is not None and s[8] <= now:        # still not saved, and not replaced by a newer put
+                s[7], s[8] = s[7] + 1, None
+                out.append((path, s[6], s[5], s[4], s[3], False, True, PUT, s[7]))
+        self._save(known)
+        return iter([PlannedRow(*row) for row in out])
 
     def close(self) -> None:
         pass
@@ -136,14 +154,15 @@ def written_once(spark: SparkSession, path: str, rows: Callable[[], DataFrame],
 
 def snapshot_query(seen: DataFrame, put: Callable[[DataFrame, int], DataFrame], work: str,
                    state: DataFrame | None = None, max_retries: int = 3, delay_s: float = 5.0, depth: int = 3,
-                   trigger_s: float = 1.0, partitions: int | None = None):
+                   trigger_s: float = 1.0, partitions: int | None = None, buckets: int = BUCKETS):
     """Start the query over a stream of ``SEEN`` rows; returns it running.
 
     ``put(queue, batch_id)`` puts ``path, dest, hash, size, try_count`` rows
     and returns the results of ``store.RESULT_SCHEMA``; it may be called
     again with the same batch after a restart.  Below ``work``: ``planned``
     and ``results`` (one folder per batch), ``checkpoint``.  ``state``
-    (``STATE``) is what is known before the first batch.
+    (``STATE``, one row per path) is what is known before the first batch.
+    ``buckets`` and ``partitions`` are fixed for a checkpoint's lifetime.
     """
     spark = seen.sparkSession
     ship_package(spark)
@@ -159,8 +178,12 @@ def snapshot_query(seen: DataFrame, put: Callable[[DataFrame, int], DataFrame],
         done.select(F.lit("done").alias("kind"), "path", none.cast("int").alias("scan"), none.cast("long").alias("size"),
                     "mtime", none.cast("boolean").alias("is_symlink"), none.cast("string").alias("link_target"),
                     "status", "tries"))
-    known = state.select("path", "st_hash", "st_hash_mtime", "backup_mtime").groupBy("path") if state is not None else None
-    planned = events.groupBy("path").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket")
+    known = None
+    if state is not None:
+        each_path = state.select(bucket, F.struct("path", "st_hash", "st_hash_mtime", "backup_mtime").alias("p"))
+        known = each_path.groupBy("bucket").agg(F.collect_list("p").alias("paths")).groupBy("bucket")
+    planned = events.select(bucket, "*").groupBy("bucket").transformWithState(
         PathProcessor(max_retries, int(delay_s * 1000)), PLANNED, "Append", "ProcessingTime", initialState=known)
 
     def each(batch: DataFrame, batch_id: int) -> None:

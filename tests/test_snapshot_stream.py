@@ -91,3 +91,29 @@ def test_a_batch_is_written_once(spark, tmp_path):
 
 def test_payloads_are_in_no_exchange():
     assert "content" not in SN.EVENT and "content" not in SN.PLANNED
+
+
+def test_paths_share_a_call_of_the_stateful_function(spark, tmp_path):
+    """A call costs the same for one path as for many: paths of a bucket come in one, and keep their own state."""
+    paths = files(tmp_path, 6)
+    fails = {p: i % 3 for i, p in enumerate(paths)}
+    scan_rows(spark, f"{tmp_path}/in", [(p, 1) for p in paths], 1)
+    known = spark.createDataFrame([(paths[0], hashlib.md5(b"text 0").hexdigest(), 1, 1)], SN.STATE)
+
+    def put(queue, batch_id):
+        limit = F.create_map(*(x for p, n in fails.items() for x in (F.lit(p), F.lit(n))))
+        bad = F.col("try_count") < F.element_at(limit, F.col("path"))
+        return queue.select("path", "dest", "hash", F.when(bad, "failed").otherwise("copied").alias("status"),
+                            (F.col("try_count") + 1).alias("tries"), F.col("size").alias("bytes"),
+                            F.lit(None).cast("string").alias("error"))
+
+    seen = ST.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], SN.SEEN).schema, 100)
+    q = SN.snapshot_query(seen, put, f"{tmp_path}/work", known, 2, 0.5, trigger_s=0.1, partitions=2, buckets=1)
+    try:
+        SN.run_until_done(q, spark, f"{tmp_path}/work", 2, timeout_s=120)
+        states = sum(p["stateOperators"][0]["numRowsUpdated"] > 2 for p in q.recentProgress if p["stateOperators"])
+    finally:
+        q.stop()
+    assert states == 0                                   # one row of the bucket and its timer, for all six paths
+    got = {r.path: r.n for r in SN.put_results(spark, f"{tmp_path}/work").groupBy("path").agg(F.max("tries").alias("n")).collect()}
+    assert got == {p: fails[p] + 1 for p in paths[1:]}
