@@ -65,3 +65,14 @@ def test_linked_directories(spark, tmp_path):
     assert not any("/loop/" in p for p in got) and len(got) == len(set(got))
     assert paths(inventory_rounds(spark, [str(top)], follow_links=False)) == paths(INV.inventory(spark, [str(top)], []))
     assert inventory_rounds(spark, []).count() == 0
+
+
+def test_a_wide_directory_needs_few_rounds(spark, tmp_path):
+    """As many tasks as the names need; a round of a given number of tasks each took a hundred rounds before."""
+    top, work = tmp_path / "wide", str(tmp_path / "w")
+    top.mkdir()
+    for i in range(600):
+        (top / f"f{i}").write_text("x")
+    out = inventory_rounds(spark, [str(top)], budget=6, split=3, tasks=4, work=work)
+    assert paths(out) == sorted(str(top / f"f{i}") for i in range(600))
+    assert len([d for d in os.listdir(work) if d.startswith("round=")]) <= 6
