@@ -9,14 +9,17 @@ must also share prefix tokens under each of them before it is verified on the
 whole sets.
 
 Before sets are fetched, a pair must also pass by size and by the parity maps
-of both sets: bits that differ bound how many tokens differ from below.
+of both sets: bits that differ bound how many tokens differ from below.  A map
+grows with its set; the larger of two is folded to the size of the smaller.
 
 A large group of classes with a common prefix token gives no list of all its
 pairs.  First a few members, the pivots, are compared with all others; linked
 classes become one component.  Then only members of different components of a
 group meet, block by block inside tasks, and only pairs that pass those two
-bounds come out to be verified.  So every pair of linked classes ends in one
-component, whatever the size of its groups.
+bounds come out to be verified.  Classes that share many tokens meet once and
+not for each of them: groups whose least member (by hash) is the same are one.
+So every pair of linked classes ends in one component, whatever the size of
+its groups.
 
 Frequencies need each token beside its holders once: a token shared by a large
 share of the documents is found first and broadcast (at most 1 / HOT per
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,8 +51,9 @@ TOKENS = 500_000       # tokens of a part of the exchange, about
 PIVOTS = 256             # pairs of one pivot in one task, about
 SMALL = 16               # classes of a token whose pairs are joined outright
 KINDS = 8                # pivots that a family of classes meets, about
-BLOCK = 1024             # classes of a block in a large group
-BITS = 512               # bits of a class's parity map
+BLOCK, LONG = 1024, 1024   # classes of a block in a large group; one more for each so many tokens of a class
+MAPS = 1 << 18           # numbers of parity maps compared at once
+BITS, PER_TOKEN = 512, 4   # bits of a class's parity map: at least, and for each token (the next power of two)
 
 
 def shingle_sets(texts: list[str | None], n: int = WORDS) -> Iterator[np.ndarray]:
@@ -73,8 +77,9 @@ def signature(tokens: np.ndarray) -> int:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """A map of ``BITS`` bits in whole numbers: whether an odd number of tokens falls on each."""
-    odd = np.bincount((tokens & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """A map of bits in whole numbers: whether an odd number of tokens falls on each."""
+    size = max(BITS, 1 << (PER_TOKEN * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -272,49 +277,80 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent
     return settle(both.mapInArrow(judge, "a long, b long"))
 
 
+def _folded(bits: Column, k: Column) -> Column:
+    """A parity map as one of ``k`` numbers, its own size or a smaller one."""
+    return F.when(F.size(bits) == k, bits).otherwise(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.aggregate(
+        F.sequence(i, F.size(bits) - 1, k), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(bits, j)))))
+
+
 def _passed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) that sizes and parity maps do not rule out."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for c in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"),
                                           F.col("bits").alias(f"bits{c}")), c)
-    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
-                         lambda x, y: x + y)
+    k = F.least(F.size("bitsa"), F.size("bitsb"))
+    differ = F.aggregate(F.zip_with(_folded(F.col("bitsa"), k), _folded(F.col("bitsb"), k),
+                                    lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     both = F.col("na") + F.col("nb")
     return pairs.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
                         & (differ * (100 + percent) <= both * (100 - percent))).select("a", "b")
 
 
-def _cross_pairs(group: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _differ(group: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many bits differ between the parity maps of rows ``i`` and ``j``."""
+    bits = group.column("bits")
+    flat, begin = bits.flatten().to_numpy(), bits.offsets.to_numpy()
+    begin, words = begin[:-1] - begin[0], np.diff(begin)
+    out = np.empty(len(i), dtype=np.int64)
+
+    def maps(rows: np.ndarray, size: int, k: int) -> np.ndarray:
+        whole = flat[begin[rows][:, None] + np.arange(size)]
+        return np.bitwise_xor.reduce(whole.reshape(len(rows), size // k, k), axis=1)
+
+    wi, wj = words[i], words[j]
+    for a, b in {*zip(wi.tolist(), wj.tolist(), strict=True)}:
+        at, k = np.flatnonzero((wi == a) & (wj == b)), min(a, b)
+        step = max(1, MAPS // max(a, b))
+        for some in (at[lo:lo + step] for lo in range(0, len(at), step)):
+            out[some] = np.bitwise_count((maps(i[some], a, k) ^ maps(j[some], b, k)).view(U)).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _cross_pairs(group: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of classes of two blocks (side 0 and 1) in different components that the two bounds let pass."""
-    cls, n, bits, comp, side = group
-    out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    cls, n, comp, side = (group.column(c).to_numpy() for c in ("cls", "n", "comp", "side"))
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     for lo in range(0, len(left), 128):
         x = left[lo:lo + 128]
         nx, ny = n[x][:, None], n[right][None]
         ok = (comp[x][:, None] != comp[right][None]) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent)
         i, j = np.nonzero(ok)
-        differ = np.bitwise_count((bits[x[i]] ^ bits[right[j]]).view(U)).sum(axis=1, dtype=np.int64)
-        near = differ * (100 + percent) <= (n[x[i]] + n[right[j]]) * (100 - percent)
-        out[0].append(cls[x[i[near]]])
-        out[1].append(cls[right[j[near]]])
-    return np.concatenate(out[0]), np.concatenate(out[1])
+        i, j = x[i], right[j]
+        near = _differ(group, i, j) * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+        yield cls[i[near]], cls[j[near]]
 
 
-def _block_pairs(active: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components of large groups (token, cls, comp, n, bits, m), met block by block.
+def _block_pairs(active: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components of large groups (token, cls, comp, m), met block by block.
 
-    The largest component of a group is one side; all other members, few after
-    the pivots, meet it and each other.  A block of either side has about
-    ``BLOCK`` members, and two blocks meet in one place.
+    Groups with the same anchor, their least class by hash, are met as one: the
+    groups of classes that share many tokens have few anchors, others rarely
+    have the same.  The largest component of a group is one side; all other
+    members, few after the pivots, meet it and each other.  A block of either
+    side has about ``BLOCK`` members, and two blocks meet in one place.
     """
-    sizes = settle(active.groupBy("token", "comp").agg(F.count("*").alias("c")))
-    per = settle(sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"),
-                                            F.max("c").alias("c"), F.sum("c").alias("m")))
-    per = per.select("token", "main", F.ceil(F.col("c") / BLOCK).alias("gb"), F.col("m").alias("_m"),
+    anchors = active.groupBy("token").agg(F.min_by("cls", F.struct(F.xxhash64("cls"), "cls")).alias("anchor"),
+                                          F.count("*").alias("_m"))
+    active = lookup(active.select("token", "cls", "comp"), settle(anchors), ["token"], F.col("_m"), active.count())
+    active = settle(active.select("anchor", "cls", "comp").distinct().join(classes, "cls"))
+    weight = F.sum(1 + F.expr(f"n div {LONG}"))
+    sizes = settle(active.groupBy("anchor", "comp").agg(F.count("*").alias("c"), weight.alias("w")))
+    per = settle(sizes.groupBy("anchor").agg(F.max_by("comp", F.struct("w", "comp")).alias("main"), F.max("w").alias("c"),
+                                             F.sum("w").alias("m"), F.sum("c").alias("_m")))
+    per = per.select("anchor", "main", F.ceil(F.col("c") / BLOCK).alias("gb"), "_m",
                      F.ceil((F.col("m") - F.col("c")) / BLOCK).alias("pb"))
-    rows = lookup(active.drop("m"), per, ["token"], F.col("_m"), active.count())
+    rows = lookup(active, per, ["anchor"], F.col("_m"), active.count())
     rows = rows.withColumn("main", F.col("comp") == F.col("main"))
     mine = F.when(F.col("main"), F.pmod(F.xxhash64("cls"), F.col("gb"))).otherwise(
         F.col("gb") + F.pmod(F.xxhash64("cls"), F.col("pb")))
@@ -327,35 +363,31 @@ def _block_pairs(active: DataFrame, percent: int) -> DataFrame:
     # in its own block a member is on both sides
     sides = F.when(F.col("mine") == F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(
         F.array(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)))
-    rows = rows.select("token", place.alias("place"), F.explode(sides).alias("side"), "cls", "n", "bits", "comp")
-    rows = rows.select("token", F.col("place.x").alias("x"), F.col("place.y").alias("y"), "side", "cls", "n",
+    rows = rows.select("anchor", place.alias("place"), F.explode(sides).alias("side"), "cls", "n", "bits", "comp")
+    rows = rows.select("anchor", F.col("place.x").alias("x"), F.col("place.y").alias("y"), "side", "cls", "n",
                        "bits", "comp")
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        def met(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for a, b in _cross_pairs(pa.concat_batches(held), percent):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held, last = [], None
         for batch in batches:
-            t, x, y, side, cls, n, comp = (batch.column(c).to_numpy() for c in
-                                           ("token", "x", "y", "side", "cls", "n", "comp"))
-            bits = batch.column("bits").flatten().to_numpy().reshape(len(batch), -1)
-            rows_ = [t, x, y, cls, n, bits, comp, side]
-            if held is not None:
-                rows_ = [np.concatenate([a, b]) for a, b in zip(held, rows_, strict=True)]
-            t, x, y = rows_[:3]
-            ends = np.append(np.flatnonzero((t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, len(t))
-            at, a, b = 0, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for end in ends[:-1].tolist():
-                found = _cross_pairs([c[at:end] for c in rows_[3:]], percent)
-                a.append(found[0])
-                b.append(found[1])
-                at = end
-            held = [c[at:] for c in rows_]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))],
-                                             names=["a", "b"])
-        if held is not None:
-            a, b = _cross_pairs(held[3:], percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    dealt = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+            t, x, y = (batch.column(c).to_numpy() for c in ("anchor", "x", "y"))
+            begin = np.flatnonzero((t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            for lo, hi in zip([0, *begin.tolist()], [*begin.tolist(), len(t)], strict=True):
+                if lo == hi:
+                    continue
+                if held and last != (t[lo], x[lo], y[lo]):
+                    yield from met(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = t[lo], x[lo], y[lo]
+        if held:
+            yield from met(held)
+
+    dealt = rows.repartition("anchor", "x", "y").sortWithinPartitions("anchor", "x", "y")
     return dealt.mapInArrow(meeting, "a long, b long")
 
 
@@ -381,8 +413,8 @@ def class_links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     active = large.join(over, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
     open_ = settle(active.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                                F.max("m").alias("_m")).filter("lo != hi").select("token", "_m"))
-    active = settle(lookup(active, open_, ["token"], F.col("_m"), total).drop("_m").join(classes, "cls"))
-    more = _passed(_block_pairs(active, percent), classes, percent).join(tried, ["a", "b"], "left_anti")
+    active = settle(lookup(active, open_, ["token"], F.col("_m"), total).drop("_m"))
+    more = _passed(_block_pairs(active, classes, percent), classes, percent).join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verified(settle(more), docs, sets, n, percent))
     return components(links)
 
