@@ -15,6 +15,8 @@ import re
 from array import array
 from collections.abc import Iterator
 
+from .worker import turn_to
+
 #: a word of a byte-level vocabulary always starts here
 SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[^\W_])(?=[.,])")
 #: a piece up to the next such place; first the common forms, which need no test at each of their characters
@@ -24,7 +26,7 @@ WHITE = re.compile(r"[ \t-\r]")
 #: code points of a text held in pieces at one time
 SLICE = 1 << 20
 #: pieces kept with their ids in a worker: so many new ones, and as many from before
-MEMO = 800_000
+MEMO = 500_000
 
 _LOADED: dict[str, object] = {}
 _IDS: dict[tuple[str, bool], Memo] = {}
@@ -132,6 +134,7 @@ class Memo(dict):
 
 
 def memo(vocabulary: str, words: bool) -> Memo:
+    turn_to(_IDS)
     if (vocabulary, words) not in _IDS:
         _IDS[vocabulary, words] = Memo(vocabulary, words)
     return _IDS[vocabulary, words]

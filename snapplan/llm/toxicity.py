@@ -33,7 +33,7 @@ FEATURES = 1 << 18
 #: labelled documents the classifier is fitted on, at most (taken in order of a hash of their ids)
 LABELLED = 1 << 18
 PREFIXES = (4, 5, 6)     # first bytes of a word that count as features of their own
-HELD = 2_000_000         # features a task adds up before it hands them on
+HELD = 1_000_000         # features a task adds up before it hands them on
 PRIOR_SHARE = 0.1        # strength of the prior against the labelled words
 SURE = 2.0               # standard deviations taken off the log-odds
 DRIFT = 0.5              # taken off every word, so that clean text drifts down

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .worker import turn_to
+
 U = np.uint64
 #: odd multipliers and seeds of the hashes (any fixed odd values do)
 BASE, STEP, STEP2 = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
@@ -40,7 +42,7 @@ ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 
 #: powers of each base that a worker keeps
 KEPT = 1 << 21
-_POWERS = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
+_POWERS: dict[str, np.ndarray] = {}
 _INVERSE = U(pow(int(BASE), -1, 1 << 64))
 
 
@@ -54,11 +56,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i for i < n, modulo 2**64; a worker keeps tables of at most ``KEPT`` of each."""
     if n > KEPT:
         return _table(BASE, n), _table(_INVERSE, n)
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, b in enumerate((BASE, _INVERSE)):
-            _POWERS[k] = _table(b, size)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    turn_to(_POWERS)
+    if len(_POWERS.get("up", ())) < n:
+        size = 1 << max(0, n - 1).bit_length()
+        _POWERS.update(up=_table(BASE, size), down=_table(_INVERSE, size))
+    return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
 @dataclass
