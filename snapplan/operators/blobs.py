@@ -29,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from ..functions import digest as FD
 from ..functions import paths as FP
-from ..session import has_entries, shared_path, ship_package
+from ..session import few_rows, has_entries, shared_path, ship_package
 from ..sources.storage import exists, file_system, read_range
 
 FORMAT = "snapplan_blobs"
@@ -79,6 +79,11 @@ class _Files:
             self.open[folder] = stream, pq.ParquetWriter(stream, schema, compression="zstd")
         self.open[folder][1].write_table(pa.Table.from_pylist(rows, schema))
 
+    def write_all(self, held: dict[str, list[dict]], schema: pa.Schema) -> None:
+        """Write the rows of each folder, and hold them no longer."""
+        while held:
+            self.write(*held.popitem(), schema)
+
     def close(self) -> list[str]:
         for stream, writer in self.open.values():
             writer.close()
@@ -98,7 +103,7 @@ class BlobWriter(DataSourceArrowWriter):
         for batch in iterator:
             held: dict[str, list[dict]] = {}
             n_held, results = 0, []
-            for row in batch.to_pylist():
+            for row in few_rows(batch):
                 error, data = None, row["content"]
                 try:
                     if data is None:
@@ -113,11 +118,9 @@ class BlobWriter(DataSourceArrowWriter):
                     {k: row[k] for k in ("hash", "size", "ext", "block", "n_blocks")} | {"content": data})
                 n_held += len(data)
                 if n_held >= HELD_BYTES:
-                    for shard, rows in held.items():
-                        files.write(shard, rows, BLOCKS)
-                    held, n_held = {}, 0
-            for shard, rows in held.items():
-                files.write(shard, rows, BLOCKS)
+                    files.write_all(held, BLOCKS)
+                    n_held = 0
+            files.write_all(held, BLOCKS)
             if results:
                 files.write("_results", results, RESULTS)
         return Written(files.close())

@@ -19,13 +19,14 @@ import re
 import time
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import manifest as MF
 from ..operators.ignore import apply_ignore_fixed
 from ..operators.store import DirectoryStore, Store, write_results
-from ..session import local_fs_path
+from ..session import few_rows, local_fs_path
 from ..sources import inventory as INV
 from ..sources import state as SS
 from ..sources.rounds import inventory_rounds
@@ -264,10 +265,9 @@ def materialize_files(files: DataFrame, base: str) -> int:
     root = local_fs_path(base).rstrip("/")
 
     def run(batches):
-        import pandas as pd
-        for pdf in batches:
+        for batch in batches:
             n = 0
-            for rec in pdf.to_dict("records"):
+            for rec in few_rows(batch):
                 dest = root + rec["path"]
                 os.makedirs(os.path.dirname(dest), exist_ok=True)
                 if os.path.lexists(dest):
@@ -282,7 +282,7 @@ def materialize_files(files: DataFrame, base: str) -> int:
                     os.utime(tmp, (rec["mtime"], rec["mtime"]))
                     os.replace(tmp, dest)
                 n += 1
-            yield pd.DataFrame({"n": [n]})
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    out = files.select("path", "content", "mtime", "is_symlink", "link_target").mapInPandas(run, "n long")
+    out = files.select("path", "content", "mtime", "is_symlink", "link_target").mapInArrow(run, "n long")
     return int(out.agg(F.sum("n")).first()[0] or 0)

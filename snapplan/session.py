@@ -12,7 +12,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings that results depend on; everything else is left as the
@@ -106,6 +108,12 @@ def has_entries(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p)) and len(fs.listStatus(p)) > 0
 
 
+def few_rows(batch: pa.RecordBatch, most: int = 64) -> Iterator[dict]:
+    """The rows of an Arrow batch, of which a few at a time are Python objects: payloads may be large."""
+    for lo in range(0, batch.num_rows, most):
+        yield from batch.slice(lo, most).to_pylist()
+
+
 def local_fs_path(path: str) -> str:
     """Strip a ``file:`` scheme for Python-side file access inside tasks."""
     if path.startswith("file://"):
