@@ -727,9 +727,11 @@ def q_stream_plan(spark, sf_dir):
 def q_stream_retry(spark, sf_dir):
     from .session import shared_path
     from .streaming import stream as ST_
-    _, sdf = _stream_attempts(spark, sf_dir)
-    out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ck")
-    ST_.run_to_parquet(ST_.stream_retry(sdf, max_retries=1), out, ck, partitions=_state_parts(spark))
+    attempts = _fx(spark, sf_dir).attempts
+    src, out, ck = (shared_path(spark, x) for x in ("stream-attempts", "stream-out", "stream-ck"))
+    folders = ST_.write_batches(attempts, src, FE.epoch_micros("ts"), 4)
+    for sdf in ST_.arrivals(spark, folders, attempts.schema):
+        ST_.run_to_parquet(ST_.stream_retry(sdf, max_retries=1), out, ck, partitions=_state_parts(spark))
     return spark.read.parquet(out)
 
 

@@ -15,7 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -49,9 +51,25 @@ def write_batches(df: DataFrame, path: str, order_expr, n_batches: int) -> list[
     return names
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .option("recursiveFileLookup", "true").parquet(path))
+def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 1) -> DataFrame:
+    """``files_per_trigger`` None: all files that have come are one micro-batch."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
+
+
+def arrivals(spark: SparkSession, folders: list[str], schema) -> Iterator[DataFrame]:
+    """The stream over the folders of ``write_batches``, once per folder: the
+    folders up to it have come, those after it have not.
+
+    A query that is run to its end on each of them, under one checkpoint, takes
+    every folder as one micro-batch, in order, however many files it has.  Taken
+    by files, a folder's rows would be split, in an order that is not theirs."""
+    top = folders[0].rpartition("/")[0]
+    names = [f.rpartition("/")[2] for f in folders]
+    for n in range(1, len(names) + 1):
+        yield read_stream(spark, f"{top}/{{{','.join(names[:n])}}}", schema, None)
 
 
 # --------------------------------------------------------------------------
@@ -151,49 +169,70 @@ def state_after_stream(spark: SparkSession, base_state: DataFrame, state_updates
 # --------------------------------------------------------------------------
 
 RETRY_OUT = "job int, item string, status string, tries int, event_id long, bytes long"
-RETRY_STATE = "tries int, done boolean"
+#: what is known of a bucket's items, as an Arrow stream of ``RETRY_KNOWN``
+RETRY_STATE = "known binary"
+RETRY_KNOWN = ["job", "item", "tries", "done"]
+#: buckets of items, unless told; each call of the stateful function costs milliseconds, whatever it does
+RETRY_BUCKETS = 1024
 
 
 def _retry_fn(max_retries: int):
     limit = max_retries + 1
+    keys = ["job", "item"]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tries, done = (state.get if state.exists else (0, False))
-        need = 0 if done else limit - tries
-        # only the first ``need`` attempts (by ts, event_id) can change the
-        # outcome: keep a running selection of that size over the chunks,
-        # never the whole group
+        # only the first ``limit`` attempts of an item (by ts, event_id) can
+        # change its outcome: keep a running selection of these over the
+        # chunks, never the whole group
         best = None
         for pdf in pdfs:
-            if need <= 0 or pdf.empty:
+            if pdf.empty:
                 continue
-            part = pdf.sort_values(["ts", "event_id"]).head(need)
-            best = part if best is None else pd.concat([best, part]).sort_values(["ts", "event_id"]).head(need)
-        out = []
-        if best is not None:
-            for rec in best.itertuples(index=False):
-                if done:
-                    break
-                tries += 1
-                if rec.ok:
-                    out.append((key[0], key[1], "saved", tries, rec.event_id, rec.bytes))
-                    done = True
-                elif tries >= limit:
-                    out.append((key[0], key[1], "exhausted", tries, rec.event_id, None))
-                    done = True
-                else:
-                    out.append((key[0], key[1], "retry", tries, rec.event_id, None))
-        state.update((tries, done))
-        yield pd.DataFrame(out, columns=["job", "item", "status", "tries", "event_id", "bytes"])
+            rows = pdf if best is None else pd.concat([best, pdf])
+            best = rows.sort_values(["ts", "event_id"]).groupby(keys, sort=False, dropna=False).head(limit)
+        if best is None:
+            return
+        known = None
+        if state.exists:
+            known = pa.ipc.open_stream(bytes(state.get[0])).read_pandas()
+            best = best.merge(known, "left", keys)
+        else:
+            best = best.assign(tries=0, done=False)
+        best["tries"] = best["tries"].fillna(0).astype("int32")
+        best = best[~best["done"].eq(True)].copy()
+        best["tries"] += best.groupby(keys, sort=False, dropna=False).cumcount().astype("int32") + 1
+        best["ok"] = best["ok"].eq(True)
+        before = best["ok"].astype("int32").groupby([best[k] for k in keys], sort=False, dropna=False).cumsum() - best["ok"]
+        best = best[(best["tries"] <= limit) & (before == 0)]
+        if best.empty:
+            return
+        best["done"] = best["ok"] | (best["tries"] >= limit)
+        now = best[RETRY_KNOWN].drop_duplicates(keys, keep="last")
+        if known is not None:
+            now = pd.concat([known, now]).drop_duplicates(keys, keep="last")
+        table = pa.Table.from_pandas(now, pa.schema([("job", pa.int32()), ("item", pa.string()), ("tries", pa.int32()),
+                                                     ("done", pa.bool_())]), preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+        status = np.where(best["ok"], "saved", np.where(best["done"], "exhausted", "retry"))
+        yield best.assign(status=status, bytes=best["bytes"].astype("Int64").where(best["ok"]))[
+            ["job", "item", "status", "tries", "event_id", "bytes"]]
 
     return fn
 
 
-def stream_retry(attempts_sdf: DataFrame, max_retries: int = 3) -> DataFrame:
+def stream_retry(attempts_sdf: DataFrame, max_retries: int = 3, buckets: int = RETRY_BUCKETS) -> DataFrame:
     """Per item: each failed attempt is emitted as ``retry`` with its try
     number until ``max_retries`` retries are used (``exhausted``) or an
-    attempt succeeds (``saved``).  State per item: tries and done."""
-    return (attempts_sdf.groupBy("job", "item")
+    attempt succeeds (``saved``).  State per item: tries and done.
+
+    The key of the stateful function is a bucket of items, by their hash: the
+    items of a bucket share one call and one state row per batch.  ``buckets``
+    is fixed for a checkpoint's lifetime."""
+    bucket = F.pmod(F.xxhash64("job", "item"), F.lit(buckets)).cast("int").alias("_bucket")
+    return (attempts_sdf.select(bucket, "job", "item", "ts", "event_id", "ok", "bytes").groupBy("_bucket")
             .applyInPandasWithState(_retry_fn(max_retries), RETRY_OUT, RETRY_STATE, "append",
                                     GroupStateTimeout.NoTimeout))
 
@@ -232,7 +271,7 @@ def latest_epoch(spark: SparkSession, out: str) -> DataFrame:
 
 
 __all__ = ["stream_dedup", "stream_plan", "stream_retry", "stream_totals", "use_rocksdb",
-           "write_batches", "read_stream", "run_to_parquet", "run_complete_to_parquet", "latest_epoch"]
+           "write_batches", "read_stream", "arrivals", "run_to_parquet", "run_complete_to_parquet", "latest_epoch"]
 
 
 # --------------------------------------------------------------------------
