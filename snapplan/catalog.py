@@ -714,12 +714,15 @@ def q_stream_dedup(spark, sf_dir):
 
 @query("stream_plan")
 def q_stream_plan(spark, sf_dir):
-    from .session import shared_path
+    from .session import cut_lineage, shared_path
     from .streaming import stream as ST_
-    fx, sdf = _stream_files(spark, sf_dir)
-    blobs, results, ck, ups = (shared_path(spark, x) for x in
-                               ("stream-blobs", "stream-results", "stream-ck", "stream-state"))
-    ST_.stream_plan(sdf, fx.state, blobs, results, ck, mode="safe", state_updates_dir=ups)
+    fx = _fx(spark, sf_dir)
+    files, state = fx.files.drop("hash"), cut_lineage(fx.state)
+    src, blobs, results, ck, ups = (shared_path(spark, x) for x in
+                                    ("stream-in", "stream-blobs", "stream-results", "stream-ck", "stream-state"))
+    folders = ST_.write_batches(files, src, "doc_id", 4)
+    for sdf in ST_.arrivals(spark, folders, files.schema):
+        ST_.stream_plan(sdf, state, blobs, results, ck, mode="safe", state_updates_dir=ups)
     return spark.read.parquet(results).select("path", "hash", "size", "queued", "upload_required")
 
 

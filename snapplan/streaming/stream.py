@@ -24,7 +24,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.store import blob_append_set
 from ..plans import snapshot as S
-from ..session import has_entries
+from ..session import cut_lineage, has_entries
 from ..sources import state as SS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -119,7 +119,11 @@ def stream_plan(sdf: DataFrame, state: DataFrame, blob_table: str, results_dir:
     blob table as committed by earlier batches, append the missing blobs,
     record per-file results and (``state_updates_dir``) the state updates
     (O-15), each under ``batch_id=<id>`` so a replay overwrites its own
-    output."""
+    output.  ``state`` is read again in each micro-batch: pass a written
+    table, not one that is computed.
+
+    The plan knows a payload by its digest only and is written once; payloads
+    cross one exchange, to the planned rows whose blobs are missing."""
     spark = sdf.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -131,10 +135,14 @@ def stream_plan(sdf: DataFrame, state: DataFrame, blob_table: str, results_dir:
                      .select("hash", "size").distinct())
         else:
             store = spark.createDataFrame([], "hash string, size long")
-        opts = S.PlanOptions(mode=mode, order=tuple(order), keep_extra=("content",))
-        planned = S.plan(batch, state, store if mode == "safe" else None, opts)
-        queue = planned.filter("queued").select("path", "hash", "size", "ext", "content")
-        blobs = blob_append_set(queue, store).dropDuplicates(["hash"])
+        opts = S.PlanOptions(mode=mode, order=tuple(order), keep_extra=("_payload",))
+        # a path may come twice in a batch, and a stored digest need not be that of the payload
+        rows = batch.withColumn("_payload", F.coalesce(F.md5("content"), F.lit("")))
+        planned = cut_lineage(S.plan(rows, state, store if mode == "safe" else None, opts))
+        queue = planned.filter("queued").select("path", "_payload", "hash", "size", "ext")
+        missing = blob_append_set(queue, store).dropDuplicates(["hash"])
+        key = ["path", "_payload"]
+        blobs = rows.select(*key, "content").join(missing.hint("merge"), key).dropDuplicates([*key, "hash"])
         out = f"{blob_table.rstrip('/')}/batch_id={batch_id}"
         blobs.select("hash", "size", "ext", "content", "shard").write.mode("overwrite").parquet(out)
         res = planned.select("path", "hash", "size", "queued", "upload_required",

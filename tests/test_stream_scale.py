@@ -71,3 +71,48 @@ def test_stream_retry_equals_the_rule_and_keeps_few_state_rows(spark, tmp_path):
     got = [tuple(r) for r in spark.read.parquet(out).select("job", "item", "status", "tries", "event_id", "bytes").collect()]
     assert sorted(got, key=key) == sorted(plain(batches, 3), key=key)
     assert spark.read.format("statestore").load(ck).count() <= 40
+
+
+def test_stream_plan_takes_a_folder_of_many_files_at_once(spark, tmp_path, a_task_per_file):
+    import duckdb
+    sf = "/root/testdata/sf0.01"
+    documents = Fixtures(spark, sf).table("documents")
+    documents.repartition(6, F.hash("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = E.queries()["stream_plan"](spark, str(tmp_path)).select("path", "hash", "size", "queued", "upload_required")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    want = con.execute(f"select path, hash, size, queued, upload_required from ({E.oracle_sql()['stream_plan']})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_stream_plan_carries_no_payload_and_puts_the_right_ones(spark, tmp_path, monkeypatch):
+    from snapplan.plans import snapshot as S
+    cut, plain_cut = [], S.cut_lineage
+
+    def noted(df, *args):
+        cut.append(df.columns)
+        return plain_cut(df, *args)
+
+    monkeypatch.setattr(S, "cut_lineage", noted)
+    monkeypatch.setattr(ST, "cut_lineage", noted, raising=False)
+    x, y, z = "0" * 32, "1" * 32, "2" * 32
+    known = [("/r/b", x, 1, None), ("/r/c", y, 1, None), ("/r/d", z, 1, None)]
+    rows = [("/r/a", "one", 1), ("/r/a", "one", 1),                     # a path twice
+            ("/r/b", "two", 1), ("/r/b", "three", 2),                   # with two payloads, the first one digested before
+            ("/r/c", "four", 1), ("/r/c", "four", 2),                   # with one payload under two digests
+            ("/r/d", None, 1),                                          # a stored digest, and no payload
+            ("/r/e", "", 1), ("/r/g1", "five", 1), ("/r/g2", "five", 1)]
+    files = spark.createDataFrame(
+        [(p, "/r", p[3:], "", t, 5 if t is None else len(t), m, False, None) for p, t, m in rows],
+        "path string, dir string, name string, ext string, content string, size long, mtime long, is_symlink boolean, "
+        "link_target string")
+    files.repartition(4).write.parquet(f"{tmp_path}/in/batch=00000")
+    state = spark.createDataFrame(known, "path string, st_hash string, st_hash_mtime long, backup_mtime long")
+    for sdf in ST.arrivals(spark, [f"{tmp_path}/in/batch=00000"], files.schema):
+        ST.stream_plan(sdf, state, f"{tmp_path}/blobs", f"{tmp_path}/results", f"{tmp_path}/ck")
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/blobs").select("hash", "size", "content", "shard").collect())
+    digest = {t: spark.range(1).select(F.md5(F.lit(t))).first()[0] for t in ("one", "three", "four", "five")}
+    want = [(h, len(t), t, h[0]) for t, h in digest.items()] + [(x, 3, "two", "0"), (y, 4, "four", "1"), (z, 5, None, "2")]
+    assert got == sorted(want)
+    assert spark.read.parquet(f"{tmp_path}/results").count() == len(rows)
+    assert cut and not any("content" in c for c in cut)
